@@ -49,6 +49,14 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_fold(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, modulo 4; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
