@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, materialize, small_side, words
+from .shared import fresh, let, materialize, small_side, words
 
 WIDTH, PERCENT = 5, 80
 
@@ -88,5 +88,6 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """docs without those that hold a test item; rows with a null id stay."""
     bad = materialize(find_contained(docs, items, **how).select("doc_id").distinct(), "contaminated")
     key = how.get("doc_id", "doc_id")
-    bad = small_side(bad.select(F.col("doc_id").alias("__bad")), 16)
-    return docs.join(bad, F.col(key) == F.col("__bad"), "left_anti")
+    name = fresh(docs.columns, "__bad")
+    bad = small_side(bad.select(F.col("doc_id").alias(name)), 16)
+    return docs.join(bad, F.col(key) == F.col(name), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let
+from .shared import fresh, let
 
 WINDOW = 3
 
@@ -61,22 +61,23 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", te
     later = windows.join(first, ["__a", "__b"]).where(
         (F.col("__id") > F.col("__first.__id")) | ((F.col("__id") == F.col("__first.__id")) & (F.col("__pos") > F.col("__first.__pos")))
     )
-    flagged = later.groupBy("__id").agg(F.collect_set("__pos").alias("__starts"))
+    key, starts, kept = (fresh(names, c) for c in ("__id", "__starts", "__kept"))
+    flagged = later.groupBy(F.col("__id").alias(key)).agg(F.collect_set("__pos").alias(starts))
 
-    joined = docs.join(flagged.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left")
+    joined = docs.join(flagged.hint("shuffle_hash"), F.col(id_col) == F.col(key), "left")
 
     def rest(lines: Column) -> Column:
-        covered = F.flatten(F.transform("__starts", lambda s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: s + k)))
+        covered = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: s + k)))
         places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
         return F.transform(places, lambda i: F.get(lines, i))
 
     lines = _lines(F.col(text_col))
-    hit = F.col("__starts").isNotNull() & (F.col(text_col) != "")
-    joined = joined.withColumn("__kept", F.when(hit, let(lines, rest)))
+    hit = F.col(starts).isNotNull() & (F.col(text_col) != "")
+    joined = joined.withColumn(kept, F.when(hit, let(lines, rest)))
     n_lines = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(lines))
-    text = F.when(hit, F.array_join("__kept", "\n")).otherwise(F.col(text_col))
+    text = F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text_col))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in names],
+        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
         n_lines.cast("long").alias("n_lines"),
-        F.when(hit, F.size(lines) - F.size("__kept")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(hit, F.size(lines) - F.size(kept)).otherwise(0).cast("long").alias("n_removed"),
     )

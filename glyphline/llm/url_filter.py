@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_side
+from .shared import fresh, small_side
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,10 +77,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .where(F.col("__full") == F.col("__digest"))
     )
     best = hits.groupBy("__url").agg(F.max(F.struct("__order", "rule", "verdict")).alias("__best"))
-    best = best.select("__url", "__best.rule", "__best.verdict")
-    out = pages.join(best, F.col(url) == F.col("__url"), "left")
+    key = fresh(names, "__url")
+    best = best.select(F.col("__url").alias(key), "__best.rule", "__best.verdict")
+    out = pages.join(best, F.col(url) == F.col(key), "left")
     return out.select(
-        *[pages[c] for c in names],
+        *[F.col(f"`{c}`") for c in names],
         url_host(F.col(url)).alias("host"),
         url_path(F.col(url)).alias("path"),
         "rule",
