@@ -1,10 +1,10 @@
 """Near-duplicate groups by an exact n-gram Jaccard join over size-banded tiles.
 
 1. Every text becomes its set of hashed word shingles. Equal sets are one class.
-2. How many classes hold a shingle is counted over all of them, in ranges of the hash, as packed
-   arrays. A class that can link has to share one of its few rarest shingles with its partner (of
+2. How many texts hold a shingle is counted over all of them, in ranges of the hash, as packed
+   arrays (copies within a flush count once). A text that can link has to share one of its few rarest shingles with its partner (of
    n shingles, a partner holds 80 %, so that one of the n / 5 + 1 rarest of each is shared); if
-   enough of them are its own alone, the class is done.
+   enough of them are its own alone, the text is done.
 3. Classes that share one of those shingles in neighbouring size bands form a cluster, and a
    cluster is cut into tiles of bounded size.
 4. In a tile, hashed bitmap signatures bound each pair's overlap from above by bit counts; what
@@ -24,11 +24,15 @@ from .shared import fresh, materialize, mix, shingle_sets, small_side
 
 WIDTH, PERCENT = 5, 80
 #: Shingles of a range of hashes; shingles and texts of a tile; shingles that a map task gathers.
-RANGE, TILE_SHINGLES, TILE_TEXTS, FLUSH = 750_000, 1 << 20, 4096, 1 << 21
-#: A shingle that so many classes of one flush hold ranks behind all others.
+RANGE, TILE_SHINGLES, TILE_TEXTS, FLUSH = 1_500_000, 1 << 20, 4096, 3 << 20
+#: Bytes of text that are hashed at a time.
+SLICE = 2 << 20
+#: A shingle that so many texts of one flush hold ranks behind all others.
 FREQUENT = 32
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 _HOT = 255
+#: Kinds of rows: entries to be counted, entries that rank last anyway, and what the texts are.
+_ENTRIES, _LAST, _DIRECTORY = 0, 1, 2
 
 
 def _set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -45,7 +49,7 @@ def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         import pyarrow as pa
 
         for whole in batches:
-            for part in _slices(whole, 1):
+            for part in _slices(whole, 1, SLICE):
                 n, h1, h2 = [], [], []
                 for s in shingle_sets(part.column(1), width):
                     a, b = _set_hash(s)
@@ -62,35 +66,44 @@ def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _ranges(n_ranges: int, width: int):
-    """Map side: one row for each range of hashes and flush."""
-    schema = "part int, keys binary, docs binary, classes binary, sizes binary, hot binary, forward boolean"
+    """Map side: for each flush one row for each range of hashes, and a directory of its texts.
+
+    An entry is a shingle's upper 48 bits (sorted, as differences) and its text's number in the
+    flush; what else there is to know of a text (class and size) is sent once, in the directory.
+    """
+    schema = "part int, flush long, kind int, keys binary, docs binary, hot binary"
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         names = [c.split()[0] for c in schema.split(", ")]
-        held, sizes, classes, seen, turn = [], [], [], set(), 0
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        task = TaskContext.get().partitionId() << 16
+        held, classes, seen, turn, number = [], [], set(), 0, 0
 
-        def rows():
+        def rows(flush):
             nonlocal turn
+            sizes = np.fromiter(map(len, held), np.int32, len(held))
             keys = np.concatenate(held) >> np.uint64(16)
-            docs = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+            held.clear()
+            docs = np.repeat(np.arange(len(sizes), dtype=np.uint32 if len(sizes) > 1 << 16 else np.uint16), sizes)
             order = np.argsort(keys)
             keys, docs = keys[order], docs[order]
+            del order
+            yield flush % n_ranges, flush, _DIRECTORY, np.array(classes, np.int64).tobytes(), sizes.tobytes(), b""
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             runs = np.diff(np.append(first, len(keys)))
             often = np.repeat(runs >= FREQUENT, runs)
             hot = keys[first[runs >= FREQUENT]]
-            cls, size = np.array(classes, np.int64), np.array(sizes, np.int32)
 
-            def row(part, k, d, hot, forward):
-                used, d = np.unique(d, return_inverse=True)
-                delta = np.diff(k, prepend=np.uint64(0))
-                if len(delta) and int(delta[1:].max(initial=0)) < 1 << 32:
-                    packed = delta[:1].tobytes() + delta[1:].astype(np.uint32).tobytes()
+            def row(part, kind, k, d, hot):
+                delta = np.diff(k)
+                if len(k) and int(delta.max(initial=0)) < 1 << 32:
+                    packed = k[:1].tobytes() + delta.astype(np.uint32).tobytes()
                 else:
                     packed = b"\1" + k.tobytes()
-                return part, packed, d.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes(), cls[used].tobytes(), size[used].tobytes(), hot.tobytes(), forward
+                return part, flush, kind, packed, d.tobytes(), hot.tobytes()
 
             step = np.uint64((1 << 48) // n_ranges + 1)
             edges = np.arange(n_ranges + 1, dtype=np.uint64) * step
@@ -98,34 +111,38 @@ def _ranges(n_ranges: int, width: int):
             at, hot_at = np.searchsorted(k, edges), np.searchsorted(hot, edges)
             for p in range(n_ranges):
                 if at[p] < at[p + 1] or hot_at[p] < hot_at[p + 1]:
-                    yield row(p, k[at[p] : at[p + 1]], d[at[p] : at[p + 1]], hot[hot_at[p] : hot_at[p + 1]], False)
+                    yield row(p, _ENTRIES, k[at[p] : at[p + 1]], d[at[p] : at[p + 1]], hot[hot_at[p] : hot_at[p + 1]])
             k, d = keys[often], docs[often]
             for a in range(0, len(k), 1 << 16):  # rank last whatever others say: only passed on
                 turn += 1
-                yield row(hash((turn, len(keys))) % n_ranges, k[a : a + (1 << 16)], d[a : a + (1 << 16)], hot[:0], True)
+                yield row((flush + turn) % n_ranges, _LAST, k[a : a + (1 << 16)], d[a : a + (1 << 16)], hot[:0])
 
         def flush():
-            got = list(rows())
-            held.clear()
-            sizes.clear()
+            nonlocal number
+            got = []
+            for r in rows(task | number):
+                got.append(r)
+                if len(got) >= 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names)
+                    got = []
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names)
+            number += 1
             classes.clear()
             seen.clear()
-            for a in range(0, len(got), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got[a : a + 1024], strict=True)], schema=pa.schema(list(zip(names, [pa.int32(), *[pa.binary()] * 5, pa.bool_()], strict=True))))
 
         total = 0
         for whole in batches:
-            for part in _slices(whole, 1):
+            for part in _slices(whole, 1, SLICE):
                 for s in shingle_sets(part.column(1), width):
                     h = _set_hash(s)
                     if not len(s) or h in seen:  # a copy of a text of this flush
                         continue
                     seen.add(h)
                     held.append(s)
-                    sizes.append(len(s))
                     classes.append(h[0])
                     total += len(s)
-                    if total >= FLUSH:
+                    if total >= FLUSH or len(held) >= 1 << 21:
                         yield from flush()
                         total = 0
         if held:
@@ -134,116 +151,128 @@ def _ranges(n_ranges: int, width: int):
     return run, schema
 
 
-def _unpack(keys: bytes, docs: bytes, classes: bytes):
-    cls = np.frombuffer(classes, np.int64)
+def _unpack(keys: bytes, docs: bytes):
     if len(keys) % 4 == 1:
         k = np.frombuffer(keys, np.uint64, offset=1)
     else:
         k = np.cumsum(np.concatenate((np.frombuffer(keys[:8], np.uint64), np.frombuffer(keys, np.uint32, offset=8).astype(np.uint64))), dtype=np.uint64)
-    d = np.frombuffer(docs, np.uint16 if len(docs) == 2 * len(k) else np.uint32)
-    return k, d, cls
+    return k, np.frombuffer(docs, np.uint16 if len(docs) == 2 * len(k) else np.uint32)
+
+
+def _refs(flush: int, docs: np.ndarray) -> np.ndarray:
+    """A text's number over all flushes."""
+    return (np.uint64(flush) << np.uint64(22)) | docs.astype(np.uint64)
 
 
 def _counts(n_parts: int):
-    """Of each range the shingles that several classes hold, ranked by how many, by part of the class."""
-    schema = "part int, classes binary, sizes binary, counts binary, ranks binary"
+    """Of each range the shingles that several texts hold, ranked by how many, by part of the text."""
+    schema = "part int, directory boolean, refs binary, counts binary, ranks binary"
 
-    def by_class(cls, size, rank):
+    def batch(rows):
         import pyarrow as pa
 
-        order = np.argsort(cls, kind="stable")
-        cls, size, rank = cls[order], size[order], rank[order]
-        first = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))) if len(cls) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(cls)))
-        owner = mix(cls[first].view(np.uint64)) % np.uint64(n_parts)
-        rows = []
-        for p in np.unique(owner):
-            mine = owner == p
-            rows.append((int(p), cls[first[mine]].tobytes(), size[first[mine]].tobytes(), count[mine].astype(np.int32).tobytes(), rank[np.repeat(mine, count)].tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("classes", "sizes", "counts", "ranks")]]))
+        kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "directory", "refs", "counts", "ranks"])
+
+    def by_text(refs, ranks):
+        if not len(refs):
+            return
+        order = np.argsort(refs, kind="stable")
+        refs, ranks = refs[order], ranks[order]
+        first = np.flatnonzero(np.concatenate(([True], refs[1:] != refs[:-1])))
+        count = np.diff(np.append(first, len(refs))).astype(np.int32)
+        owner = mix(refs[first]) % np.uint64(n_parts)
+        owners = np.repeat(owner, count)
+        yield batch([(int(p), False, refs[first[owner == p]].tobytes(), count[owner == p].tobytes(), ranks[owners == p].tobytes()) for p in np.unique(owner)])
 
     def run(batches):
         by_range: dict[int, list] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["forward"]:
-                    k, d, cls = _unpack(r["keys"], r["docs"], r["classes"])
-                    size = np.frombuffer(r["sizes"], np.int32)
-                    yield from by_class(cls[d], size[d], k | np.uint64(_HOT << 48))
+        for arrived in batches:
+            for r in arrived.to_pylist():
+                if r["kind"] == _ENTRIES:
+                    by_range.setdefault(r["part"], []).append((r["flush"], r["keys"], r["docs"], r["hot"]))
+                elif r["kind"] == _LAST:
+                    k, d = _unpack(r["keys"], r["docs"])
+                    yield from by_text(_refs(r["flush"], d), k | np.uint64(_HOT << 48))
                 else:
-                    by_range.setdefault(r["part"], []).append(r)
+                    cls, size = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["docs"], np.int32)
+                    refs = _refs(r["flush"], np.arange(len(cls)))
+                    owner = mix(refs) % np.uint64(n_parts)
+                    yield batch([(int(p), True, refs[owner == p].tobytes(), size[owner == p].tobytes(), cls[owner == p].tobytes()) for p in np.unique(owner)])
         for part in list(by_range):
             rows = by_range.pop(part)
-            hot = np.unique(np.concatenate([np.frombuffer(r["hot"], np.uint64) for r in rows]))
-            keys, cls, size = [], [], []
-            for r in rows:
-                if r["docs"]:
-                    k, d, c = _unpack(r["keys"], r["docs"], r["classes"])
+            hot = np.unique(np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows]))
+            keys, refs = [], []
+            while rows:
+                flush, k, d, _ = rows.pop()
+                if d:
+                    k, d = _unpack(k, d)
                     keys.append(k)
-                    cls.append(c[d])
-                    size.append(np.frombuffer(r["sizes"], np.int32)[d])
-            rows.clear()
+                    refs.append(_refs(flush, d))
             if not keys:
                 continue
-            keys, cls, size = (np.concatenate(x) for x in (keys, cls, size))
+            keys, refs = np.concatenate(keys), np.concatenate(refs)
             order = np.argsort(keys)
-            sorted_keys = keys[order]
-            same = sorted_keys[1:] == sorted_keys[:-1]
+            keys, refs = keys[order], refs[order]
+            same = keys[1:] == keys[:-1]
             several = np.concatenate((same, [False])) | np.concatenate(([False], same))
             if len(hot):
-                several |= np.isin(sorted_keys, hot)
-            pick = order[several]
-            keys, cls, size = keys[pick], cls[pick], size[pick]
-            order = np.lexsort((cls, keys))
-            keys, cls, size = keys[order], cls[order], size[order]
-            new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1]))) if len(keys) else np.zeros(0, bool)
-            keys, cls, size = keys[new], cls[new], size[new]  # one row for each class and shingle
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+                several |= np.isin(keys, hot)
+            keys, refs = keys[several], refs[several]
+            if not len(keys):
+                continue
+            order = np.lexsort((refs, keys))
+            keys, refs = keys[order], refs[order]
+            new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (refs[1:] != refs[:-1])))
+            keys, refs = keys[new], refs[new]  # one entry for each text and shingle
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             count = np.diff(np.append(first, len(keys)))
             level = np.minimum(count, _HOT - 1).astype(np.uint64)
             if len(hot):
                 level[np.isin(keys[first], hot)] = _HOT
             level = np.repeat(level, count)
             many = level > 1
-            yield from by_class(cls[many], size[many], keys[many] | (level[many] << np.uint64(48)))
+            yield from by_text(refs[many], keys[many] | (level[many] << np.uint64(48)))
 
     return run, schema
 
 
 def _postings(percent: int):
-    """Of each class the shingles, among its rarest, at which it can meet a partner."""
+    """Of each text the shingles, among its rarest, at which it can meet a partner."""
 
     def run(batches):
         import pyarrow as pa
 
-        rows = [r for batch in batches for r in batch.to_pylist()]
         by_part: dict[int, list] = {}
-        for r in rows:
-            by_part.setdefault(r["part"], []).append(r)
-        del rows
+        for arrived in batches:
+            for r in arrived.to_pylist():
+                by_part.setdefault(r["part"], []).append((r["directory"], r["refs"], r["counts"], r["ranks"]))
         for part in list(by_part):
             mine = by_part.pop(part)
-            count = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in mine])
-            cls = np.repeat(np.concatenate([np.frombuffer(r["classes"], np.int64) for r in mine]), count)
-            size = np.repeat(np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in mine]), count).astype(np.int64)
-            rank = np.concatenate([np.frombuffer(r["ranks"], np.uint64) for r in mine])
-            del mine
-            order = np.lexsort((rank, cls))
-            cls, size, rank = cls[order], size[order], rank[order]
-            new = np.concatenate(([True], (cls[1:] != cls[:-1]) | (rank[1:] != rank[:-1]))) if len(cls) else np.zeros(0, bool)
-            cls, size, rank = cls[new], size[new], rank[new]  # copies in other flushes passed frequent ones on again
-            first = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))) if len(cls) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(cls)))
-            n = size[first]
+            known = [r for r in mine if r[0]]
+            mine = [r for r in mine if not r[0]]
+            if not mine:
+                continue
+            names, sizes, classes = (np.concatenate([np.frombuffer(r[i], k) for r in known]) for i, k in ((1, np.uint64), (2, np.int32), (3, np.int64)))
+            order = np.argsort(names)
+            names, sizes, classes = names[order], sizes[order].astype(np.int64), classes[order]
+            count = np.concatenate([np.frombuffer(r[2], np.int32) for r in mine])
+            text = np.repeat(np.searchsorted(names, np.concatenate([np.frombuffer(r[1], np.uint64) for r in mine])), count)
+            rank = np.concatenate([np.frombuffer(r[3], np.uint64) for r in mine])
+            del mine, known
+            order = np.lexsort((rank, text))
+            text, rank = text[order], rank[order]
+            first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+            count = np.diff(np.append(first, len(text)))
+            n = sizes[text[first]]
             # one more than needed: two shingles of a text may have the same 48 bits
             need = n + (-percent * n // 100) + 1 - (n - count) + 1
-            place = np.arange(len(cls)) - np.repeat(first, count)
-            keep = place < np.repeat(need, count)
-            keys = (rank[keep] & np.uint64((1 << 48) - 1)).astype(np.int64)
-            for a in range(0, len(keys), 65536):
-                b = slice(a, a + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[b]), pa.array(cls[keep][b]), pa.array(size[keep][b])], ["key", "cls", "n"])
+            place = np.arange(len(text)) - np.repeat(first, count)
+            keep = np.flatnonzero(place < np.repeat(need, count))
+            for a in range(0, len(keep), 65536):
+                b = keep[a : a + 65536]
+                keys = (rank[b] & np.uint64((1 << 48) - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(classes[text[b]]), pa.array(sizes[text[b]])], ["key", "cls", "n"])
 
     return run, "key long, cls long, n long"
 
@@ -330,7 +359,7 @@ def _arrays(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
         import pyarrow as pa
 
         for whole in batches:
-            for part in _slices(whole, 1):
+            for part in _slices(whole, 1, SLICE):
                 sets = list(shingle_sets(part.column(1), width))
                 own = np.fromiter((_set_hash(s)[0] for s in sets), np.int64, len(sets)) == np.asarray(part.column(2))
                 keep = pa.array(own)
@@ -351,17 +380,17 @@ def class_links(docs: DataFrame, sets: DataFrame, width: int = WIDTH, percent: i
     """Links (a, b) between classes (h1 values of ``sets``) that connect all that link."""
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     n_ranges = max(16, -(-total // range_size))
-    n_parts = max(4, -(-n_ranges // 4))
+    n_parts = max(4, -(-n_ranges // 2))
     run, schema = _ranges(n_ranges, width)
     packed = docs.mapInArrow(run, schema).repartition(n_parts, "part")
-    run, schema = _counts(4 * n_parts)
+    run, schema = _counts(2 * n_parts)
     packed = packed.mapInArrow(run, schema).repartition(n_parts, "part")
     run, schema = _postings(percent)
     postings = packed.mapInArrow(run, schema)
     # neighbouring bands of sizes: a partner is at most 1.25 times as large, so one band away
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(126 / percent))).cast("int")
     postings = materialize(postings, "postings").select("key", "cls", F.explode(F.array(band, band + 1)).alias("band"))
-    leads = postings.groupBy("key", "band").agg(F.min("cls").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "band", "lead")
+    leads = postings.groupBy("key", "band").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("key", "band", "lead")
     near = postings.join(leads, ["key", "band"]).where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
     clusters = components(near).withColumnRenamed("v", "cls").withColumnRenamed("label", "cluster")
 
