@@ -10,6 +10,7 @@ from itertools import groupby
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize, small_side
 from .url_filter import url_host
 
 #: Pages of a host that are compared at a time.
@@ -234,8 +235,8 @@ def extract_text(pages: DataFrame, block: int = BLOCK, id_col: str = "page_id",
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host"))
     sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    large = sizes.where("blocks > 1")
-    rows = rows.join(large, "host", "left")
+    large = materialize(sizes.where("blocks > 1"), "hosts")
+    rows = rows.join(small_side(large, 256), "host", "left")
     rows = rows.withColumn("b", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("blocks", F.lit(1).cast("long"))))
     rows = rows.drop("blocks").repartition("host", "b").sortWithinPartitions("host", "b", "page_id")
     kind = rows.schema["page_id"].dataType.simpleString()
