@@ -265,6 +265,15 @@ class CacheTable:
         found = read_cache_records(keys.select("cache_key").distinct().join(old, "cache_key", "left"))
         return found.select("cache_key", F.coalesce("cache_status", F.lit(11)).alias("cache_status"), "cache_value")
 
+    def remove(self, keys: DataFrame) -> None:
+        """Rewrite the table without some keys, beside itself and then in its place."""
+        old = self._read()
+        if old is not None:
+            rest = old.join(keys.select("cache_key").distinct(), "cache_key", "left_anti")
+            rest.write.mode("overwrite").parquet(f"{self.path}.new")
+            kept = self.spark.read.schema("cache_key binary, cache_record binary").parquet(f"{self.path}.new")
+            kept.write.mode("overwrite").parquet(self.path)
+
     def _read(self):
         from pyspark.errors import AnalysisException
 

@@ -18,7 +18,7 @@ MAGIC, HEADER, ENTRY = b"MOSPACK\0", 96, 32
 MANIFEST, LOCK, DFA, VOCABULARY, LANGUAGE, DETECTOR, SECURITY, NORMALIZATION, LEXER = range(1, 10)
 SECTION_MAGIC = {MANIFEST: b"MSMF", LOCK: b"MSLK", DFA: b"MSDF", VOCABULARY: b"MSVC", DETECTOR: b"MSDT", SECURITY: b"MSSC", NORMALIZATION: b"MSNM", LEXER: b"MSLX"}
 MINOR = {VOCABULARY: 2, LANGUAGE: 2, DETECTOR: 3, LEXER: 8}
-TEST_MAGIC = b"MSCP"
+TEST_HEADER, TEST_FLAG = 32, 1
 # End of fixed values.
 
 
@@ -72,6 +72,16 @@ def scan(data: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
+def parse_test_header(data: bytes) -> dict:
+    """The short header of early test containers: version, flags, length and number of sections."""
+    if len(data) < TEST_HEADER or data[:8] != MAGIC:
+        raise PackError("not a container")
+    major, minor, header, flags, total, count, reserved = struct.unpack_from("<4HQII", data, 8)
+    if header != TEST_HEADER or total != len(data) or reserved:
+        raise PackError("bad header")
+    return {"major": major, "minor": minor, "flags": flags, "length": total, "sections": count, "test": bool(flags & TEST_FLAG)}
+
+
 def section(data: bytes, kind: int) -> bytes:
     found = [s for k, s in scan(data) if k == kind]
     if len(found) != 1:

@@ -113,6 +113,8 @@ def test_cache_table(spark, tmp_path, odd):
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 5
     got = cache.get(rows.unionByName(rows.withColumn("cache_key", F.lit(bytearray(32))).limit(1)))
     assert sorted(r.cache_status for r in got.collect()) == [0, 0, 0, 0, 0, 11]
+    cache.remove(rows.limit(1))
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 4
 
 
 def test_registry(spark):
@@ -231,6 +233,34 @@ def test_structured_streams(spark, tmp_path):
     assert [r.length for r in rows] == [len(data), len(data)] and rows[1].reused > 500
 
 
+def test_sql_functions(spark):
+    from glyphline.functions import sql
+
+    sql.register(spark, engine("en", "hi"))
+    spark.createDataFrame([(1, "hello tokenizer"), (2, None), (3, "")], "k int, text string").createOrReplaceTempView("texts")
+    rows = spark.sql("select k, glyph_encode(text) ids, glyph_count(text) n, glyph_graphemes(text) g, glyph_normalize(text, 'NFKC_CASEFOLD') f, glyph_language(text) l from texts order by k").collect()
+    assert list(rows[0].ids)[-1] == 271 and rows[0].n == len(rows[0].ids) and rows[0].g == 15 and rows[0].l == "en"
+    assert tuple(rows[1]) == (2, None, None, None, None, None) and rows[2].n == 0 and rows[2].l is None
+    tokens = spark.sql("select k, t.* from texts, lateral glyph_tokens(text) t order by k, start").collect()
+    assert [t.start for t in tokens] == [0, 5, 6]
+    back = spark.sql("select glyph_decode(glyph_encode(text)) b from texts where k = 1").first().b
+    assert bytes(back) == b"hello tokenizer"
+
+
+def test_command_line(tmp_path, capsys):
+    from glyphline import cli
+
+    model, source, ids = (tmp_path / n for n in ("m", "s", "i"))
+    model.write_bytes(packs.write_vocabulary(base_vocabulary()))
+    source.write_bytes(b"hello tokenizer \xff")
+    assert cli.main(["validate", str(model)]) == 0 and cli.main(["roundtrip", str(model), str(source)]) == 0
+    assert cli.main(["encode-u32", str(model), str(source), str(ids)]) == 0 and cli.main(["decode-u32", str(model), str(ids), str(tmp_path / "o")]) == 0
+    assert (tmp_path / "o").read_bytes() == source.read_bytes()
+    for verb in (["encode", str(model), str(source)], ["fingerprint", str(model)], ["graphemes", str(source)], ["detect", str(source)], ["routes", str(source)], ["security", str(source)], ["lexer", "c", str(source)], ["normalize", "NFC", str(source), str(tmp_path / "n")], ["analyze", str(model), str(source)]):
+        assert cli.main(verb) == 0
+    assert cli.main(["validate", str(source)]) == 3 and capsys.readouterr()
+
+
 def test_empty_tables(spark):
     none, e = spark.createDataFrame([], "doc_id long, text string"), engine("en")
     for df in (tokenize.token_counts(none, e), tokenize.detect(none, e), tokenize.route_totals(none, e), unicode.script_totals(none), lex.lex_totals(none, LEX_PROFILES["c"]), document.token_documents(none, e, MODEL), replay.online(none, e, "doc_id", "doc_id"), document.pack(none, e)):
