@@ -64,8 +64,7 @@ def _scorer(queries, k):
         q_ids, q_row, q_term, q_weight = queries.value
         starts = np.searchsorted(q_row, np.arange(0, len(q_ids) + TILE, TILE))
         limit = int(np.abs(q_weight).max(initial=0))
-        # candidates that have gone into the running selection of each tile of queries
-        for batch in batches:
+        for batch in (whole.slice(a, BLOCK) for whole in batches for a in range(0, whole.num_rows, BLOCK)):
             ids, row, term, weight = _csr(batch.column(0), batch.column(1))
             if not len(ids):
                 continue
@@ -123,9 +122,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, batch: int = QU
     total = queries.count()
     parts = max(1, -(-total // batch))
     schema = "query_id long, vec_id long, score long"
-    spark_batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    if int(spark_batch) <= 0 or int(spark_batch) > BLOCK:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK))
     merged = None
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     for i in range(parts):
