@@ -24,12 +24,11 @@ _OUT = frozenset("head script style nav footer aside form button select option i
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block of text.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-_MAIN_ROLE = frozenset(("main", "article"))
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words in an element's class or id that say it isn't part of the article.
 _BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|promo|promotion|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notices|notification|alert|"
-    r"nav|navbar|navigation|menu|menus|sidebar|sidebars|breadcrumb|breadcrumbs|header|masthead|footer|comment|comments|disqus|replies|responses|share|sharing|social|related|recommended|"
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|adsby\w*|banner|promo|promotion|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notices|notification|alert|"
+    r"nav|navbar|navigation|menu|menus|sidebar|sidebars|breadcrumb|breadcrumbs|header|masthead|footer|comment|comments|commentlist|disqus|replies|responses|share|sharing|social|related|recommended|"
     r"newsletter|subscribe|subscription|signup|login|search|popup|modal|overlay|widget|widgets|pagination|pager|toolbar|skip|copyright|disclaimer)(?:$|[\s_-])"
 )
 
@@ -37,9 +36,9 @@ _BOILER = re.compile(
 class Token:
     """A tag or a run of text; role: what makes it the same token on another page."""
 
-    __slots__ = ("kind", "name", "role", "text", "main", "boiler", "closes")
+    __slots__ = ("kind", "name", "role", "text", "main", "boiler")
 
-    def __init__(self, kind, name="", role="", text="", main=False, boiler=False):
+    def __init__(self, kind, name="", role="", text="", main="", boiler=False):
         self.kind, self.name, self.role, self.text, self.main, self.boiler = kind, name, role, text, main, boiler
 
 
@@ -63,7 +62,7 @@ def tokenize(html: str) -> list[Token]:
         attrs = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(m[3])} if m[3] else {}
         labels = [attrs.get(k, "") for k in ("class", "id", "role")]
         roles = set(labels[2].split())
-        main = name in ("article", "main") or bool(roles & _MAIN_ROLE)
+        main = next((x for x in ("article", "main") if name == x or x in roles), "")
         boiler = name in _OUT or bool(roles & _BOILER_ROLE) or attrs.get("aria-hidden") == "true" or "hidden" in m[3].lower().split()
         boiler = boiler or (name not in ("html", "body", "article", "main") and any(_BOILER.search(x) for x in labels[:2] if x))
         out.append(Token("start", name, f"<{name} {' '.join(labels)}>".replace("   >", ">"), main=main, boiler=boiler))
@@ -158,7 +157,9 @@ def extract(tokens: list[Token], template: Template | None = None) -> str:
     menus, notices and the like are left out; if the page has article or main elements, so is what
     stands outside them; else template texts are. An article's own heading stays.
     """
-    has_main = any(t.kind == "start" and t.main and not t.boiler for t in tokens)
+    parts = {t.main for t in tokens if t.kind == "start" and t.main and not t.boiler}
+    wanted = "article" if "article" in parts else "main"  # articles say more than what holds them
+    has_main = bool(parts)
     stack: list[tuple[str, bool, bool]] = []  # name, in the main part, left out
     blocks: list[str] = []
     now: list[str] = []
@@ -187,7 +188,7 @@ def extract(tokens: list[Token], template: Template | None = None) -> str:
                         break
                     if stack[i][0] in _BLOCKS:
                         break
-            inside = main or (has_main and t.main)
+            inside = main or (has_main and t.main == wanted)
             own_header = t.name == "header" and main and has_main
             boiler = (t.boiler or t.name == "header") and not own_header
             stack.append((t.name, inside, out or boiler))

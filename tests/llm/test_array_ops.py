@@ -273,8 +273,8 @@ def test_html_text(spark):
     for i in range(90, 100):  # no article element: the template tells
         rows.append((i, f"http://plain.com/{i}", f"<html><body><div><p>Welcome to us</p></div><div><p>Story {i}</p><p>Rest {i * 7}</p></div><div>All rights reserved</div></body></html>"))
         want[i] = f"Story {i}\nRest {i * 7}"
-    rows += [(200, None, None), (201, "", ""), (202, "http://one.com", "<p>lone &eacute;</p><p>x"), (203, "http://h0.com/b", "<article><p>cut <a href='"), (204, "x://y", "a < b & c"), (None, "http://h1.com/", "<article>n</article>"), (0, rows[0][1], rows[0][2])]
-    want |= {200: "", 201: "", 202: "lone é\nx", 203: "cut", 204: "a < b & c", None: "n"}
+    rows += [(200, None, None), (201, "", ""), (202, "http://one.com", "<p>lone &eacute;</p><p>x"), (203, "http://h0.com/b", "<article><p>cut <a href='"), (205, "http://h0.com/c", "<main><p>crumbs</p><article class=post><p>in</p><ol class='commentlist'><li>me</ol></article></main>"), (204, "x://y", "a < b & c"), (None, "http://h1.com/", "<article>n</article>"), (0, rows[0][1], rows[0][2])]
+    want |= {205: "in", 200: "", 201: "", 202: "lone é\nx", 203: "cut", 204: "a < b & c", None: "n"}
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(3)).withColumn("text", F.lit("clash"))
     out = html_extract.extract_text(pages).collect()
     assert len(out) == len(rows) and sum(r.page_id == 0 for r in out) == 2
