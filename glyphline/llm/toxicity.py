@@ -25,6 +25,10 @@ STRENGTH = 8.0
 SHARE = 0.02
 #: Labelled rows of each class that are learned from at most (those of the smallest hash).
 TOXIC_ROWS, ORDINARY_ROWS = 4000, 8000
+#: Distinct words that are counted at a time.
+WORDS = 1 << 17
+#: Bytes of text that are scored at a time.
+SLICE = 3 << 20
 THRESHOLD = 0.3
 
 _LETTER = np.zeros(256, bool)
@@ -58,15 +62,16 @@ def _padded(data, starts, ends):
 
 def _grams(text, place, order):
     """For k = 1 .. order the key of the k bytes that end at each place, 0 where the word has fewer."""
-    keys = [text.astype(np.uint64) + np.uint64(1)]
+    byte = text.astype(np.uint64) + np.uint64(1)
+    now = byte.copy()
+    yield now
     for k in range(2, order + 1):
-        value = np.zeros(len(text), np.uint64)
-        has = place >= k - 1
         # the last byte lowest: dropping the first byte is a mask, dropping the last one a shift
-        value[k - 1 :] = keys[-1][k - 1 :] + ((text[: len(text) - k + 1].astype(np.uint64) + np.uint64(1)) << np.uint64(9 * (k - 1)))
-        value[~has] = 0
-        keys.append(value)
-    return keys
+        longer = np.zeros(len(text), np.uint64)
+        longer[k - 1 :] = now[k - 1 :] + (byte[: len(text) - k + 1] << np.uint64(9 * (k - 1)))
+        longer[place < k - 1] = 0
+        now = longer
+        yield now
 
 
 class Models:
@@ -78,17 +83,20 @@ class Models:
 
     def __init__(self, words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER):
         self.order = order
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths)
-        text, place, word = _padded(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends)
-        grams = _grams(text, place, order)
-        weights = [toxic.astype(float)[word], ordinary.astype(float)[word]]
-        self.keys, self.counts, self.pooled = [], [], []
-        for k in range(order):
-            at = grams[k] > 0
-            keys, inverse = np.unique(grams[k][at], return_inverse=True)
-            self.keys.append(keys)
-            self.counts.append(np.array([np.bincount(inverse, w[at], len(keys)) for w in weights]))
+        none = np.zeros(0, np.uint64)
+        self.keys, self.counts, self.pooled = [none] * order, [np.zeros((2, 0))] * order, []
+        for first in range(0, len(words), WORDS):  # a part of the words at a time, to bound memory
+            part = slice(first, first + WORDS)
+            lengths = np.fromiter(map(len, words[part]), np.int64)
+            ends = np.cumsum(lengths)
+            text, place, word = _padded(np.frombuffer(b"".join(words[part]), np.uint8), ends - lengths, ends)
+            weights = [x[part].astype(float)[word] for x in (toxic, ordinary)]
+            for k, grams in enumerate(_grams(text, place, order)):
+                at = grams > 0
+                all_keys = np.concatenate((self.keys[k], grams[at]))
+                keys, inverse = np.unique(all_keys, return_inverse=True)
+                counts = [np.bincount(inverse, np.concatenate((c, w[at])), len(keys)) for c, w in zip(self.counts[k], weights, strict=True)]
+                self.keys[k], self.counts[k] = keys, np.array(counts)
         for k in range(order):
             keys, pooled = self.keys[k], self.counts[k].sum(0)
             if k + 1 < order:
@@ -222,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
         import pyarrow as pa
 
         for whole in batches:
-            for part in _slices(whole, 0):
+            for part in _slices(whole, 0, SLICE):
                 data, offsets = text_buffer(part.column(0))
                 low = fold_case(data)
                 starts, ends, first = word_spans(_LETTER[low], offsets)
@@ -249,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
         import pyarrow as pa
 
         for whole in batches:
-            for part in _slices(whole, 0):
+            for part in _slices(whole, 0, SLICE):
                 e = shared.value.evidence(part.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), part.column(1)], ["total", "n", "toxic"])
 
@@ -278,7 +286,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: fl
         import pyarrow as pa
 
         for whole in batches:
-            for part in _slices(whole, at):
+            for part in _slices(whole, at, SLICE):
                 s = shared.value(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
