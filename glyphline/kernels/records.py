@@ -166,6 +166,25 @@ def unpack_tokens(record: bytes) -> tuple[list[int], list[int], dict]:
 MODEL, GRAPHEMES, SECURITY, NORMALIZATION, LEXICAL, SEMANTIC = (1 << k for k in range(6))
 
 
+_FORMS = {
+    "token": np.dtype([("id", "<u4"), ("zero", "<u4"), ("start", "<u8"), ("length", "<u8")]),
+    "span": np.dtype([("start", "<u8"), ("length", "<u8")]),
+    "finding": np.dtype([("kind", "<u4"), ("script", "<u2"), ("zero", "<u2"), ("start", "<u8"), ("length", "<u8")]),
+    "unit": np.dtype([("start", "<u8"), ("length", "<u8"), ("first", "<u4"), ("count", "<u4")]),
+    "component": np.dtype([("kind", "<u4"), ("zero", "<u4"), ("index", "<u8"), ("start", "<u8"), ("length", "<u8")]),
+}
+
+
+def _table(form: str, rows, *columns: str) -> bytes:
+    """Rows of numbers as records; fields that no column names are zero."""
+    rows = list(rows)
+    out = np.zeros(len(rows), _FORMS[form])
+    if rows:
+        for name, values in zip(columns, zip(*rows, strict=True), strict=True):
+            out[name] = values
+    return out.tobytes()
+
+
 def write_document(doc: dict) -> bytes:
     """A document record. doc: source, flags, fingerprint, mode, detection and the projections.
 
@@ -179,14 +198,14 @@ def write_document(doc: dict) -> bytes:
     firsts = np.cumsum([0, *(len(u[2]) for u in units)])
     bodies = [
         source,
-        b"".join(struct.pack("<IIQQ", i, 0, s, n) for i, s, n in doc.get("tokens") or []),
-        b"".join(struct.pack("<QQ", s, n) for s, n in doc.get("graphemes") or []),
-        b"".join(struct.pack("<IHHQQ", k, c, 0, s, n) for k, c, s, n in doc.get("findings") or []),
+        _table("token", doc.get("tokens") or [], "id", "start", "length"),
+        _table("span", doc.get("graphemes") or [], "start", "length"),
+        _table("finding", doc.get("findings") or [], "kind", "script", "start", "length"),
         doc.get("normalized") or b"",
-        b"".join(struct.pack("<QQII", u[0], u[1], f, len(u[2])) for u, f in zip(units, firsts, strict=False)),
-        b"".join(struct.pack("<QQ", s, n) for s, n in spans),
-        b"".join(struct.pack("<IIQQ", k, 0, s, n) for k, s, n in doc.get("lexical") or []),
-        b"".join(struct.pack("<IIQQQ", k, 0, i, s, n) for k, i, s, n in doc.get("semantic") or []),
+        _table("unit", ((u[0], u[1], f, len(u[2])) for u, f in zip(units, firsts.tolist(), strict=False)), "start", "length", "first", "count"),
+        _table("span", spans, "start", "length"),
+        _table("token", doc.get("lexical") or [], "id", "start", "length"),
+        _table("component", doc.get("semantic") or [], "kind", "index", "start", "length"),
     ]
     at, table, out = DOCUMENT_HEADER + SECTIONS * SECTION_ENTRY, [], bytearray()
     for number, (body, width) in enumerate(zip(bodies, SECTION_WIDTH, strict=True), 1):

@@ -210,6 +210,8 @@ def normalize_view(data: bytes, mode: str) -> tuple[bytes, list[tuple[int, int,
     Spans are sorted, without repeats, neighbours merged.
     """
     text, _, starts, lengths = units(data)
+    if mode == "PRESERVE" or (mode != "NFKC_CASEFOLD" and unicodedata.is_normalized(mode, text)):  # every unit is its own source
+        return data, [(s, n, [(s, n)]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
     out: list[tuple[str, int, list[tuple[int, int]]]] = []  # character, combining class, spans
     barrier = 0  # nothing is reordered or composed before this place
 
@@ -244,12 +246,9 @@ def normalize_view(data: bytes, mode: str) -> tuple[bytes, list[tuple[int, int,
             finish()
             out.append((ch, 0, span))
             barrier = len(out)
-        elif mode == "PRESERVE":
-            out.append((ch, 0, span))
         else:
             out += [(c, unicodedata.combining(c), span) for c in _decomposed(ch, mode)]
-    if mode != "PRESERVE":
-        finish()
+    finish()
     view, at, parts = [], 0, []
     for ch, _, spans in out:
         raw = ch.encode("utf-8", "surrogateescape")

@@ -397,13 +397,13 @@ def r54_semantic(spark, sf_dir):
 WITH h AS (SELECT doc_id, octet_length(encode(text)) AS n, list_transform(regexp_extract_all(hex(encode(text)), '..'),
   lambda h: (instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)[2:4] AS b FROM documents)
 SELECT doc_id, CASE WHEN n >= 3 THEN 0 ELSE 5 END AS status,
-  CASE WHEN n >= 3 THEN (((b[1] * 256 + b[2]) & 8191))::DECIMAL(20, 0) END AS high,
-  CASE WHEN n >= 3 THEN ((b[1] + b[2] * 256) >> 3)::DECIMAL(20, 0) END AS low FROM h""")
+  CASE WHEN n >= 3 THEN ((b[1] * 256 + b[2]) & 8191)::BIGINT END AS high,
+  CASE WHEN n >= 3 THEN ((b[1] + b[2] * 256) >> 3)::BIGINT END AS low FROM h""")
 def r55_bit_fields(spark, sf_dir):
     """13 bits from bit 3 of the second byte on, in both orders."""
     data = F.encode("text", "UTF-8")
     high, low = (native.bit_field(data, F.lit(1), 3, 13, o) for o in (native.MSB0, native.LSB0))
-    return documents(spark, sf_dir).select("doc_id", high["status"].alias("status"), high["value"].alias("high"), low["value"].alias("low"))
+    return documents(spark, sf_dir).select("doc_id", high["status"].alias("status"), high["value"].cast("bigint").alias("high"), low["value"].cast("bigint").alias("low"))
 
 
 # --- documents, blocks, records -----------------------------------------------------------------
