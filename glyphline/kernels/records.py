@@ -90,6 +90,9 @@ def cache_key(identity: bytes, namespace: int, version: int) -> bytes:
 
 def uleb(values) -> bytes:
     """Unsigned LEB128 of each value."""
+    values = list(values)
+    if not values or max(values) < 0x80:
+        return bytes(values)
     out = bytearray()
     for v in values:
         while v >= 0x80:
@@ -101,6 +104,8 @@ def uleb(values) -> bytes:
 
 def read_uleb(data: bytes, count: int) -> list[int]:
     """count values that take up data exactly, each in its shortest form."""
+    if len(data) == count and data.isascii():
+        return list(data)
     out, at = [], 0
     for _ in range(count):
         value = shift = 0
@@ -160,7 +165,7 @@ def unpack_tokens(record: bytes) -> tuple[list[int], list[int], dict]:
     if flags[count * bits :].any():
         raise RecordError("bits behind the ids")
     ids = flags[: count * bits].reshape(count, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) if count else []
-    return [int(i) for i in ids], lengths, {"count": count, "id_bits": bits, "source_length": source, "source_sha256": source_hash, "fingerprint": fingerprint}
+    return list(map(int, ids)), lengths, {"count": count, "id_bits": bits, "source_length": source, "source_sha256": source_hash, "fingerprint": fingerprint}
 
 
 MODEL, GRAPHEMES, SECURITY, NORMALIZATION, LEXICAL, SEMANTIC = (1 << k for k in range(6))

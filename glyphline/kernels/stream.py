@@ -94,12 +94,24 @@ class OnlineStream:
             room = min(STEP, self.max_pending - len(self.pending))
             if room <= 0:
                 raise LimitError(at, out)
-            self._append(data[at : at + room])
+            out += self._forced(data[at : at + room])
             at += min(room, len(data) - at)
             n = len(self.pending)
             out += self._commit(range(max(0, n - (self.encoder.max_len - 1)), n + 1))
         return out
 
+    def _forced(self, data: bytes) -> list[tuple[int, int]]:
+        """Take in data; what is before the last place that no token can cross is certain at once."""
+        whole = self.pending + data
+        cut = self.encoder.boundaries(whole)[-2]
+        if not cut:
+            self._append(data)
+            return []
+        tokens = list(zip(*self.encoder.encode(whole[:cut]), strict=True))
+        self.pending, self._ways = b"", [(0, 0, (), -1, -1)]
+        self._append(whole[cut:])
+        return tokens
+
     def finish(self) -> list[tuple[int, int]]:
         return self._take(len(self.pending))
 

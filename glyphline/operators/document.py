@@ -72,20 +72,19 @@ class _Builder:
 
 
 def _rows(doc: dict, flags: int) -> list:
-    span = lambda s, n: {"start": s, "length": n}
     out = []
     if flags & MODEL:
-        out.append([{"id": i, **span(s, n)} for i, s, n in doc["tokens"]])
+        out.append(doc["tokens"])
     if flags & GRAPHEMES:
-        out.append([span(*g) for g in doc["graphemes"]])
+        out.append(doc["graphemes"])
     if flags & SECURITY:
-        out.append([{"kind": k, "script_id": c, **span(s, n)} for k, c, s, n in doc["findings"]])
+        out.append(doc["findings"])
     if flags & NORMALIZATION:
-        out += [doc["normalized"], [{**span(s, n), "spans": [span(*x) for x in spans]} for s, n, spans in doc["units"]]]
+        out += [doc["normalized"], doc["units"]]
     if flags & LEXICAL:  # tokens that only the semantic part needed stay hidden
-        out.append([{"kind": k, **span(s, n)} for k, s, n in doc["lexical"]])
+        out.append(doc["lexical"])
     if flags & SEMANTIC:
-        out.append([{"kind": k, "lexical_index": i, **span(s, n)} for k, i, s, n in doc["semantic"]])
+        out.append(doc["semantic"])
     return out
 
 

@@ -41,8 +41,7 @@ def lex_totals(df: DataFrame, profile: LexProfile, column: str = "text") -> Data
 def _columns(profile: LexProfile):
     def fn(data):
         tokens = lexer.lex(profile, data)
-        parts = lexer.components(profile, data, tokens)
-        return [{"kind": k, "start": s, "length": n} for k, s, n in tokens], [{"kind": k, "lexical_index": i, "start": s, "length": n} for k, i, s, n in parts]
+        return tokens, lexer.components(profile, data, tokens)
 
     return fn
 

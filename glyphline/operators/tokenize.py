@@ -53,7 +53,7 @@ def _tokens(engine: Engine, tags):
         ids, lengths = encoder.encode(data)
         if len(ids) > limits.max_output_tokens:
             return LIMIT, None
-        return OK, [{"id": i, "start": s, "length": n, "cost": cost[i]} for i, s, n in zip(ids, _starts(lengths), lengths, strict=True)]
+        return OK, [(i, s, n, cost[i]) for i, s, n in zip(ids, _starts(lengths), lengths, strict=True)]
 
     return fn
 
@@ -103,31 +103,38 @@ def decode(df: DataFrame, engine: Engine, column: str = "ids", limit: int | None
 
     An unknown id has status 6, a result over ``limit`` bytes (default: the input limit) status 9.
     """
-    surfaces, most = {i: s for i, _, s in engine.vocabulary.rows}, limit or engine.limits.max_input_bytes
+    table, most = sorted((i, s) for i, _, s in engine.vocabulary.rows), limit or engine.limits.max_input_bytes
+    known = np.array([i for i, _ in table], np.int64)
+    bytes_ = np.frombuffer(b"".join(s for _, s in table), np.uint8)
+    sizes = np.array([len(s) for _, s in table], np.int64)
+    begins = np.cumsum(sizes) - sizes
     names = [c for c in df.columns if c not in ("decode_status", "decoded")]
     rows = df.select(*names)
     at = names.index(column)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 part = whole.slice(a, 256)
-                status, out = [], []
-                for ids in part.column(at).to_pylist():
-                    got = None if ids is None else [surfaces.get(i) for i in ids]
-                    if got is None:
-                        status.append(None)
-                        out.append(None)
-                    elif None in got:
-                        status.append(UNKNOWN_ID)
-                        out.append(None)
-                    else:
-                        good = sum(map(len, got)) <= most
-                        status.append(OK if good else LIMIT)
-                        out.append(b"".join(got) if good else None)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(status, pa.int32()), pa.array(out, pa.binary())], [*names, "decode_status", "decoded"])
+                lists = part.column(at)
+                counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+                ids = np.asarray(lists.flatten().fill_null(-1), np.int64)
+                k = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                owner = np.repeat(np.arange(len(counts)), counts)
+                wrong = np.bincount(owner[known[k] != ids], minlength=len(counts)) > 0
+                length = sizes[k]
+                ends = np.cumsum(length)
+                total = int(ends[-1]) if len(ends) else 0
+                out = bytes_[np.arange(total) + np.repeat(begins[k] - ends + length, length)]
+                stops = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+                status = np.where(wrong, UNKNOWN_ID, np.where(np.diff(stops) > most, LIMIT, OK)).astype(np.int32)
+                none = np.asarray(lists.is_null())
+                raw = out.tobytes()
+                found = [None if no or st else raw[x:y] for no, st, x, y in zip(none, status, stops, stops[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(status, mask=none), pa.array(found, pa.binary())], [*names, "decode_status", "decoded"])
 
     from pyspark.sql import types as T
 
@@ -348,7 +355,7 @@ def _auto(engine: Engine, spans: bool, full: bool):
             ids += a
             lengths += b
         cost = {i: c for i, c, _ in engine.vocabulary.rows} if full else {}
-        found = [{"id": i, "start": s, "length": m, "cost": cost[i]} for i, s, m in zip(ids, _starts(lengths), lengths, strict=True)] if full else ids
+        found = [(i, s, m, cost[i]) for i, s, m in zip(ids, _starts(lengths), lengths, strict=True)] if full else ids
         m, available, score, margin, tag = detect_one(data)
         return OK, found, {"matched": m, "available": available, "score": score, "margin": margin, "language": tag}
 

@@ -17,7 +17,7 @@ UNITS = "array<struct<start:bigint,length:bigint,spans:array<struct<start:bigint
 
 
 def _clusters():
-    return lambda data: ([{"start": s, "length": n} for s, n in text.graphemes(data)],)
+    return lambda data: (text.graphemes(data),)
 
 
 def graphemes(df: DataFrame, column: str = "text") -> DataFrame:
@@ -77,11 +77,7 @@ def security_findings(df: DataFrame, keys: list[str], column: str = "text") -> D
 
 
 def _view(mode: str):
-    def fn(data):
-        out, units = text.normalize_view(data, mode)
-        return out, [{"start": s, "length": n, "spans": [{"start": a, "length": b} for a, b in spans]} for s, n, spans in units]
-
-    return fn
+    return lambda data: text.normalize_view(data, mode)
 
 
 def normalized_view(df: DataFrame, mode: str, column: str = "text") -> DataFrame:

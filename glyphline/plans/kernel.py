@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import pickle
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,6 +35,41 @@ def slices(batch, at: int, most: int = SLICE):
             begin = i
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores.
+
+    A table of few files or row groups is dealt out once, for the kernels; a table that is large
+    enough to be split anyway is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def to_arrow(values: Sequence, kind):
+    """An Arrow array of Python values; lists of numbers or of tuples are turned into columns whole.
+
+    Structs inside lists are tuples of their fields.
+    """
+    import pyarrow as pa
+
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    sizes = np.fromiter((0 if v is None else len(v) for v in values), np.int64, len(values))
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    flat = [x for v in values if v is not None for x in v]
+    inner = kind.value_type
+    if pa.types.is_struct(inner):
+        columns = list(zip(*flat, strict=True)) or [()] * inner.num_fields
+        parts = [to_arrow(c, f.type) for c, f in zip(columns, inner, strict=True)]
+        items = pa.StructArray.from_arrays(parts, fields=list(inner))
+    elif pa.types.is_integer(inner):
+        items = pa.array(np.array(flat, inner.to_pandas_dtype()))
+    else:
+        items = pa.array(flat, inner)
+    mask = pa.array(np.fromiter((v is None for v in values), bool, len(values)))
+    return pa.ListArray.from_arrays(offsets, items, mask=mask).cast(kind)
+
+
 @functools.lru_cache(16)
 def _built(key: str, blob: bytes):
     make, args = pickle.loads(blob)  # noqa: S301  made by with_kernel in the driver of the same job
@@ -51,7 +86,7 @@ def with_kernel(df: DataFrame, column: str, schema: str, make: Callable, *args)
     """df with further columns: make(*args) is called once per worker, its result once per row.
 
     schema: DDL of the new columns; the function takes the bytes of ``column`` and returns a tuple
-    of their values. A null source gives nulls. New columns replace input columns of their names.
+    of their values, structs in arrays being tuples. A null source gives nulls. New columns replace input columns of their names.
     """
     fields = T.StructType.fromDDL(schema).fields
     new = [f.name for f in fields]
@@ -62,6 +97,7 @@ def with_kernel(df: DataFrame, column: str, schema: str, make: Callable, *args)
     rows = df.select(*[F.col(f"`{c}`") for c in names], to_bytes(df, column).alias(source))
     out = T.StructType([*[df.schema[c] for c in names], *[T.StructField(f.name, f.dataType, True) for f in fields]])
     kinds = [to_arrow_type(f.dataType) for f in fields]
+    most = SLICE // 16 if any(isinstance(f.dataType, T.ArrayType) for f in fields) else SLICE
 
     def run(batches: Iterable):
         import pyarrow as pa
@@ -69,9 +105,9 @@ def with_kernel(df: DataFrame, column: str, schema: str, make: Callable, *args)
         fn, at = build_once(make, args), len(names)
         empty = (None,) * len(fields)
         for whole in batches:
-            for part in slices(whole, at):
+            for part in slices(whole, at, most):
                 values = [empty if b is None else fn(b) for b in part.column(at).to_pylist()]
-                columns = [pa.array(v, k) for v, k in zip(zip(*values, strict=True), kinds, strict=True)]
+                columns = [to_arrow(v, k) for v, k in zip(zip(*values, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*names, *new])
 
     return rows.mapInArrow(run, out)

@@ -11,7 +11,7 @@ from .functions import native
 from .kernels.records import GRAPHEMES, LEXICAL, MODEL, NORMALIZATION, SECURITY, SEMANTIC, BlockPolicy
 from .kernels.vocab import LEX_PROFILES, base_detector, base_language, base_vocabulary, raw_bpe_vocabulary
 from .operators import archive, document, lex, metrics, registry, tokenize, training, unicode
-from .plans.kernel import folded_kernel
+from .plans.kernel import folded_kernel, spread
 from .sources import packs, readers
 from .streaming import replay
 
@@ -19,7 +19,7 @@ ALL = MODEL | GRAPHEMES | SECURITY | NORMALIZATION | LEXICAL | SEMANTIC
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

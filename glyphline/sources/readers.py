@@ -117,6 +117,6 @@ def _inspect():
             v = packs.read_vocabulary(data) if any(k == packs.VOCABULARY for k, _ in found) else None
         except PackError as e:
             return e.status, None, None, None
-        return 0, [{"kind": k, "length": len(s)} for k, s in found], len(v.rows) if v else None, v.algorithm if v else None
+        return 0, [(k, len(s)) for k, s in found], len(v.rows) if v else None, v.algorithm if v else None
 
     return fn
