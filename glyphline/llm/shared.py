@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphline.plans.kernel import spread
+
 #: A side of a join is broadcast only if its rows, counted first, take no more bytes than this.
 BROADCAST_BYTES = 8 << 20
 #: ASCII white space, the word separators of every shingle operator here.
@@ -21,8 +23,11 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder; the path may be any that Spark's readers open."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the given folder; the path may be any that Spark's readers open.
+
+    A table of fewer parts than there are cores is dealt out over them.
+    """
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
