@@ -55,24 +55,82 @@ class Encoder:
         cuts = self.boundaries(data)
         ids: list[int] = []
         lengths: list[int] = []
-        memory, single = self._memory, self.single
+        single = self.single
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a == 1:
                 ids.append(single[data[a]])
                 lengths.append(1)
                 continue
-            segment = data[a:b]
-            found = memory.get(segment)
-            if found is None:
-                found = self._solve(segment)
-                if b - a <= MEMORY_BYTES:
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    memory[segment] = found
+            found = self._solved(data[a:b])
             ids += found[0]
             lengths += found[1]
         return ids, lengths
 
+    def _solved(self, segment: bytes) -> tuple[list[int], list[int]]:
+        found = self._memory.get(segment)
+        if found is None:
+            found = self._solve(segment)
+            if len(segment) <= MEMORY_BYTES:
+                if len(self._memory) >= MEMORY:
+                    self._memory.clear()
+                self._memory[segment] = found
+        return found
+
+    def encode_many(self, sources: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and lengths of all sources' tokens, one source behind the other, and where each begins.
+
+        Single bytes are looked up whole arrays at a time; equal segments are solved once.
+        """
+        data = b"".join(sources)
+        edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, sources), np.int64, len(sources)))))
+        if not data:
+            none = np.zeros(0, np.int64)
+            return none, none, edges
+        b = np.frombuffer(data, np.uint8)
+        cut = np.ones(len(b) + 1, bool)
+        cut[1:-1] = ~self.cross[(b[:-1].astype(np.uint16) << 8) | b[1:]]
+        cut[edges] = True
+        # every byte is a token of its own where its segment is one byte; longer segments are filled in
+        token = np.array(self.single, np.int64)[b]
+        first = cut[:-1].copy()
+        starts = np.flatnonzero(cut[:-1] & ~cut[1:])
+        sizes = np.flatnonzero(cut[1:] & ~cut[:-1]) + 1 - starts
+        which = np.empty(len(starts), np.int64)
+        solved: list[tuple[list[int], list[int]]] = []
+        for size in range(2, 9):
+            at = np.flatnonzero(sizes == size)
+            if len(at):
+                keys = np.zeros(len(at), np.uint64)
+                for k in range(size):
+                    keys = (keys << np.uint64(8)) | b[starts[at] + k]
+                _, place, inverse = np.unique(keys, return_index=True, return_inverse=True)
+                which[at] = inverse + len(solved)
+                solved += [self._solved(data[a : a + size]) for a in starts[at[place]].tolist()]
+        long: dict[bytes, int] = {}
+        for k in np.flatnonzero(sizes > 8).tolist():
+            segment = data[starts[k] : starts[k] + sizes[k]]
+            if segment not in long:
+                long[segment] = len(solved)
+                solved.append(self._solved(segment))
+            which[k] = long[segment]
+        if solved:
+            each = np.fromiter((len(x[0]) for x in solved), np.int64, len(solved))
+            flat_ids = np.array([i for x in solved for i in x[0]], np.int64)
+            flat_at = np.array([sum(x[1][:k]) for x in solved for k in range(len(x[1]))], np.int64)
+            n = each[which]
+            source = np.repeat((np.cumsum(each) - each)[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            to = np.repeat(starts, n) + flat_at[source]
+            token[to] = flat_ids[source]
+            first[to] = True
+        at = np.flatnonzero(first)
+        return token[at], np.diff(np.append(at, len(b))), np.searchsorted(at, edges)
+
+    def surfaces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted ids, where their surfaces begin and how long they are in one array of bytes, and that."""
+        table = sorted(self.surface.items())
+        sizes = np.array([len(s) for _, s in table], np.int64)
+        return np.array([i for i, _ in table], np.int64), np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(s for _, s in table), np.uint8)
+
     def _shortest(self, data: bytes) -> tuple[list[int], list[int]]:
         """Least cost, then fewest tokens, then the longer token at the first difference, then the smaller id."""
         n, entry, lengths = len(data), self.entry, self.lengths

@@ -23,16 +23,17 @@ def _starts(lengths):
         at += n
 
 
-def _ids(engine: Engine, tags):
-    encoder, limits = engine.encoder(tags), engine.limits
-
-    def fn(data):
-        if len(data) > limits.max_input_bytes:
-            return LIMIT, None
-        ids, _ = encoder.encode(data)
-        return (OK, ids) if len(ids) <= limits.max_output_tokens else (LIMIT, None)
-
-    return fn
+class _ids:  # noqa: N801  a kernel over many sources at once
+    def __init__(self, engine: Engine, tags):
+        self.encoder, self.limits = engine.encoder(tags), engine.limits
+
+    def many(self, sources):
+        good = [d for d in sources if len(d) <= self.limits.max_input_bytes]
+        ids, _, at = self.encoder.encode_many(good)
+        parts = (ids[a:b] for a, b in zip(at, at[1:], strict=False))
+        for data in sources:
+            got = next(parts) if len(data) <= self.limits.max_input_bytes else None
+            yield (OK, got) if got is not None and len(got) <= self.limits.max_output_tokens else (LIMIT, None)
 
 
 def encode_ids(df: DataFrame, engine: Engine, column: str = "text", tags: list[str] | None = None) -> DataFrame:
@@ -67,12 +68,8 @@ def _counted(engine: Engine, tags):
     encoder = engine.encoder(tags)
 
     def fn(sources):
-        total: dict[int, int] = {}
-        for data in sources:
-            ids, counts = np.unique(np.array(encoder.encode(data)[0], np.int64), return_counts=True)
-            for i, n in zip(ids.tolist(), counts.tolist(), strict=True):
-                total[i] = total.get(i, 0) + n
-        return sorted(total.items())
+        ids, counts = np.unique(encoder.encode_many(sources)[0], return_counts=True)
+        return list(zip(ids.tolist(), counts.tolist(), strict=True))
 
     return fn
 
@@ -152,14 +149,22 @@ def decode_joined(ids: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     return got.select(key, F.when(F.col("n") == F.col("m"), F.unhex(F.array_join(F.col("p.h"), ""))).alias("decoded"))
 
 
-def _trip(engine: Engine):
-    encoder = engine.encoder()
-
-    def fn(data):
-        ids, lengths = encoder.encode(data)
-        return len(ids), sum(lengths) == len(data) and encoder.decode(ids) == data
-
-    return fn
+class _trip:  # noqa: N801
+    def __init__(self, engine: Engine):
+        self.encoder = engine.encoder()
+        self.table = self.encoder.surfaces()
+
+    def many(self, sources):
+        ids, lengths, at = self.encoder.encode_many(sources)
+        known, begins, sizes, bytes_ = self.table
+        k = np.searchsorted(known, ids)
+        size = sizes[k]
+        ends = np.cumsum(size)
+        back = bytes_[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[k] - ends + size, size)].tobytes()
+        stops = np.concatenate(([0], ends))[at].tolist()
+        same = np.array_equal(size, lengths)
+        for data, a, b, n in zip(sources, stops, stops[1:], np.diff(at).tolist(), strict=False):
+            yield n, same and back[a:b] == data
 
 
 def round_trip(df: DataFrame, engine: Engine, column: str = "text") -> DataFrame:

@@ -56,8 +56,12 @@ def to_arrow(values: Sequence, kind):
         return pa.array(values, kind)
     sizes = np.fromiter((0 if v is None else len(v) for v in values), np.int64, len(values))
     offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-    flat = [x for v in values if v is not None for x in v]
     inner = kind.value_type
+    mask = pa.array(np.fromiter((v is None for v in values), bool, len(values)))
+    if any(isinstance(v, np.ndarray) for v in values):
+        items = pa.array(np.concatenate([v for v in values if v is not None]), inner)
+        return pa.ListArray.from_arrays(offsets, items, mask=mask).cast(kind)
+    flat = [x for v in values if v is not None for x in v]
     if pa.types.is_struct(inner):
         columns = list(zip(*flat, strict=True)) or [()] * inner.num_fields
         parts = [to_arrow(c, f.type) for c, f in zip(columns, inner, strict=True)]
@@ -66,7 +70,6 @@ def to_arrow(values: Sequence, kind):
         items = pa.array(np.array(flat, inner.to_pandas_dtype()))
     else:
         items = pa.array(flat, inner)
-    mask = pa.array(np.fromiter((v is None for v in values), bool, len(values)))
     return pa.ListArray.from_arrays(offsets, items, mask=mask).cast(kind)
 
 
@@ -86,7 +89,8 @@ def with_kernel(df: DataFrame, column: str, schema: str, make: Callable, *args)
     """df with further columns: make(*args) is called once per worker, its result once per row.
 
     schema: DDL of the new columns; the function takes the bytes of ``column`` and returns a tuple
-    of their values, structs in arrays being tuples. A null source gives nulls. New columns replace input columns of their names.
+    of their values, structs in arrays being tuples; an object with ``many`` takes a list of sources
+    and returns as many tuples. A null source gives nulls. New columns replace input columns of their names.
     """
     fields = T.StructType.fromDDL(schema).fields
     new = [f.name for f in fields]
@@ -106,7 +110,12 @@ def with_kernel(df: DataFrame, column: str, schema: str, make: Callable, *args)
         empty = (None,) * len(fields)
         for whole in batches:
             for part in slices(whole, at, most):
-                values = [empty if b is None else fn(b) for b in part.column(at).to_pylist()]
+                sources = part.column(at).to_pylist()
+                if hasattr(fn, "many"):
+                    found = iter(fn.many([b for b in sources if b is not None]))
+                    values = [empty if b is None else next(found) for b in sources]
+                else:
+                    values = [empty if b is None else fn(b) for b in sources]
                 columns = [to_arrow(v, k) for v, k in zip(zip(*values, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*names, *new])
 

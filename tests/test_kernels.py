@@ -80,6 +80,15 @@ def test_goldens():
     assert status_text(9) == "resource limit"
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*PIECES, b"q", b"\0", b"thethethethe"]), max_size=12), max_size=6))
+def test_many_sources_at_once(sources):
+    sources = [b"".join(s) for s in sources]
+    for e in (BASE, Encoder(raw_bpe_vocabulary())):
+        ids, lengths, at = e.encode_many(sources)
+        assert [(ids[a:b].tolist(), lengths[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)] == [e.encode(s) for s in sources]
+
+
 def test_beam_and_automaton():
     rng = random.Random(0)
     for _ in range(60):
