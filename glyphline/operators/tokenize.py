@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LIMIT, OK, UNKNOWN_ID, UNSUPPORTED, Engine
+from ..config import LIMIT, OK, STATE, UNKNOWN_ID, Engine
 from ..functions import native
 from ..kernels import text as units
 from ..kernels.encode import run_dfa
-from ..kernels.vocab import count_overlapping
+from ..kernels.vocab import PackError, count_overlapping
 from ..plans.kernel import flat_kernel, folded_kernel, with_kernel
 
 TOKENS = "array<struct<id:bigint,start:bigint,length:bigint,cost:int>>"
@@ -382,10 +382,14 @@ def encode_span_auto(df: DataFrame, engine: Engine, column: str = "text", full:
     return with_kernel(df, column, f"status int, {what}, {_ROUTED}", _auto, engine, True, full)
 
 
-def encode_batch(df: DataFrame, engine: Engine, column: str = "text", max_items: int = 1 << 20) -> DataFrame:
-    """encode_ids for a sealed engine: a row that fails has its status and doesn't stop the others."""
+def encode_batch(df: DataFrame, engine: Engine, column: str = "text", max_items: int | None = None) -> DataFrame:
+    """encode_ids for a sealed engine: a row that fails has its status and doesn't stop the others.
+
+    An engine that isn't sealed has status 13. max_items: if given, more rows have status 9 (they
+    are counted up to that number first).
+    """
     if not engine.sealed:
-        raise ValueError(f"status {UNSUPPORTED}: only a sealed engine encodes batches")
-    if max_items < 1:
-        raise ValueError("max_items must be positive")
+        raise PackError("only a sealed engine encodes batches", STATE)
+    if max_items is not None and df.limit(max_items + 1).count() > max_items:
+        raise PackError("too many rows in a batch", LIMIT)
     return encode_ids(df, engine, column)

@@ -39,6 +39,15 @@ def test_encode_odd_rows(spark, odd):
     assert edges.where("token_id = 258").count() == 0 and edges.where("start = 6").count() == 3
 
 
+def test_batches(spark, odd):
+    e = engine(limits=Limits(1000))
+    assert [r.status for r in tokenize.encode_batch(odd, e, "source", max_items=7).collect()] == [0, None, 0, 0, 0, 0, 9]
+    for change, status in ((lambda: tokenize.encode_batch(odd, e, "source", max_items=6), 9), (lambda: tokenize.encode_batch(odd, Engine(base_vocabulary()), "source"), 13)):
+        with pytest.raises(PackError) as err:
+            change()
+        assert err.value.status == status
+
+
 def test_hindi_detected_but_not_attached(spark):
     df = spark.createDataFrame([("नमस्ते दुनिया",), ("tokenizer",), (None,)], "text string")
     e = Engine(base_vocabulary()).with_language(base_language("en")).with_detector(base_detector()).seal()
