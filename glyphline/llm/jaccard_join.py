@@ -24,9 +24,9 @@ from .shared import fresh, materialize, mix, shingle_sets, small_side
 
 WIDTH, PERCENT = 5, 80
 #: Shingles of a range of hashes; shingles and texts of a tile; shingles that a map task gathers.
-RANGE, TILE_SHINGLES, TILE_TEXTS, FLUSH = 1_500_000, 1 << 20, 4096, 3 << 20
+RANGE, TILE_SHINGLES, TILE_TEXTS, FLUSH = 1_500_000, 1 << 20, 4096, 2 << 20
 #: Bytes of text that are hashed at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: A shingle that so many texts of one flush hold ranks behind all others.
 FREQUENT = 32
 _SALT = np.uint64(0xD6E8FEB86659FD93)

@@ -28,7 +28,7 @@ TOXIC_ROWS, ORDINARY_ROWS = 4000, 8000
 #: Distinct words that are counted at a time.
 WORDS = 1 << 17
 #: Bytes of text that are scored at a time.
-SLICE = 3 << 20
+SLICE = 1 << 20
 THRESHOLD = 0.3
 
 _LETTER = np.zeros(256, bool)
