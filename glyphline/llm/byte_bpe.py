@@ -8,6 +8,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import bounded_batches
+
 #: Characters of a chunk and of what it shares with the next.
 CHUNK, OVERLAP = 8192, 256
 #: Pieces whose ids a worker remembers at most.
@@ -113,6 +115,7 @@ def read_ranks(path: str) -> str:
 
 def _share(spark: SparkSession, path: str):
     """The rank table, sent to the executors: its size is that of a vocabulary file, under 1 MB."""
+    bounded_batches(spark)
     return spark.sparkContext.broadcast(read_ranks(path))
 
 

@@ -10,7 +10,7 @@ from itertools import groupby
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_side
+from .shared import bounded_batches, materialize, small_side
 from .url_filter import url_host
 
 #: Pages of a host that are compared at a time.
@@ -234,6 +234,7 @@ def extract_text(pages: DataFrame, block: int = BLOCK, id_col: str = "page_id",
     decides. Repeated rows are kept. Broken markup is read as far as it goes. An empty table gives
     an empty result. Other columns aren't used.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host"))
     sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     large = materialize(sizes.where("blocks > 1"), "hosts")

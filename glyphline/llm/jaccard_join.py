@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import _slices
 from .graph import components
-from .shared import fresh, materialize, mix, shingle_sets, small_side
+from .shared import bounded_batches, fresh, materialize, mix, shingle_sets, small_side
 
 WIDTH, PERCENT = 5, 80
 #: Shingles of a range of hashes; shingles and texts of a tile; shingles that a map task gathers.
@@ -441,6 +441,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Shingles are told apart by 64 bits of their hash, sets by 128 bits; ``sizes`` may give
     tile_shingles, tile_texts and range_size (bounds of memory, without influence on results).
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     sets = materialize(shingle_table(docs, width=width), "sets")
     known = sets.where("doc_id is not null")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import _slices
-from .shared import crc_fold, fresh, materialize, small_side, text_buffer
+from .shared import bounded_batches, crc_fold, fresh, materialize, small_side, text_buffer
 
 HIDDEN, SPAN, PAD = 8, 96, 256
 #: Documents of each language, and windows of each document, that are learned from at most.
@@ -226,6 +226,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held_out: crc32(doc_id as text) mod 4 is 2, so that the row wasn't learned from; false for a
     null id. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     network = fit(docs, id_col, text_col, lang_col, **bounds)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(crc_fold(F.col(id_col)) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return identify(rows, network).drop("text")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import _slices
-from .shared import LOWER_ASCII, crc_fold, hash_words, materialize, mix, small_side, text_buffer, word_spans
+from .shared import LOWER_ASCII, bounded_batches, crc_fold, hash_words, materialize, mix, small_side, text_buffer, word_spans
 
 ORDER, DISCOUNT = 5, 0.75
 #: What the shared distribution weighs in each context of a class, in counts.
@@ -215,6 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     does among all labelled rows; the others give the counts. Labels other than 0 and 1, and rows
     with a null id or text, aren't used; a document with both labels counts as toxic.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_fold(F.col("doc_id")) != 2))
     known = materialize(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "labels")
     sizes = dict(known.groupBy("toxic").count().collect())
@@ -277,6 +278,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: fl
     without letters, have the score of no evidence. Repeated rows and extra columns pass through;
     input columns named score or predicted are replaced.
     """
+    bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     docs = docs.select(names)
     at = names.index(text_col)
