@@ -150,62 +150,93 @@ class Template:
         return out
 
 
+def _open(stack: list[tuple[str, bool, bool]], t: Token, wanted: str) -> None:
+    """Put a start tag on the stack of open elements: name, in the main part, left out."""
+    if t.name in _VOID:
+        return
+    if t.name == "p":  # a paragraph ends one that is open
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == "p":
+                del stack[i:]
+                break
+            if stack[i][0] in _BLOCKS:
+                break
+    main, out = stack[-1][1:] if stack else (not wanted, False)
+    boiler = t.boiler or (t.name == "header" and not (main and wanted))
+    stack.append((t.name, main or (bool(t.main) and wanted in (t.main, "any")), out or boiler))
+
+
+def _close(stack: list[tuple[str, bool, bool]], name: str) -> None:
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i][0] == name:
+            del stack[i:]
+            break
+        if stack[i][0] in ("article", "main", "body") and name not in ("body", "html", "main"):
+            break  # a stray end tag doesn't end what it stands in
+
+
+def _main_part(tokens: list[Token]) -> str:
+    """"article" if the page has one outside of menus, notices and the like, else so "main", else ""."""
+    stack: list[tuple[str, bool, bool]] = []
+    parts = set()
+    for t in tokens:
+        if t.kind == "start":
+            _open(stack, t, "any")
+            if t.main and t.name not in _VOID and not stack[-1][2]:
+                parts.add(t.main)
+        elif t.kind == "end":
+            _close(stack, t.name)
+    return "article" if "article" in parts else "main" if parts else ""
+
+
 def extract(tokens: list[Token], template: Template | None = None) -> str:
     """The article's blocks, in page order, joined by line feeds.
 
     Content is what stands in the template's slots. Of it, texts within an element that holds
-    menus, notices and the like are left out; if the page has article or main elements, so is what
-    stands outside them; else template texts are. An article's own heading stays.
+    menus, notices and the like are left out and, if the page has article or main elements that
+    aren't within such an element, so is what stands outside them. In an article or main element
+    the template's blocks before its first and after its last block of content are left out; those
+    in between are the article's, as are all where there is no other. An article's own heading stays.
     """
-    parts = {t.main for t in tokens if t.kind == "start" and t.main and not t.boiler}
-    wanted = "article" if "article" in parts else "main"  # articles say more than what holds them
-    has_main = bool(parts)
-    stack: list[tuple[str, bool, bool]] = []  # name, in the main part, left out
-    blocks: list[str] = []
+    wanted = _main_part(tokens)  # articles say more than what holds them
+    stack: list[tuple[str, bool, bool]] = []
+    blocks: list[tuple[str, bool]] = []  # text, whether it holds more than the template's texts
     now: list[str] = []
+    own = False
 
     def close():
+        nonlocal own
         if now:
             text = _plain_joined(now)
             if text:
-                blocks.append(text)
+                blocks.append((text, own))
             now.clear()
+        own = False
 
     for t in tokens:
-        main, out = (stack[-1][1], stack[-1][2]) if stack else (not has_main, False)
         if t.kind == "start":
             if t.name in _BLOCKS:
                 close()
             elif t.name == "br":
                 now.append(" ")
-            if t.name in _VOID:
-                continue
-            if t.name == "p":  # a paragraph ends one that is open
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        main, out = (stack[-1][1], stack[-1][2]) if stack else (not has_main, False)
-                        break
-                    if stack[i][0] in _BLOCKS:
-                        break
-            inside = main or (has_main and t.main == wanted)
-            own_header = t.name == "header" and main and has_main
-            boiler = (t.boiler or t.name == "header") and not own_header
-            stack.append((t.name, inside, out or boiler))
+            _open(stack, t, wanted)
         elif t.kind == "end":
             if t.name in _BLOCKS:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == t.name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "main", "body") and t.name not in ("body", "html", "main"):
-                    break  # a stray end tag doesn't end what it stands in
-        elif t.kind == "text" and main and not out:
-            if has_main or template is None or f"#{_plain(t.text)}" not in template.texts:
-                now.append(t.text)
+            _close(stack, t.name)
+        elif t.kind == "text":
+            main, out = stack[-1][1:] if stack else (not wanted, False)
+            if main and not out:
+                shared = template is not None and f"#{_plain(t.text)}" in template.texts
+                own = own or not (shared or t.text.isspace())
+                if wanted or not shared:
+                    now.append(t.text)
     close()
-    return "\n".join(blocks)
+    if wanted:
+        content = [i for i, (_, mine) in enumerate(blocks) if mine]
+        if content:
+            blocks = blocks[content[0] : content[-1] + 1]
+    return "\n".join(text for text, _ in blocks)
 
 
 def _plain_joined(parts: list[str]) -> str:
@@ -230,8 +261,8 @@ def extract_text(pages: DataFrame, block: int = BLOCK, id_col: str = "page_id",
 
     Character references are decoded, white space within a block of text is one space, blocks are
     joined by a line feed in page order. Null and empty html give an empty text; a null url counts
-    as one host, ''; a host of few different pages has no template, and its pages' structure alone
-    decides. Repeated rows are kept. Broken markup is read as far as it goes. An empty table gives
+    as one host, ''; a block of fewer than 4 different pages has no template, and its pages' structure
+    alone decides. Repeated rows are kept. Broken markup is read as far as it goes. An empty table gives
     an empty result. Other columns aren't used.
     """
     bounded_batches(pages.sparkSession)

@@ -281,3 +281,16 @@ def test_html_text(spark):
     for r in out:
         assert (r.text, r.n_chars) == (want[r.page_id], len(want[r.page_id])), r.page_id
     assert html_extract.extract_text(pages.limit(0)).count() == 0
+
+
+def test_html_text_template_on_every_page(spark):
+    rows, want = [], {}
+    for i in range(12):  # the template's texts around an article's own
+        body = f"<p>Posted in news</p><h1>Head {i}</h1><p>Story {i}</p><h2>Background</h2><p>More {i}</p><p>Read our magazine</p>"
+        rows.append((i, f"http://a.com/{i}", f"<html><body><p>Home</p><article>{body}</article></body></html>"))
+        want[i] = f"Head {i}\nStory {i}\nBackground\nMore {i}"
+    for i in range(12, 24):  # an article of a sidebar isn't the page's
+        rows.append((i, f"http://b.com/{i}", f"<html><body><p>Home</p><div><p>Story {i}</p></div><aside><article><p>Teaser {i}</p></article></aside></body></html>"))
+        want[i] = f"Story {i}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_text(pages).collect()} == want
