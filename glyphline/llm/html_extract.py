@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, materialize, small_side
+from .shared import BROADCAST_BYTES, bounded_batches, materialize, small_side
 from .url_filter import url_host
 
 #: Pages of a host that are compared at a time.
 BLOCK = 32
+#: Fewer pages are too few to tell a template from copies by numbers alone.
+FEW = 4
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^<]*\Z", re.S)
 _ATTR = re.compile(r"""([a-zA-Z][\w-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -78,75 +82,153 @@ def _plain(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-class Template:
-    """What pages of one site share.
-
-    Tokens that occur equally often on each of the pages (the same occurrence vector) are a class.
-    The class of what occurs once on every page is the template's root, its tokens in the order of
-    the first page as far as all pages agree; the stretches between them are its slots. A class of
-    another vector is valid if on every page all of its occurrences lie within one and the same
-    slot of a class that it is nested in; it then is part of that slot. Texts that belong to a
-    valid class are the template's, tags outside all classes and other texts are content.
+def _hash(role: str) -> int:
+    return int.from_bytes(hashlib.blake2b(role.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def page_keys(tokens: list[Token]) -> list[int]:
+    """What makes each token the same on another page: 64 bits, odd for texts, 0 for blanks and raw texts.
+
+    A text's key is of its words and of the name of the element that holds it.
     """
+    stack: list[tuple[str, bool, bool]] = []
+    out = []
+    for t in tokens:
+        key = 0
+        if t.kind == "text":
+            words = _plain(t.text)
+            if words:
+                key = _hash(f"{stack[-1][0] if stack else ''}#{words}") | 1
+        elif t.kind == "start":
+            key = _hash(t.role) & ~1 or 2
+            _open(stack, t, "")
+        elif t.kind == "end":
+            key = _hash(t.role) & ~1 or 2
+            _close(stack, t.name)
+        out.append(key)
+    return out
+
 
-    def __init__(self, pages: list[list[Token]]):
-        keys = [[t.role or (f"#{_plain(t.text)}" if t.kind == "text" else "") for t in page] for page in pages]
-        counts = [Counter(k for k in page if k and k != "#") for page in keys]
-        vectors = defaultdict(list)
-        for key in counts[0] if counts else ():
-            vectors[tuple(c[key] for c in counts)].append(key)
-        ones = (1,) * len(pages)
-        root = set(vectors.pop(ones, ()))
-        orders = [[k for k in page if k in root] for page in keys]
-        if orders:
-            agreed = self._agreed(orders)
-            self.root = agreed
+def _layouts(pages: list[tuple[int, ...]]) -> list[list[tuple[int, ...]]]:
+    """Pages grouped with the first of them, fullest first, of whose tags they have half in common."""
+    groups: list[tuple[frozenset, list[tuple[int, ...]]]] = []
+    for page in sorted(pages, key=lambda p: (-len(p), p)):
+        tags = frozenset(k for k in page if k and not k & 1)
+        for first, members in groups:
+            if 2 * len(tags & first) >= len(tags | first):
+                members.append(page)
+                break
         else:
-            self.root = []
-        place = {k: i for i, k in enumerate(self.root)}
-        slots = [self._slots(page, place) for page in keys]
-        self.nested = {}  # token -> the slot of the root that its class is nested in
-        for vector, members in vectors.items():
-            if min(vector) == 0:
-                continue
-            for key in members:
-                where = {s for page, at in zip(keys, slots, strict=True) for k, s in zip(page, at, strict=True) if k == key}
-                if len(where) == 1:
-                    self.nested[key] = where.pop()
-        self.place = place
-        self.texts = {k for k in (*self.root, *self.nested) if k[0] == "#"}
-
-    @staticmethod
-    def _agreed(orders: list[list[str]]) -> list[str]:
-        """The first page's order without tokens that stand elsewhere on some page."""
-        first = orders[0]
-        for other in orders[1:]:
-            if other == first:
-                continue
-            at = {k: i for i, k in enumerate(other)}
-            best: list[tuple[int, int, int]] = []  # longest increasing run of places, patience sorting
-            from bisect import bisect_left
-
-            tails: list[int] = []
-            back = []
-            for i, k in enumerate(first):
-                p = bisect_left(tails, at[k])
-                tails[p : p + 1] = [at[k]]
-                best[p : p + 1] = [(at[k], i, p)]
-                back.append(best[p - 1][1] if p else -1)
-            keep, i = [], best[-1][1] if best else -1
-            while i >= 0:
-                keep.append(first[i])
-                i = back[i]
-            first = keep[::-1]
-        return first
-
-    @staticmethod
-    def _slots(page: list[str], place: dict[str, int]) -> list[int]:
-        now, out = -1, []
-        for key in page:
-            now = place.get(key, now)
-            out.append(now)
+            groups.append((tags, [page]))
+    return [members for _, members in groups]
+
+
+def _rising(places: list[int]) -> list[int]:
+    """A longest rising run of places, by patience sorting."""
+    tails: list[int] = []
+    ends: list[int] = []
+    back = []
+    for i, at in enumerate(places):
+        p = bisect_left(tails, at)
+        tails[p : p + 1] = [at]
+        ends[p : p + 1] = [i]
+        back.append(ends[p - 1] if p else -1)
+    keep, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        keep.append(places[i])
+        i = back[i]
+    return keep[::-1]
+
+
+def _agreed(orders: list[list[int]], need: int) -> list[int]:
+    """The tokens of the orders in one order, without those that stand elsewhere on too many pages."""
+    placed = list(max(orders, key=len))
+    known = set(placed)
+    for order in orders:
+        before = None
+        for k in order:
+            if k not in known:
+                placed.insert(0 if before is None else placed.index(before) + 1, k)
+                known.add(k)
+            before = k
+    at = {k: i for i, k in enumerate(placed)}
+    fits = Counter()
+    for order, n in Counter(map(tuple, orders)).items():
+        for i in _rising([at[k] for k in order]):
+            fits[placed[i]] += n
+    return [k for k in placed if fits[k] >= need]
+
+
+def deduce(pages: list[tuple[int, ...]], sizes: dict[int, int]) -> dict[int, tuple[bool, tuple[int, int]]]:
+    """What pages of one layout share: text -> (whether a page has it once, its slot).
+
+    Most pages decide, three of four at least, so that a page of an error or cut short takes
+    nothing away. Tokens that occur once on most pages are the template's root, in the order that
+    most pages agree on; the stretches between neighbours, named by these two (0: the page's
+    edge), are its slots. Texts that most pages have in other numbers are nested if on most pages
+    all of their occurrences lie within one and the same slot. Two or three pages of which half of
+    the text and more is shared (``sizes`` has the characters of each text) are copies of each
+    other and show no template.
+    """
+    m = len(pages)
+    need = m - m // 4
+    counts = [Counter(k for k in page if k) for page in pages]
+    once, present = Counter(), Counter()
+    for c in counts:
+        present.update(c.keys())
+        once.update(k for k, n in c.items() if n == 1)
+    ones = {k for k, n in once.items() if n >= need}
+    orders = [[k for k in page if k in ones and c[k] == 1] for page, c in zip(pages, counts, strict=True)]
+    root = _agreed(orders, need)
+    place = {k: i for i, k in enumerate(root)}
+    edges = [0, *root, 0]
+    found = {k: (True, (edges[i], edges[i + 2])) for k, i in place.items() if k & 1}
+    inner = {k for k, n in present.items() if k & 1 and n >= need and k not in place}
+    if inner:
+        votes = defaultdict(Counter)
+        for page in pages:
+            now, where = -1, defaultdict(set)
+            for k in page:
+                now = place.get(k, now)
+                if k in inner:
+                    where[k].add(now)
+            for k, slots in where.items():
+                if len(slots) == 1:
+                    votes[k].update(slots)
+        for k, seen in votes.items():
+            slot, n = max(seen.items(), key=lambda x: (x[1], -x[0]))
+            if n >= need:
+                found[k] = (False, (edges[slot + 1], edges[slot + 2]))
+    if m < FEW:
+        for c in counts:
+            if 2 * sum(sizes[k] for k in c if k in found) > sum(sizes[k] for k in c if k & 1):
+                return {}
+    return found
+
+
+class Template:
+    """The texts that a host's pages share: text -> (votes, whether a page has it once, its slots)."""
+
+    def __init__(self, texts: dict[int, tuple[int, bool, list[tuple[int, int]]]]):
+        self.texts = texts
+
+    def shared(self, keys: list[int]) -> list[int]:
+        """For each token of a page 0, or the votes for its being the template's.
+
+        It is if the page has it once and so does the template, or if it stands in its slot:
+        after the token that begins the slot and before the one that ends it, where the page has
+        them.
+        """
+        counts = Counter(keys)
+        first: dict[int, int] = {}
+        for i, k in enumerate(keys):
+            first.setdefault(k, i)
+        out = []
+        for i, k in enumerate(keys):
+            votes, one, slots = self.texts.get(k, (0, False, ())) if k & 1 else (0, False, ())
+            if votes and not (one and counts[k] == 1) and not any(first.get(a, -1) < i < first.get(b, len(keys)) for a, b in slots):
+                votes = 0
+            out.append(votes)
         return out
 
 
@@ -196,7 +278,8 @@ def extract(tokens: list[Token], template: Template | None = None) -> str:
     menus, notices and the like are left out and, if the page has article or main elements that
     aren't within such an element, so is what stands outside them. In an article or main element
     the template's blocks before its first and after its last block of content are left out; those
-    in between are the article's, as are all where there is no other. An article's own heading stays.
+    in between are the article's, as are all where there is no other; templates that fewer than
+    ``FEW`` pages show don't count there. An article's own heading stays.
     """
     wanted = _main_part(tokens)  # articles say more than what holds them
     stack: list[tuple[str, bool, bool]] = []
@@ -213,7 +296,8 @@ def extract(tokens: list[Token], template: Template | None = None) -> str:
             now.clear()
         own = False
 
-    for t in tokens:
+    votes = template.shared(page_keys(tokens)) if template and template.texts else [0] * len(tokens)
+    for t, shared in zip(tokens, votes, strict=True):
         if t.kind == "start":
             if t.name in _BLOCKS:
                 close()
@@ -227,8 +311,7 @@ def extract(tokens: list[Token], template: Template | None = None) -> str:
         elif t.kind == "text":
             main, out = stack[-1][1:] if stack else (not wanted, False)
             if main and not out:
-                shared = template is not None and f"#{_plain(t.text)}" in template.texts
-                own = own or not (shared or t.text.isspace())
+                own = own or not (shared >= FEW or t.text.isspace())
                 if wanted or not shared:
                     now.append(t.text)
     close()
@@ -243,62 +326,143 @@ def _plain_joined(parts: list[str]) -> str:
     return _plain("".join(parts))
 
 
-def extract_block(pages: list[str | None]) -> list[str]:
-    """Texts of pages of one host."""
-    tokens = [tokenize(p or "") for p in pages]
-    template = None
-    if len({p for p in pages if p}) >= 4:  # a template shows where several pages differ
-        template = Template([t for t, p in zip(tokens, pages, strict=True) if p])
-    return [extract(t, template) for t in tokens]
+def block_classes(pages: list[tuple[tuple[int, ...], dict[int, int]]]) -> list[tuple[int, int, bool, int, int]]:
+    """(text, votes, once, slot's begin, slot's end) of a block's different pages, layout by layout.
+
+    A text has as many votes as its layout has pages here; text 0 counts all of the pages.
+    """
+    pages = sorted({page: sizes for page, sizes in pages if page}.items(), key=lambda x: x[0])
+    sizes = {k: n for _, some in pages for k, n in some.items()}
+    out = [(0, len(pages), False, 0, 0)] if pages else []
+    for group in _layouts([page for page, _ in pages]):
+        if len(group) > 1:
+            out += [(k, len(group), one, *slot) for k, (one, slot) in deduce(group, sizes).items()]
+    return out
+
+
+def templates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(host, texts: key, votes, once, slots) of each host that has a template, from (host, different, html).
+
+    Copies of a page share a block and count once.
+    Only keys of tokens are shuffled, 8 bytes each and 4 for a text's size. The classes of a
+    host's blocks are joined: votes for a text are added up, and it is the host's if at least
+    ``FEW`` pages vote for it, and one in 64 in all, or if the host has no more than
+    ``FEW`` - 1 different pages.
+    """
+
+    def keys(batches):
+        import pyarrow as pa
+
+        seen: set[tuple[str, int]] = set()  # so that copies aren't sent again
+        for batch in batches:
+            for part in (batch.slice(a, 512) for a in range(0, batch.num_rows, 512)):
+                found, sizes, new = [], [], []
+                for i, (host, html) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    copy = (host, hash(html))
+                    if not html or copy in seen:
+                        continue
+                    if len(seen) < 1 << 16:
+                        seen.add(copy)
+                    new.append(i)
+                    tokens = tokenize(html)
+                    page = page_keys(tokens)
+                    found.append([k for k in page if k])
+                    sizes.append([len(t.text) for t, k in zip(tokens, page, strict=True) if k & 1])
+                part = part.take(pa.array(new, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["host", "b", "keys", "sizes"])
+
+    def classes(batches):
+        def stream():
+            for batch in batches:
+                for a in range(0, batch.num_rows, 512):
+                    yield from batch.slice(a, 512).to_pylist()
+
+        for (host, _), group in groupby(stream(), key=lambda r: (r["host"], r["b"])):
+            group = ((tuple(r["keys"]), dict(zip((k for k in r["keys"] if k & 1), r["sizes"]))) for r in group)
+            pages: dict[tuple[int, ...], dict[int, int]] = {}
+            for page, sizes in group:  # copies count once
+                pages.setdefault(page, sizes)
+                if len(pages) == 4 * block:
+                    yield from made(host, pages)
+                    pages = {}
+            yield from made(host, pages)
+
+    def made(host, pages):
+        import pyarrow as pa
+
+        out = block_classes(list(pages.items()))
+        if out:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(out), pa.string()), *columns], ["host", "key", "votes", "once", "a", "z"])
+
+    b = F.pmod(F.xxhash64("html"), F.coalesce("different", F.lit(1).cast("long")))
+    pages = rows.select("host", b.alias("b"), "html").mapInArrow(keys, "host string, b long, keys array<long>, sizes array<int>")
+    pages = pages.repartition("host", "b").sortWithinPartitions("host", "b")
+    found = pages.mapInArrow(classes, "host string, key long, votes long, once boolean, a long, z long")
+    found = found.groupBy("host", "key").agg(F.sum("votes").alias("votes"), (2 * F.sum(F.when(F.col("once"), F.col("votes")).otherwise(0)) > F.sum("votes")).alias("once"), F.collect_set(F.struct("a", "z")).alias("slots"))
+    found = materialize(found, "classes")
+    total = found.where("key = 0").select("host", F.col("votes").alias("pages"))
+    found = found.where("key <> 0").join(total, "host").where((F.col("pages") < FEW) | ((F.col("votes") >= FEW) & (F.col("votes") * 64 >= F.col("pages"))))
+    return materialize(found.groupBy("host").agg(F.collect_list(F.struct("key", "votes", "once", "slots")).alias("texts")), "templates")
+
+
+def _template(texts) -> Template:
+    return Template({t["key"]: (t["votes"], t["once"], [(s["a"], s["z"]) for s in t["slots"]]) for t in texts})
 
 
 def extract_text(pages: DataFrame, block: int = BLOCK, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each page.
 
     Pages of a host are compared in blocks of about ``block``: a large host is dealt over as many
-    blocks as it needs by the hash of page and url, so that no task gets a host of a third of all
-    pages, and all pages of a host take part. Each block is read once, after one shuffle.
+    blocks as it needs by the hash of its pages, so that no task gets a host of a third of all
+    pages, and all pages of a host take part. The blocks' classes are joined over the host, and
+    its one template is applied to all of its pages. The html is read twice; it is shuffled only
+    if the templates are too many to broadcast.
 
     Character references are decoded, white space within a block of text is one space, blocks are
     joined by a line feed in page order. Null and empty html give an empty text; a null url counts
-    as one host, ''; a block of fewer than 4 different pages has no template, and its pages' structure
-    alone decides. Repeated rows are kept. Broken markup is read as far as it goes. An empty table gives
-    an empty result. Other columns aren't used.
+    as one host, ''; a host of one page, or of two or three that are mostly copies, has no
+    template, and its pages' structure alone decides. Repeated rows are kept. Broken markup is
+    read as far as it goes. An empty table gives an empty result. Other columns aren't used.
     """
     bounded_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(url_host(F.col(url_col)), F.lit("")).alias("host"))
+    sizes = rows.groupBy("host", F.xxhash64("html").alias("page")).count()
+    sizes = sizes.groupBy("host").agg(F.ceil(F.sum("count") / block).cast("long").alias("blocks"), F.ceil(F.count("*") / block).cast("long").alias("different"))
     large = materialize(sizes.where("blocks > 1"), "hosts")
     rows = rows.join(small_side(large, 256), "host", "left")
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("blocks", F.lit(1).cast("long"))))
-    rows = rows.drop("blocks").repartition("host", "b").sortWithinPartitions("host", "b", "page_id")
+    known = templates(rows, block)
     kind = rows.schema["page_id"].dataType.simpleString()
+    b = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.select("page_id", "url", "html", "host", b.alias("b"))
+    few = known.select(F.sum(64 + 32 * F.size("texts"))).first()[0] or 0
+    shared = None
+    if few <= BROADCAST_BYTES // 4:
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: _template(r["texts"]) for r in known.collect()})
+    else:  # each block gets its host's template, first of its rows
+        texts = known.join(large, "host", "left").select("host", "texts", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1)).alias("b"))
+        rows = rows.withColumn("first", F.lit(1)).unionByName(texts.withColumn("first", F.lit(0)), allowMissingColumns=True)
+        rows = rows.repartition("host", "b").sortWithinPartitions("host", "b", "first").select("page_id", "url", "html", "host", "texts")
 
     def run(batches):
         import pyarrow as pa
 
-        def result(group):
-            texts = extract_block([r["html"] for r in group])
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["page_id"] for r in group], page_kind[0]),
-                    pa.array([r["url"] for r in group], pa.string()),
-                    pa.array(texts, pa.string()),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                ],
-                ["page_id", "url", "text", "n_chars"],
-            )
-
-        page_kind = []
-
-        def stream():
-            for batch in batches:
-                page_kind[:] = [batch.schema.field(0).type]
-                yield from batch.to_pylist()
-
-        for _, group in groupby(stream(), key=lambda r: (r["host"], r["b"])):
-            group = list(group)
-            for a in range(0, len(group), 4 * block):  # repeated rows of one page and url share a block
-                yield result(group[a : a + 4 * block])
-
-    return rows.select("page_id", "url", "html", "host", "b").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+        now = (None, None)
+        for batch in batches:
+            for part in (batch.slice(a, 128) for a in range(0, batch.num_rows, 128)):
+                htmls, hosts = part.column(2).to_pylist(), part.column(3).to_pylist()
+                given = part.column(4).to_pylist() if shared is None else [None] * len(hosts)
+                keep, texts = [], []
+                for i, (html, host, own) in enumerate(zip(htmls, hosts, given, strict=True)):
+                    if own is not None:
+                        now = (host, _template(own))
+                        continue
+                    template = shared.value.get(host) if shared is not None else now[1] if now[0] == host else None
+                    keep.append(i)
+                    texts.append(extract(tokenize(html or ""), template))
+                part = part.take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    if shared is not None:
+        rows = rows.select("page_id", "url", "html", "host")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

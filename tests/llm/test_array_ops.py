@@ -294,3 +294,32 @@ def test_html_text_template_on_every_page(spark):
         want[i] = f"Story {i}"
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html_extract.extract_text(pages).collect()} == want
+
+
+def test_html_text_template_of_most_pages(spark, monkeypatch):
+    def page(i, end="<p>All rights reserved</p></body></html>"):
+        return f"<html><body><div><p>Welcome to us</p><p>Reply</p></div><div class='c{i % 3}'><p>Story {i}</p><p>Rest {i * 7}</p></div><ul><li>Reply</li></ul>{end}"
+
+    rows, want = [], {}
+
+    def put(host, html, text):
+        rows.append((len(rows), f"http://{host}/{len(rows)}", html))
+        want[len(rows) - 1] = text
+
+    for i in range(100):  # blocks with an error, a page cut short and one of another layout
+        put("large.com", page(i), f"Story {i}\nRest {i * 7}")
+    put("large.com", "<html><body><h1>404</h1></body></html>", "404")
+    put("large.com", page(500).split("<p>Rest")[0], "Story 500")
+    put("large.com", "<table><tr><td>Index</td></tr></table>", "Index")
+    for i in range(100):  # most are copies
+        put("copies.com", page(min(i, 3)), f"Story {min(i, 3)}\nRest {min(i, 3) * 7}")
+    long = "A story that is told at some length, of what came to pass and of those to whom it did, number "
+    for n in (2, 3):  # few pages
+        for i in range(n):
+            put(f"small{n}.com", page(i, f"<p>{long}{i}</p><p>All rights reserved</p>"), f"Story {i}\nRest {i * 7}\n{long}{i}")
+    for i in range(2):  # near copies: nothing shows what is the site's
+        put("near.com", f"<body><p>{long}</p><p>End {i}</p>", f"{long.strip()}\nEnd {i}")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_text(pages).collect()} == want
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)  # templates are shuffled
+    assert {r.page_id: r.text for r in html_extract.extract_text(pages).collect()} == want
