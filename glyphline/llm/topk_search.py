@@ -45,14 +45,15 @@ def _by_term(row, term, weight):
     return {int(t[0]): (r, w) for t, r, w in zip(np.split(term, cuts), np.split(row, cuts), np.split(weight, cuts), strict=True) if len(t)}
 
 
-def _top(scores, ids, k):
-    """The k best of each row of scores: highest first, ties to the smaller id; short rows where fewer."""
-    for s in scores:
-        pick = np.arange(len(s))
-        if len(s) > k:
-            edge = np.partition(s, len(s) - k)[len(s) - k]
-            pick = np.flatnonzero(s >= edge)
-        yield pick[np.lexsort((ids[pick], -s[pick]))[: k + 1]]
+def _top(scores, ids, own, k):
+    """The k best of each row of scores, without its own id: highest first, ties to the smaller id; short rows where fewer."""
+    for s, mine in zip(scores, own, strict=True):
+        pick = np.flatnonzero(ids != mine)
+        if len(pick) > k:
+            others = s if len(pick) == len(s) else s[pick]
+            edge = np.partition(others, len(pick) - k)[len(pick) - k]
+            pick = pick[others >= edge]
+        yield pick[np.lexsort((ids[pick], -s[pick]))[:k]]
 
 
 def _scorer(queries, k):
@@ -89,8 +90,7 @@ def _scorer(queries, k):
                             scores[rows] += add
                     else:
                         scores[np.ix_(rows, docs)] += add
-                for i, best in enumerate(_top(scores, ids, k + 1)):
-                    mine = best[ids[best] != q_ids[t + i]][:k]
+                for i, mine in enumerate(_top(scores, ids, q_ids[t : t + m], k)):
                     out_q.append(np.full(len(mine), q_ids[t + i]))
                     out_v.append(ids[mine])
                     out_s.append(scores[i, mine].astype(np.int64))

@@ -31,6 +31,17 @@ def test_top_k(spark):
     assert topk_search.top_k(good.where("id = 1"), good.where("id < 3")).count() == 2
 
 
+def test_top_k_hot_id(spark):
+    rows = [(1, [0.9, 0.1 * (i % 3)]) for i in range(50)] + [(i, [0.01 * i, 0.2]) for i in range(2, 40)]
+    good = topk_search.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).coalesce(1)
+    q = [(r.id, r.weights) for r in good.collect()]
+    for picked in (good.where("id = 1").limit(1), good.where("id = 30")):
+        i, a = picked.first()
+        want = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in q if j != i)[:5]
+        out = topk_search.top_k(picked, good, 5).orderBy("rank").collect()
+        assert [(-r.score, r.vec_id) for r in out] == want
+
+
 def _oracle_groups(docs, percent=80):
     sets = []
     for i, t in docs:
