@@ -207,12 +207,28 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(_features(self.models.evidence(column)) @ self.beta, -30, 30)))
 
 
+def _both_parts(rows: DataFrame) -> DataFrame:
+    """rows with learn and curve so that each class has a document in both parts: where one holds
+    none of it the document of the least place moves there, and an only document is in both."""
+    learn, curve = ~F.col("curve"), F.col("curve")
+    for y, least, most, every, some in rows.groupBy("toxic").agg(F.min("place"), F.max("place"), F.min("curve"), F.max("curve")).collect():
+        mine = (F.col("toxic") == y) & (F.col("place") == least)
+        if least == most:
+            learn, curve = learn | mine, curve | mine
+        elif every:
+            learn, curve = learn | mine, curve & ~mine
+        elif not some:
+            learn, curve = learn & ~mine, curve | mine
+    return rows.select("text", "toxic", learn.alias("learn"), curve.alias("curve"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Learn from labelled rows whose crc32(id as text) mod 4 is not 2.
 
     Of each class at most ``toxic_rows`` or ``ordinary_rows`` rows are used, those whose ids have
     the smallest hash. A quarter of them sets the curve, in which each class weighs as much as it
-    does among all labelled rows; the others give the counts. Labels other than 0 and 1, and rows
+    does among all labelled rows; the others give the counts. Both hold a document of each class,
+    an only one being in both. Labels other than 0 and 1, and rows
     with a null id or text, aren't used; a document with both labels counts as toxic.
     """
     bounded_batches(docs.sparkSession)
@@ -224,8 +240,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     parts = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, toxic_rows), (0, ordinary_rows))]
     chosen = materialize(parts[0].unionByName(parts[1]), "chosen").withColumnRenamed("doc_id", "__id")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = rows.join(small_side(chosen, 16), "__id").select("text", "toxic", (F.pmod(F.xxhash64("__id", F.lit(23)), F.lit(4)) == 0).alias("curve"))
+    place = F.xxhash64("__id", F.lit(23))
+    rows = rows.join(small_side(chosen, 16), "__id").select("text", "toxic", place.alias("place"), (F.pmod(place, F.lit(4)) == 0).alias("curve"))
     rows = materialize(rows, "labelled")
+    rows = _both_parts(rows)
 
     def count(batches):
         import pyarrow as pa
@@ -245,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(pair[one].view(np.int64)), *map(pa.array, seen)], ["word", "pair", "n1", "n0"])
 
     # continuation counts: how many different words a word follows, so that copies of a text count once
-    words = rows.where("not curve").select("text", "toxic").mapInArrow(count, "word binary, pair long, n1 boolean, n0 boolean")
+    words = rows.where("learn").select("text", "toxic").mapInArrow(count, "word binary, pair long, n1 boolean, n0 boolean")
     words = words.groupBy("word", "pair").agg(F.max("n1").cast("long").alias("n1"), F.max("n0").cast("long").alias("n0"))
     words = words.groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toArrow().sort_by("word")
     n1, n0 = (np.asarray(words.column(c)) for c in ("n1", "n0"))
@@ -308,5 +326,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """docs that aren't predicted toxic, with the columns they came with."""
-    return score(docs, fit(docs, labels, **bounds)).where("predicted = 0").select(docs.columns)
+    """docs that aren't predicted toxic, with the columns they came with; all where nothing could be learned."""
+    scorer = fit(docs, labels, **bounds)
+    if scorer.models is None:
+        return docs
+    return score(docs, scorer).where("predicted = 0").select(docs.columns)

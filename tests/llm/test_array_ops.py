@@ -213,6 +213,22 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(table.limit(0), known).count() == 0
 
 
+def test_toxicity_few_labels(spark):
+    docs, labels = _labelled(300, random.Random(8))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(4))
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    bad = {i for i, _, y in labels if y}
+    for toxic in (known.where("toxic = 1").where(place != 0), known.where("toxic = 1").where(place == 0), known.where("toxic = 1").limit(1)):
+        few = toxic.unionByName(known.where("toxic = 0"))
+        assert toxicity.fit(table, few).models is not None
+        if toxic.count() > 3:
+            found = {r.doc_id for r in toxicity.toxicity(table, few).where("held_out and predicted = 1").collect()}
+            assert len(found & bad) > len(found - bad)
+    clean = known.where("toxic = 1")  # nothing to tell from
+    assert toxicity.drop_toxic(table, clean).count() == len(docs)
+
+
 def test_kneser_ney_sums_to_one():
     words = [b"an", b"ant", b"bee", b"b", b"anna"]
     m = toxicity.Models(words, np.array([3, 1, 0, 2, 1]), np.array([1, 0, 4, 1, 0]), order=4)
