@@ -18,6 +18,8 @@ from glyphline.plans.kernel import spread
 
 #: A side of a join is broadcast only if its rows, counted first, take no more bytes than this.
 BROADCAST_BYTES = 8 << 20
+#: Keys of a join that count as hot at most: those of more than one of so many rows.
+HOT_KEYS = 20_000
 #: Bytes of an Arrow batch at most.
 BATCH_BYTES = 8 << 20
 #: ASCII white space, the word separators of every shingle operator here.
@@ -45,27 +47,54 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder; in local mode, as in tests, one of our own where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = tempfile.mkdtemp(prefix="glyphline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/glyphline/{name}-{uuid.uuid4().hex}"
+    """Write df as Parquet to the shared folder and read it back; deleted when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/glyphline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df marked for broadcast if its counted rows are few enough, else df itself.
+def small_side(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """df marked for broadcast if its counted rows are small enough, else df itself.
 
-    df should be materialized, since it is counted here.
+    row_bytes: what a row takes, as a bound or as a column that is summed. df should be
+    materialized, since it is counted here.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.select(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def unique_join(left: DataFrame, right: DataFrame, keys: list[str], row_bytes: int, count: str | None = None) -> DataFrame:
+    """left joined with right, whose rows have different keys, without a hot key in one task.
+
+    A right side of few rows is broadcast. Of a larger one the keys that stand in more than one of
+    ``HOT_KEYS`` rows of left are, of which there can't be more than ``HOT_KEYS``; the others meet
+    by a shuffle. count: a column of right that says how often left has the key; without one the
+    keys are counted, with partial aggregation. Both sides should be materialized.
+    """
+    if right.count() * row_bytes <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), keys)
+    edge = left.count() / HOT_KEYS
+    if count is None:
+        hot = materialize(left.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > edge).select(keys), "hot")
+    else:
+        hot = right.where(F.col(count) > edge).select(keys)
+    often = right.join(F.broadcast(hot), keys, "left_semi")
+    seldom = right.join(F.broadcast(hot), keys, "left_anti")
+    return left.join(F.broadcast(often), keys).unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(seldom, keys))
 
 
 def fresh(columns: list[str], name: str) -> str:
