@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of source that are turned into results before they are handed back.
 SLICE = 4 << 20
+#: Bytes of files that a table has at most for its rows to be dealt out.
+SMALL = 128 << 20
 
 
 def to_bytes(df: DataFrame, column: str) -> Column:
@@ -36,11 +38,14 @@ def slices(batch, at: int, most: int = SLICE):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores.
+    """df, a table just read, over at least as many partitions as there are cores, if it is small.
 
-    A table of few files or row groups is dealt out once, for the kernels; a table that is large
-    enough to be split anyway is left as it is read.
+    A table of few files or row groups, of ``SMALL`` bytes at most by its files' sizes, is dealt
+    out once, for the kernels; a larger one is left as it is read.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
