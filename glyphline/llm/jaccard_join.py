@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import _slices
 from .graph import components
-from .shared import bounded_batches, fresh, materialize, mix, shingle_sets, small_side
+from .shared import bounded_batches, fresh, materialize, mix, shingle_sets, small_side, unique_join
 
 WIDTH, PERCENT = 5, 80
 #: Shingles of a range of hashes; shingles and texts of a tile; shingles that a map task gathers.
 RANGE, TILE_SHINGLES, TILE_TEXTS, FLUSH = 1_500_000, 1 << 20, 4096, 2 << 20
+#: Parts of a tile's size that a cluster is cut into at first; blocks that a cluster may have in any case.
+PARTS = 8
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
 #: A shingle that so many texts of one flush hold ranks behind all others.
@@ -335,7 +337,7 @@ def _run_tiles(percent: int):
                 return
             sets = [np.frombuffer(r["arr"], np.uint64) for r in rows]
             n = np.fromiter(map(len, sets), np.int64, len(sets))
-            side = np.array([r["side"] for r in rows]) if rows[0]["t3"] >= 0 else None
+            side = np.array([r["side"] for r in rows]) if rows[0]["t3"] != rows[0]["t2"] and rows[0]["t3"] >= 0 else None
             found = tile_links(n, sets, np.array([r["grp"] for r in rows], np.int64), side, percent)
             if found:
                 a, b = zip(*found, strict=True)
@@ -353,7 +355,7 @@ def _run_tiles(percent: int):
 
 
 def _arrays(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """members (cls, cluster, block, rep) with the sorted shingle hashes of each."""
+    """members (cls, cluster, star, stars, block, blocks, doc_id) with the sorted shingle hashes of each."""
 
     def run(batches):
         import pyarrow as pa
@@ -366,8 +368,8 @@ def _arrays(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                 arr = pa.array([s.tobytes() for s, k in zip(sets, own, strict=True) if k], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(i).filter(keep) for i in range(2, part.num_columns)], arr], [*part.schema.names[2:], "arr"])
 
-    rows = docs.join(small_side(members, 64), "doc_id").select("doc_id", "text", "cls", "cluster", "block", "blocks")
-    out = rows.mapInArrow(run, "cls long, cluster long, block long, blocks long, arr binary")
+    rows = docs.join(small_side(members, 64), "doc_id").select("doc_id", "text", "cls", "cluster", "star", "stars", "block", "blocks")
+    out = rows.mapInArrow(run, "cls long, cluster long, star long, stars long, block long, blocks long, arr binary")
     return out.withColumn("n", (F.length("arr") / 8).cast("long"))
 
 
@@ -390,36 +392,43 @@ def class_links(docs: DataFrame, sets: DataFrame, width: int = WIDTH, percent: i
     # neighbouring bands of sizes: a partner is at most 1.25 times as large, so one band away
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(126 / percent))).cast("int")
     postings = materialize(postings, "postings").select("key", "cls", F.explode(F.array(band, band + 1)).alias("band"))
-    leads = postings.groupBy("key", "band").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("key", "band", "lead")
-    near = postings.join(leads, ["key", "band"]).where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
+    leads = materialize(postings.groupBy("key", "band").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("key", "band", "lead"), "leads")
+    near = unique_join(postings, leads, ["key", "band"], 32).where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
     clusters = components(near).withColumnRenamed("v", "cls").withColumnRenamed("label", "cluster")
 
     reps = sets.where("n_shingles > 0").groupBy(F.col("h1").alias("cls")).agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
-    members = clusters.join(reps, "cls")
+    members = materialize(clusters.join(reps, "cls"), "clustered")
+
+    def parts(texts: int, shingles: int):
+        return F.greatest(F.ceil(F.col("m") / max(1, texts)), F.ceil(F.col("s") / max(1, shingles))).cast("long")
+
+    stars = parts(tile_texts // PARTS, tile_shingles // PARTS)
     shape = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("m") / tile_texts), F.ceil(F.col("s") / tile_shingles)).cast("long")
-    members = members.join(shape.select("cluster", blocks.alias("blocks")), "cluster")
-    members = materialize(members.select("cls", "cluster", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), "blocks", "doc_id"), "members")
+    shape = shape.select("cluster", "m", stars.alias("stars"), F.least(stars, F.greatest(parts(tile_texts, tile_shingles), F.lit(PARTS))).alias("blocks"))
+    members = unique_join(members, materialize(shape, "shape"), ["cluster"], 48, "m")
+    star, block = (F.pmod(F.xxhash64("cls"), F.col(c)).alias(c[:-1]) for c in ("stars", "blocks"))
+    members = materialize(members.select("cls", "cluster", star, "stars", block, "blocks", "doc_id"), "members")
 
-    rows = _arrays(docs, members, width)
+    sets_ = materialize(_arrays(docs, members, width), "arrays")
     # the cluster's first class goes into each of its tiles, so that a tight cluster of many holds together
-    whole = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    rows = rows.withColumn("block", F.explode(F.when(F.col("cls") == F.col("cluster"), whole).otherwise(F.array("block"))))
-    first = rows.select(F.col("cluster").alias("t1"), F.col("block").alias("t2"), F.lit(-1).cast("long").alias("t3"), "cls", F.col("cls").alias("grp"), F.lit(0).alias("side"), "arr")
+    whole = F.sequence(F.lit(0).cast("long"), F.col("stars") - 1)
+    rows = sets_.withColumn("star", F.explode(F.when(F.col("cls") == F.col("cluster"), whole).otherwise(F.array("star"))))
+    first = rows.select(F.col("cluster").alias("t1"), F.col("star").alias("t2"), F.lit(-1).cast("long").alias("t3"), "cls", F.col("cls").alias("grp"), F.lit(0).alias("side"), "arr")
     links = materialize(_tiled(first, percent), "links")
 
-    large = members.where("blocks > 1")
-    if not large.isEmpty():  # tiles against other tiles of their cluster, where not all is connected
+    if not members.where("stars > 1").isEmpty():  # what a cluster's tiles left apart, block against block
         known = components(links).select(F.col("v").alias("cls"), F.col("label").alias("grp"))
-        rows = _arrays(docs, materialize(large, "large"), width).join(known, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+        rows = unique_join(sets_.where("stars > 1"), known, ["cls"], 32, how="left").withColumn("grp", F.coalesce("grp", "cls"))
         rows = materialize(rows, "large")
-        shape = rows.groupBy("cluster", "block").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.min("n").alias("n1"), F.max("n").alias("n2"))
-        i, j = (shape.select("cluster", *[F.col(c).alias(f"{c}{x}") for c in ("block", "g1", "g2", "n1", "n2")]) for x in "ij")
-        pairs = i.join(j, "cluster").where("blocki < blockj and not (g1i = g2i and g1j = g2j and g1i = g1j)")
+        shape = rows.groupBy("cluster", "block").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.min("n").alias("n1"), F.max("n").alias("n2"), F.max(F.col("stars") > F.col("blocks")).alias("coarse"))
+        shape = materialize(shape, "shape")
+        i, j = (shape.select("cluster", *[F.col(c).alias(f"{c}{x}") for c in ("block", "g1", "g2", "n1", "n2", "coarse")]) for x in "ij")
+        pairs = i.join(j, "cluster").where("(blocki < blockj or (blocki = blockj and coarsei)) and not (g1i = g2i and g1j = g2j and g1i = g1j)")
         pairs = pairs.where((F.col("n1i") * percent <= F.col("n2j") * 100) & (F.col("n1j") * percent <= F.col("n2i") * 100))
         pairs = materialize(pairs.select("cluster", "blocki", "blockj"), "pairs")
         sides = [
-            rows.join(pairs.withColumn("block", F.col(f"block{x}")), ["cluster", "block"]).select(F.col("cluster").alias("t1"), F.col("blocki").alias("t2"), F.col("blockj").alias("t3"), "cls", "grp", F.lit(s).alias("side"), "arr")
+            rows.join(pairs.where(f"blocki < blockj or {s} = 0").withColumn("block", F.col(f"block{x}")), ["cluster", "block"])
+            .select(F.col("cluster").alias("t1"), F.col("blocki").alias("t2"), F.col("blockj").alias("t3"), "cls", "grp", F.when(F.col("blocki") == F.col("blockj"), -1).otherwise(s).alias("side"), "arr")
             for s, x in enumerate("ij")
         ]
         links = links.unionByName(_tiled(sides[0].unionByName(sides[1]), percent))
@@ -449,11 +458,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(links)
     classes = known.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(joined, F.col("h1") == F.col("v"), "left").withColumn("label", F.coalesce("label", "h1"))
-    lowest = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
+    classes = materialize(classes, "classes")
+    lowest = materialize(classes.where("v is not null").groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "lowest")
     # classes without links keep their own smallest id even if another has the same first 64 bits
-    alone = F.col("v").isNull()
-    ids = classes.join(lowest, "label").select("h1", "h2", F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
-    out = sets.join(ids, ["h1", "h2"], "left")
+    linked = unique_join(classes.where("v is not null"), lowest, ["label"], 32, "n").select("h1", "h2", "component_id")
+    ids = linked.unionByName(classes.where("v is null").select("h1", "h2", F.col("rep").alias("component_id")))
+    out = unique_join(sets, materialize(ids, "components"), ["h1", "h2"], 48, how="left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 

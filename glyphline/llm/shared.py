@@ -77,24 +77,24 @@ def small_side(df: DataFrame, row_bytes: int | Column) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def unique_join(left: DataFrame, right: DataFrame, keys: list[str], row_bytes: int, count: str | None = None) -> DataFrame:
-    """left joined with right, whose rows have different keys, without a hot key in one task.
+def unique_join(left: DataFrame, right: DataFrame, keys: list[str], row_bytes: int, count: str | None = None, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, whose rows have different keys, without a hot key in one task.
 
-    A right side of few rows is broadcast. Of a larger one the keys that stand in more than one of
+    A right side of few rows is broadcast. Otherwise the keys that stand in more than one of
     ``HOT_KEYS`` rows of left are, of which there can't be more than ``HOT_KEYS``; the others meet
     by a shuffle. count: a column of right that says how often left has the key; without one the
     keys are counted, with partial aggregation. Both sides should be materialized.
     """
     if right.count() * row_bytes <= BROADCAST_BYTES:
-        return left.join(F.broadcast(right), keys)
+        return left.join(F.broadcast(right), keys, how)
     edge = left.count() / HOT_KEYS
     if count is None:
-        hot = materialize(left.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > edge).select(keys), "hot")
+        hot = materialize(left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > edge).select(keys), "hot")
     else:
         hot = right.where(F.col(count) > edge).select(keys)
-    often = right.join(F.broadcast(hot), keys, "left_semi")
-    seldom = right.join(F.broadcast(hot), keys, "left_anti")
-    return left.join(F.broadcast(often), keys).unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(seldom, keys))
+    hot = F.broadcast(hot)
+    often, seldom = right.join(hot, keys, "left_semi"), right.join(hot, keys, "left_anti")
+    return left.join(hot, keys, "left_semi").join(F.broadcast(often), keys, how).unionByName(left.join(hot, keys, "left_anti").join(seldom, keys, how))
 
 
 def fresh(columns: list[str], name: str) -> str:
