@@ -31,18 +31,23 @@ def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
 
 
 def sketches(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Bottom-k MinHash sketches of the items: (item, hash) rows.
+    """Bottom-k MinHash sketches of the items: (item, need, hash) rows.
 
     Items are partitioned by set size into powers of two; an item of a partition whose sizes reach
-    up to u keeps its k = floor(u * (100 - percent) / 100) + 1 smallest hashes. At most k - 1 of an
-    item's hashes can be missing from a text that contains ``percent`` of them, so that each such
-    text meets the sketch: the search loses nothing, and k stays a fifth of the partition's size.
+    up to u keeps its k = floor(u * (100 - percent) / 100) + 1 smallest hashes. Of an item of n
+    hashes at most floor(n * (100 - percent) / 100) can be missing from a text that contains
+    ``percent`` of them, so that ``need``, the sketch's size less these, is the least number of its
+    hashes that such a text holds: the search loses nothing, and k stays a fifth of the partition's
+    size.
     """
     sets = items.select(F.col(id_col).alias("__item"), F.array_sort(F.array_distinct(shingle_hashes(F.col(text_col), width))).alias("__set"))
-    upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("__set").cast("double")))).cast("int")
-    k = F.floor(upper * (100 - percent) / F.lit(100)).cast("int") + 1
     sets = sets.where(F.size("__set") > 0)
-    return sets.select("__item", F.explode(F.slice("__set", F.lit(1), k)).alias("__hash")).distinct()
+    n = F.size("__set")
+    upper = F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double")))).cast("int")
+    k = F.floor(upper * (100 - percent) / F.lit(100)).cast("int") + 1
+    need = F.least(k, n) - F.floor(n * (100 - percent) / F.lit(100)).cast("int")
+    rows = sets.select("__item", need.alias("__need"), F.explode(F.slice("__set", F.lit(1), k)).alias("__hash"))
+    return rows.groupBy("__item", "__hash").agg(F.min("__need").alias("__need"))
 
 
 def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -51,27 +56,32 @@ def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
     Columns: doc_id, item_id, n_item (the item's distinct shingles), n_shared, containment.
 
     Every shingle of every document is looked up among the items' sketches (broadcast if their
-    counted size allows, else a join on the hash); candidate pairs are then verified by the exact
-    intersection of the shingles' texts, documents being read again for candidates only.
+    counted size allows, else a join on the hash); a document that holds as many of a sketch's
+    hashes as its partition and size ask for is a candidate. Candidates are then verified by the
+    exact intersection of the shingles' texts, documents being read again for candidates only.
 
     Words are lower-cased runs between ASCII white space. A text of fewer words than ``width`` is a
     single shingle, so that such an item is found only in a text of the same words. Null and empty
     texts, and rows with a null id, match nothing. Rows that share an id are one document (or
-    item): each of them is compared, and a pair's largest overlap is returned. Empty tables give
-    an empty result. Other columns of the inputs are not used.
+    item): each of them is compared, and a pair's largest overlap is returned. Whole texts are
+    searched, however long. Empty tables give an empty result. Other columns of the inputs are not
+    used.
     """
     docs = docs.select(F.col(doc_id).alias("__doc"), F.col(text_col).alias("__text")).where("__doc is not null and __text is not null")
     items = items.select(F.col(item_id).alias("__item"), F.col(text_col).alias("__itext")).where("__item is not null and __itext is not null")
     keys = materialize(sketches(items, "__item", "__itext", width, percent), "sketches")
 
     hashes = docs.select("__doc", F.explode(shingle_hashes(F.col("__text"), width)).alias("__hash"))
-    pairs = hashes.join(small_side(keys, 24), "__hash").select("__doc", "__item").distinct()
-    pairs = materialize(pairs, "candidates")
+    hits = hashes.join(small_side(keys, 32), "__hash")
+    pairs = hits.groupBy("__doc", "__item", "__hash").agg(F.min("__need").alias("__need"))
+    pairs = pairs.groupBy("__doc", "__item").agg(F.count("*").alias("__hits"), F.min("__need").alias("__need"))
+    pairs = materialize(pairs.where("__hits >= __need").select("__doc", "__item"), "candidates")
 
     per_item = materialize(items.select("__item", F.array_distinct(shingles(F.col("__itext"), width)).alias("__iset")), "items")
+    bytes_ = F.aggregate("__iset", F.lit(64).cast("long"), lambda a, x: a + 16 + F.octet_length(x))
     found = docs.join(small_side(pairs.select("__doc").distinct(), 16), "__doc", "left_semi")
     found = found.select("__doc", F.array_distinct(shingles(F.col("__text"), width)).alias("__dset"))
-    both = pairs.join(small_side(per_item, 4096), "__item").join(found, "__doc")
+    both = pairs.join(small_side(per_item, bytes_), "__item").join(found, "__doc")
     both = both.select("__doc", "__item", F.size("__iset").alias("__n"), F.size(F.array_intersect("__iset", "__dset")).alias("__s"))
     both = both.where(F.col("__s") * 100 >= F.col("__n") * percent)
     both = both.groupBy("__doc", "__item").agg(F.max(F.struct(F.col("__s") / F.col("__n"), "__s", "__n")).alias("__m"))
