@@ -41,6 +41,7 @@ class Encoder:
                 self.cross[a * 256 + b] = True
         self.lengths = [sorted(x, reverse=True) for x in by_first]
         self._memory: dict[bytes, tuple[list[int], list[int]]] = {}
+        self._beams: dict[tuple[int, bytes], list[int]] = {}
         self._solve = self._merge if vocab.algorithm == BPE else self._shortest
 
     def boundaries(self, data: bytes) -> list[int]:
@@ -216,6 +217,25 @@ class Encoder:
             node = node[2]
         return ids[::-1], sizes[::-1]
 
+    def beam_segments(self, data: bytes, width: int = BEAM) -> list[int]:
+        """The ids of ``beam``, segment by segment.
+
+        All paths meet at a segment's ends, where the first of the cheapest is the one that counts.
+        """
+        cuts = self.boundaries(data)
+        out: list[int] = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = data[a:b]
+            found = self._beams.get((width, key))
+            if found is None:
+                found = self.beam(key, width)[0]
+                if len(key) <= MEMORY_BYTES:
+                    if len(self._beams) >= MEMORY:
+                        self._beams.clear()
+                    self._beams[width, key] = found
+            out += found
+        return out
+
     def decode(self, ids) -> bytes:
         """The surfaces of ids; an unknown id raises KeyError."""
         surface = self.surface

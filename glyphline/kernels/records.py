@@ -40,10 +40,15 @@ class BlockPolicy:
     preferred: int = 64 << 10
     maximum: int = 256 << 10
     macroblock: int = 4 << 20
+    #: Ceilings of a source's blocks and macroblocks; 0: none.
+    max_blocks: int = 0
+    max_macroblocks: int = 0
 
     def __post_init__(self):
         if not 0 < self.minimum <= self.preferred <= self.maximum <= self.macroblock:
             raise ValueError("block sizes must be ordered")
+        if min(self.max_blocks, self.max_macroblocks) < 0:
+            raise ValueError("ceilings can't be negative")
 
 
 def block_plan(lengths: list[int], policy: BlockPolicy) -> tuple[list[tuple[int, int, int, int, bool]], list[tuple[int, int, int]]]:

@@ -59,7 +59,8 @@ def script_names() -> list[str]:
     values = _regex_core.PROPERTIES["SCRIPT"][1]
     long = {}
     for name, number in values.items():
-        if len(name) > len(long.get(number, "")):
+        # codes have four letters, names mostly not
+        if (len(name) != 4, len(name)) > (len(long.get(number, "")) not in (0, 4), len(long.get(number, ""))):
             long[number] = name
     rest = sorted(set(long.values()) - {"COMMON", "INHERITED", "UNKNOWN"})
     return ["COMMON", "INHERITED", "UNKNOWN", *rest]
@@ -267,19 +268,22 @@ def normalize_view(data: bytes, mode: str) -> tuple[bytes, list[tuple[int, int,
 # --- routes -------------------------------------------------------------------------------------
 
 
-def routes(data: bytes) -> list[tuple[int, int, int]]:
-    """(class, start, length) of maximal runs.
-
-    Classes: 1 ASCII letter, digit or underscore; 2 Devanagari; 3 kana and Han; 4 other beyond
-    ASCII, invalid bytes too; 0 the rest.
-    """
-    _, cps, starts, _ = units(data)
-    if not len(cps):
-        return []
+def route_classes(cps: np.ndarray) -> np.ndarray:
+    """Class of each unit: 1 ASCII letter, digit or underscore; 2 Devanagari; 3 kana and Han; 4 other
+    beyond ASCII, invalid bytes too; 0 the rest."""
     kind = np.where(cps >= 0x80, 4, 0)
     kind[((cps >= 48) & (cps <= 57)) | ((cps >= 65) & (cps <= 90)) | ((cps >= 97) & (cps <= 122)) | (cps == 95)] = 1
     kind[(cps >= 0x900) & (cps <= 0x97F)] = 2
     kind[((cps >= 0x3040) & (cps <= 0x30FF)) | ((cps >= 0x3400) & (cps <= 0x9FFF))] = 3
+    return kind
+
+
+def routes(data: bytes) -> list[tuple[int, int, int]]:
+    """(class, start, length) of maximal runs of a class."""
+    _, cps, starts, _ = units(data)
+    if not len(cps):
+        return []
+    kind = route_classes(cps)
     first = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
     ends = np.append(starts[first[1:]], len(data))
     return list(zip(kind[first].tolist(), starts[first].tolist(), (ends - starts[first]).tolist(), strict=True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,38 @@ def write(archive: DataFrame, path: str, codec: str = "zstd") -> None:
     archive.write.option("compression", codec).parquet(path)
 
 
+def restore(archive: DataFrame, root: str) -> DataFrame:
+    """Write the entries below a folder that all executors see; (path, restored, problem) of each.
+
+    Only entries that ``test`` finds nothing wrong with are written, each to a file beside its own
+    and then renamed, so that a task that runs again changes nothing. The rows say what was done
+    once they are read.
+    """
+    bad = test(archive).withColumnRenamed("path", "__p").dropDuplicates(["__p"])
+    rows = archive.join(bad, F.col("path") == F.col("__p"), "left").select("path", "content", "problem")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["problem"] is None:
+                    place = f"{base.rstrip('/')}/{r['path']}"
+                    store.create_dir(place.rpartition("/")[0], recursive=True)
+                    new = f"{place}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(new) as out:
+                        out.write(r["content"])
+                    store.move(new, place)
+                yield pa.RecordBatch.from_pylist([{"path": r["path"], "restored": r["problem"] is None, "problem": r["problem"]}], schema)
+
+    import pyarrow as pa
+
+    schema = pa.schema([("path", pa.string()), ("restored", pa.bool_()), ("problem", pa.string())])
+    return rows.mapInArrow(run, "path string, restored boolean, problem string")
+
+
 def inspect(archive: DataFrame) -> DataFrame:
     """Number of entries, bytes, and the largest entry."""
     return archive.agg(F.count("*").alias("n_entries"), F.sum("size").alias("n_bytes"), F.max("size").alias("largest"))

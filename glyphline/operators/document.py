@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import INTEGRITY, LIMIT, OK, UNSUPPORTED, Engine
-from ..kernels import lexer, records, text
+from ..kernels import columns, lexer, records, text
 from ..kernels.records import GRAPHEMES, LEXICAL, MODEL, NORMALIZATION, SECURITY, SEMANTIC, BlockPolicy
 from ..kernels.vocab import PackError
-from ..plans.kernel import flat_kernel, with_kernel
+from ..plans.kernel import flat_kernel, lists, with_kernel
 from .tokenize import _detected, _Router
 
 #: Column of each projection, in the order of the flags.
@@ -71,33 +73,57 @@ class _Builder:
         return doc
 
 
-def _rows(doc: dict, flags: int) -> list:
-    out = []
-    if flags & MODEL:
-        out.append(doc["tokens"])
-    if flags & GRAPHEMES:
-        out.append(doc["graphemes"])
-    if flags & SECURITY:
-        out.append(doc["findings"])
-    if flags & NORMALIZATION:
-        out += [doc["normalized"], doc["units"]]
-    if flags & LEXICAL:  # tokens that only the semantic part needed stay hidden
-        out.append(doc["lexical"])
-    if flags & SEMANTIC:
-        out.append(doc["semantic"])
-    return out
-
-
-def _columns(engine: Engine, flags: int, mode: str, auto: bool):
-    build = _Builder(engine, flags, mode, auto)
-    width = len(_rows(build(b""), flags))
+class _columns:  # noqa: N801  a kernel over whole batches
+    def __init__(self, engine: Engine, flags: int, mode: str, auto: bool):
+        self.build = _Builder(engine, flags, mode, auto)
+        limits = engine.limits
+        self.most = min(limits.max_input_bytes, limits.max_document_bytes)
 
-    def fn(data):
-        if len(data) > min(engine.limits.max_input_bytes, engine.limits.max_document_bytes):
-            return (LIMIT, None, *[None] * width)
-        return (OK, build.print, *_rows(build(data), flags))
+    def arrow(self, sources):
+        import pyarrow as pa
 
-    return fn
+        build, f = self.build, self.build.flags
+        good = np.array([d is not None and len(d) <= self.most for d in sources], bool)
+        missing = ~good
+        b = columns.Batch([d for d, g in zip(sources, good, strict=True) if g])
+
+        def dealt(counts):
+            out = np.zeros(len(sources), np.int64)
+            out[good] = counts
+            return out
+
+        def rows(counts, **fields):
+            return lists(dealt(counts), fields, missing)
+
+        status = pa.array(np.where(good, OK, LIMIT), mask=np.array([d is None for d in sources], bool))
+        out = [status, pa.array([build.print if g else None for g in good], pa.binary())]
+        if f & MODEL:
+            if build.router:
+                found = [build.router(d) for d in b.sources]
+                ids, lengths = (np.array([x for r in found for x in r[i]], np.int64) for i in (0, 1))
+                at = np.concatenate(([0], np.cumsum([len(r[0]) for r in found]))).astype(np.int64)
+            else:
+                ids, lengths, at = build.encoder.encode_many(b.sources)
+            counts = np.diff(at)
+            out.append(rows(counts, id=ids, start=np.cumsum(lengths) - lengths - np.repeat(b.bounds[:-1], counts), length=lengths))
+        if f & GRAPHEMES:
+            first = columns.clusters(b)
+            out.append(rows(b.per_source(first), start=b.local(first), length=np.diff(np.append(b.starts[first], b.bounds[-1]))))
+        if f & SECURITY:
+            found, counts = columns.findings(b, *build.tables)
+            out.append(rows(counts, **dict(zip(("kind", "script_id", "start", "length"), found, strict=True))))
+        if f & NORMALIZATION:
+            texts, counts, units, spans, parts = columns.views(b, build.mode)
+            texts = iter(texts)
+            out.append(pa.array([next(texts) if g else None for g in good], pa.binary()))
+            out.append(rows(counts, start=units[0], length=units[1], spans=lists(spans, {"start": parts[0], "length": parts[1]})))
+        if f & (LEXICAL | SEMANTIC):
+            found, counts, parts, n_parts = columns.lexed(build.engine.lexer, b.sources, bool(f & SEMANTIC))
+            if f & LEXICAL:  # tokens that only the semantic part needed stay hidden
+                out.append(rows(counts, **dict(zip(("kind", "start", "length"), found, strict=True))))
+            if f & SEMANTIC:
+                out.append(rows(n_parts, **dict(zip(("kind", "lexical_index", "start", "length"), parts, strict=True))))
+        return out
 
 
 def token_documents(df: DataFrame, engine: Engine, flags: int, column: str = "text", mode: str = "NFC", auto: bool = False) -> DataFrame:
@@ -158,17 +184,22 @@ def _blocks(engine: Engine, policy: BlockPolicy):
 
     def fn(data):
         blocks, macros = records.block_plan(encoder.encode(data)[1], policy)
+        if 0 < policy.max_blocks < len(blocks) or 0 < policy.max_macroblocks < len(macros):
+            return [(None,) * 9 + (LIMIT,)]
         names = [records.block_identity(own, data[s : s + n]) for _, _, s, n, _ in blocks]
         macro = {b: m for m, (first, count, _) in enumerate(macros) for b in range(first, first + count)}
         whole = [records.macroblock_identity(own, names[first : first + count]) for first, count, _ in macros]
-        return [(k, *b[:4], b[4], macro[k], name, whole[macro[k]]) for k, (b, name) in enumerate(zip(blocks, names, strict=True))]
+        return [(k, *b[:4], b[4], macro[k], name, whole[macro[k]], OK) for k, (b, name) in enumerate(zip(blocks, names, strict=True))]
 
     return fn
 
 
 def blocks(df: DataFrame, engine: Engine, policy: BlockPolicy, keys: list[str], column: str = "text") -> DataFrame:
-    """keys and a row for each block: its tokens, bytes, macroblock and identities."""
-    schema = "block int, first_token bigint, n_tokens bigint, start bigint, length bigint, oversize boolean, macroblock int, identity binary, macroblock_identity binary"
+    """keys and a row for each block: its tokens, bytes, macroblock and identities, and status 0.
+
+    A source of more blocks or macroblocks than the policy allows is one row of status 9.
+    """
+    schema = "block int, first_token bigint, n_tokens bigint, start bigint, length bigint, oversize boolean, macroblock int, identity binary, macroblock_identity binary, status int"
     return flat_kernel(df, keys, column, schema, _blocks, engine, policy)
 
 
@@ -244,17 +275,28 @@ def read_cache_records(df: DataFrame, column: str = "cache_record") -> DataFrame
 
 
 class CacheTable:
-    """A cache that is a table of (cache_key, cache_record) files, verified before a value is returned."""
+    """A cache that is a table of (cache_key, cache_record) files, verified before a value is returned.
+
+    Every change writes new files beside those that are there and then replaces the file CURRENT,
+    which names what counts, by a rename: whoever reads, and whatever is lost in between, sees the
+    table as it was before or as it is after. One writer at a time.
+    """
 
     def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._place = lambda name: hadoop.Path(f"{self.path}/{name}")
+        self._files = hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._context = hadoop.FileContext.getFileContext(hadoop.Path(self.path).toUri() if "://" in self.path else self._files.getUri(), spark._jsc.hadoopConfiguration())
+        self._overwrite = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        self._overwrite[0] = hadoop.Options.Rename.OVERWRITE
 
     def put(self, rows: DataFrame) -> None:
-        """Append the entries whose keys aren't there yet."""
+        """Add the entries whose keys aren't there yet."""
         rows = rows.select("cache_key", "cache_record").dropDuplicates(["cache_key"])
         old = self._read()
         rows = rows if old is None else rows.join(old.select("cache_key"), "cache_key", "left_anti")
-        rows.write.mode("append").parquet(self.path)
+        self._switch([*self._names(), self._write(rows)])
 
     def get(self, keys: DataFrame) -> DataFrame:
         """keys with cache_status (11: not there) and cache_value."""
@@ -265,18 +307,31 @@ class CacheTable:
         return found.select("cache_key", F.coalesce("cache_status", F.lit(11)).alias("cache_status"), "cache_value")
 
     def remove(self, keys: DataFrame) -> None:
-        """Rewrite the table without some keys, beside itself and then in its place."""
+        """Write the table without some keys, then let it count; the old files are deleted last."""
         old = self._read()
         if old is not None:
-            rest = old.join(keys.select("cache_key").distinct(), "cache_key", "left_anti")
-            rest.write.mode("overwrite").parquet(f"{self.path}.new")
-            kept = self.spark.read.schema("cache_key binary, cache_record binary").parquet(f"{self.path}.new")
-            kept.write.mode("overwrite").parquet(self.path)
+            names = self._names()
+            self._switch([self._write(old.join(keys.select("cache_key").distinct(), "cache_key", "left_anti"))])
+            for name in names:
+                self._files.delete(self._place(name), True)
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"part-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _switch(self, names: list[str]) -> None:
+        new = self._place(f"CURRENT.{uuid.uuid4().hex}")
+        out = self._files.create(new)
+        out.write(bytearray("\n".join(names).encode()))
+        out.close()
+        self._context.rename(new, self._place("CURRENT"), self._overwrite)
+
+    def _names(self) -> list[str]:
+        if not self._files.exists(self._place("CURRENT")):
+            return []
+        return [r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect() if r.value]
 
     def _read(self):
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema("cache_key binary, cache_record binary").parquet(self.path)
-        except AnalysisException:
-            return None
+        names = self._names()
+        return self.spark.read.schema("cache_key binary, cache_record binary").parquet(*[f"{self.path}/{n}" for n in names]) if names else None

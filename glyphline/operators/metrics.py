@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -28,6 +30,36 @@ def observed(encoded: DataFrame, column: str = "text", ids: str = "ids", status:
     return encoded.observe(seen, *counters), seen
 
 
+def observed_decode(decoded: DataFrame, column: str = "decoded", status: str = "decode_status") -> tuple[DataFrame, Observation]:
+    """decoded, and an observation of its calls, failures and bytes out once an action has run."""
+    seen = Observation("decode")
+    counters = [
+        F.count("*").alias("decode_operations"),
+        F.coalesce(F.sum((F.col(status) != 0).cast("long")), F.lit(0)).alias("decode_failures"),
+        F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0)).alias("output_bytes"),
+    ]
+    return decoded.observe(seen, *counters), seen
+
+
+class Totals:
+    """Counters of several observations, added up on the driver; ``reset`` begins anew."""
+
+    def __init__(self):
+        self.counters: dict[str, int] = {}
+
+    def add(self, seen: Observation) -> Totals:
+        for name, n in seen.get.items():
+            self.counters[name] = self.counters.get(name, 0) + int(n)
+        return self
+
+    def reset(self) -> None:
+        self.counters.clear()
+
+    def snapshot(self) -> str:
+        """The counters as canonical JSON."""
+        return json.dumps(self.counters, sort_keys=True, separators=(",", ":"))
+
+
 def events(encoded: DataFrame, key: str, column: str = "text", status: str = "status", mask: tuple[int, ...] | None = None) -> DataFrame:
     """(key, operation, status, status_text, input_bytes): one row for each operation, or of some statuses."""
     names = F.array(*[F.lit(s) for s in STATUS])

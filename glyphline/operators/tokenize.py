@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..config import LIMIT, OK, STATE, UNKNOWN_ID, Engine
 from ..functions import native
+from ..kernels import columns
 from ..kernels import text as units
 from ..kernels.encode import run_dfa
 from ..kernels.vocab import PackError, count_overlapping
-from ..plans.kernel import flat_kernel, folded_kernel, with_kernel
+from ..plans.kernel import flat_kernel, folded_kernel, lists, with_kernel
 
 TOKENS = "array<struct<id:bigint,start:bigint,length:bigint,cost:int>>"
 
@@ -44,19 +45,27 @@ def encode_ids(df: DataFrame, engine: Engine, column: str = "text", tags: list[s
     return with_kernel(df, column, "status int, ids array<bigint>", _ids, engine, tags)
 
 
-def _tokens(engine: Engine, tags):
-    encoder, limits = engine.encoder(tags), engine.limits
-    cost = encoder.base_cost
+class _tokens:  # noqa: N801
+    def __init__(self, engine: Engine, tags):
+        self.encoder, self.limits = engine.encoder(tags), engine.limits
+        table = sorted(self.encoder.base_cost.items())
+        self.known, self.costs = (np.array(x, np.int64) for x in zip(*table, strict=True))
 
-    def fn(data):
-        if len(data) > limits.max_input_bytes:
-            return LIMIT, None
-        ids, lengths = encoder.encode(data)
-        if len(ids) > limits.max_output_tokens:
-            return LIMIT, None
-        return OK, [(i, s, n, cost[i]) for i, s, n in zip(ids, _starts(lengths), lengths, strict=True)]
+    def arrow(self, sources):
+        import pyarrow as pa
 
-    return fn
+        none = np.array([d is None for d in sources], bool)
+        small = [d is not None and len(d) <= self.limits.max_input_bytes for d in sources]
+        good = [d if ok else b"" for d, ok in zip(sources, small, strict=True)]
+        ids, lengths, at = self.encoder.encode_many(good)
+        counts = np.diff(at)
+        fits = np.array(small, bool) & (counts <= self.limits.max_output_tokens)
+        keep = np.repeat(fits, counts)
+        bounds = np.cumsum([0, *map(len, good)])[:-1]
+        starts = np.cumsum(lengths) - lengths - np.repeat(bounds, counts)
+        ids = ids[keep]
+        found = {"id": ids, "start": starts[keep], "length": lengths[keep], "cost": self.costs[np.searchsorted(self.known, ids)]}
+        return [pa.array(np.where(fits, OK, LIMIT), mask=none), lists(np.where(fits, counts, 0), found, ~fits)]
 
 
 def encode_tokens(df: DataFrame, engine: Engine, column: str = "text", tags: list[str] | None = None) -> DataFrame:
@@ -84,7 +93,7 @@ def _beam(engine: Engine, width: int):
     encoder = engine.encoder()
 
     def fn(data):
-        best, found = encoder.encode(data)[0], encoder.beam(data, width)[0]
+        best, found = encoder.encode(data)[0], encoder.beam_segments(data, width)
         return found, encoder.cost(found), encoder.cost(best)
 
     return fn
@@ -317,13 +326,11 @@ def span_routes(df: DataFrame, engine: Engine, keys: list[str], column: str = "t
 
 def _route_totals(engine: Engine):
     def fn(sources):
-        total: dict[int, list[int]] = {}
-        for data in sources:
-            for kind, _, n in units.routes(data):
-                t = total.setdefault(kind, [0, 0])
-                t[0] += 1
-                t[1] += n
-        return [(k, *v) for k, v in sorted(total.items())]
+        b = columns.Batch(sources)
+        kinds = units.route_classes(b.cps)
+        first, size, _ = b.runs(kinds)
+        n, n_bytes = np.bincount(kinds[first]), np.bincount(kinds[first], size)
+        return [(int(k), int(n[k]), int(n_bytes[k])) for k in np.flatnonzero(n)]
 
     return fn
 

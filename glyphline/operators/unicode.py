@@ -8,29 +8,37 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..kernels import text
-from ..plans.kernel import flat_kernel, folded_kernel, with_kernel
+from ..kernels import columns, text
+from ..plans.kernel import flat_kernel, folded_kernel, lists, with_kernel
 
 RANGES = "array<struct<start:bigint,length:bigint>>"
 FINDINGS = "array<struct<kind:int,script_id:int,start:bigint,length:bigint>>"
 UNITS = "array<struct<start:bigint,length:bigint,spans:array<struct<start:bigint,length:bigint>>>>"
 
 
-def _clusters():
-    return lambda data: (text.graphemes(data),)
+class _clusters:  # noqa: N801  a kernel over whole batches
+    def __init__(self, counted: bool):
+        self.counted = counted
 
+    def arrow(self, sources):
+        import pyarrow as pa
 
-def graphemes(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with graphemes: (start, length) in bytes of extended grapheme clusters."""
-    return with_kernel(df, column, f"graphemes {RANGES}", _clusters)
+        missing = np.array([d is None for d in sources], bool)
+        b = columns.Batch([d or b"" for d in sources])
+        first = columns.clusters(b)
+        if self.counted:
+            return [pa.array(b.per_source(first), mask=missing)]
+        length = np.diff(np.append(b.starts[first], b.bounds[-1]))
+        return [lists(b.per_source(first), {"start": b.local(first), "length": length}, missing)]
 
 
-def _cluster_count():
-    return lambda data: (len(text.graphemes(data)),)
+def graphemes(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with graphemes: (start, length) in bytes of extended grapheme clusters."""
+    return with_kernel(df, column, f"graphemes {RANGES}", _clusters, False)
 
 
 def grapheme_counts(df: DataFrame, column: str = "text") -> DataFrame:
-    return with_kernel(df, column, "n_graphemes bigint", _cluster_count)
+    return with_kernel(df, column, "n_graphemes bigint", _clusters, True)
 
 
 def script_table(spark: SparkSession) -> DataFrame:
@@ -49,13 +57,11 @@ def script_spans(df: DataFrame, keys: list[str], column: str = "text") -> DataFr
 
 def _span_totals(scripts: np.ndarray):
     def fn(sources):
-        total: dict[int, list[int]] = {}
-        for data in sources:
-            for _, n, i in text.script_spans(data, scripts):
-                t = total.setdefault(i, [0, 0])
-                t[0] += 1
-                t[1] += n
-        return [(k, *v) for k, v in total.items()]
+        b = columns.Batch(sources)
+        ids = text.script_ids(b.cps, scripts)
+        first, size, _ = b.runs(ids)
+        n, n_bytes = np.bincount(ids[first]), np.bincount(ids[first], size)
+        return [(int(k), int(n[k]), int(n_bytes[k])) for k in np.flatnonzero(n)]
 
     return fn
 
@@ -76,6 +82,32 @@ def security_findings(df: DataFrame, keys: list[str], column: str = "text") -> D
     return flat_kernel(df, keys, column, "kind int, script_id int, start bigint, length bigint", _findings, text.script_table(), text.flag_table())
 
 
+def _visited(most: int, scripts: np.ndarray, flags: np.ndarray):
+    def fn(data):
+        found = text.findings(data, scripts, flags)
+        return found[:most], min(most, len(found)), len(found) > most
+
+    return fn
+
+
+def security_visit(df: DataFrame, most: int, column: str = "text") -> DataFrame:
+    """df with the first findings of each source, at most so many: findings, n_visited and stopped."""
+    return with_kernel(df, column, f"findings {FINDINGS}, n_visited bigint, stopped boolean", _visited, most, text.script_table(), text.flag_table())
+
+
+def _unit_count():
+    def fn(data):
+        _, cps, _, _ = text.units(data)
+        return len(cps), int(text.is_invalid(cps).sum())
+
+    return fn
+
+
+def unit_counts(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with n_units (code points, and each byte that isn't UTF-8) and n_invalid."""
+    return with_kernel(df, column, "n_units bigint, n_invalid bigint", _unit_count)
+
+
 def _view(mode: str):
     return lambda data: text.normalize_view(data, mode)
 

@@ -50,6 +50,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def lists(counts: np.ndarray, columns: dict, missing: np.ndarray | None = None):
+    """A list array of structs: how many each row has, and the fields of all of them."""
+    import pyarrow as pa
+
+    offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+    items = pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
+    return pa.ListArray.from_arrays(offsets, items, mask=None if missing is None else pa.array(missing))
+
+
 def to_arrow(values: Sequence, kind):
     """An Arrow array of Python values; lists of numbers or of tuples are turned into columns whole.
 
@@ -95,7 +104,8 @@ def with_kernel(df: DataFrame, column: str, schema: str, make: Callable, *args)
 
     schema: DDL of the new columns; the function takes the bytes of ``column`` and returns a tuple
     of their values, structs in arrays being tuples; an object with ``many`` takes a list of sources
-    and returns as many tuples. A null source gives nulls. New columns replace input columns of their names.
+    and returns as many tuples, one with ``arrow`` (where it isn't None) a list with null sources in
+    it and returns whole columns. A null source gives nulls. New columns replace input columns of their names.
     """
     fields = T.StructType.fromDDL(schema).fields
     new = [f.name for f in fields]
@@ -116,6 +126,10 @@ def with_kernel(df: DataFrame, column: str, schema: str, make: Callable, *args)
         for whole in batches:
             for part in slices(whole, at, most):
                 sources = part.column(at).to_pylist()
+                if hasattr(fn, "arrow"):
+                    columns = [c.cast(k) for c, k in zip(fn.arrow(sources), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*names, *new])
+                    continue
                 if hasattr(fn, "many"):
                     found = iter(fn.many([b for b in sources if b is not None]))
                     values = [empty if b is None else next(found) for b in sources]

@@ -128,24 +128,92 @@ def read_vocabulary(data: bytes) -> Vocabulary:
     return v
 
 
-def language_section(x: Language) -> bytes:
-    """Our own layout of a language: JSON in canonical form."""
-    return json.dumps({"tag": x.tag, "deltas": sorted([s.hex(), d] for s, d in x.deltas)}, separators=(",", ":"), sort_keys=True).encode()
+class _Layout:
+    """A section under construction: regions behind a header, each at a multiple of its alignment."""
+
+    def __init__(self, header: int):
+        self.header, self.body = header, bytearray()
+
+    def add(self, region: bytes, align: int = 8) -> int:
+        self.body += bytes(-(self.header + len(self.body)) % align)
+        at = self.header + len(self.body)
+        self.body += region
+        return at
+
+
+class _Regions:
+    """A section that is read: its regions have to follow one another with nothing but zeros between."""
+
+    def __init__(self, data: bytes, header: int, what: str):
+        self.data, self.at, self.what = data, header, what
+
+    def take(self, offset: int, length: int) -> bytes:
+        if offset < self.at or offset + length > len(self.data) or any(self.data[self.at : offset]):
+            raise PackError(f"bad {self.what} regions")
+        self.at = offset + length
+        return self.data[offset : self.at]
+
+    def last(self, offset: int, length: int) -> bytes:
+        blob = self.take(offset, length)
+        if self.at != len(self.data):
+            raise PackError(f"bad {self.what} length")
+        return blob
+
+
+def _piece(blob: bytes, offset: int, length: int) -> bytes:
+    if not length or offset + length > len(blob):
+        raise PackError("a surface is out of place")
+    return blob[offset : offset + length]
+
+
+def _ascending(surfaces: list[bytes]) -> None:
+    if any(a >= b for a, b in zip(surfaces, surfaces[1:], strict=False)):
+        raise PackError("surfaces aren't sorted")
+
+
+# Headers and rows of the language and lexer sections.
+_LANGUAGE_HEAD, _LANGUAGE_ROW = struct.Struct("<4sHHIHHIIIIII"), struct.Struct("<IHHii")
+_LEXER_HEAD, _LEXER_WORD, _LEXER_BLOCK, _LEXER_STRING = struct.Struct("<4sHHIIIIIIIIIHHIIII"), struct.Struct("<IHH"), struct.Struct("<IIHHHH"), struct.Struct("<IHBBI")
+LANGUAGE_MAGIC = b"MSLG"
+# End of fixed values.
 
 
 def write_language(x: Language) -> bytes:
-    return wrap(LANGUAGE, b"MSLG" + language_section(x))
+    """A container of one language: rows of surfaces in order with their deltas, the tag, the surfaces."""
+    deltas = sorted(x.deltas)
+    if any(not 0 < len(s) <= 65535 or not -(2**31) < d < 2**31 for s, d in deltas):
+        raise PackError("a surface or delta is out of range")
+    ends, rows = 0, b""
+    for s, d in deltas:
+        rows += _LANGUAGE_ROW.pack(ends, len(s), 0, d, 0)
+        ends += len(s)
+    out, tag = _Layout(_LANGUAGE_HEAD.size), x.tag.encode()
+    places = out.add(rows), out.add(tag, 1), out.add(b"".join(s for s, _ in deltas))
+    head = _LANGUAGE_HEAD.pack(LANGUAGE_MAGIC, 1, 0, len(deltas), _LANGUAGE_ROW.size, len(tag), *places, ends, max((len(s) for s, _ in deltas), default=0), 0)
+    return wrap(LANGUAGE, head + bytes(out.body))
 
 
 def read_language(data: bytes) -> Language:
     s = section(data, LANGUAGE)
-    if s[:4] != b"MSLG":
+    if len(s) < _LANGUAGE_HEAD.size:
         raise PackError("bad language")
+    magic, version, zero, count, width, tag_size, rows_at, tag_at, blob_at, blob_size, longest, end = _LANGUAGE_HEAD.unpack_from(s)
+    if (magic, version, zero, width, rows_at, end) != (LANGUAGE_MAGIC, 1, 0, _LANGUAGE_ROW.size, _LANGUAGE_HEAD.size, 0) or not 0 < tag_size < 64 or count > 1 << 20:
+        raise PackError("bad language header")
+    regions = _Regions(s, _LANGUAGE_HEAD.size, "language")
+    rows, tag, blob = regions.take(rows_at, count * width), regions.take(tag_at, tag_size), regions.last(blob_at, blob_size)
+    deltas = []
+    for offset, length, flags, delta, more in _LANGUAGE_ROW.iter_unpack(rows):
+        if flags or more or delta == -(2**31):
+            raise PackError("bad language row")
+        deltas.append((_piece(blob, offset, length), delta))
+    _ascending([p for p, _ in deltas])
+    if longest != max((len(p) for p, _ in deltas), default=0):
+        raise PackError("bad longest surface")
     try:
-        x = json.loads(s[4:])
-        return Language(x["tag"], tuple((bytes.fromhex(h), int(d)) for h, d in x["deltas"]))
-    except (KeyError, TypeError, json.JSONDecodeError) as e:
-        raise PackError("bad language") from e
+        return Language(tag.decode("ascii"), tuple(deltas))
+    except UnicodeDecodeError as e:
+        raise PackError("bad language tag") from e
 
 
 def write_detector(d: Detector) -> bytes:
@@ -194,17 +262,75 @@ def read_detector(data: bytes) -> Detector:
 
 
 def write_lexer(p: LexProfile) -> bytes:
-    body = {"name": p.name, "line": sorted(p.line_comments), "block": sorted(p.block_comments), "strings": sorted(p.strings), "keywords": sorted(p.keywords), "dollar": p.dollar}
-    return wrap(LEXER, b"MSLX" + json.dumps(body, separators=(",", ":"), sort_keys=True).encode())
+    """A container of one lexer: comment, string and keyword rows and their surfaces, each kept once."""
+    blob, known = bytearray(), {}
+
+    def place(surface: bytes) -> tuple[int, int]:
+        if not 0 < len(surface) <= 65535:
+            raise PackError("a delimiter or keyword is out of range")
+        if surface not in known:
+            known[surface] = len(blob)
+            blob.extend(surface)
+        return known[surface], len(surface)
+
+    raw = lambda words: sorted({w.encode() for w in words})
+    blocks = sorted((a.encode(), z.encode(), int(nested)) for a, z, nested in p.block_comments)
+    strings = sorted((d.encode(), e.encode()) for d, e in p.strings)
+    if not 0 < len(p.name.encode()) < 64 or any(len(e) > 1 for _, e in strings):
+        raise PackError("a name or escape is out of range")
+    words = lambda found: b"".join(_LEXER_WORD.pack(*place(w), 0) for w in found)
+    tables = [words(raw(p.line_comments))]
+    rows = []
+    for start, stop, nested in blocks:
+        (a, m), (b, n) = place(start), place(stop)
+        rows.append(_LEXER_BLOCK.pack(a, b, m, n, nested, 0))
+    tables.append(b"".join(rows))
+    tables.append(b"".join(_LEXER_STRING.pack(*place(d), e[0] if e else 0, 0, 0) for d, e in strings))
+    tables.append(words(raw(p.keywords)))
+    name = place(p.name.encode())
+    out = _Layout(_LEXER_HEAD.size)
+    places = [out.add(t) for t in tables]
+    blob_at = out.add(bytes(blob))
+    longest = max((len(x) for x in [*raw(p.line_comments), *(x for a, z, _ in blocks for x in (a, z)), *(d for d, _ in strings)]), default=0)
+    counts = (len(raw(p.line_comments)), len(blocks), len(strings), len(raw(p.keywords)))
+    head = _LEXER_HEAD.pack(SECTION_MAGIC[LEXER], 1, 0, *counts, *places, *name, int(p.dollar), blob_at, len(blob), longest, 0)
+    return wrap(LEXER, head + bytes(out.body))
 
 
 def read_lexer(data: bytes) -> LexProfile:
     s = section(data, LEXER)
+    if len(s) < _LEXER_HEAD.size:
+        raise PackError("bad lexer")
+    magic, version, zero, *rest = _LEXER_HEAD.unpack_from(s)
+    counts, places, (name_at, name_size, flags, blob_at, blob_size, longest, end) = rest[:4], rest[4:8], rest[8:]
+    if (magic, version, zero, places[0], end) != (SECTION_MAGIC[LEXER], 1, 0, _LEXER_HEAD.size, 0) or flags > 1 or not 0 < name_size < 64:
+        raise PackError("bad lexer header")
+    if any(n > most for n, most in zip(counts, (64, 32, 32, 4096), strict=True)):
+        raise PackError("too many lexer rows", 9)
+    regions = _Regions(s, _LEXER_HEAD.size, "lexer")
+    kinds = (_LEXER_WORD, _LEXER_BLOCK, _LEXER_STRING, _LEXER_WORD)
+    line, block, string, keyword = (list(k.iter_unpack(regions.take(at, n * k.size))) for k, n, at in zip(kinds, counts, places, strict=True))
+    blob = regions.last(blob_at, blob_size)
+    if any(r[-1] for r in (*line, *block, *string, *keyword)) or any(r[4] > 1 for r in block) or any(r[3] for r in string):
+        raise PackError("bad lexer row")
+    comments, words = ([_piece(blob, r[0], r[1]) for r in rows] for rows in (line, keyword))
+    blocks = [(_piece(blob, r[0], r[2]), _piece(blob, r[1], r[3]), bool(r[4])) for r in block]
+    strings = [(_piece(blob, r[0], r[1]), bytes([r[2]]) if r[2] else b"") for r in string]
+    for found in (comments, [b[0] for b in blocks], [x[0] for x in strings], words):
+        _ascending(found)
+    if longest != max((len(x) for x in (*comments, *(x for b in blocks for x in b[:2]), *(x[0] for x in strings))), default=0):
+        raise PackError("bad longest delimiter")
     try:
-        x = json.loads(s[4:])
-        return LexProfile(x["name"], tuple(x["line"]), tuple(map(tuple, x["block"])), tuple(map(tuple, x["strings"])), frozenset(x["keywords"]), x["dollar"])
-    except (KeyError, TypeError, ValueError) as e:
-        raise PackError("bad lexer") from e
+        return LexProfile(
+            _piece(blob, name_at, name_size).decode(),
+            tuple(x.decode() for x in comments),
+            tuple((a.decode(), z.decode(), n) for a, z, n in blocks),
+            tuple((d.decode(), e.decode()) for d, e in strings),
+            frozenset(w.decode() for w in words),
+            bool(flags),
+        )
+    except UnicodeDecodeError as e:
+        raise PackError("a lexer's text isn't UTF-8") from e
 
 
 def read_dfa(s: bytes) -> tuple[dict[tuple[int, int], tuple[int, int]], dict[int, tuple[int, int]], int]:

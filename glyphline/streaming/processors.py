@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..config import Engine
+from ..config import LIMIT, Engine
 from ..kernels.stream import IncrementalDocument, OnlineStream
 
 TOKENS = "stream string, token_no long, token_id long, start long, length long"
@@ -14,11 +14,13 @@ TOKENS = "stream string, token_no long, token_id long, start long, length long"
 STATE = "pending binary, given long, tokens long, next long, early array<struct<seq:long,chunk:binary,last:boolean>>"
 
 
-def online_tokens(chunks: DataFrame, engine: Engine, max_pending: int = 1 << 20, idle_ms: int = 0) -> DataFrame:
+def online_tokens(chunks: DataFrame, engine: Engine, max_pending: int = 1 << 20, idle_ms: int = 0, max_early: int = 16 << 20) -> DataFrame:
     """Tokens of streaming chunks (stream string, seq long, chunk binary, last boolean).
 
     A token is given out once no further byte can change it. Chunks are taken in the order of seq
     from 0 on; one that comes early waits for those before it, one that comes again is left out.
+    Chunks that wait may have ``max_early`` bytes: a stream that would hold more ends with one row
+    of token_no -1 and token_id 9 (resource limit), and what comes for it later is left out.
     The chunk marked last ends its stream. Tokens are numbered within the stream, so that a batch
     that is run again gives the same rows. idle_ms: if given, a stream that gets nothing for so
     long is forgotten, as a session that expires.
@@ -45,6 +47,9 @@ def online_tokens(chunks: DataFrame, engine: Engine, max_pending: int = 1 << 20,
             for i, n in [*tokens, *(stream.finish() if ended else [])]:
                 out.append((key[0], number, i, given, n))
                 number, given = number + 1, given + n
+        if sum(len(c) for c, _ in waiting.values()) > max_early:
+            out.append((key[0], -1, LIMIT, given, 0))
+            ended, following = True, 1 << 62
         if ended:
             # what is left of the state tells repeats of an ended stream
             waiting = {}

@@ -12,6 +12,9 @@ from ..config import Engine
 from ..kernels.stream import IncrementalDocument, OnlineStream, ResyncDocument
 from ..plans.kernel import build_once, to_bytes
 
+#: Rows that are held before they are given back.
+ROWS = 4096
+
 
 def _ordered(df: DataFrame, key: str, order: str, column: str, *more: str) -> DataFrame:
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("seq"), to_bytes(df, column).alias("chunk"), *more)
@@ -81,6 +84,9 @@ def buffered(df: DataFrame, engine: Engine, key: str, order: str, column: str =
             data = b"".join(r["chunk"] or b"" for r in rows)
             ids = one(data)[0]
             out.append((k, len(data), len(ids), ids_digest(ids)))
+            if len(out) >= ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["key", "n_bytes", "n_tokens", "ids_sha256"])
+                out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["key", "n_bytes", "n_tokens", "ids_sha256"])
 
@@ -105,6 +111,9 @@ def online_digest(df: DataFrame, engine: Engine, key: str, order: str, column: s
                 digest.update(b"".join(i.to_bytes(4, "little") for i, _ in tokens))
                 count, size, most = count + len(tokens), size + sum(n for _, n in tokens), max(most, len(stream.pending))
             out.append((k, size, count, digest.hexdigest(), most))
+            if len(out) >= ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["key", "n_bytes", "n_tokens", "ids_sha256", "max_pending"])
+                out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["key", "n_bytes", "n_tokens", "ids_sha256", "max_pending"])
 
@@ -138,6 +147,9 @@ def edits(df: DataFrame, engine: Engine, key: str, order: str, start: str, delet
                 else:
                     ids, row = doc.ids, (doc.reprocessed, doc.reused, 0, False)
                 out.append((k, r["seq"], len(doc.data), len(ids), ids_digest(ids), *row))
+                if len(out) >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], fields)
+                    out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], fields)
 

@@ -4,12 +4,14 @@ import hashlib
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glyphline.config import Engine, Limits, status_text
-from glyphline.kernels import lexer, records, text
+from glyphline import oracles
+from glyphline.kernels import columns, lexer, records, text
 from glyphline.kernels.encode import Encoder, path_key, run_dfa
 from glyphline.kernels.stream import IncrementalDocument, LimitError, OnlineStream, ResyncDocument
 from glyphline.kernels.vocab import BPE, LEX_PROFILES, Language, PackError, Vocabulary, base_detector, base_language, base_vocabulary, build_vocabulary, raw_bpe_vocabulary
@@ -272,3 +274,49 @@ def test_document_record():
                 records.read_document(bytes(bad))
         with pytest.raises(records.RecordError):
             records.read_document(record, 10)
+
+
+def test_columns_of_many_sources():
+    rng = random.Random(4)
+    bits = ["a", "b ", " ", "\n", "\r\n", "\r", "e\u0301", "\u00e9", "a\u0301\u0323", "\u4e2d", "\u1112\u1161\u11ab", "\ud55c", "\U0001f468\u200d\U0001f469", "\U0001f1e9\U0001f1ea", "\u202e", "\u200b"]
+    bits += ["\u0915\u094d\u0937", "\u0928\u093f", "\u0600", "\u0301", "\u0416", *oracles.PLANTED, "0x1f ", "aB1 ", '"x" ', "// c\n", "/* "]
+    sources = [b""]
+    for _ in range(600):
+        data = "".join(rng.choice(bits) for _ in range(rng.randrange(12))).encode()
+        if rng.random() < 0.3:
+            at = rng.randrange(len(data) + 1)
+            data = data[:at] + bytes([rng.randrange(256)]) + data[at:]
+        sources.append(data)
+
+    def each(counts, *fields):
+        ends = np.cumsum(counts)
+        for a, b in zip(ends - counts, ends, strict=True):
+            yield list(zip(*(f[a:b].tolist() for f in fields), strict=True))
+
+    b = columns.Batch(sources)
+    first = columns.clusters(b)
+    got = each(b.per_source(first), b.local(first), np.diff(np.append(b.starts[first], b.bounds[-1])))
+    assert list(got) == [text.graphemes(d) for d in sources]
+    found, n = columns.findings(b, text.script_table(), text.flag_table())
+    assert list(each(n, *found)) == [text.findings(d, text.script_table(), text.flag_table()) for d in sources]
+    for mode in text.MODES:
+        views, n, units, n_spans, spans = columns.views(b, mode)
+        whole = list(each(n_spans, *spans))
+        ends = np.cumsum(n)
+        for d, view, a, z, some in zip(sources, views, ends - n, ends, each(n, *units), strict=True):
+            assert (view, [(*u, s) for u, s in zip(some, whole[a:z], strict=True)]) == text.normalize_view(d, mode)
+    for p in LEX_PROFILES.values():
+        tokens, n, parts, m = columns.lexed(p, sources, True)
+        want = [lexer.lex(p, d) for d in sources]
+        assert list(each(n, *tokens)) == want
+        assert list(each(m, *parts)) == [lexer.components(p, d, t) for d, t in zip(sources, want, strict=True)]
+
+
+def test_beam_by_segments():
+    rng = random.Random(9)
+    v = base_vocabulary()
+    encoder = Encoder(v)
+    for _ in range(200):
+        data = "".join(rng.choice(["hello", " world", "the", "ing", "er", " ", "token", "izer", "x", "::", "世界"]) for _ in range(rng.randrange(9))).encode()
+        for width in (1, 3, 16):
+            assert encoder.beam_segments(data, width) == encoder.beam(data, width)[0]

@@ -1,10 +1,14 @@
 """Operators on small tables with odd rows: nulls, empty and invalid bytes, limits, repeats, clashes."""
 
+import hashlib
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from glyphline.config import Engine, Limits
 from glyphline.functions import native
+from glyphline.kernels import ed25519
 from glyphline.kernels import text as kernel
 from glyphline.kernels.records import GRAPHEMES, LEXICAL, MODEL, NORMALIZATION, SECURITY, SEMANTIC, BlockPolicy
 from glyphline.kernels.vocab import LEX_PROFILES, PackError, base_detector, base_language, base_vocabulary, raw_bpe_vocabulary
@@ -119,11 +123,11 @@ def test_cache_table(spark, tmp_path, odd):
     assert cache.get(rows).where("cache_status <> 11").count() == 0
     cache.put(rows)
     cache.put(rows)
-    assert spark.read.parquet(str(tmp_path / "cache")).count() == 5
+    assert cache._read().count() == 5
     got = cache.get(rows.unionByName(rows.withColumn("cache_key", F.lit(bytearray(32))).limit(1)))
     assert sorted(r.cache_status for r in got.collect()) == [0, 0, 0, 0, 0, 11]
     cache.remove(rows.limit(1))
-    assert spark.read.parquet(str(tmp_path / "cache")).count() == 4
+    assert cache._read().count() == 4
 
 
 def test_registry(spark):
@@ -148,9 +152,35 @@ def test_registry(spark):
     with pytest.raises(PackError):
         registry.install(table, table.limit(1).withColumn("version", F.lit("1.0")))
     assert registry.garbage(table.limit(3), objects).count() == table.count() - 3
-    keys = spark.createDataFrame([("k1", False), ("k2", True)], "key_id string, revoked boolean")
-    signed = table.limit(1).crossJoin(spark.createDataFrame([("",), ("k1",), ("k2",), ("k3",)], "k string")).withColumn("key_id", F.col("k")).drop("k")
-    assert sorted(r.trust_code for r in registry.trust(signed, keys).collect()) == [0, 10, 14, 15]
+
+
+def test_trust(spark):
+    sha = hashlib.sha256(b"pack").digest()
+    seeds = [bytes([k]) * 32 for k in range(3)]
+    record = [registry.signature_record(s, sha) for s in seeds]
+    wrong = bytearray(record[0])
+    wrong[100] ^= 1
+    other = registry.signature_record(seeds[0], hashlib.sha256(b"other").digest())
+    rows = [(0, record[0]), (10, None), (15, record[1]), (14, record[2]), (14, bytes(wrong)), (12, other), (1, b"short"), (12, record[0][:159] + b"x")]
+    table = spark.createDataFrame([(w, sha.hex(), None if s is None else bytearray(s)) for w, s in rows], "want int, sha256 string, signature binary")
+    known = [(registry.key_id(ed25519.public_key(s)).hex(), bytearray(ed25519.public_key(s)), revoked) for s, revoked in ((seeds[0], False), (seeds[1], True))]
+    keys = spark.createDataFrame(known, "key_id string, public_key binary, revoked boolean")
+    got = registry.trust(table, keys)
+    assert got.columns == ["want", "sha256", "signature", "trust_code"]
+    assert sorted((r.want, r.trust_code) for r in got.collect()) == sorted((w, w) for w, _ in rows)
+
+
+def test_restore_and_ceilings(spark, tmp_path):
+    rows = [("a/b.txt", 3, b"abc"), ("../x", 1, b"x"), ("c", 9, b"short"), ("d", 0, b"")]
+    entries = spark.createDataFrame([(p, n, zlib.crc32(c), bytearray(c)) for p, n, c in rows], "path string, size bigint, crc32 bigint, content binary")
+    for _ in range(2):  # again changes nothing
+        got = {r.path: (r.restored, r.problem) for r in archive.restore(entries, str(tmp_path / "out")).collect()}
+        assert got == {"a/b.txt": (True, None), "../x": (False, "unsafe path"), "c": (False, "corrupt"), "d": (True, None)}
+    assert {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {"a/b.txt": b"abc", "d": b""}
+    docs = spark.createDataFrame([(1, "ab " * 500), (2, "ab")], "doc_id long, text string")
+    policy = BlockPolicy(64, 128, 256, 512, 2, 0)
+    got = {r.doc_id: r.s for r in document.blocks(docs, engine(), policy, ["doc_id"]).groupBy("doc_id").agg(F.max("status").alias("s")).collect()}
+    assert got == {1: 9, 2: 0}
 
 
 def test_training_and_vocabulary(spark):
