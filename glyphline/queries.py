@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import config
+from . import config, oracles
 from .config import Engine, Limits
 from .functions import native
 from .kernels.records import GRAPHEMES, LEXICAL, MODEL, NORMALIZATION, SECURITY, SEMANTIC, BlockPolicy
@@ -26,6 +26,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
 
 
+def planted(spark: SparkSession, sf_dir: str, name: str, number: str, *columns: str, column: str = "text") -> DataFrame:
+    """columns and text of a whole table, each text with something behind it that operators find."""
+    more = F.element_at(F.array(*[F.lit(p) for p in oracles.PLANTED]), (F.expr(number) % 8 + 1).cast("int"))
+    return table(spark, sf_dir, name).select(*columns, F.concat(F.coalesce(column, F.lit("")), more).alias("text"))
+
+
+def planted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted(spark, sf_dir, "documents", "doc_id", "doc_id", "lang")
+
+
+def planted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted(spark, sf_dir, "conversations", "conv_id + turn", "conv_id", "turn")
+
+
+POLICY = BlockPolicy(64, 256, 1024, 4096)
+_DOCS = oracles.planted_sql("documents", "doc_id", "doc_id, lang")
+_TURNS = oracles.planted_sql("conversations", "conv_id + turn", "conv_id, turn")
+
+
 def engine(*tags: str, **more) -> Engine:
     """The built-in engine with some languages, detector, Unicode tables and lexer, sealed."""
     out = Engine(base_vocabulary())
@@ -54,10 +73,13 @@ def query(sql: str | None = None):
 # --- encoding -----------------------------------------------------------------------------------
 
 
-@query()
+@query(oracles.tokens_sql(_DOCS, "doc_id", """,
+m AS (SELECT doc_id, sum(n * len(ids)) AS m FROM segs JOIN solved USING (seg) GROUP BY doc_id)
+SELECT lang, count(*) AS n_docs, sum(octet_length(encode(text)))::BIGINT AS n_bytes, sum(coalesce(m, 0))::BIGINT AS n_tokens, 0::BIGINT AS n_inexact
+FROM src LEFT JOIN m USING (doc_id) GROUP BY lang""", "en,hi,ja"))
 def r18_tokens_by_language(spark, sf_dir):
     """Tokens and bytes of documents by language: the flagship."""
-    got = tokenize.round_trip(documents(spark, sf_dir), engine("en", "hi", "ja"))
+    got = tokenize.round_trip(planted_docs(spark, sf_dir), engine("en", "hi", "ja"))
     got = got.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("text").cast("bigint")).alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"), F.sum((~F.col("exact")).cast("int")).alias("n_inexact"))
     return got
 
@@ -133,24 +155,29 @@ def r17_lattice(spark, sf_dir):
     return tokenize.lattice_counts(documents(spark, sf_dir), engine())
 
 
-@query()
+_COUNTED = "SELECT token_id, sum(n)::BIGINT AS n_tokens FROM (SELECT n, unnest(ids) AS token_id FROM segs JOIN solved USING (seg)) GROUP BY token_id"
+
+
+@query(oracles.tokens_sql(_DOCS, "doc_id", _COUNTED))
 def r18_viterbi_counts(spark, sf_dir):
-    return tokenize.token_counts(documents(spark, sf_dir), engine())
+    return tokenize.token_counts(planted_docs(spark, sf_dir), engine())
 
 
-@query()
+@query(oracles.tokens_sql(_DOCS, "doc_id", """,
+m AS (SELECT doc_id, sum(n * len(ids)) AS m, sum(n * cost) AS c FROM segs JOIN solved USING (seg) GROUP BY doc_id)
+SELECT doc_id, 0 AS status, coalesce(m, 0)::INT AS n_tokens, octet_length(encode(text))::BIGINT AS n_bytes, coalesce(c, 0)::BIGINT AS cost FROM src LEFT JOIN m USING (doc_id)""", "en"))
 def r19_viterbi_tokens(spark, sf_dir):
     """Number, bytes and base cost of each document's tokens."""
-    got = tokenize.encode_tokens(documents(spark, sf_dir), engine("en"))
+    got = tokenize.encode_tokens(planted_docs(spark, sf_dir), engine("en"))
     cost = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t["cost"])
     size = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t["length"])
     return got.select("doc_id", "status", F.size("tokens").alias("n_tokens"), size.alias("n_bytes"), cost.alias("cost"))
 
 
-@query()
+@query(oracles.beam_sql(_DOCS, "doc_id"))
 def r20_beam(spark, sf_dir):
-    got = tokenize.encode_beam(table(spark, sf_dir, "benchmark").select("item_id", "text"), engine())
-    return got.select("item_id", "beam_cost", "least_cost", F.size("beam_ids").alias("n_tokens"))
+    got = tokenize.encode_beam(planted_docs(spark, sf_dir), engine())
+    return got.select("doc_id", "beam_cost", "least_cost", F.size("beam_ids").alias("n_tokens"))
 
 
 #: (name, left, right) paths of edges (start, end, namespace, kind, id, cost); fixed values.
@@ -169,9 +196,9 @@ def r21_path_order(spark, sf_dir):
     return rows.select("name", F.when(native.path_less(F.col("left"), F.col("right")), "left").otherwise("right").alias("winner"))
 
 
-@query()
+@query(f"WITH RECURSIVE {oracles.segments_sql(_DOCS, 'doc_id', oracles.BPE_PIECES)}, {oracles.bpe_sql()} {_COUNTED}")
 def r22_bpe_counts(spark, sf_dir):
-    return tokenize.token_counts(documents(spark, sf_dir), Engine(raw_bpe_vocabulary()).seal())
+    return tokenize.token_counts(planted_docs(spark, sf_dir), Engine(raw_bpe_vocabulary()).seal())
 
 
 @query("""
@@ -235,110 +262,121 @@ def r30_languages(spark, sf_dir):
     return tokenize.language_table(spark, engine("en", "hi", "ja")).groupBy("tag").agg(F.count("*").alias("n_deltas"))
 
 
-_SCORES = """
-  SELECT {key}, k AS profile, tag AS language, sum(w * ((length(text) - length(replace(text, f, ''))) // length(f)))::BIGINT AS score
-  FROM {table}, (VALUES (0, 'en', 'tokenizer', 120), (0, 'en', 'hello', 80), (0, 'en', 'world', 50), (1, 'hi', 'नमस्ते', 120), (1, 'hi', 'दुनिया', 80), (2, 'ja', 'こんにちは', 120), (2, 'ja', '世界', 80)) AS v(k, tag, f, w)
-  GROUP BY ALL"""
-
-
-@query("SELECT doc_id, language, score FROM (" + _SCORES.format(key="doc_id", table="documents") + ")")
+@query(f"""SELECT doc_id, language, score FROM (SELECT doc_id, {oracles.score_sql()} FROM ({_DOCS})),
+  LATERAL (SELECT unnest(['en', 'hi', 'ja']) AS language, unnest([en, hi, ja]) AS score)""")
 def r31_detector_scores(spark, sf_dir):
-    return tokenize.detector_score_rows(documents(spark, sf_dir), engine("en"), ["doc_id"])
+    return tokenize.detector_score_rows(planted_docs(spark, sf_dir), engine("en"), ["doc_id"])
 
 
-@query("WITH s AS (" + _SCORES.format(key="doc_id", table="documents") + """),
-r AS (SELECT *, row_number() OVER w AS n, score - lead(score) OVER w AS margin FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, profile))
-SELECT doc_id, score >= 100 AND margin >= 20 AS matched, score >= 100 AND margin >= 20 AND language IN ('en', 'hi') AS available, score, margin,
-  CASE WHEN score >= 100 AND margin >= 20 THEN language END AS language FROM r WHERE n = 1""")
+@query(f"""SELECT doc_id, language IS NOT NULL AS matched, coalesce(language IN ('en', 'hi'), false) AS available, score, margin, language
+FROM (SELECT *, {oracles.LANGUAGE} AS language FROM (SELECT *, {oracles.BEST} FROM (SELECT doc_id, {oracles.score_sql()} FROM ({_DOCS}))))""")
 def r32_detection(spark, sf_dir):
-    return tokenize.detect(documents(spark, sf_dir), engine("en", "hi")).select("doc_id", "detection.*")
+    return tokenize.detect(planted_docs(spark, sf_dir), engine("en", "hi")).select("doc_id", "detection.*")
 
 
 @query("""
-WITH s AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[\\x{0900}-\\x{097F}]+|[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]+|[^\\x00-\\x7F\\x{0900}-\\x{097F}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]+|[\\x00-/:-@\\[-^`{-\\x7F]+')) AS s FROM documents)
+WITH s AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[\\x{0900}-\\x{097F}]+|[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]+|[^\\x00-\\x7F\\x{0900}-\\x{097F}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]+|[\\x00-/:-@\\[-^`{-\\x7F]+')) AS s FROM (""" + _DOCS + """))
 SELECT CASE WHEN regexp_matches(s, '^[A-Za-z0-9_]') THEN 1 WHEN regexp_matches(s, '^[\\x00-\\x7F]') THEN 0 WHEN regexp_matches(s, '^[\\x{0900}-\\x{097F}]') THEN 2
   WHEN regexp_matches(s, '^[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]') THEN 3 ELSE 4 END AS class, count(*) AS n_spans, sum(octet_length(encode(s)))::BIGINT AS n_bytes
 FROM s GROUP BY ALL""")
 def r33_route_totals(spark, sf_dir):
-    return tokenize.route_totals(documents(spark, sf_dir), engine("en"))
+    return tokenize.route_totals(planted_docs(spark, sf_dir), engine("en"))
 
 
-@query("""
-SELECT item_id, count(*) AS n_spans, sum(octet_length(encode(s)))::BIGINT AS n_bytes
-FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\x00-\\x7F]+|[\\x00-/:-@\\[-^`{-\\x7F]+')) AS s FROM benchmark) GROUP BY item_id""")
+_ROUTES = "[A-Za-z0-9_]+|[\\x{0900}-\\x{097F}]+|[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]+|[^\\x00-\\x7F\\x{0900}-\\x{097F}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]+|[\\x00-/:-@\\[-^`{-\\x7F]+"
+
+
+@query(f"""SELECT doc_id, count(*) AS n_spans, sum(octet_length(encode(text)))::BIGINT AS n_bytes, sum((score >= 100 AND margin >= 20)::INT)::BIGINT AS n_matched
+FROM (SELECT *, {oracles.BEST} FROM (SELECT *, {oracles.score_sql()} FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_ROUTES}')) AS text FROM ({_DOCS})))) GROUP BY doc_id""")
 def r33_span_routes(spark, sf_dir):
-    routes = tokenize.span_routes(table(spark, sf_dir, "benchmark").select("item_id", "text"), engine("en"), ["item_id"])
-    return routes.groupBy("item_id").agg(F.count("*").alias("n_spans"), F.sum("length").alias("n_bytes"))
+    routes = tokenize.span_routes(planted_docs(spark, sf_dir), engine("en"), ["doc_id"])
+    return routes.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum("length").alias("n_bytes"), F.sum(F.col("matched").cast("bigint")).alias("n_matched"))
 
 
 def _auto_rows(df: DataFrame, column: str) -> DataFrame:
     return df.select("conv_id", "turn", "status", F.size(column).alias("n_tokens"), "detection.matched", "detection.language")
 
 
-@query()
+@query(oracles.auto_sql(_TURNS, None))
 def r34_encode_auto(spark, sf_dir):
-    return _auto_rows(tokenize.encode_auto(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), engine("en", "hi", "ja")), "ids")
+    return _auto_rows(tokenize.encode_auto(planted_turns(spark, sf_dir), engine("en", "hi", "ja")), "ids")
 
 
-@query()
+@query(oracles.auto_sql(_TURNS, None))
 def r35_tokens_auto(spark, sf_dir):
-    return _auto_rows(tokenize.encode_auto(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), engine("en", "hi", "ja"), full=True), "tokens")
+    return _auto_rows(tokenize.encode_auto(planted_turns(spark, sf_dir), engine("en", "hi", "ja"), full=True), "tokens")
 
 
-@query()
+@query(oracles.auto_sql(_TURNS, _ROUTES))
 def r36_encode_span_auto(spark, sf_dir):
-    return _auto_rows(tokenize.encode_span_auto(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), engine("en", "hi", "ja")), "ids")
+    return _auto_rows(tokenize.encode_span_auto(planted_turns(spark, sf_dir), engine("en", "hi", "ja")), "ids")
 
 
 # --- Unicode ------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, length_grapheme(text) AS n_graphemes FROM documents")
+@query(f"SELECT doc_id, length_grapheme(text) AS n_graphemes FROM ({_DOCS})")
 def r38_graphemes(spark, sf_dir):
-    return unicode.grapheme_counts(documents(spark, sf_dir)).select("doc_id", "n_graphemes")
+    return unicode.grapheme_counts(planted_docs(spark, sf_dir)).select("doc_id", "n_graphemes")
 
 
-@query("""
-WITH s AS (SELECT unnest(regexp_extract_all(text, '\\p{Latin}+|[^\\p{Latin}]+')) AS s FROM documents)
-SELECT CASE WHEN regexp_matches(s, '^\\p{Latin}') THEN 'LATIN' ELSE 'COMMON' END AS script, count(*) AS n_spans, sum(octet_length(encode(s)))::BIGINT AS n_bytes
-FROM s GROUP BY ALL""")
+#: Scripts of the planted texts in the order of their numbers.
+_SCRIPTS = ("Inherited", "Cyrillic", "Devanagari", "Han", "Hangul", "Hiragana", "Latin")
+_RUNS = "|".join(f"\\p{{{x}}}+" for x in _SCRIPTS) + "|[^" + "".join(f"\\p{{{x}}}" for x in _SCRIPTS) + "]+"
+_SCRIPT = "CASE " + " ".join(f"WHEN regexp_matches(s, '^\\p{{{x}}}') THEN '{x.upper()}'" for x in _SCRIPTS) + " ELSE 'COMMON' END"
+
+
+@query(f"""SELECT {_SCRIPT} AS script, count(*) AS n_spans, sum(octet_length(encode(s)))::BIGINT AS n_bytes
+FROM (SELECT unnest(regexp_extract_all(text, '{_RUNS}')) AS s FROM ({_DOCS})) GROUP BY ALL""")
 def r40_script_totals(spark, sf_dir):
-    return unicode.script_totals(documents(spark, sf_dir))
+    return unicode.script_totals(planted_docs(spark, sf_dir))
 
 
-@query("SELECT item_id, count(*) AS n_spans FROM (SELECT item_id, unnest(regexp_extract_all(text, '\\p{Latin}+|[^\\p{Latin}]+')) FROM benchmark) GROUP BY item_id")
+@query(f"SELECT doc_id, count(*) AS n_spans FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_RUNS}')) FROM ({_DOCS})) GROUP BY doc_id")
 def r40_script_spans(spark, sf_dir):
-    spans = unicode.script_spans(table(spark, sf_dir, "benchmark").select("item_id", "text"), ["item_id"])
-    return spans.groupBy("item_id").agg(F.count("*").alias("n_spans"))
+    spans = unicode.script_spans(planted_docs(spark, sf_dir), ["doc_id"])
+    return spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"))
 
 
-@query("""
-SELECT k.kind, count(*) AS n
-FROM (SELECT text FROM documents UNION ALL SELECT html FROM pages), (VALUES (1, '[\\x{061C}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]'),
-  (2, '[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}\\x{FFF0}-\\x{FFF8}]')) AS k(kind, p),
-  LATERAL (SELECT unnest(regexp_extract_all(text, k.p))) GROUP BY k.kind""")
+_FLAGS = (
+    (1, "[\\x{061C}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]"),
+    (2, "[\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}\\x{FFF0}-\\x{FFF8}]"),
+)
+
+
+def _findings_sql(source: str, columns: str) -> str:
+    """columns and n1, n2, n5: characters of a text by the kind of finding that they are."""
+    flags = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS n{k}" for k, p in _FLAGS)
+    counts = ", ".join(f"len(regexp_extract_all(text, '\\p{{{x}}}'))" for x in _SCRIPTS[1:])
+    return f"SELECT *, list_sum(c) - list_max(c) AS n5 FROM (SELECT {columns}, {flags}, [{counts}] AS c FROM ({source}))"
+
+
+@query(f"""SELECT kind, sum(n)::BIGINT AS n FROM (
+  SELECT unnest([1, 2, 5]) AS kind, unnest([n1, n2, n5]) AS n FROM ({_findings_sql(f"SELECT text FROM ({_DOCS}) UNION ALL SELECT html FROM pages", "text")}))
+GROUP BY kind HAVING sum(n) > 0""")
 def r42_security(spark, sf_dir):
     """Findings of documents and pages by kind."""
-    both = documents(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
+    both = planted_docs(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
     return unicode.security_findings(both, [], "text").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, sha256(nfc_normalize(text)) AS normalized_sha256 FROM documents")
+@query(f"SELECT doc_id, sha256(nfc_normalize(text)) AS normalized_sha256 FROM ({_DOCS})")
 def r44_normalize_nfc(spark, sf_dir):
-    return unicode.normalized_digests(documents(spark, sf_dir), "NFC").select("doc_id", "normalized_sha256")
+    return unicode.normalized_digests(planted_docs(spark, sf_dir), "NFC").select("doc_id", "normalized_sha256")
 
 
-@query()
+@query(f"""SELECT doc_id, sha256(nfc_normalize(replace(replace(replace(lower(regexp_replace(text, '{_FLAGS[1][1]}', '', 'g')), 'ß', 'ss'), 'ﬁ', 'fi'), 'ａ', 'a'))) AS normalized_sha256
+FROM ({_DOCS})""")
 def r44_normalize_casefold(spark, sf_dir):
-    return unicode.normalized_digests(documents(spark, sf_dir), "NFKC_CASEFOLD").select("doc_id", "normalized_sha256")
+    return unicode.normalized_digests(planted_docs(spark, sf_dir), "NFKC_CASEFOLD").select("doc_id", "normalized_sha256")
 
 
-@query("SELECT item_id, octet_length(encode(nfc_normalize(text))) AS n_bytes, octet_length(encode(text)) AS n_source FROM benchmark")
+@query(f"SELECT doc_id, octet_length(encode(nfc_normalize(text))) AS n_bytes, octet_length(encode(text)) AS n_source, length(nfc_normalize(text)) AS n_units FROM ({_DOCS})")
 def r47_normalized_view(spark, sf_dir):
     """Bytes of the view and of the source that its units come from."""
-    got = unicode.normalized_view(table(spark, sf_dir, "benchmark").select("item_id", "text"), "NFC")
+    got = unicode.normalized_view(planted_docs(spark, sf_dir), "NFC")
     n = F.aggregate("units", F.lit(0).cast("bigint"), lambda a, u: a + F.aggregate(u["spans"], F.lit(0).cast("bigint"), lambda b, s: b + s["length"]))
-    return got.select("item_id", F.octet_length("normalized").cast("bigint").alias("n_bytes"), n.alias("n_source"))
+    return got.select("doc_id", F.octet_length("normalized").cast("bigint").alias("n_bytes"), n.alias("n_source"), F.size("units").cast("bigint").alias("n_units"))
 
 
 # --- lexing and parts ---------------------------------------------------------------------------
@@ -353,9 +391,24 @@ def r49_lex_json(spark, sf_dir):
     return lex.lex_totals(table(spark, sf_dir, "events").select("props"), LEX_PROFILES["json"], "props")
 
 
-@query()
+_WORD = "[A-Za-z_[^\\x00-\\x7F]][0-9A-Za-z_[^\\x00-\\x7F]]*".replace("[A-Za-z_[^\\x00-\\x7F]]", "(?:[A-Za-z_]|[^\\x00-\\x7F])").replace("[0-9A-Za-z_[^\\x00-\\x7F]]", "(?:[0-9A-Za-z_]|[^\\x00-\\x7F])")
+_STRING = '"(?:\\\\[\\s\\S]|[^"\\\\])*"|"[\\s\\S]*|\'\'(?:\\\\[\\s\\S]|[^\'\'\\\\])*\'\'|\'\'[\\s\\S]*'
+_NUMBER = "[0-9](?:[eEpP][+-]|[0-9A-Za-z_.\'\'])*"
+
+
+def _lex_sql(source: str, columns: str, comment: str, keywords: frozenset[str]) -> str:
+    """columns, t and kind of the tokens of texts without block comments and triple quotes."""
+    pattern = f"\\r\\n|\\r|\\n|[ \\t\\v\\f]+|{comment}[^\\r\\n]*|{_STRING}|{_WORD}|{_NUMBER}|[\\x00-\\x7F]"
+    words = ", ".join(f"'{w}'" for w in sorted(keywords))
+    return f"""SELECT {columns}, t, CASE WHEN regexp_matches(t, '^[\\r\\n]') THEN 2 WHEN regexp_matches(t, '^[ \\t\\v\\f]') THEN 1 WHEN starts_with(t, '{comment}') THEN 7
+  WHEN regexp_matches(t, '^["\'\']') THEN CASE WHEN regexp_full_match(t, '"(?:\\\\[\\s\\S]|[^"\\\\])*"|\'\'(?:\\\\[\\s\\S]|[^\'\'\\\\])*\'\'') THEN 6 ELSE 9 END
+  WHEN t IN ({words}) THEN 4 WHEN regexp_matches(t, '^(?:[A-Za-z_]|[^\\x00-\\x7F])') THEN 3 WHEN regexp_matches(t, '^[0-9]') THEN 5 ELSE 8 END AS kind
+FROM (SELECT {columns}, unnest(regexp_extract_all(text, '{pattern}')) AS t FROM ({source}))"""
+
+
+@query(f"SELECT kind, count(*) AS n_tokens, sum(octet_length(encode(t)))::BIGINT AS n_bytes FROM ({_lex_sql(_DOCS, 'doc_id', '//', LEX_PROFILES['rust'].keywords)}) GROUP BY kind")
 def r49_lex_documents(spark, sf_dir):
-    return lex.lex_totals(documents(spark, sf_dir), LEX_PROFILES["rust"])
+    return lex.lex_totals(planted_docs(spark, sf_dir), LEX_PROFILES["rust"])
 
 
 @query("SELECT part, count(*) AS n FROM (SELECT unnest(regexp_extract_all(c_name, '[0-9]+|[A-Z]?[^0-9A-Z_$]+|[A-Z]+')) AS part FROM customer) GROUP BY part")
@@ -409,27 +462,48 @@ def r55_bit_fields(spark, sf_dir):
 # --- documents, blocks, records -----------------------------------------------------------------
 
 
-@query()
+#: Parts of identifiers, numbers and strings: a number for each kind.
+_CUT = "t"
+for _at, _to in (("([a-z])([A-Z])", "\\1 \\2"), ("([A-Z])([A-Z][a-z])", "\\1 \\2"), ("([^0-9 ])([0-9])", "\\1 \\2"), ("([0-9])([^0-9 ])", "\\1 \\2")):
+    _CUT = f"regexp_replace({_CUT}, '{_at}', '{_to}', 'g')"
+_GROUPS = "'^(0[xXbBoO])?([^.eEpP]*)(?:[.]([^eEpP]*))?(?:([eEpP])([+-])?([\\s\\S]*))?$'"
+_PARTS = f"""CASE kind WHEN 3 THEN len(list_filter(regexp_split_to_array({_CUT}, '[ _$]+'), lambda x: x <> ''))
+  WHEN 5 THEN {" + ".join(f"(regexp_extract(t, {_GROUPS}, {g}) <> '')::INT" for g in range(1, 7))}
+  WHEN 6 THEN 2 + (length(t) > 2)::INT ELSE 0 END"""
+
+
+@query(oracles.tokens_sql(_DOCS, "doc_id", f""",
+m AS (SELECT doc_id, sum(n * len(ids)) AS m FROM segs JOIN solved USING (seg) GROUP BY doc_id),
+lexed AS (SELECT doc_id, count(*) AS x, sum({_PARTS}) AS y FROM ({_lex_sql(_DOCS, "doc_id", "#", LEX_PROFILES["python"].keywords)}) GROUP BY doc_id),
+seen AS (SELECT doc_id, n1 + n2 + n5 AS f FROM ({_findings_sql(_DOCS, "doc_id")}))
+SELECT doc_id, 0 AS status, octet_length(encode(text)) AS n_bytes, sha256(text) AS source_sha256, coalesce(m, 0)::INT AS n_tokens, length_grapheme(text)::INT AS n_graphemes,
+  f::INT AS n_findings, length(nfc_normalize(text))::INT AS n_units, coalesce(x, 0)::INT AS n_lexical, coalesce(y, 0)::INT AS n_semantic
+FROM src LEFT JOIN m USING (doc_id) LEFT JOIN lexed USING (doc_id) JOIN seen USING (doc_id)""", "en"))
 def r56_token_documents(spark, sf_dir):
     """Sizes of all projections of each document."""
-    made = document.token_documents(documents(spark, sf_dir), engine("en", lexer="python"), ALL)
+    made = document.token_documents(planted_docs(spark, sf_dir), engine("en", lexer="python"), ALL)
     return document.document_info(made, ALL).select("doc_id", "status", "n_bytes", "source_sha256", "n_tokens", "n_graphemes", "n_findings", "n_units", "n_lexical", "n_semantic")
 
 
-@query()
+@query(f"""SELECT doc_id, count(*) AS n, sum(octet_length(encode(g)))::BIGINT AS n_bytes
+FROM (
+  SELECT doc_id, substring_grapheme(s, k, 1) AS g FROM (SELECT doc_id, s, unnest(range(1, length_grapheme(s) + 1)) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[\\x00-\\x7F]?[^\\x00-\\x7F]+')) AS s FROM ({_DOCS}))))
+WHERE octet_length(encode(g)) > 1 GROUP BY doc_id""")
 def r58_projections(spark, sf_dir):
     """Graphemes of longer than one byte, read from documents as rows."""
-    made = document.token_documents(documents(spark, sf_dir), engine("en"), MODEL | GRAPHEMES)
+    made = document.token_documents(planted_docs(spark, sf_dir), engine("en"), MODEL | GRAPHEMES)
     rows = made.select("doc_id", F.explode(F.filter("graphemes", lambda g: g["length"] > 1)).alias("g"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("g.length").alias("n_bytes"))
 
 
-POLICY = BlockPolicy(64, 256, 1024, 4096)
 
 
-@query()
+
+@query(oracles.blocks_sql(_DOCS, "doc_id", POLICY, """SELECT doc_id, count(*) AS n_blocks, max(macros + (total > 0)::INT)::INT AS n_macroblocks, sum(n)::BIGINT AS n_bytes, max(n) AS largest
+FROM plan GROUP BY doc_id"""))
 def r59_block_plan(spark, sf_dir):
-    got = document.blocks(documents(spark, sf_dir), engine(), POLICY, ["doc_id"])
+    got = document.blocks(planted_docs(spark, sf_dir), engine(), POLICY, ["doc_id"])
     return got.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), (F.max("macroblock") + 1).alias("n_macroblocks"), F.sum("length").alias("n_bytes"), F.max("length").alias("largest"))
 
 
@@ -441,10 +515,11 @@ def r60_packed(spark, sf_dir):
     return got.select("doc_id", "unpack_status", "source_length", (F.col("ids") == F.col("fresh")).alias("exact"))
 
 
-@query()
+@query(oracles.blocks_sql(_DOCS, "doc_id", POLICY, """, b AS (SELECT n, count(*) AS n_blocks FROM plan JOIN hexed USING (doc_id) GROUP BY n, array_to_string(h[begin + 1:begin + n], ''))
+SELECT n_blocks, count(*) AS n_keys, sum(n)::BIGINT AS n_bytes FROM b GROUP BY n_blocks"""))
 def r61_block_cache_keys(spark, sf_dir):
     """Blocks that occur in several documents, by the size of their groups."""
-    keys = document.with_cache_keys(document.blocks(documents(spark, sf_dir), engine(), POLICY, ["doc_id"]), 7, 1)
+    keys = document.with_cache_keys(document.blocks(planted_docs(spark, sf_dir), engine(), POLICY, ["doc_id"]), 7, 1)
     return document.distinct_blocks(keys).groupBy("n_blocks").agg(F.count("*").alias("n_keys"), F.sum("length").alias("n_bytes"))
 
 
@@ -487,9 +562,10 @@ def r69_stream_equals_whole(spark, sf_dir):
     return a.join(b, "key").select(F.col("key").alias("conv_id"), "n_bytes", (F.col("ids_sha256") == F.col("other")).alias("equal"))
 
 
-@query()
+@query(oracles.tokens_sql(f"SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM ({_TURNS}) GROUP BY conv_id", "conv_id", """
+SELECT conv_id, sum(n * len(ids))::BIGINT AS n_tokens, sum(n * length(seg) // 2)::BIGINT AS n_bytes FROM segs JOIN solved USING (seg) GROUP BY conv_id""", "en"))
 def r70_online_tokens(spark, sf_dir):
-    got = replay.online(table(spark, sf_dir, "conversations"), engine("en"), "conv_id", "turn")
+    got = replay.online(planted_turns(spark, sf_dir), engine("en"), "conv_id", "turn")
     return got.groupBy(F.col("key").alias("conv_id")).agg(F.count("*").alias("n_tokens"), F.sum("length").alias("n_bytes"))
 
 
@@ -632,9 +708,11 @@ def r12_archive_test(spark, sf_dir):
     return archive.test(rows)
 
 
-@query()
+@query("SELECT unnest(['gzip', 'zlib', 'bz2', 'lzma']) AS codec, sum(octet_length(encode(text)))::BIGINT AS n_bytes, true AS smaller FROM documents")
 def r13_codec_sizes(spark, sf_dir):
-    return archive.codec_sizes(documents(spark, sf_dir), "text", ("gzip", "zlib"))
+    """Bytes of all documents, and whether each codec makes them fewer."""
+    got = archive.codec_sizes(documents(spark, sf_dir), "text")
+    return got.select("codec", "n_bytes", (F.col("packed_bytes") < F.col("n_bytes")).alias("smaller"))
 
 
 @query("SELECT * FROM (VALUES ('bpe', 0, 3, 261, 1), ('viterbi', 0, 3, 275, 0), ('zero', 3, -1, -1, -1)) AS t(path, pack_status, n_sections, n_entries, algorithm)")
@@ -643,3 +721,6 @@ def r07_inspect_packs(spark, sf_dir):
     got = readers.inspect_packs(spark.createDataFrame(files, "path string, source binary"))
     n = F.when(F.col("sections").isNotNull(), F.size("sections")).otherwise(-1)
     return got.select("path", "pack_status", n.alias("n_sections"), F.coalesce("n_entries", F.lit(-1)).alias("n_entries"), F.coalesce("algorithm", F.lit(-1)).alias("algorithm"))
+
+
+from . import state_queries  # noqa: E402, F401  registers its queries

@@ -7,7 +7,7 @@ import pytest
 from glyphline import queries as q
 from glyphline.kernels import lexer, text
 from glyphline.kernels.encode import Encoder
-from glyphline.kernels.vocab import LEX_PROFILES, base_language, base_vocabulary, raw_bpe_vocabulary
+from glyphline.kernels.vocab import LEX_PROFILES, base_detector, base_language, base_vocabulary, raw_bpe_vocabulary
 from tests.conftest import compare_with_duckdb
 
 FOLDER = "/root/testdata/sf0.001"
@@ -20,7 +20,9 @@ def test_sql(spark, name):
 
 
 def _texts(spark, name="documents", *keys):
-    return [tuple(r) for r in q.table(spark, FOLDER, name).select(*(keys or ("doc_id",)), "text").collect()]
+    """Keys and texts that the queries see: whole tables with what is planted behind each text."""
+    rows = q.planted_docs(spark, FOLDER) if name == "documents" else q.planted_turns(spark, FOLDER)
+    return [tuple(r) for r in rows.select(*(keys or ("doc_id",)), "text").collect()]
 
 
 def test_counts_of_tokens(spark):
@@ -49,11 +51,13 @@ def test_tokens_of_documents(spark):
 def test_routed_encoding(spark):
     a = {(r.conv_id, r.turn): r.n_tokens for r in q.r34_encode_auto(spark, FOLDER).collect()}
     assert a == {(r.conv_id, r.turn): r.n_tokens for r in q.r35_tokens_auto(spark, FOLDER).collect()}
-    plain = Encoder(base_vocabulary())
+    found = base_detector()
+    encoders = {tag: Encoder(base_vocabulary(), dict(base_language(tag).deltas) if tag else {}) for tag in (None, "en", "hi", "ja")}
     spans = {(r.conv_id, r.turn): r.n_tokens for r in q.r36_encode_span_auto(spark, FOLDER).collect()}
     for c, t, source in _texts(spark, "conversations", "conv_id", "turn"):
-        data = (source or "").encode()
-        assert spans[c, t] == sum(len(plain.encode(data[s : s + n])[0]) for _, s, n in text.routes(data))
+        data = source.encode()
+        parts = [(kind, data[s : s + n]) for kind, s, n in text.routes(data)]
+        assert spans[c, t] == sum(len(encoders[found.detect(x)[3] if kind else None].encode(x)[0]) for kind, x in parts)
 
 
 def test_unicode_and_lexing(spark):
@@ -85,4 +89,4 @@ def test_documents_and_blocks(spark):
         total[c] = total.get(c, 0) + len((t or "").encode())
     assert got == {c: n for c, n in total.items() if n}
     assert all(r.reprocessed + r.reused_prefix + r.reused_suffix >= r.length for r in q.r73_resync_savings(spark, FOLDER).collect())
-    assert all(0 < r.packed_bytes < r.n_bytes for r in q.r13_codec_sizes(spark, FOLDER).collect())
+    assert all(r.smaller for r in q.r13_codec_sizes(spark, FOLDER).collect())
