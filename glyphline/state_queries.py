@@ -30,7 +30,7 @@ def _header():
     return fn
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) % 2 = 0 THEN 0 ELSE 3 END AS header_status, CASE WHEN octet_length(encode(text)) % 2 = 0 THEN doc_id % 7 END AS sections FROM documents")
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) % 2 = 0 THEN 0 ELSE 3 END AS header_status, CASE WHEN octet_length(encode(text)) % 2 = 0 THEN doc_id % 7 ELSE -1 END AS sections FROM documents")
 def r03_test_headers(spark, sf_dir):
     """A short header before each text; those of texts of an odd size name a wrong length."""
     le = lambda n, size: F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(n), 2 * size, "0"), F.lit("(..)"))), ""))
@@ -38,7 +38,7 @@ def r03_test_headers(spark, sf_dir):
     n = F.octet_length(data)
     head = F.concat(F.lit(bytearray(packs.MAGIC)), le(F.lit(1), 2), le(F.lit(0), 2), le(F.lit(32), 2), le(F.lit(1), 2), le((n + 32 + n % 2).cast("bigint"), 8), le(F.col("doc_id") % 7, 4), le(F.lit(0), 4))
     rows = documents(spark, sf_dir).select("doc_id", F.concat(head, data).alias("source"))
-    return with_kernel(rows, "source", "header_status int, sections bigint, test boolean", _header).select("doc_id", "header_status", "sections")
+    return with_kernel(rows, "source", "header_status int, sections bigint, test boolean", _header).select("doc_id", "header_status", F.coalesce("sections", F.lit(-1)).alias("sections"))
 
 
 #: SHA-256 of the containers of the built-in languages; fixed values.
@@ -224,7 +224,7 @@ def _folder(spark, name: str) -> str:
     return f"{(shared or tempfile.mkdtemp(prefix='glyphline-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT concat('d/', doc_id) AS path, true AS restored, octet_length(encode(text)) AS n_bytes FROM documents WHERE text IS NOT NULL AND doc_id % 4 <> 3 UNION ALL SELECT concat('d/', doc_id), false, NULL FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 3")
+@query("SELECT concat('d/', doc_id) AS path, true AS restored, octet_length(encode(text)) AS n_bytes FROM documents WHERE text IS NOT NULL AND doc_id % 4 <> 3 UNION ALL SELECT concat('d/', doc_id), false, -1 FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 3")
 def r11_archive_restore(spark, sf_dir):
     """Documents as archive entries written to files, but for those that don't agree with their CRC."""
     root, report = _folder(spark, "restored"), _folder(spark, "report")
@@ -235,4 +235,4 @@ def r11_archive_restore(spark, sf_dir):
     done = spark.read.parquet(report).select("path", "restored")
     written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     sizes = written.select(F.regexp_extract("path", r"(d/[0-9]+)$", 1).alias("path"), F.col("length").alias("n_bytes"))
-    return done.join(sizes, "path", "left")
+    return done.join(sizes, "path", "left").select("path", "restored", F.coalesce("n_bytes", F.lit(-1)).alias("n_bytes"))
