@@ -19,7 +19,11 @@ _loaded: dict[tuple[str, str], Codec] = {}
 
 
 class Codec:
-    """Encoder and decoder of one rank table (base64 surface and rank on each line)."""
+    """Encoder and decoder of one rank table (base64 surface and rank on each line).
+
+    The pattern has to match every character of a text, as those of byte-level BPE do, and may not
+    look behind a match's start or more than two characters beyond its end.
+    """
 
     def __init__(self, ranks: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         import regex
@@ -38,42 +42,61 @@ class Codec:
         self._length = np.fromiter((len(surface.get(i, b"")) for i in range(size)), np.int64, size)
         self._start = np.concatenate(([0], np.cumsum(self._length)))[:-1]
 
-    def _spans(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
-        """Pre-tokens of text[a:b] on its own, as spans of text."""
-        return [(m.start() + a, m.end() + a) for m in self.find(text[a:b])]
+    def cuts(self, n: int) -> list[tuple[int, int]]:
+        """Chunks of a text of n characters; each but the first begins ``overlap`` before the end of the one before."""
+        return [(max(0, a - self.overlap), min(n, a + self.chunk)) for a in range(0, max(n, 1), self.chunk)]
 
-    def pretokens(self, text: str) -> list[str]:
-        """The matches of the pattern in text, found chunk by chunk.
+    def boundaries(self, piece: str) -> np.ndarray:
+        """Where the matches of the pattern begin in a chunk, and the end of the last; the chunk alone decides."""
+        ends = np.array([0, *(m.end() for m in self.find(piece))], np.int64)
+        if ends[-1] != len(piece):
+            raise ValueError("the pattern doesn't match every character")
+        return ends
+
+    def stitch(self, cuts: list[tuple[int, int]], found: list[np.ndarray], again) -> np.ndarray:
+        """Where the text's pre-tokens begin, and its end, from those of its chunks.
 
-        Each chunk but the first begins ``overlap`` characters before the end of the one before it.
         A pre-token depends on nothing before its start, so that from the first place in the
         overlap at which both chunks begin a pre-token the later chunk is right. The earlier chunk
         is trusted up to its last match but one, which ends before the chunk does. Where no place
-        is common (a pre-token longer than the overlap), the later chunk is found anew from the
-        last trusted place on, and is longer by as much.
+        is common (a pre-token longer than the overlap), the text is found again, by again(a, b),
+        from the last trusted place on, in a piece that doubles until it has a second match.
+        """
+        (_, end), now = cuts[0], found[0] + cuts[0][0]
+        out = []
+        for (left, stop), later in zip(cuts[1:], found[1:], strict=True):
+            if stop <= end:
+                continue
+            later = later + left
+            # matches that touch the chunk's end, or that its end could have changed, aren't trusted
+            starts, ends = now[:-1], now[1:]
+            trusted = starts[: max(1, int(np.searchsorted(ends, end - 1)) + 1)]
+            meet = np.isin(later[:-1], trusted)
+            if meet.any():
+                at = int(later[:-1][meet][0])
+            else:
+                at, size = int(trusted[-1]), stop - int(trusted[-1])
+                while True:
+                    stop = min(cuts[-1][1], at + size)
+                    later = again(at, stop) + at
+                    if later[1] < stop - 1 or stop == cuts[-1][1]:
+                        break
+                    size *= 2
+            out.append(starts[starts < at])
+            now, end = later[later >= at], stop
+        return np.concatenate([*out, now])
+
+    def pretokens(self, text: str) -> list[str]:
+        """The matches of the pattern in text; those of a text of several chunks are stitched.
+
+        The chunks are cut up front and each is pre-tokenised on its own; see ``encode_long`` for
+        texts whose chunks are dealt over tasks.
         """
         if len(text) <= self.chunk:
             return [m.group() for m in self.find(text)]
-        out: list[str] = []
-        begin, n = 0, len(text)
-        end = min(n, begin + self.chunk)
-        spans = self._spans(text, begin, end)
-        while end < n:
-            # matches that touch the chunk's end, or that its end could have changed, aren't trusted
-            trusted = [s for s in spans if s[1] < end - 1]
-            starts = {s[0] for s in trusted} | ({trusted[-1][1]} if trusted else {spans[0][0]})
-            left = max(begin + 1, end - self.overlap)
-            stop = min(n, left + self.chunk)
-            later = self._spans(text, left, stop)
-            meet = next((k for k, s in enumerate(later) if s[0] in starts), None)
-            if meet is None:
-                left = trusted[-1][1] if trusted else spans[0][0]
-                stop = min(n, end + max(self.chunk, end - left))  # doubled, so that long pre-tokens cost no squares
-                later, meet = self._spans(text, left, stop), 0
-            at = later[meet][0]
-            out += [text[a:b] for a, b in trusted if b <= at]
-            spans, begin, end = later[meet:], at, stop
-        return out + [text[a:b] for a, b in spans]
+        cuts = self.cuts(len(text))
+        at = self.stitch(cuts, [self.boundaries(text[a:b]) for a, b in cuts], lambda a, b: self.boundaries(text[a:b])).tolist()
+        return [text[a:b] for a, b in zip(at, at[1:])]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
