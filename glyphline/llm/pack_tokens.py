@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .byte_bpe import _share, _slices, codec, texts
 
-#: Ids of a row; ids that one buffer holds before it is packed.
-CAPACITY, BUFFER = 2048, 1 << 21
+#: Ids of a row; ids that one buffer holds before it is packed; bytes of text of a shard, about.
+CAPACITY, BUFFER, SHARD_BYTES = 2048, 1 << 21, 16 << 20
 
 
 class CapacityTree:
@@ -61,7 +62,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, eos: int | None = None, pad: int = 0, buffer: int = BUFFER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_count(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
+    """How many shards the texts' bytes make; the texts alone decide."""
+    total = docs.select(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(1, -(-total // shard_bytes))
+
+
+def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, eos: int | None = None, pad: int = 0, buffer: int = BUFFER, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of packed token ids.
 
     Columns: shard int and row int (the row's place), ids binary (``capacity`` little-endian
@@ -73,24 +80,40 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACIT
     A document's ids, with ``eos`` behind them if given, are one segment; a longer document is cut
     into segments of ``capacity`` ids and a rest, so that its pieces in order give all its ids.
     Segments are packed by best-fit decreasing, the bin being found in a segment tree over free
-    room. Packing is map-only: each task packs its own documents, in buffers of about ``buffer``
-    ids, so that memory is bounded and no token crosses the network; a task that runs again packs
-    the same rows. ``shard`` is the number of the task's partition.
+    room.
+
+    A document's shard is a hash of its id and text (so that an id of a third of all rows is dealt
+    over all shards), and a shard's documents are packed in the order of another hash, then of id
+    and text, in buffers of about ``buffer`` ids. The rows thus depend on the documents and on
+    ``shards`` (by default ``shard_count``) alone, not on how a table is split or on which task
+    runs again. Documents are encoded where they are read; only their ids cross the network.
+    What room is left is in ``utilisation``.
 
     Null and empty texts have no segment. Null ids stay null in doc_ids. Repeated rows are packed
-    each. An empty table gives an empty result. Other columns aren't used.
+    each; segments of equal length keep that order. An empty table gives an empty result. Very
+    long texts are segments of several rows. Other columns aren't used, whatever their names.
     """
     shared = _share(docs.sparkSession, ranks_path)
     top = max(pad, eos or 0)
+    count = shards or shard_count(docs, text_col)
 
-    def run(batches):
+    def encode(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
         c = codec(shared.value, pattern)
         kind = "<u2" if max(top, max(c.ranks.values(), default=0)) < 1 << 16 else "<u4"
-        end = np.full(1, eos, kind) if eos is not None else np.zeros(0, kind)
-        shard, row = TaskContext.get().partitionId(), 0
+        end = np.full(1, eos, kind).tobytes() if eos is not None else b""
+        for whole in batches:
+            for part in _slices(whole, 3):
+                ids = [c.encoding.encode_to_numpy(t).astype(kind).tobytes() + end for t in texts(part.column(3))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.binary())], ["shard", "doc", "place", "ids"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        c = codec(shared.value, pattern)
+        kind = np.dtype("<u2" if max(top, max(c.ranks.values(), default=0)) < 1 << 16 else "<u4")
+        shard, row = None, 0
         held: list[np.ndarray] = []
         whose: list[tuple[int | None, int]] = []
         size = 0
@@ -127,11 +150,12 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACIT
             size = 0
 
         for whole in batches:
-            for part in _slices(whole, 1):
-                for doc, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                    if not text:
-                        continue
-                    ids = np.concatenate((c.encoding.encode_to_numpy(text).astype(kind), end))
+            for part in _slices(whole, 2):
+                for now, doc, packed in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    if now != shard:
+                        yield from flush()
+                        shard, row = now, 0
+                    ids = np.frombuffer(packed, kind)
                     for piece, a in enumerate(range(0, len(ids), capacity)):
                         held.append(ids[a : a + capacity])
                         whose.append((doc, piece))
@@ -141,7 +165,18 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACIT
         yield from flush()
 
     schema = "shard int, row int, ids binary, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>"
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("text <> ''")
+    shard = F.pmod(F.xxhash64("doc", "text"), F.lit(count)).cast("int")
+    rows = rows.select(shard.alias("shard"), "doc", F.xxhash64("text", "doc", F.lit(29)).alias("place"), "text")
+    rows = rows.mapInArrow(encode, "shard int, doc long, place long, ids binary")
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "place", "doc", "ids")
+    return rows.select("shard", "doc", "ids").mapInArrow(run, schema)
+
+
+def utilisation(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(shard, n_rows, n_tokens, used): the share of each shard's room that holds tokens."""
+    out = packed.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("n_tokens"))
+    return out.withColumn("used", F.col("n_tokens") / (F.col("n_rows") * capacity))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

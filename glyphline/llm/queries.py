@@ -18,7 +18,8 @@ URL_RULES = [
 #: Path of the rank file and pattern; None: those of the public_tokenizers package.
 RANKS_PATH: str | None = None
 PATTERN: str | None = None
-EOS = 50256
+#: Ends a document; fills a row (an id beyond the vocabulary).
+EOS, PAD = 50256, 50257
 
 
 def tokenizer() -> tuple[str, str]:
@@ -60,7 +61,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_tokens.pack(table(spark, sf_dir, "documents"), *tokenizer(), eos=EOS, pad=EOS)
+    return pack_tokens.pack(table(spark, sf_dir, "documents"), *tokenizer(), eos=EOS, pad=PAD)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
