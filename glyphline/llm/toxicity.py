@@ -2,11 +2,14 @@
 
 A model gives the probability of a word letter by letter (bytes within the word, up to ``ORDER``
 at a time), so that spellings and endings that were never seen still have the probability of their
-stem. After each context a class has its own discounted counts, and backs off to a Kneser-Ney model
-of both classes together (absolute discounting, continuation counts in the lower orders), so that
-what is rare in either class is about as likely in both. A text's evidence is its log-likelihood ratio,
-normalised by its length; a logistic curve, fitted on labelled rows that the models haven't seen,
-turns it into a score.
+stem. After each context a class has its own counts, absolutely discounted, and backs off to a
+Kneser-Ney model of both classes together (absolute discounting, continuation counts in the lower
+orders), so that what is rare in either class is about as likely in both. What the class level backs
+off by is the discounted mass and ``STRENGTH`` counts more, a Dirichlet prior that plain Kneser-Ney
+smoothing hasn't; the classes share the lower orders instead of each having its own. A text's evidence
+is the difference of its two log-likelihoods, each distinct word counting once, over the square root
+of the number of these words, which is how a sum of so many words varies; one rising logistic curve,
+fitted on labelled rows that the models haven't seen, turns it into a score.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ SHARE = 0.02
 TOXIC_ROWS, ORDINARY_ROWS = 4000, 8000
 #: Distinct words that are counted at a time.
 WORDS = 1 << 17
+#: Words whose ratios a worker remembers at most.
+MEMORY = 1 << 20
 #: Bytes of text that are scored at a time.
 SLICE = 1 << 20
 THRESHOLD = 0.3
@@ -83,6 +88,7 @@ class Models:
 
     def __init__(self, words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER):
         self.order = order
+        self._known, self._ratio = np.zeros(0, np.uint64), np.zeros(0)
         none = np.zeros(0, np.uint64)
         self.keys, self.counts, self.pooled = [none] * order, [np.zeros((2, 0))] * order, []
         for first in range(0, len(words), WORDS):  # a part of the words at a time, to bound memory
@@ -155,6 +161,22 @@ class Models:
         ratio[place == 0] = 0
         return np.bincount(word, ratio, len(starts))
 
+    def remembered(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """word_ratios of words whose sorted, distinct hashes are known; what was asked before is looked up."""
+        at = np.searchsorted(self._known, keys)
+        at[at == len(self._known)] = 0
+        new = np.flatnonzero(self._known[at] != keys) if len(self._known) else np.arange(len(keys))
+        out = self._ratio[at] if len(self._known) else np.zeros(len(keys))
+        if len(new):
+            out[new] = self.word_ratios(data, starts[new], ends[new])
+            if len(self._known) + len(new) > MEMORY:
+                self._known, self._ratio = keys[:MEMORY], out[:MEMORY]
+            else:
+                known = np.concatenate((self._known, keys[new]))
+                order = np.argsort(known, kind="stable")
+                self._known, self._ratio = known[order], np.concatenate((self._ratio, out[new]))[order]
+        return out
+
     def evidence(self, column) -> np.ndarray:
         """(log-likelihood difference, number of words) of each text's distinct words.
 
@@ -164,8 +186,8 @@ class Models:
         data, offsets = text_buffer(column)
         low = fold_case(data)
         starts, ends, first = word_spans(_LETTER[low], offsets)
-        _, one, inverse = np.unique(hash_words(low, starts, ends), return_index=True, return_inverse=True)
-        ratio = self.word_ratios(low, starts[one], ends[one])
+        keys, one, inverse = np.unique(hash_words(low, starts, ends), return_index=True, return_inverse=True)
+        ratio = self.remembered(keys, low, starts[one], ends[one])
         ratio = np.log1p(SHARE * np.expm1(np.minimum(ratio, 30)))
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
         doc, word = np.divmod(np.unique(doc * max(1, len(one)) + inverse), max(1, len(one)))
@@ -174,9 +196,9 @@ class Models:
 
 
 def _features(evidence: np.ndarray) -> np.ndarray:
-    """The difference normalised by length: for each word, for the square root of words, and whole."""
+    """One, and the difference over the square root of the number of words."""
     total, n = evidence[:, 0], np.maximum(evidence[:, 1], 1)
-    return np.stack((np.ones(len(n)), total / n, total / np.sqrt(n), np.clip(total, -20, 20), np.log(n)), 1)
+    return np.stack((np.ones(len(n)), total / np.sqrt(n)), 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -286,7 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
         return Scorer(None, None, prior)
     x = _features(np.stack((np.asarray(seen.column("total")), np.asarray(seen.column("n"))), 1))
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    return Scorer(models, _logistic(x, y, weight), prior)
+    beta = _logistic(x, y, weight)
+    if beta[1] <= 0:  # the curve never falls: without use of the evidence it is flat
+        beta = np.array([np.log(prior / (1 - prior)), 0.0])
+    return Scorer(models, beta, prior)
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -328,6 +353,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """docs that aren't predicted toxic, with the columns they came with; all where nothing could be learned."""
     scorer = fit(docs, labels, **bounds)
-    if scorer.models is None:
+    if scorer.models is None or not scorer.beta[1]:
         return docs
     return score(docs, scorer).where("predicted = 0").select(docs.columns)
