@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import _share, _slices, codec, texts
 
 #: Ids of a row; ids that one buffer holds before it is packed; bytes of text of a shard, about.
-CAPACITY, BUFFER, SHARD_BYTES = 2048, 1 << 21, 16 << 20
+CAPACITY, BUFFER, SHARD_BYTES = 2048, 1 << 21, 4 << 20
 
 
 class CapacityTree:
