@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as entities
 import re
@@ -19,8 +20,16 @@ from .url_filter import url_host
 BLOCK = 32
 #: Fewer pages are too few to tell a template from copies by numbers alone.
 FEW = 4
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^<]*\Z", re.S)
+#: Tokens that fewer than one page in so many have, and slots of less than one in so many of the best's text, don't count.
+RARE = 20
+
+# a tag ends at the first > outside of quotes; values with a < in them are short, so that marks that are
+# never closed cost no more than a look around each
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/><]*+)"
+    r"(?P<attrs>(?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+(?=>)|(?:[^>\"'<]|\"[^\"]{0,4096}\"|'[^']{0,4096}'){0,4096}+(?=>)|[^><]*+(?=>))>|</?[a-zA-Z][^<]*\Z",
+    re.S,
+)
 _ATTR = re.compile(r"""([a-zA-Z][\w-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _RAW = frozenset("script style textarea title noscript template xmp".split())
 #: Elements whose text is never the article's.
@@ -57,27 +66,32 @@ def tokenize(html: str) -> list[Token]:
         if m.start() > at:
             out.append(Token("text", text=html[at : m.start()]))
         at = m.end()
-        if m[2] is None:
+        if m["name"] is None:
             continue
-        name = m[2].lower()
-        if m[1]:
+        name = m["name"].lower()
+        if m["end"]:
             out.append(Token("end", name, f"</{name}>"))
             continue
-        attrs = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(m[3])} if m[3] else {}
+        attrs = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
         labels = [attrs.get(k, "") for k in ("class", "id", "role")]
         roles = set(labels[2].split())
         main = next((x for x in ("article", "main") if name == x or x in roles), "")
-        boiler = name in _OUT or bool(roles & _BOILER_ROLE) or attrs.get("aria-hidden") == "true" or "hidden" in m[3].lower().split()
+        boiler = name in _OUT or bool(roles & _BOILER_ROLE) or attrs.get("aria-hidden") == "true" or "hidden" in m["attrs"].lower().split()
         boiler = boiler or (name not in ("html", "body", "article", "main") and any(_BOILER.search(x) for x in labels[:2] if x))
         out.append(Token("start", name, f"<{name} {' '.join(labels)}>".replace("   >", ">"), main=main, boiler=boiler))
         if name in _RAW:
-            end = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(html, at)
+            end = _raw_end(name).search(html, at)
             stop = end.start() if end else n
             out += [Token("raw", name, text=html[at:stop]), Token("end", name, f"</{name}>")]
-            at = end.end() if end else n
+            at = html.find(">", stop) + 1 or n
     return out
 
 
+@functools.lru_cache(64)
+def _raw_end(name: str):
+    return re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I)
+
+
 def _plain(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
@@ -91,20 +105,20 @@ def page_keys(tokens: list[Token]) -> list[int]:
 
     A text's key is of its words and of the name of the element that holds it.
     """
-    stack: list[tuple[str, bool, bool]] = []
+    now = Open()
     out = []
     for t in tokens:
         key = 0
         if t.kind == "text":
             words = _plain(t.text)
             if words:
-                key = _hash(f"{stack[-1][0] if stack else ''}#{words}") | 1
+                key = _hash(f"{now.top()[0]}#{words}") | 1
         elif t.kind == "start":
             key = _hash(t.role) & ~1 or 2
-            _open(stack, t, "")
+            now.start(t)
         elif t.kind == "end":
             key = _hash(t.role) & ~1 or 2
-            _close(stack, t.name)
+            now.end(t.name)
         out.append(key)
     return out
 
@@ -142,15 +156,18 @@ def _rising(places: list[int]) -> list[int]:
 
 def _agreed(orders: list[list[int]], need: int) -> list[int]:
     """The tokens of the orders in one order, without those that stand elsewhere on too many pages."""
-    placed = list(max(orders, key=len))
-    known = set(placed)
+    longest = max(orders, key=len)
+    after = dict(zip([0, *longest], [*longest, 0], strict=True))  # 0: the beginning and the end
     for order in orders:
-        before = None
+        before = 0
         for k in order:
-            if k not in known:
-                placed.insert(0 if before is None else placed.index(before) + 1, k)
-                known.add(k)
+            if k not in after:
+                after[k], after[before] = after[before], k
             before = k
+    placed, k = [], after[0]
+    while k:
+        placed.append(k)
+        k = after[k]
     at = {k: i for i, k in enumerate(placed)}
     fits = Counter()
     for order, n in Counter(map(tuple, orders)).items():
@@ -206,11 +223,113 @@ def deduce(pages: list[tuple[int, ...]], sizes: dict[int, int]) -> dict[int, tup
     return found
 
 
+#: Elements whose places in the page are the template's; the text of others belongs to the one around them.
+_DIVISIONS = frozenset("div section article main aside nav header footer form td".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+class Division:
+    """A place for text: its path of elements, each with its labels and its number among its like."""
+
+    __slots__ = ("key", "parent", "label", "number", "like", "chars", "links", "parts", "out", "start")
+
+    def __init__(self, parent: Division | None = None, label: int = 0, out: bool = False, start: int = -1):
+        self.parent, self.label, self.out, self.start = parent, label, out, start
+        self.like: Counter[int] = Counter()
+        self.number = parent.like[label] if parent else 0
+        if parent:
+            parent.like[label] += 1
+        self.key = _hash(f"{parent.key} {label} {self.number}") if parent else 0
+        self.chars = self.links = 0
+        self.parts: list[str] = []
+
+
+class Open:
+    """The open elements: of each its name, whether it is in the main part, whether left out, its division."""
+
+    def __init__(self, wanted: str = ""):
+        self.root = Division()
+        self.wanted = wanted
+        self.stack: list[tuple[str, bool, bool, Division]] = []
+        self.names: Counter[str] = Counter()
+
+    def top(self) -> tuple[str, bool, bool, Division]:
+        return self.stack[-1] if self.stack else ("", not self.wanted, False, self.root)
+
+    def _cut(self, i: int) -> None:
+        for name, *_ in self.stack[i:]:
+            self.names[name] -= 1
+        del self.stack[i:]
+
+    def start(self, t: Token, at: int = -1) -> Division | None:
+        """Open an element; its division if it is one."""
+        if t.name in _VOID:
+            return None
+        if t.name == "p" and self.names["p"] > 0:  # a paragraph ends one that is open
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] == "p":
+                    self._cut(i)
+                    break
+                if self.stack[i][0] in _BLOCKS:
+                    break
+        _, main, out, around = self.top()
+        boiler = t.boiler or (t.name == "header" and not (main and self.wanted))
+        own = Division(around, _hash(_DIGITS.sub("#", t.role)), out or boiler, at) if t.name in _DIVISIONS else around
+        self.stack.append((t.name, main or (bool(t.main) and self.wanted in (t.main, "any")), out or boiler, own))
+        self.names[t.name] += 1
+        return own if own is not around else None
+
+    def end(self, name: str) -> None:
+        if self.names[name] <= 0:
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == name:
+                self._cut(i)
+                break
+            if self.stack[i][0] in ("article", "main", "body") and name not in ("body", "html", "main"):
+                break  # a stray end tag doesn't end what it stands in
+
+
+_DIGITS = re.compile(r"\d+")
+
+
+def divisions(tokens: list[Token]) -> list[Division]:
+    """A page's divisions with their own text: characters, those in links, and what it says."""
+    now = Open()
+    out = [now.root]
+    for i, t in enumerate(tokens):
+        if t.kind == "start":
+            own = now.start(t, i)
+            if own is not None:
+                out.append(own)
+        elif t.kind == "end":
+            now.end(t.name)
+        elif t.kind == "text" and not t.text.isspace():
+            d = now.top()[3]
+            words = " ".join(t.text.split())
+            d.chars += len(words)
+            d.parts.append(words)
+            if now.names["a"] > 0:
+                d.links += len(words)
+    return out
+
+
 class Template:
-    """The texts that a host's pages share: text -> (votes, whether a page has it once, its slots)."""
+    """What a host's pages share.
 
-    def __init__(self, texts: dict[int, tuple[int, bool, list[tuple[int, int]]]]):
-        self.texts = texts
+    texts: text -> (votes, whether a page has it once, its slots). slots: the divisions that hold
+    the pages' own text -> rank, the least first. minor: divisions of most pages that hold little.
+    """
+
+    def __init__(self, texts: dict[int, tuple[int, bool, list[tuple[int, int]]]], slots: dict[int, int] | None = None, minor: frozenset[int] = frozenset()):
+        self.texts, self.slots, self.minor = texts, slots or {}, minor
+
+    def content(self, tokens: list[Token]) -> Division | None:
+        """The page's division of the best rank; one within menus, notices and the like is passed over."""
+        if not self.slots:
+            return None
+        found = [d for d in divisions(tokens) if d.key in self.slots and not d.out]
+        return min(found, key=lambda d: self.slots[d.key], default=None)
 
     def shared(self, keys: list[int]) -> list[int]:
         """For each token of a page 0, or the votes for its being the template's.
@@ -232,93 +351,88 @@ class Template:
         return out
 
 
-def _open(stack: list[tuple[str, bool, bool]], t: Token, wanted: str) -> None:
-    """Put a start tag on the stack of open elements: name, in the main part, left out."""
-    if t.name in _VOID:
-        return
-    if t.name == "p":  # a paragraph ends one that is open
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == "p":
-                del stack[i:]
-                break
-            if stack[i][0] in _BLOCKS:
-                break
-    main, out = stack[-1][1:] if stack else (not wanted, False)
-    boiler = t.boiler or (t.name == "header" and not (main and wanted))
-    stack.append((t.name, main or (bool(t.main) and wanted in (t.main, "any")), out or boiler))
-
-
-def _close(stack: list[tuple[str, bool, bool]], name: str) -> None:
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == name:
-            del stack[i:]
-            break
-        if stack[i][0] in ("article", "main", "body") and name not in ("body", "html", "main"):
-            break  # a stray end tag doesn't end what it stands in
-
-
 def _main_part(tokens: list[Token]) -> str:
     """"article" if the page has one outside of menus, notices and the like, else so "main", else ""."""
-    stack: list[tuple[str, bool, bool]] = []
+    now = Open("any")
     parts = set()
     for t in tokens:
         if t.kind == "start":
-            _open(stack, t, "any")
-            if t.main and t.name not in _VOID and not stack[-1][2]:
+            now.start(t)
+            if t.main and t.name not in _VOID and not now.top()[2]:
                 parts.add(t.main)
         elif t.kind == "end":
-            _close(stack, t.name)
+            now.end(t.name)
     return "article" if "article" in parts else "main" if parts else ""
 
 
 def extract(tokens: list[Token], template: Template | None = None) -> str:
     """The article's blocks, in page order, joined by line feeds.
 
-    Content is what stands in the template's slots. Of it, texts within an element that holds
-    menus, notices and the like are left out and, if the page has article or main elements that
-    aren't within such an element, so is what stands outside them. In an article or main element
-    the template's blocks before its first and after its last block of content are left out; those
-    in between are the article's, as are all where there is no other; templates that fewer than
-    ``FEW`` pages show don't count there. An article's own heading stays.
+    If the template has a slot on the page, content is what stands in it, nested divisions
+    included, and the headings before it in the divisions around it. Where the page's own text
+    stands between its divisions, the slot is the whole page but for the minor divisions. A page
+    without such a slot (of a host of too few pages, or of another layout) goes by its structure:
+    content is its article or main elements, or all of it if it has none. In either case texts
+    within an element that holds menus, notices and the like are left out, and texts that the
+    host's pages share are before the first and after the last block of content; those in between
+    are the article's, as are all where there is no other, and templates that fewer than ``FEW``
+    pages show don't count there. On a whole page shared texts are left out anywhere.
     """
-    wanted = _main_part(tokens)  # articles say more than what holds them
-    stack: list[tuple[str, bool, bool]] = []
+    place = template.content(tokens) if template else None
+    wanted = "" if place else _main_part(tokens)  # articles say more than what holds them
+    whole = not wanted and (place is None or place.parent is None)
+    slot = place.key if place else None
+    around: set[int] = set()
+    d = place.parent if place else None
+    while d is not None:
+        around.add(d.key)
+        d = d.parent
+    now = Open(wanted)
     blocks: list[tuple[str, bool]] = []  # text, whether it holds more than the template's texts
-    now: list[str] = []
+    parts: list[str] = []
     own = False
+    inside = {id(now.root): slot == 0}  # divisions of the slot
 
     def close():
         nonlocal own
-        if now:
-            text = _plain_joined(now)
+        if parts:
+            text = _plain_joined(parts)
             if text:
                 blocks.append((text, own))
-            now.clear()
+            parts.clear()
         own = False
 
     votes = template.shared(page_keys(tokens)) if template and template.texts else [0] * len(tokens)
+    kept = []  # so that ids of divisions stay apart
+    begun = False
     for t, shared in zip(tokens, votes, strict=True):
         if t.kind == "start":
             if t.name in _BLOCKS:
                 close()
             elif t.name == "br":
-                now.append(" ")
-            _open(stack, t, wanted)
+                parts.append(" ")
+            made = now.start(t)
+            if made is not None:
+                kept.append(made)
+                begun = begun or made.key == slot
+                inside[id(made)] = made.key == slot or (inside[id(made.parent)] and not (slot == 0 and made.key in template.minor))
         elif t.kind == "end":
             if t.name in _BLOCKS:
                 close()
-            _close(stack, t.name)
+            now.end(t.name)
         elif t.kind == "text":
-            main, out = stack[-1][1:] if stack else (not wanted, False)
+            name, main, out, d = now.top()
+            if place is not None:
+                main = inside[id(d)] or (not begun and d.key in around and any(now.names[h] > 0 for h in _HEADINGS))
             if main and not out:
                 own = own or not (shared >= FEW or t.text.isspace())
-                if wanted or not shared:
-                    now.append(t.text)
+                if not whole or not shared:
+                    parts.append(t.text)
     close()
-    if wanted:
-        content = [i for i, (_, mine) in enumerate(blocks) if mine]
-        if content:
-            blocks = blocks[content[0] : content[-1] + 1]
+    if not whole:
+        content_at = [i for i, (_, mine) in enumerate(blocks) if mine]
+        if content_at:
+            blocks = blocks[content_at[0] : content_at[-1] + 1]
     return "\n".join(text for text, _ in blocks)
 
 
@@ -378,7 +492,7 @@ def templates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                     yield from batch.slice(a, 512).to_pylist()
 
         for (host, _), group in groupby(stream(), key=lambda r: (r["host"], r["b"])):
-            group = ((tuple(r["keys"]), dict(zip((k for k in r["keys"] if k & 1), r["sizes"]))) for r in group)
+            group = ((tuple(r["keys"]), dict(zip((k for k in r["keys"] if k & 1), r["sizes"], strict=True))) for r in group)
             pages: dict[tuple[int, ...], dict[int, int]] = {}
             for page, sizes in group:  # copies count once
                 pages.setdefault(page, sizes)
@@ -403,11 +517,83 @@ def templates(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     found = materialize(found, "classes")
     total = found.where("key = 0").select("host", F.col("votes").alias("pages"))
     found = found.where("key <> 0").join(total, "host").where((F.col("pages") < FEW) | ((F.col("votes") >= FEW) & (F.col("votes") * 64 >= F.col("pages"))))
-    return materialize(found.groupBy("host").agg(F.collect_list(F.struct("key", "votes", "once", "slots")).alias("texts")), "templates")
+    return found.groupBy("host").agg(F.collect_list(F.struct("key", "votes", "once", "slots")).alias("texts"))
+
 
+def slots(rows: DataFrame) -> DataFrame:
+    """(host, slots: key, rank, and minor: keys) of each host, from (host, html): where its pages differ.
 
-def _template(texts) -> Template:
-    return Template({t["key"]: (t["votes"], t["once"], [(s["a"], s["z"]) for s in t["slots"]]) for t in texts})
+    Divisions are the tokens that are compared: a division's path of elements, with their labels and
+    numbers, is the same token on every page that has it. Tokens of a host that the same pages have
+    (of equal sums of the pages' hashes) are one equivalence class; a class is valid if two pages and
+    one in ``RARE`` have it, and is nested in the class of the division around it. A valid token's slot
+    holds its own text, which is its text outside of nested divisions, if it is not the same on three
+    pages of four. Divisions that are alike and stand around in varying numbers, so that a quarter of
+    their text is in those that not even three pages of four have, are no tokens of their own: their
+    text belongs to the division around them. Slots are ranked by their class's
+    text, then by their own, without links; those of a ``RARE``-th of the host's best are kept.
+    Divisions of three pages of four that hold less than a fifth of it are minor, on hosts of ``FEW`` pages and more.
+
+    One row of 68 bytes for each division and page is shuffled, all else is counted before it is;
+    copies of a page count once.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: set[tuple[str, int]] = set()  # so that copies aren't sent again
+        kinds = [pa.string(), *[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 3]
+        for batch in batches:
+            for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
+                out = []
+                for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    page = _hash(html) if html else 0
+                    if not html or (host, page) in seen:
+                        continue
+                    if len(seen) < 1 << 16:
+                        seen.add((host, page))
+                    for d in divisions(tokenize(html)):
+                        parent = d.parent.key if d.parent else -1
+                        out.append((host, d.key, page, parent, d.label, d.number, _hash("\n".join(d.parts)) if d.parts else 0, d.chars, d.links))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    names = ["host", "key", "page", "parent", "label", "number", "text", "chars", "links"]
+    found = rows.select("host", "html").mapInArrow(run, "host string, key long, page long, parent long, label long, number int, text long, chars long, links long")
+    more = ["parent", "label", "number"]
+    found = found.groupBy("host", "key", "page").agg(*[F.max(c).alias(c) for c in (*more, "text", "chars", "links")])
+    sums = [F.sum(c).alias(c) for c in ("chars", "links")]
+    mark = F.sum(F.pmod(F.col("page"), F.lit((1 << 31) - 1)))
+    found = found.groupBy("host", "key", "text").agg(F.count("*").alias("n"), mark.alias("mark"), *[F.max(c).alias(c) for c in more], *sums)
+    found = found.groupBy("host", "key").agg(F.sum("n").alias("pages"), F.max("n").alias("same"), F.sum("mark").alias("mark"), *[F.max(c).alias(c) for c in more], *sums)
+    found = materialize(found, "divisions")
+    total = found.where("key = 0").select("host", F.col("pages").alias("total"))
+    valid = found.join(total, "host").where(f"pages >= 2 and pages * {RARE} >= total")
+    own = F.when(F.col("same") * 4 < F.col("pages") * 3, F.col("chars") - F.col("links")).otherwise(0)
+    valid = valid.withColumn("own", own)
+    most = valid.where("key <> 0").groupBy("host", "parent", "label").agg(F.max("number").alias("last"), F.max("pages").alias("most"))
+    like = valid.where("key <> 0").join(most.where("last > 0"), ["host", "parent", "label"])
+    seldom = F.sum(F.when(F.col("pages") * 4 < F.col("most") * 3, F.col("own")).otherwise(0))
+    like = like.groupBy("host", "parent", "label").agg(F.sum("own").alias("given"), seldom.alias("seldom"))
+    like = materialize(like.where("seldom * 4 > given").drop("seldom"), "alike")
+    given = like.groupBy("host", F.col("parent").alias("key")).agg(F.sum("given").alias("given"))
+    tokens = valid.join(like.select("host", "parent", "label"), ["host", "parent", "label"], "left_anti")
+    tokens = tokens.join(given, ["host", "key"], "left").withColumn("own", F.col("own") + F.coalesce("given", F.lit(0)))
+    tokens = materialize(tokens.select("host", "key", "mark", "pages", "total", "own"), "tokens")
+    classes = tokens.groupBy("host", "mark", "pages").agg(F.sum("own").alias("text"))
+    best = tokens.groupBy("host").agg(F.max("own").alias("best"))
+    ranked = tokens.join(classes, ["host", "mark", "pages"]).join(best, "host")
+    is_slot = (F.col("own") > 0) & (F.col("own") * RARE >= F.col("best"))
+    is_minor = (F.col("total") >= FEW) & (F.col("pages") * 4 >= F.col("total") * 3) & (F.col("own") * 5 < F.col("best"))
+    order = F.struct((-F.col("text")).alias("t"), (-F.col("own")).alias("o"), "key")
+    ranked = ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.when(is_slot, order))).alias("slots"), F.collect_list(F.when(is_minor, F.col("key"))).alias("minor"))
+    return ranked.select("host", F.col("slots.key").alias("slots"), "minor").where("size(slots) > 0")
+
+
+def _template(row) -> Template:
+    """The template of a row with texts, slots and minor, any of which may be null."""
+    texts = {t["key"]: (t["votes"], t["once"], [(s["a"], s["z"]) for s in t["slots"]]) for t in row["texts"] or ()}
+    return Template(texts, {k: i for i, k in enumerate(row["slots"] or ())}, frozenset(row["minor"] or ()))
 
 
 def extract_text(pages: DataFrame, block: int = BLOCK, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -416,13 +602,13 @@ def extract_text(pages: DataFrame, block: int = BLOCK, id_col: str = "page_id",
     Pages of a host are compared in blocks of about ``block``: a large host is dealt over as many
     blocks as it needs by the hash of its pages, so that no task gets a host of a third of all
     pages, and all pages of a host take part. The blocks' classes are joined over the host, and
-    its one template is applied to all of its pages. The html is read twice; it is shuffled only
+    its one template is applied to all of its pages. The html is read three times; it is shuffled only
     if the templates are too many to broadcast.
 
     Character references are decoded, white space within a block of text is one space, blocks are
     joined by a line feed in page order. Null and empty html give an empty text; a null url counts
-    as one host, ''; a host of one page, or of two or three that are mostly copies, has no
-    template, and its pages' structure alone decides. Repeated rows are kept. Broken markup is
+    as one host, ''; a host of one page has no template, nor a host of two or three that are mostly
+    copies one of texts; there the pages' structure decides. Repeated rows are kept. Broken markup is
     read as far as it goes. An empty table gives an empty result. Other columns aren't used.
     """
     bounded_batches(pages.sparkSession)
@@ -431,16 +617,18 @@ def extract_text(pages: DataFrame, block: int = BLOCK, id_col: str = "page_id",
     sizes = sizes.groupBy("host").agg(F.ceil(F.sum("count") / block).cast("long").alias("blocks"), F.ceil(F.count("*") / block).cast("long").alias("different"))
     large = materialize(sizes.where("blocks > 1"), "hosts")
     rows = rows.join(small_side(large, 256), "host", "left")
-    known = templates(rows, block)
+    known = templates(rows, block).join(slots(rows), "host", "full")
+    known = materialize(known, "templates")
     kind = rows.schema["page_id"].dataType.simpleString()
     b = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("blocks", F.lit(1).cast("long")))
     rows = rows.select("page_id", "url", "html", "host", b.alias("b"))
-    few = known.select(F.sum(64 + 32 * F.size("texts"))).first()[0] or 0
+    sizes = [F.coalesce(n * F.size(c), F.lit(0)) for n, c in ((64, "texts"), (16, "slots"), (16, "minor"))]
+    few = known.select(F.sum(F.lit(96) + sizes[0] + sizes[1] + sizes[2])).first()[0] or 0
     shared = None
     if few <= BROADCAST_BYTES // 4:
-        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: _template(r["texts"]) for r in known.collect()})
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: _template(r) for r in known.collect()})
     else:  # each block gets its host's template, first of its rows
-        texts = known.join(large, "host", "left").select("host", "texts", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1)).alias("b"))
+        texts = known.join(large, "host", "left").select("host", F.struct("texts", "slots", "minor").alias("texts"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1).cast("long")) - 1)).alias("b"))
         rows = rows.withColumn("first", F.lit(1)).unionByName(texts.withColumn("first", F.lit(0)), allowMissingColumns=True)
         rows = rows.repartition("host", "b").sortWithinPartitions("host", "b", "first").select("page_id", "url", "html", "host", "texts")
 

@@ -350,3 +350,44 @@ def test_html_text_template_of_most_pages(spark, monkeypatch):
     assert {r.page_id: r.text for r in html_extract.extract_text(pages).collect()} == want
     monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)  # templates are shuffled
     assert {r.page_id: r.text for r in html_extract.extract_text(pages).collect()} == want
+
+
+def test_html_text_by_slots_alone(spark):
+    """No name, class or role tells the article from what is around it; the text of each part differs from page to page."""
+    rng = random.Random(21)
+    words = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "nunc", "erat"]) for _ in range(n)) + f" {rng.randrange(10**6)}"
+    rows, want = [], {}
+    for i in range(60):
+        story = [words(rng.randrange(20, 60)) for _ in range(rng.randrange(1, 6))]
+        menu = "".join(f"<a href='/{k}'>{words(4)}</a>" for k in range(6))
+        odd = "<div>" + words(8) + "</div>" if i % 9 == 0 else ""  # a notice on some pages, behind the article
+        body = f"<div>{menu}</div><div>{words(9)}</div><div><h1>{words(3)}</h1>{''.join(f'<p>{x}</p>' for x in story)}</div><div>{words(6)}</div>{odd}"
+        if i % 20 == 7:
+            body = f"<table><tr><td>{words(5)}</td></tr></table>"
+        rows.append((i, f"http://slots.com/{i}", f"<html><body>{body}</body></html>"))
+        if i % 20 != 7:
+            want[i] = body.split("<h1>")[1].split("</h1>")[0] + "\n" + "\n".join(story)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
+    assert {i: got[i] for i in want} == want
+    # and by brute force: the slots are the divisions of most text that isn't the same, ranked by it
+    found = html_extract.slots(pages.selectExpr("'h' as host", "html")).collect()
+    total = {}
+    for _, _, h in rows:
+        for d in html_extract.divisions(html_extract.tokenize(h)):
+            total[d.key] = total.get(d.key, 0) + d.chars - d.links
+    assert len(found) == 1 and found[0].slots[0] == max(total, key=total.get)
+
+
+def test_html_long_and_broken_pages():
+    import time
+
+    page = "<html><body><div>" + "".join(f"<p class=c{i}>Line {i} of a very long page</p>" for i in range(20000)) + "</div></body></html>"
+    pieces = ["<a \"", "<a '", "</script ", "<div>", "<b></i>", "<p", "<!-", "<a b=\"<\">", "&amp;<"]
+    begin = time.time()
+    assert html_extract.extract(html_extract.tokenize(page)).count("\n") == 19999
+    for piece in pieces:
+        html_extract.extract(html_extract.tokenize(piece * 20000))
+    tags = [tuple(2 * k for k in range(1, 4001))] * 30 + [tuple(2 * k for k in range(4000, 0, -1))]
+    html_extract.deduce(tags, {})
+    assert time.time() - begin < 60
