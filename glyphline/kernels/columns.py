@@ -188,35 +188,68 @@ def _each(b: Batch, mode: str):
     return [v for v, _ in found], np.array([len(u) for _, u in found], np.int64), [join(0), join(1)], join(2), [join(3), join(4)]
 
 
+class _Words:
+    """Parts of words that were seen, numbered: kinds, places and sizes of all of them in three lists."""
+
+    MOST = 200_000
+
+    def __init__(self, p: LexProfile):
+        self.profile = p
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[int, dict[bytes, int]] = {k: {} for k in (lexer.IDENTIFIER, lexer.NUMBER, lexer.STRING)}
+        self.first, self.kinds, self.at, self.size = [0], [], [], []
+
+    def number(self, kind: int, word: bytes) -> int:
+        for k, _, start, n in lexer.components(self.profile, word, [(kind, 0, len(word))]):
+            self.kinds.append(k)
+            self.at.append(start)
+            self.size.append(n)
+        self.first.append(len(self.kinds))
+        number = self.numbers[kind][word] = len(self.first) - 2
+        return number
+
+
+@functools.lru_cache(8)
+def _words(p: LexProfile) -> _Words:
+    return _Words(p)
+
+
 def lexed(p: LexProfile, sources: list[bytes], parts: bool) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray], np.ndarray]:
     """Columns kind, start, length of all lexical tokens, and how many each source has; then kind,
     lexical index, start and length of all parts if asked for, and how many each source has."""
-    whole, per = [], []
-    kinds, index, at, size, each = [], [], [], [], []
-    memory = _parts(p)
+    words = _words(p)
+    if len(words.first) > words.MOST:
+        words.clear()
+    kinds, starts, sizes, per, which, index, base, each = [], [], [], [], [], [], [], []
     for data in sources:
-        tokens = lexer.lex(p, data)
-        per.append(len(tokens))
-        whole += tokens
+        kind, ends = lexer.scan(p, data)
+        start = np.concatenate((np.zeros(1, np.int64), ends))[:-1]
+        kinds.append(kind)
+        starts.append(start)
+        sizes.append(ends - start)
+        per.append(len(kind))
         if not parts:
             continue
-        before = len(kinds)
-        for i, (kind, start, length) in enumerate(tokens):
-            if kind in (lexer.IDENTIFIER, lexer.NUMBER, lexer.STRING):
-                for k, a, n in memory(kind, data[start : start + length]):
-                    kinds.append(k)
-                    index.append(i)
-                    at.append(start + a)
-                    size.append(n)
-        each.append(len(kinds) - before)
-    columns = np.array(whole, np.int64).reshape(-1, 3).T
-    return list(columns), np.array(per, np.int64), [np.array(x, np.int64) for x in (kinds, index, at, size)], np.array(each, np.int64)
-
-
-@functools.lru_cache(8)
-def _parts(p: LexProfile):
-    @functools.lru_cache(200_000)
-    def of(kind: int, word: bytes):
-        return tuple((k, s, n) for k, _, s, n in lexer.components(p, word, [(kind, 0, len(word))]))
-
-    return of
+        some = np.flatnonzero((kind == lexer.IDENTIFIER) | (kind == lexer.NUMBER) | (kind == lexer.STRING))
+        found = words.numbers
+        numbers = []
+        for k, a, z in zip(kind[some].tolist(), start[some].tolist(), ends[some].tolist(), strict=True):
+            word = data[a:z]
+            number = found[k].get(word)
+            numbers.append(words.number(k, word) if number is None else number)
+        which.append(np.array(numbers, np.int64))
+        index.append(some)
+        base.append(start[some])
+        each.append(len(some))
+    join = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+    out = [join(kinds), join(starts), join(sizes)]
+    if not parts:
+        return out, np.array(per, np.int64), [np.zeros(0, np.int64)] * 4, np.zeros(len(sources), np.int64)
+    first, which = np.array(words.first, np.int64), join(which)
+    n = np.diff(first)[which]
+    flat = np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    columns = [np.array(words.kinds, np.int64)[flat], np.repeat(join(index), n), np.repeat(join(base), n) + np.array(words.at, np.int64)[flat], np.array(words.size, np.int64)[flat]]
+    owner = np.repeat(np.arange(len(sources)), each)
+    return out, np.array(per, np.int64), columns, np.bincount(owner, n, len(sources)).astype(np.int64)

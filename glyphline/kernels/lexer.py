@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import re
 
+import numpy as np
+
 from .vocab import LexProfile
 
 SPACE, NEWLINE, IDENTIFIER, KEYWORD, NUMBER, STRING, COMMENT, PUNCTUATION, ERROR = range(1, 10)
@@ -49,6 +51,35 @@ def lex(p: LexProfile, data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+@functools.cache
+def _fast(p: LexProfile) -> tuple[re.Pattern[bytes], np.ndarray]:
+    """One pattern of which every match is a token, where no block comment begins; kinds by branch."""
+    _, branches, keywords = _scanner(p)
+    pattern = _scanner(p)[0].pattern
+    first = b"A-Za-z_\\x80-\\xff" + (b"$" if p.dollar else b"")
+    if not keywords:
+        return re.compile(pattern), np.array([0, *(k for k, _ in branches)], np.int64)
+    words = b"|".join(re.escape(k) for k in sorted(keywords, key=len, reverse=True))
+    place = next(i for i, (k, _) in enumerate(branches) if k == IDENTIFIER)
+    at = pattern.index(b"([" + first + b"][" + first + b"0-9]*)")
+    pattern = pattern[:at] + b"((?:" + words + b")(?![" + first + b"0-9]))|" + pattern[at:]
+    kinds = [k for k, _ in branches]
+    return re.compile(pattern), np.array([0, *kinds[:place], KEYWORD, *kinds[place:]], np.int64)
+
+
+def scan(p: LexProfile, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds and ends of the tokens of ``lex``."""
+    if any(start.encode() in data for start, _, _ in p.block_comments):
+        found = np.array(lex(p, data), np.int64).reshape(-1, 3)
+        return found[:, 0], found[:, 1] + found[:, 2]
+    pattern, kinds = _fast(p)
+    found = [(m.lastindex, m.end()) for m in pattern.finditer(data)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    branch, ends = np.array(found, np.int64).T
+    return kinds[branch], ends
+
+
 def _block_end(data: bytes, at: int, start: bytes, end: bytes, nested: bool) -> tuple[int, bool]:
     """Where a comment ends whose opening delimiter ends at a place, and whether it does."""
     depth = 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +22,12 @@ def lex(df: DataFrame, profile: LexProfile, keys: list[str], column: str = "text
 
 def _totals(profile: LexProfile):
     def fn(sources):
-        total: dict[int, list[int]] = {}
+        n, n_bytes = np.zeros(16, np.int64), np.zeros(16, np.int64)
         for data in sources:
-            for kind, _, n in lexer.lex(profile, data):
-                t = total.setdefault(kind, [0, 0])
-                t[0] += 1
-                t[1] += n
-        return [(k, *v) for k, v in total.items()]
+            kind, ends = lexer.scan(profile, data)
+            n += np.bincount(kind, minlength=16)
+            n_bytes += np.bincount(kind, np.diff(ends, prepend=0), 16).astype(np.int64)
+        return [(int(k), int(n[k]), int(n_bytes[k])) for k in np.flatnonzero(n)]
 
     return fn
 

@@ -161,19 +161,32 @@ def decode_joined(ids: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
 class _trip:  # noqa: N801
     def __init__(self, engine: Engine):
         self.encoder = engine.encoder()
-        self.table = self.encoder.surfaces()
+        known, begins, sizes, self.bytes = self.encoder.surfaces()
+        self.place = None
+        if known[-1] < 1 << 22:  # ids small enough for a table
+            self.place = np.zeros(known[-1] + 1, np.int64)
+            self.place[known] = np.arange(len(known))
+        self.known, self.begins, self.sizes = known, begins, sizes
 
-    def many(self, sources):
-        ids, lengths, at = self.encoder.encode_many(sources)
-        known, begins, sizes, bytes_ = self.table
-        k = np.searchsorted(known, ids)
-        size = sizes[k]
-        ends = np.cumsum(size)
-        back = bytes_[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[k] - ends + size, size)].tobytes()
-        stops = np.concatenate(([0], ends))[at].tolist()
-        same = np.array_equal(size, lengths)
-        for data, a, b, n in zip(sources, stops, stops[1:], np.diff(at).tolist(), strict=False):
-            yield n, same and back[a:b] == data
+    def arrow(self, sources):
+        import pyarrow as pa
+
+        none = np.array([d is None for d in sources], bool)
+        good = [d or b"" for d in sources]
+        ids, lengths, at = self.encoder.encode_many(good)
+        k = self.place[ids] if self.place is not None else np.searchsorted(self.known, ids)
+        size = self.sizes[k]
+        if np.array_equal(size, lengths):
+            ends = np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else 0
+            back = self.bytes[np.arange(total) + np.repeat(self.begins[k] - ends + size, size)]
+            source = np.frombuffer(b"".join(good), np.uint8)
+            wrong = np.flatnonzero(back != source)
+            bounds = np.cumsum([0, *map(len, good)])
+            exact = np.bincount(np.searchsorted(bounds, wrong, "right") - 1, minlength=len(good)) == 0
+        else:
+            exact = np.array([self.encoder.decode(ids[a:b].tolist()) == d for a, b, d in zip(at, at[1:], good, strict=False)], bool)
+        return [pa.array(np.diff(at), mask=none), pa.array(exact, mask=none)]
 
 
 def round_trip(df: DataFrame, engine: Engine, column: str = "text") -> DataFrame:

@@ -295,9 +295,24 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["validate", str(model)]) == 0 and cli.main(["roundtrip", str(model), str(source)]) == 0
     assert cli.main(["encode-u32", str(model), str(source), str(ids)]) == 0 and cli.main(["decode-u32", str(model), str(ids), str(tmp_path / "o")]) == 0
     assert (tmp_path / "o").read_bytes() == source.read_bytes()
-    for verb in (["encode", str(model), str(source)], ["fingerprint", str(model)], ["graphemes", str(source)], ["detect", str(source)], ["routes", str(source)], ["security", str(source)], ["lexer", "c", str(source)], ["normalize", "NFC", str(source), str(tmp_path / "n")], ["analyze", str(model), str(source)]):
+    for verb in (["encode", str(model), str(source)], ["fingerprint", str(model)], ["graphemes", str(source)], ["detect", "base", str(source)], ["routes", str(source)], ["security", str(source)], ["lexer", "c", str(source)], ["normalize", "NFC", str(source), str(tmp_path / "n")], ["analyze", str(model), str(source)]):
         assert cli.main(verb) == 0
     assert cli.main(["validate", str(source)]) == 3 and capsys.readouterr()
+    en, det, prof = (str(tmp_path / n) for n in ("en", "det", "prof"))
+    for path, data in ((en, packs.write_language(base_language("en"))), (det, packs.write_detector(base_detector())), (prof, packs.write_lexer(LEX_PROFILES["c"]))):
+        with open(path, "wb") as f:
+            f.write(data)
+    m, x = str(model), str(source)
+    tokens = {}
+    for verb in (
+        ["analyze-languages", m, x, en], ["analyze-auto", m, det, x, en], ["analyze-span-auto", m, det, x, en], ["analyze-security", m, x], ["analyze-lexer", m, prof, x], ["analyze-normalization", m, "NFC", x],
+        ["roundtrip-auto", m, det, x, en], ["roundtrip-languages", m, x, en], ["fingerprint-auto", m, det, en], ["fingerprint-security", m], ["fingerprint-lexer", m, prof], ["fingerprint-languages", m, en], ["fingerprint-normalization", m], ["normalize-map", "NFD", x], ["detect", det, x], ["lexer", prof, x],
+    ):
+        assert cli.main(verb) == 0, verb
+        tokens[verb[0]] = capsys.readouterr().out.split("\n")
+    assert tokens["analyze-languages"][:3] == ["256 0 5 120", "262 5 1 40", "271 6 9 150"]
+    assert len({v[0] for k, v in tokens.items() if k.startswith("fingerprint")}) == 5
+    assert cli.main(["normalize-map", "NFX", x]) == 1
 
 
 def test_empty_tables(spark):
