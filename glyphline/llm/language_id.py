@@ -189,8 +189,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (its pooled probability).
 
-    Map-only. Every byte of a text is labelled, in windows of ``SPAN`` bytes; the document's
-    probabilities are the mean over its bytes. Null and empty texts, and those without a letter,
+    Map-only. Every byte of a text is labelled, in windows of ``SPAN`` bytes (of ``TRAIN_SPAN`` in
+    training), at each of which both directions' states start anew, a short window's from padding;
+    the document's probabilities are the mean over its bytes, however many. Null and empty texts, and those without a letter,
     are ``und`` with score 0, as is every text where no language was learned. Nothing but the text
     is looked at. Repeated rows and extra columns pass through; input columns named lang_pred or
     score are replaced.
@@ -224,7 +225,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, held_out, lang_pred, score) of each row of docs.
 
     held_out: crc32(doc_id as text) mod 4 is 2, so that the row wasn't learned from; false for a
-    null id. An empty table gives an empty result.
+    null id. Repeated rows are kept and labelled alike. Null and empty texts are ``und``. An empty
+    table gives an empty result. Other columns aren't used, whatever their names.
     """
     bounded_batches(docs.sparkSession)
     network = fit(docs, id_col, text_col, lang_col, **bounds)

@@ -343,7 +343,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, held_out, score, predicted) of each row of docs.
 
     held_out: crc32(doc_id as text) mod 4 is 2, so that the row's label wasn't learned from; false
-    for a null id. An empty table of documents gives an empty result; without labels of both
+    for a null id. Repeated rows are kept and scored alike; other columns aren't used, whatever their
+    names. An empty table of documents gives an empty result; without labels of both
     classes every score is the share of toxic labels (0 without any).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(crc_fold(F.col(id_col)) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))

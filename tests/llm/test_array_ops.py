@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphline.llm import byte_bpe, graph, html_extract, jaccard_join, language_id, pack_tokens, topk_search, toxicity
+from glyphline.llm import byte_bpe, graph, html_extract, jaccard_join, language_id, pack_tokens, shared, topk_search, toxicity
 from glyphline.llm.queries import tokenizer
 
 
@@ -42,6 +42,36 @@ def test_top_k_hot_id(spark):
         assert [(-r.score, r.vec_id) for r in out] == want
 
 
+def test_top_k_repeats_in_small_blocks(spark, monkeypatch):
+    """Ten repeats of the query among the candidates of blocks of eight, and more asked for than there are."""
+    monkeypatch.setattr(topk_search, "BLOCK", 8)
+    rows = [(50, [0.9, 0.4])] * 10 + [(i, [0.01 * (i % 7), 0.2, 0.1 * i]) for i in range(1, 20)] + [(99, [0.0] * 3), (98, [0.5] * 400)]
+    good = topk_search.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).coalesce(1)
+    q = [(r.id, r.weights) for r in good.collect()]
+    for k in (5, 100):
+        want = sorted((-sum(x * y for x, y in zip(dict(q)[50], b)), j) for j, b in q if j != 50)[:k]
+        out = topk_search.top_k(good.where("id = 50"), good, k).orderBy("rank").collect()
+        assert [(-r.score, r.vec_id) for r in out] == want and len(out) == min(k, 21)
+
+
+def test_joins_and_components_beyond_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(shared, "HOT_KEYS", 5)
+    left = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(120)], "k long, v long")
+    right = spark.createDataFrame([(k, -k) for k in range(0, 200, 2)], "k long, w long")
+    for how in ("inner", "left"):
+        got = shared.unique_join(left, right, ["k"], 16, how=how)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, ["k"], how).collect()), key=str)
+    rng = random.Random(3)
+    order = list(range(300))
+    links = [(i, i + 1) for i in range(199)] + [(250, i) for i in range(251, 300)]
+    rng.shuffle(order)
+    for names in (list(range(300)), order):
+        got = dict(map(tuple, graph.components(spark.createDataFrame([(names[a], names[b]) for a, b in links], "a long, b long")).collect()))
+        groups = [{names[i] for i in range(200)}, {names[i] for i in range(250, 300)}]
+        assert got == {x: min(g) for g in groups for x in g}
+
+
 def _oracle_groups(docs, percent=80):
     sets = []
     for i, t in docs:
@@ -165,6 +195,21 @@ def test_packing_is_lossless(spark):
     assert pack_tokens.pack(spark.createDataFrame([], "doc_id long, text string"), ranks, pattern).count() == 0
 
 
+def test_packing_depends_on_documents_alone(spark):
+    ranks, pattern = tokenizer()
+    rng = random.Random(14)
+    docs = [(rng.choice([7, 7, i]), " ".join(rng.choice(["word", "other", "x"]) for _ in range(rng.randrange(1, 90)))) for i in range(300)]
+    docs += [docs[0]] * 3 + [(None, "no id"), (None, None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("shard", F.lit("clash")).withColumn("ids", F.lit(1))
+    packed = [pack_tokens.pack(t, ranks, pattern, capacity=64, eos=50256, pad=50257, buffer=2000, shards=4) for t in (table.coalesce(1), table.repartition(7), table.orderBy(F.desc("text")).repartition(3))]
+    rows = [sorted(map(str, p.collect())) for p in packed]
+    assert rows[0] == rows[1] == rows[2]
+    used = pack_tokens.utilisation(packed[0], 64).collect()
+    assert len(used) == 4 and all(0.8 < r.used <= 1 for r in used)
+    whole = [list(np.frombuffer(r.ids, "<u2")) for r in packed[0].collect()]
+    assert sum(r.n_tokens for r in used) == sum(x != 50257 for w in whole for x in w) == sum(len(w) for w in whole) - sum(w.count(50257) for w in whole)
+
+
 def test_best_fit_decreasing():
     rng = np.random.default_rng(0)
     for capacity in (1, 7, 64, 2048):
@@ -283,6 +328,41 @@ def test_language_gradient():
         assert grads[name][at] == pytest.approx((up - down) / 2e-2, rel=0.05, abs=2e-4)
 
 
+def test_language_network_by_loops():
+    """Pooled probabilities against the network written out for single bytes."""
+    import pyarrow as pa
+
+    net = language_id.Network(["a", "b", "c"], seed=2, hidden=4)
+    texts = ["", "x", "ab\u00e9 " * 70, "zz top", None, "q" * (2 * language_id.SPAN)]
+
+    def gate(v):
+        return 0.5 + 0.5 * v / (1 + abs(v))
+
+    def states(window, d):
+        h, out = np.zeros(4), {}
+        for t in range(len(window)) if d == "f" else range(len(window) - 1, -1, -1):
+            x, u = net.p[f"E{d}"][:, window[t]].astype(float), net.p[f"U{d}"].astype(float) @ h
+            r, z = (np.array([gate(x[i] + u[i]) for i in range(k, k + 4)]) for k in (0, 4))
+            c = x[8:] + r * u[8:]
+            c = c / (1 + np.abs(c))
+            h = z * h + (1 - z) * c
+            out[t] = h
+        return out
+
+    got = net.pooled(pa.array(texts))
+    for t, p in zip(texts, got, strict=True):
+        data, total = (t or "").encode(), np.zeros(3)
+        for a in range(0, len(data), language_id.SPAN):
+            w = list(data[a : a + language_id.SPAN])
+            n = len(w)
+            w += [language_id.PAD] * (language_id.SPAN - n)
+            f, b = states(w, "f"), states(w, "b")
+            for k in range(n):
+                y = net.p["Wf"].astype(float) @ f[k] + net.p["Wb"].astype(float) @ b[k] + net.p["b"][:, 0]
+                total += np.exp(y - y.max()) / np.exp(y - y.max()).sum()
+        assert np.allclose(p, total / max(1, len(data)), atol=1e-4)
+
+
 def _page(i, body, main="article"):
     return (
         f"<!DOCTYPE html><html><head><title>T{i}</title><style>p{{}}</style><script>var a='</p>';</script></head><body><header>Site <b>name</b></header>"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from glyphline.llm import decontaminate, line_dedup, url_filter
+from glyphline.llm import decontaminate, line_dedup, shared, url_filter
 
 DOCS = "doc_id long, text string, n_lines int, extra string"
 
@@ -36,6 +36,45 @@ def test_line_dedup_long_and_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def dedup_oracle(rows, width=3):
+    """Text of each id after windows in the order of (id, place); what later ones cover goes."""
+    seen, out = set(), {}
+    for i, t in sorted((r for r in rows if r[1]), key=lambda r: r[0]):
+        lines = t.split("\n")
+        gone = set()
+        for k in range(max(1, len(lines) - width + 1)):
+            window = tuple(lines[k : k + width])
+            if window in seen:
+                gone |= set(range(k, k + width))
+            seen.add(window)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return {i: out.get(i, t) for i, t in rows}
+
+
+@pytest.mark.parametrize("bound", [8 << 20, -1])
+def test_line_dedup_against_brute_force(spark, monkeypatch, bound):
+    """By broadcast, and beyond its bound by sorting, with a window that half of the texts hold."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(shared, "HOT_KEYS", 20)
+    rng = random.Random(5)
+    line = lambda: rng.choice("abcdefg") * rng.randrange(1, 3)
+    rows = []
+    for i in range(300):
+        lines = [line() if rng.random() < 0.5 else f"own {i} {k}" for k in range(rng.randrange(0, 30))]
+        if i % 2:
+            lines[len(lines) // 2 : len(lines) // 2] = ["the", "common", "passage", "here"]
+        rows.append((i, "\n".join(lines) if i % 40 else None))
+    table = spark.createDataFrame([(i, t, 1, "e") for i, t in rows] + [(None, "the\ncommon\npassage", 1, "e")], DOCS)
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(table).collect()}
+    want = dedup_oracle(rows)
+    assert got.pop(None) == ("the\ncommon\npassage", 0)
+    assert {i: t for i, (t, _) in got.items()} == want
+    assert sum(n for _, n in got.values()) > 300
+
+
 def _contained(item, doc):
     def sh(t):
         w = (t or "").lower().split()
@@ -96,6 +135,35 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(pages, rules.limit(0)).where("verdict <> 'allow'").count() == 0
 
 
+def test_url_rules_beyond_broadcast(spark, monkeypatch):
+    """Rows without a url, one url of most rows, and a host of very many labels."""
+    import time
+
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(url_filter, "HOT_KEYS", 4)
+    rules = url_filter.rule_table(spark, [("block", "com", "/en/"), ("allow", "b.example.com", "/en/7")])
+    urls = ["http://x.com/en/1"] * 300 + [None] * 200 + ["http://a.b.example.com/en/7"] * 3 + ["http://none.org/"] * 250 + [f"http://h{i}.com/de/" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    want = {"http://x.com/en/1": ("com/en/", "block"), "http://a.b.example.com/en/7": ("b.example.com/en/7", "allow")}
+    assert got == {i: want.get(u, (None, "allow")) for i, u in enumerate(urls)}
+    long = [(0, "http://" + "a." * 50000 + "com/en/x"), (1, "http://x.com/en/" + "p" * 500000), (2, "://")]
+    begin = time.time()
+    out = url_filter.filter_urls(spark.createDataFrame(long, "page_id long, url string"), rules).orderBy("page_id").collect()
+    assert [r.verdict for r in out] == ["block", "block", "allow"] and time.time() - begin < 30
+
+
+def test_decontamination_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    item = " ".join(f"i{k}" for k in range(40))
+    most = " ".join(f"i{k}" if k else "other" for k in range(40))
+    half = " ".join(f"i{k}" if k % 12 else "other" for k in range(40))
+    filler = " ".join(f"w{k % 977}" for k in range(60000))
+    docs = [(1, f"{filler} {item} {filler}"), (2, f"{filler} {most}"), (3, f"{half} {filler}"), (4, filler)]
+    out = decontaminate.find_contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_shared) for r in out.collect()) == [(1, 36), (2, 35)]
+
+
 @pytest.mark.parametrize("name", ["op1_exact_topk", "op2_ngram_jaccard", "op5_line_dedup", "op7_decontamination", "op9_url_filter"])
 def test_sql(spark, name):
     from tests.conftest import compare_with_duckdb

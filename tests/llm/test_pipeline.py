@@ -4,11 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from glyphline.llm import byte_bpe
 from glyphline.llm.queries import tokenizer
 from tests.llm.test_array_ops import _labelled, _oracle_groups
-from tests.llm.test_native_ops import _contained
+from tests.llm.test_native_ops import _contained, dedup_oracle
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -34,21 +35,6 @@ def _tables(spark, folder):
     return labels, items
 
 
-def _dedup(rows):
-    """Three-line windows in the order of (id, place); what later ones cover goes."""
-    seen, out = set(), {}
-    for i, t in sorted((r for r in rows if r[1]), key=lambda r: r[0]):
-        lines = t.split("\n")
-        gone = set()
-        for k in range(max(1, len(lines) - 2)):
-            window = tuple(lines[k : k + 3])
-            if window in seen:
-                gone |= {k, k + 1, k + 2}
-            seen.add(window)
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    return {i: out.get(i, t) for i, t in rows}
-
-
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -73,7 +59,7 @@ def test_pipeline(spark, tmp_path):
     truth = {i for i, t in first if bad(t)}
     assert len(gone & truth) >= 0.95 * len(truth) and len(gone - truth) <= 0.02 * len(first)
 
-    assert dict(rows[1]) == _dedup(rows[0])
+    assert dict(rows[1]) == dedup_oracle(rows[0])
     sizes = {r.doc_id: r.n_chars for r in kept[1].collect()}
     assert all(sizes[i] == len(t) for i, t in rows[1] if t is not None)
 
@@ -95,3 +81,25 @@ def test_pipeline(spark, tmp_path):
         assert (r.n_tokens, r.ids_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest()) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     ran = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, ran.collect())) == sorted(map(tuple, last))
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids, equal rows, clashing columns, null and very long texts; then tables without rows."""
+    import corpus_pipeline
+
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", "s", 48), (1, text, "en", "s", 48), (None, text, None, None, None), (2, None, "en", "s", None), (3, "", "en", "s", 0), (4, "long word " * 30000, "en", "s", 1), (5, text + " leaked item of the benchmark here", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "leaked item of the benchmark here"), (None, "x"), (2, None), (2, "")], "item_id long, text string")
+    for n, (d, lab, it) in enumerate(((docs, labels, items), (docs, labels.limit(0), items.limit(0)), (docs.limit(0), labels, items), (docs.limit(0), labels.limit(0), items.limit(0)))):
+        folder = str(tmp_path / f"odd{n}")
+        d.write.parquet(f"{folder}/documents.parquet")
+        lab.write.parquet(f"{folder}/labels.parquet")
+        it.write.parquet(f"{folder}/benchmark.parquet")
+        odd = spark.read.parquet(f"{folder}/documents.parquet").withColumn("__drop", F.lit(1)).withColumn("score", F.lit("x")).withColumn("n_removed", F.lit("y"))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, odd, folder).columns == corpus_pipeline.COLUMNS, name
+        got = sorted((r.doc_id for r in corpus_pipeline.run(spark, folder).collect()), key=str)
+        # the copy of 1 has the same id, so that both rows stay; a row without an id is never dropped
+        assert got == {0: [1, 1, 2, 3, 4, None], 1: [1, 1, 2, 3, 4, 5, None]}.get(n, [])
