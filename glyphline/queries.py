@@ -212,6 +212,12 @@ def r23_forced_boundaries(spark, sf_dir):
     return tokenize.segments(documents(spark, sf_dir), engine()).select("doc_id", "n_segments")
 
 
+@query(SQL["r23_forced_boundaries"])
+def r23_boundaries_native(spark, sf_dir):
+    """The relational form: byte pairs that stand in no surface, counted natively."""
+    return tokenize.segments_sql(documents(spark, sf_dir), engine()).select("doc_id", "n_segments")
+
+
 @query("SELECT doc_id, sha256(text) AS decoded_sha256, 0 AS decode_status FROM documents")
 def r25_decode(spark, sf_dir):
     ids = tokenize.encode_ids(documents(spark, sf_dir), engine("en"))

@@ -183,6 +183,36 @@ def test_restore_and_ceilings(spark, tmp_path):
     assert got == {1: 9, 2: 0}
 
 
+def test_training_on_bytes(spark):
+    """Binary sources, some of whose lines aren't UTF-8, against counting in plain Python."""
+    import re
+    from collections import Counter
+
+    sources = [b"some text some\nmore text \xff\xfe raw raw \xff\xfe\n", "na\u00efve na\u00efve \u4e16\u754c\u4e16\u754c\u4e16\u754c\n".encode(), b"\xffx averyveryverylongword \xe9\n\n", b"", b"a\x0bb\x1cc \xc3"]
+    want = Counter()
+    for line in (x for d in sources for x in re.findall(rb"[^\n]*\n|[^\n]+", d)):
+        try:
+            parts = [m.encode() for m in re.findall(r"[^\W]+|[^\w\s]+|\s+", line.decode())]
+        except UnicodeDecodeError:
+            parts = re.findall(rb"[\x09-\x0d\x20]+|[^\x09-\x0d\x20]+", line)
+        for i in range(len(parts)):
+            for width in (1, 2, 3):
+                if i + width <= len(parts):
+                    want[b"".join(parts[i : i + width])] += 1
+            if len(parts[i]) > 10:
+                try:
+                    word = parts[i].decode()
+                except UnicodeDecodeError:
+                    continue
+                for k in range(1, min(len(word), 10) + 1):
+                    want[word[:k].encode()] += 1
+                    want[word[-k:].encode()] += 1
+    df = spark.createDataFrame([(bytearray(d),) for d in sources] + [(None,)], "source binary")
+    got = {bytes(r.surface): r.frequency for r in training.candidates(df, "source", 10).collect()}
+    assert got == {s: n for s, n in want.items() if 2 <= len(s) <= 10}
+    assert training.to_vocabulary(training.train(df, "source", vocab_size=300, max_bytes=10)).max_len > 1
+
+
 def test_training_and_vocabulary(spark):
     docs = spark.createDataFrame([("the cat the cat\nthe cat",), (None,), ("",), ("z" * 40,)], "text string")
     got = {r.surface: r.frequency for r in training.candidates(docs, max_bytes=8).collect()}
