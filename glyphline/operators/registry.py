@@ -31,17 +31,18 @@ def satisfies(v: Column, constraint: Column) -> Column:
 
     Null for a constraint that names no bound ('*', 'latest', '').
     """
-    zero = F.lit(0).cast("bigint")
 
     def one(part: Column) -> Column:
         op = F.regexp_extract(part, r"^(\^|>=|<=|==|>|<)?", 1)
         base = version(F.trim(F.regexp_replace(part, r"^(\^|>=|<=|==|>|<)", "")))
 
         def against(b: Column) -> Column:
-            major, minor, patch = (b[k].cast("bigint") for k in ("major", "minor", "patch"))
-            struct = lambda x, y, z: F.struct(x.alias("major"), y.alias("minor"), z.alias("patch"))
-            upper = F.when(major > 0, struct(major + 1, zero, zero)).when(minor > 0, struct(zero, minor + 1, zero)).otherwise(struct(zero, zero, patch + 1))
-            return F.when(op == "^", (v >= b) & (v < upper)).when(op == ">=", v >= b).when(op == "<=", v <= b).when(op == ">", v > b).when(op == "<", v < b).otherwise(v == b)
+            # below the next version at the first place that isn't zero, or at the last
+            parts = F.array(*[b[k].cast("bigint") for k in ("major", "minor", "patch")])
+            place = F.coalesce(F.nullif(F.array_position(F.transform(parts, lambda x: x != 0), True), F.lit(0)), F.lit(3))
+            upper = F.transform(parts, lambda x, i: F.when(i + 1 < place, x).when(i + 1 == place, x + 1).otherwise(F.lit(0).cast("bigint")))
+            caret = (v >= b) & (F.array(*[v[k].cast("bigint") for k in ("major", "minor", "patch")]) < upper)
+            return F.when(op == "^", caret).when(op == ">=", v >= b).when(op == "<=", v <= b).when(op == ">", v > b).when(op == "<", v < b).otherwise(v == b)
 
         return let(base, against)
 
