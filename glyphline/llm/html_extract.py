@@ -55,6 +55,18 @@ class Token:
         self.kind, self.name, self.role, self.text, self.main, self.boiler = kind, name, role, text, main, boiler
 
 
+@functools.lru_cache(1 << 16)
+def _start(name: str, attrs: str) -> tuple[str, str, bool]:
+    """Role of a start tag, whether it is an article or main element, and whether it is left out."""
+    found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
+    labels = [found.get(k, "") for k in ("class", "id", "role")]
+    roles = set(labels[2].split())
+    main = next((x for x in ("article", "main") if name == x or x in roles), "")
+    boiler = name in _OUT or bool(roles & _BOILER_ROLE) or found.get("aria-hidden") == "true" or "hidden" in attrs.lower().split()
+    boiler = boiler or (name not in ("html", "body", "article", "main") and any(_BOILER.search(x) for x in labels[:2] if x))
+    return f"<{name} {' '.join(labels)}>".replace("   >", ">"), main, boiler
+
+
 def tokenize(html: str) -> list[Token]:
     """Tags and texts of a page; comments and declarations are left out, raw elements have one text."""
     out, at, n = [], 0, len(html)
@@ -72,13 +84,8 @@ def tokenize(html: str) -> list[Token]:
         if m["end"]:
             out.append(Token("end", name, f"</{name}>"))
             continue
-        attrs = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
-        labels = [attrs.get(k, "") for k in ("class", "id", "role")]
-        roles = set(labels[2].split())
-        main = next((x for x in ("article", "main") if name == x or x in roles), "")
-        boiler = name in _OUT or bool(roles & _BOILER_ROLE) or attrs.get("aria-hidden") == "true" or "hidden" in m["attrs"].lower().split()
-        boiler = boiler or (name not in ("html", "body", "article", "main") and any(_BOILER.search(x) for x in labels[:2] if x))
-        out.append(Token("start", name, f"<{name} {' '.join(labels)}>".replace("   >", ">"), main=main, boiler=boiler))
+        role, main, boiler = _start(name, m["attrs"]) if len(m["attrs"]) <= 256 else _start.__wrapped__(name, m["attrs"])
+        out.append(Token("start", name, role, main=main, boiler=boiler))
         if name in _RAW:
             end = _raw_end(name).search(html, at)
             stop = end.start() if end else n
@@ -96,6 +103,18 @@ def _plain(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
+@functools.lru_cache(1 << 16)
+def _key(role: str) -> int:
+    """_hash of what recurs: tags and paths."""
+    return _hash(role)
+
+
+@functools.lru_cache(1 << 12)
+def _label(role: str) -> int:
+    """Of a division's tag, digits being alike."""
+    return _hash(_DIGITS.sub("#", role))
+
+
 def _hash(role: str) -> int:
     return int.from_bytes(hashlib.blake2b(role.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
@@ -114,10 +133,10 @@ def page_keys(tokens: list[Token]) -> list[int]:
             if words:
                 key = _hash(f"{now.top()[0]}#{words}") | 1
         elif t.kind == "start":
-            key = _hash(t.role) & ~1 or 2
+            key = _key(t.role) & ~1 or 2
             now.start(t)
         elif t.kind == "end":
-            key = _hash(t.role) & ~1 or 2
+            key = _key(t.role) & ~1 or 2
             now.end(t.name)
         out.append(key)
     return out
@@ -231,15 +250,15 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 class Division:
     """A place for text: its path of elements, each with its labels and its number among its like."""
 
-    __slots__ = ("key", "parent", "label", "number", "like", "chars", "links", "parts", "out", "start")
+    __slots__ = ("key", "parent", "label", "number", "like", "chars", "links", "parts", "out")
 
-    def __init__(self, parent: Division | None = None, label: int = 0, out: bool = False, start: int = -1):
-        self.parent, self.label, self.out, self.start = parent, label, out, start
-        self.like: Counter[int] = Counter()
-        self.number = parent.like[label] if parent else 0
+    def __init__(self, parent: Division | None = None, label: int = 0, out: bool = False):
+        self.parent, self.label, self.out = parent, label, out
+        self.like: dict[int, int] = {}
+        self.number = parent.like.get(label, 0) if parent else 0
         if parent:
-            parent.like[label] += 1
-        self.key = _hash(f"{parent.key} {label} {self.number}") if parent else 0
+            parent.like[label] = self.number + 1
+        self.key = _key(f"{parent.key} {label} {self.number}") if parent else 0
         self.chars = self.links = 0
         self.parts: list[str] = []
 
@@ -251,17 +270,16 @@ class Open:
         self.root = Division()
         self.wanted = wanted
         self.stack: list[tuple[str, bool, bool, Division]] = []
-        self.names: Counter[str] = Counter()
+        self.names: dict[str, int] = defaultdict(int)
 
     def top(self) -> tuple[str, bool, bool, Division]:
         return self.stack[-1] if self.stack else ("", not self.wanted, False, self.root)
 
     def _cut(self, i: int) -> None:
-        for name, *_ in self.stack[i:]:
-            self.names[name] -= 1
-        del self.stack[i:]
+        while len(self.stack) > i:
+            self.names[self.stack.pop()[0]] -= 1
 
-    def start(self, t: Token, at: int = -1) -> Division | None:
+    def start(self, t: Token) -> Division | None:
         """Open an element; its division if it is one."""
         if t.name in _VOID:
             return None
@@ -274,7 +292,7 @@ class Open:
                     break
         _, main, out, around = self.top()
         boiler = t.boiler or (t.name == "header" and not (main and self.wanted))
-        own = Division(around, _hash(_DIGITS.sub("#", t.role)), out or boiler, at) if t.name in _DIVISIONS else around
+        own = Division(around, _label(t.role), out or boiler) if t.name in _DIVISIONS else around
         self.stack.append((t.name, main or (bool(t.main) and self.wanted in (t.main, "any")), out or boiler, own))
         self.names[t.name] += 1
         return own if own is not around else None
@@ -293,18 +311,18 @@ class Open:
 _DIGITS = re.compile(r"\d+")
 
 
-def divisions(tokens: list[Token]) -> list[Division]:
+def divisions(tokens: list[Token], texts: bool = True) -> list[Division]:
     """A page's divisions with their own text: characters, those in links, and what it says."""
     now = Open()
     out = [now.root]
-    for i, t in enumerate(tokens):
+    for t in tokens:
         if t.kind == "start":
-            own = now.start(t, i)
+            own = now.start(t)
             if own is not None:
                 out.append(own)
         elif t.kind == "end":
             now.end(t.name)
-        elif t.kind == "text" and not t.text.isspace():
+        elif texts and t.kind == "text" and not t.text.isspace():
             d = now.top()[3]
             words = " ".join(t.text.split())
             d.chars += len(words)
@@ -328,7 +346,7 @@ class Template:
         """The page's division of the best rank; one within menus, notices and the like is passed over."""
         if not self.slots:
             return None
-        found = [d for d in divisions(tokens) if d.key in self.slots and not d.out]
+        found = [d for d in divisions(tokens, False) if d.key in self.slots and not d.out]
         return min(found, key=lambda d: self.slots[d.key], default=None)
 
     def shared(self, keys: list[int]) -> list[int]:
