@@ -7,11 +7,14 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import bounded_batches
 
 #: Characters of a chunk and of what it shares with the next.
 CHUNK, OVERLAP = 8192, 256
+#: Characters of a text whose chunks are dealt over tasks, and of such a chunk.
+LONG, LONG_CHUNK = 1 << 20, 1 << 18
 #: Pieces whose ids a worker remembers at most.
 CACHE = 400_000
 
@@ -42,9 +45,10 @@ class Codec:
         self._length = np.fromiter((len(surface.get(i, b"")) for i in range(size)), np.int64, size)
         self._start = np.concatenate(([0], np.cumsum(self._length)))[:-1]
 
-    def cuts(self, n: int) -> list[tuple[int, int]]:
+    def cuts(self, n: int, chunk: int | None = None) -> list[tuple[int, int]]:
         """Chunks of a text of n characters; each but the first begins ``overlap`` before the end of the one before."""
-        return [(max(0, a - self.overlap), min(n, a + self.chunk)) for a in range(0, max(n, 1), self.chunk)]
+        chunk = chunk or self.chunk
+        return [(max(0, a - self.overlap), min(n, a + chunk)) for a in range(0, max(n, 1), chunk)]
 
     def boundaries(self, piece: str) -> np.ndarray:
         """Where the matches of the pattern begin in a chunk, and the end of the last; the chunk alone decides."""
@@ -95,13 +99,21 @@ class Codec:
         if len(text) <= self.chunk:
             return [m.group() for m in self.find(text)]
         cuts = self.cuts(len(text))
-        at = self.stitch(cuts, [self.boundaries(text[a:b]) for a, b in cuts], lambda a, b: self.boundaries(text[a:b])).tolist()
+        return self.stitched(text, cuts, [self.boundaries(text[a:b]) for a, b in cuts])
+
+    def stitched(self, text: str, cuts: list[tuple[int, int]], found: list[np.ndarray]) -> list[str]:
+        """The pre-tokens of a text whose chunks' boundaries were found."""
+        at = self.stitch(cuts, found, lambda a, b: self.boundaries(text[a:b])).tolist()
         return [text[a:b] for a, b in zip(at, at[1:])]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        return self.encode_pieces(self.pretokens(text))
+
+    def encode_pieces(self, pieces: list[str]) -> bytes:
+        """Ids of pre-tokens, each encoded by itself."""
         cache, parts = self._cache, []
-        for piece in self.pretokens(text):
+        for piece in pieces:
             ids = cache.get(piece)
             if ids is None:
                 ids = np.asarray(self._piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
@@ -189,13 +201,27 @@ def _slices(batch, at: int, most: int = 8 << 20):
         yield batch.slice(a, b - a)
 
 
-def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _digests(c: Codec, ids: list[bytes]):
+    """Columns n_tokens, ids_sha256 and decoded_sha256."""
+    import pyarrow as pa
+
+    back = [hashlib.sha256(c.decode(x)).hexdigest() for x in ids]
+    return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(back, pa.string())]
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, chunk: int = LONG_CHUNK) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; the same rules as ``encode``.
 
-    The digests are taken where the ids are made, so that no id leaves the task.
+    The digests are taken where the ids are made, so that no id leaves the task. A text of more
+    than ``long`` characters isn't encoded where it is read: its chunks become rows that are dealt
+    over tasks and pre-tokenised there (``long_digests``).
     """
     shared = _share(docs.sparkSession, ranks_path)
-    docs = docs.select(id_col, text_col)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    is_long = F.coalesce(F.length("text") > long, F.lit(False))
 
     def run(batches):
         import pyarrow as pa
@@ -203,13 +229,64 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         c = codec(shared.value, pattern)
         for whole in batches:
             for part in _slices(whole, 1):
-                n, ids, back = [], [], []
-                for text in texts(part.column(1)):
-                    x = c.encode(text)
-                    n.append(len(x) // 4)
-                    ids.append(hashlib.sha256(x).hexdigest())
-                    back.append(hashlib.sha256(c.decode(x)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = _digests(c, [c.encode(t) for t in texts(part.column(1))])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    short = docs.where(~is_long).mapInArrow(run, f"doc_id {kind}, {DIGESTS}")
+    return short.unionByName(long_digests(docs.where(is_long), shared, pattern, chunk))
+
+
+def long_digests(docs: DataFrame, shared, pattern: str, chunk: int) -> DataFrame:
+    """The digests of very long texts, chunk by chunk in parallel.
+
+    One row for each chunk is pre-tokenised in a task of its own, without what stands before it but
+    for the overlap; where the chunks of a text meet again they are stitched, and the pieces are
+    encoded. Texts are told apart by 128 bits of their hash and their length, so that repeated
+    texts are encoded once. A text has to fit in a task, as it does in a row.
+    """
+    keys = ["h1", "h2", "n"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(41)).alias("h2"), F.length("text").alias("n"))
+    overlap = max(1, min(OVERLAP, chunk - 1))
+    pieces = rows.select(*keys, "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("k"))
+    start = F.greatest(F.col("k") * chunk - overlap, F.lit(0))
+    pieces = pieces.select(*keys, "k", F.substring(F.col("text"), start + 1, F.least(F.col("n"), (F.col("k") + 1) * chunk) - start).alias("piece"))
+    pieces = pieces.repartition(*keys, "k")
+
+    def pretokenise(batches):
+        import pyarrow as pa
+
+        c = codec(shared.value, pattern)
+        for whole in batches:
+            for part in _slices(whole, 4):
+                found = [c.boundaries(t).astype(np.int32).tobytes() for t in texts(part.column(4))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*keys, "k", "piece", "bounds"])
+
+    def stitch(batches):
+        import pyarrow as pa
+
+        c = codec(shared.value, pattern)
+        now, held, bounds = None, [], []
+
+        def finish():
+            if now is not None:
+                text = "".join([held[0], *(p[overlap:] for p in held[1:])])
+                ids = c.encode_pieces(c.stitched(text, [(max(0, a - overlap), min(len(text), a + chunk)) for a in range(0, len(text), chunk)], bounds))
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(now, (pa.int64(), pa.int64(), pa.int32()), strict=True)), *_digests(c, [ids])], [*keys, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        for whole in batches:
+            for part in _slices(whole, 4):
+                pieces = texts(part.column(4))
+                for (*key, k), piece, found in zip(zip(*(part.column(i).to_pylist() for i in range(4)), strict=True), pieces, part.column(5).to_pylist(), strict=True):
+                    if key != now:
+                        yield from finish()
+                        now, held, bounds = key, [], []
+                    if k == len(held):  # not the same chunk of an equal text
+                        held.append(piece)
+                        bounds.append(np.frombuffer(found, np.int32).astype(np.int64))
+        yield from finish()
+
+    found = pieces.mapInArrow(pretokenise, "h1 long, h2 long, n int, k int, piece string, bounds binary")
+    found = found.repartition(*keys).sortWithinPartitions(*keys, "k")
+    found = found.mapInArrow(stitch, f"h1 long, h2 long, n int, {DIGESTS}")
+    return rows.drop("text").join(found, keys).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

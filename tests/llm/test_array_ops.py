@@ -210,6 +210,23 @@ def test_packing_depends_on_documents_alone(spark):
     assert sum(r.n_tokens for r in used) == sum(x != 50257 for w in whole for x in w) == sum(len(w) for w in whole) - sum(w.count(50257) for w in whole)
 
 
+def test_bpe_long_texts_over_tasks(spark):
+    """Texts of many chunks, whose pieces are dealt over tasks, against the library; some repeat."""
+    ranks, pattern = tokenizer()
+    codec = byte_bpe.codec(byte_bpe.read_ranks(ranks), pattern)
+    rng = random.Random(13)
+    bits = ["word ", "a", "  ", "\n", "\u00e9", "\u4e2d", "'ll", "12", "?!", " " * 40, "x" * 700, "\U0001f642"]
+    cases = ["".join(rng.choice(bits) for _ in range(rng.randrange(200, 900))) for _ in range(12)] + ["y" * 5000, " " * 3000 + "z", "short", "", None]
+    rows = [(i, t) for i, t in enumerate(cases)] + [(50, cases[0]), (50, cases[0]), (None, cases[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h1", F.lit("clash"))
+    out = byte_bpe.encode_digests(docs, ranks, pattern, long=600, chunk=500).collect()
+    want = []
+    for i, t in rows:
+        ids = np.array(codec.encoding.encode_ordinary(t or ""), "<u4").tobytes()
+        want.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
 def test_best_fit_decreasing():
     rng = np.random.default_rng(0)
     for capacity in (1, 7, 64, 2048):
