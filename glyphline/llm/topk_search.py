@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-#: Rows of a candidate block; queries that one dense score array holds; queries of one broadcast.
-BLOCK, TILE, QUERY_BATCH = 8192, 128, 100_000
+#: Rows of a candidate block; queries that one dense score array holds; queries of one broadcast, and their weights.
+BLOCK, TILE, QUERY_BATCH, QUERY_WEIGHTS = 8192, 128, 100_000, 6_400_000
 
 
 def quantize(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -108,8 +108,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, batch: int = QU
     candidates. Weights are sparse: zero components make no postings, and vectors of different
     lengths score over the components they share. Products are summed in 64 bits.
 
-    Queries go out in batches of at most ``batch`` (the bound of what is broadcast and of what the
-    driver holds); each batch is scored against every candidate, block by block, in a map-only
+    Queries go out in batches of about ``batch`` at most, and of ``QUERY_WEIGHTS`` weights (the bound of
+    what is broadcast and of what the driver holds); each batch is scored against every candidate, block by block, in a map-only
     stage. Within a block the query's terms scatter their weighted postings into dense score
     arrays, a partition selection keeps the best, and a grouped limit merges the blocks.
 
@@ -119,8 +119,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, batch: int = QU
     """
     spark = queries.sparkSession
     queries = queries.distinct()
-    total = queries.count()
-    parts = max(1, -(-total // batch))
+    total, weights = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("weights")), F.lit(0))).first()
+    parts = max(1, -(-total // batch), -(-weights // QUERY_WEIGHTS))
     schema = "query_id long, vec_id long, score long"
     merged = None
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
