@@ -5,8 +5,9 @@
    arrays (copies within a flush count once). A text that can link has to share one of its few rarest shingles with its partner (of
    n shingles, a partner holds 80 %, so that one of the n / 5 + 1 rarest of each is shared); if
    enough of them are its own alone, the text is done.
-3. Classes that share one of those shingles in neighbouring size bands form a cluster, and a
-   cluster is cut into tiles of bounded size.
+3. Classes that share one of those shingles in neighbouring size bands form a cluster (they meet
+   by one shuffle, to which a task sends one class of each shingle and band), and a cluster is cut
+   into tiles of bounded size.
 4. In a tile, hashed bitmap signatures bound each pair's overlap from above by bit counts; what
    stays is decided by intersecting the sorted arrays. Pairs that are connected already need no
    further look, so that a tight group of m texts costs about m comparisons and no list of pairs.
@@ -35,6 +36,8 @@ _SALT = np.uint64(0xD6E8FEB86659FD93)
 _HOT = 255
 #: Kinds of rows: entries to be counted, entries that rank last anyway, and what the texts are.
 _ENTRIES, _LAST, _DIRECTORY = 0, 1, 2
+#: Band of a row that is a link already.
+_LINK = -1
 
 
 def _set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -239,8 +242,30 @@ def _counts(n_parts: int):
     return run, schema
 
 
+def _leads(key: np.ndarray, band: np.ndarray, cls: np.ndarray):
+    """One row (key, band, cls), of the smallest class, for each key and band; the distinct links (class, smallest)."""
+    order = np.lexsort((cls, band, key))
+    key, band, cls = key[order], band[order], cls[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (band[1:] != band[:-1])
+    first = np.flatnonzero(new)
+    lead = np.repeat(cls[first], np.diff(np.append(first, len(cls))))
+    other = cls != lead
+    a, b = cls[other], lead[other]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return (key[first], band[first], cls[first]), (a[new], b[new])
+
+
 def _postings(percent: int):
-    """Of each text the shingles, among its rarest, at which it can meet a partner."""
+    """Of each text the shingles, among its rarest, at which it can meet a partner.
+
+    Of the classes of a part that share a shingle and a size band the smallest travels on for all of
+    them, so that a shingle comes from a part once for each band; the links to it are rows
+    (class, _LINK, smallest). Neighbouring bands: a partner is at most 1.25 times as large, so one band away.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -270,13 +295,34 @@ def _postings(percent: int):
             # one more than needed: two shingles of a text may have the same 48 bits
             need = n + (-percent * n // 100) + 1 - (n - count) + 1
             place = np.arange(len(text)) - np.repeat(first, count)
-            keep = np.flatnonzero(place < np.repeat(need, count))
-            for a in range(0, len(keep), 65536):
-                b = keep[a : a + 65536]
-                keys = (rank[b] & np.uint64((1 << 48) - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(classes[text[b]]), pa.array(sizes[text[b]])], ["key", "cls", "n"])
-
-    return run, "key long, cls long, n long"
+            keep = place < np.repeat(need, count)
+            text, rank = text[keep], rank[keep]
+            keys = (rank & np.uint64((1 << 48) - 1)).astype(np.int64)
+            bands = np.floor(np.log(sizes[text]) / np.log(126 / percent)).astype(np.int32)
+            (keys, bands, leads), (a, b) = _leads(keys, bands, classes[text])
+            rows = np.concatenate((keys, a)), np.concatenate((bands, np.full(len(a), _LINK, np.int32))), np.concatenate((leads, b))
+            for i in range(0, len(rows[0]), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 65536]) for c in rows], ["key", "band", "cls"])
+
+    return run, "key long, band int, cls long"
+
+
+def _meet(batches):
+    """Links (a, b) that connect the classes of each key in neighbouring bands, from all rows of these keys."""
+    import pyarrow as pa
+
+    held = [[np.asarray(c) for c in batch.columns] for batch in batches if batch.num_rows]
+    if not held:
+        return
+    key, band, cls = (np.concatenate(c) for c in zip(*held, strict=True))
+    held.clear()
+    known = band == _LINK
+    found = [(key[known], cls[known])]
+    key, band, cls = key[~known], band[~known], cls[~known]
+    found.append(_leads(np.tile(key, 2), np.concatenate((band, band + 1)), np.tile(cls, 2))[1])
+    for a, b in found:
+        for i in range(0, len(a), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 65536]), pa.array(b[i : i + 65536])], ["a", "b"])
 
 
 # --- step 4: tiles ------------------------------------------------------------------------------
@@ -388,12 +434,7 @@ def class_links(docs: DataFrame, sets: DataFrame, width: int = WIDTH, percent: i
     run, schema = _counts(2 * n_parts)
     packed = packed.mapInArrow(run, schema).repartition(n_parts, "part")
     run, schema = _postings(percent)
-    postings = packed.mapInArrow(run, schema)
-    # neighbouring bands of sizes: a partner is at most 1.25 times as large, so one band away
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(126 / percent))).cast("int")
-    postings = materialize(postings, "postings").select("key", "cls", F.explode(F.array(band, band + 1)).alias("band"))
-    leads = materialize(postings.groupBy("key", "band").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("key", "band", "lead"), "leads")
-    near = unique_join(postings, leads, ["key", "band"], 32).where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
+    near = packed.mapInArrow(run, schema).repartition(n_parts, "key").mapInArrow(_meet, "a long, b long")
     clusters = components(near).withColumnRenamed("v", "cls").withColumnRenamed("label", "cluster")
 
     reps = sets.where("n_shingles > 0").groupBy(F.col("h1").alias("cls")).agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))

@@ -125,6 +125,37 @@ def test_near_duplicates_of_nothing(spark):
     assert jaccard_join.keep_one(spark.createDataFrame([(2, "a"), (1, "a"), (None, "a")], "doc_id long, text string")).count() == 2
 
 
+def _shuffled(spark, action) -> int:
+    """Rows that the stages of action write for shuffles."""
+    context, jvm = spark.sparkContext, spark._jvm
+
+    def total():
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(s.shuffleWriteRecords() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages))
+
+    def settled():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        return total()
+
+    before = settled()
+    action()
+    return settled() - before
+
+
+def test_classes_meet_by_one_shuffle(spark, monkeypatch):
+    """Beyond the broadcast bound too, what texts may share is sent once, and once for many that share it."""
+    rng = random.Random(4)
+    passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) for _ in range(200)]
+    docs = [(i, passages[i] + " " + passages[(i + 1) % 200]) for i in range(200)]
+    docs += [(1000 + i, docs[3][1] + f" more{i}") for i in range(5)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    got = []
+    rows = _shuffled(spark, lambda: got.extend(jaccard_join.near_duplicates(table).collect()))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == _oracle_groups(docs)
+    assert rows < 2 * sum(n // 5 + 2 for _, n, _ in _oracle_groups(docs))  # a text sends n / 5 + 2 of its shingles at most; the rest is small
+
+
 def test_tight_group_and_frequent_passage(spark):
     """Many texts that share a passage, and a large group, by way of the path for frequent shingles."""
     rng = random.Random(9)
