@@ -30,6 +30,8 @@ RANGE, TILE_SHINGLES, TILE_TEXTS, FLUSH = 1_500_000, 1 << 20, 4096, 2 << 20
 PARTS = 8
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 20
+#: Bits of the map of candidates' ids, broadcast where their table is too large for that: 8 MB.
+BITS = 1 << 26
 #: A shingle that so many texts of one flush hold ranks behind all others.
 FREQUENT = 32
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -400,6 +402,16 @@ def _run_tiles(percent: int):
     return run
 
 
+def _perhaps(docs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """docs without most of the rows whose key members lack, by a broadcast map of one bit for each hash of a key."""
+    at = F.pmod(F.xxhash64(key), F.lit(BITS))
+    slot, place = F.bitmap_bucket_number(at).alias("slot"), F.bitmap_bit_position(at).alias("place")
+    maps = members.select(slot, place).groupBy("slot").agg(F.bitmap_construct_agg("place").alias("bits"))
+    rows = docs.withColumns({"slot": slot, "place": place}).join(F.broadcast(materialize(maps, "maps")), "slot")
+    byte = F.conv(F.hex(F.substring("bits", (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select(docs.columns)
+
+
 def _arrays(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """members (cls, cluster, star, stars, block, blocks, doc_id) with the sorted shingle hashes of each."""
 
@@ -414,7 +426,10 @@ def _arrays(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                 arr = pa.array([s.tobytes() for s, k in zip(sets, own, strict=True) if k], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(i).filter(keep) for i in range(2, part.num_columns)], arr], [*part.schema.names[2:], "arr"])
 
-    rows = docs.join(small_side(members, 64), "doc_id").select("doc_id", "text", "cls", "cluster", "star", "stars", "block", "blocks")
+    few = small_side(members, 64)
+    if few is members:  # the text is shuffled: that of few others with it
+        docs = _perhaps(docs, members, "doc_id")
+    rows = docs.join(few, "doc_id").select("doc_id", "text", "cls", "cluster", "star", "stars", "block", "blocks")
     out = rows.mapInArrow(run, "cls long, cluster long, star long, stars long, block long, blocks long, arr binary")
     return out.withColumn("n", (F.length("arr") / 8).cast("long"))
 

@@ -156,6 +156,22 @@ def test_classes_meet_by_one_shuffle(spark, monkeypatch):
     assert rows < 2 * sum(n // 5 + 2 for _, n, _ in _oracle_groups(docs))  # a text sends n / 5 + 2 of its shingles at most; the rest is small
 
 
+def test_text_of_candidates_alone_is_shuffled(spark, monkeypatch):
+    docs = shared.materialize(spark.createDataFrame([(i, f"a b c d e f{i}") for i in range(3000)], "doc_id long, text string"), "docs")
+    some = jaccard_join.shingle_table(docs).where("doc_id % 100 = 7")
+    some = shared.materialize(some.selectExpr("h1 as cls", "h1 as cluster", "0L as star", "1L as stars", "0L as block", "1L as blocks", "doc_id"), "some")
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    name, got = "spark.sql.autoBroadcastJoinThreshold", []
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        rows = _shuffled(spark, lambda: got.extend(jaccard_join._arrays(docs, some, 5).collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert sorted((r.cls, r.n) for r in got) == sorted((r.cls, 2) for r in some.collect())
+    assert rows < 300
+
+
 def test_tight_group_and_frequent_passage(spark):
     """Many texts that share a passage, and a large group, by way of the path for frequent shingles."""
     rng = random.Random(9)
