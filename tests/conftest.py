@@ -26,6 +26,7 @@ def spark(tmp_path_factory):
 def compare_with_duckdb(spark, name, sf="sf0.001"):
     """Rows of a registered query and of its SQL on the same tables, as sorted lists of strings."""
     import duckdb
+    import pandas
 
     import __spark_entry__ as e
 
@@ -35,6 +36,8 @@ def compare_with_duckdb(spark, name, sf="sf0.001"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
 
     def plain(v):
+        if v is None or v is pandas.NA:
+            return "nan"
         if hasattr(v, "tolist"):
             v = v.tolist()
         if isinstance(v, float):
