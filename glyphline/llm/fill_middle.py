@@ -14,6 +14,7 @@ from itertools import pairwise
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_bpe import _slices
 from .shared import IS_SPACE, bounded_batches
@@ -234,7 +235,7 @@ def restore_texts(rearranged: DataFrame, sentinels: tuple[str, str, str] = SENTI
     marks = check_sentinels(sentinels)
     kept = rearranged.drop(name)
     names = kept.columns
-    schema = kept.withColumn(name, F.lit(b"")).schema
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.BinaryType())])
     at, form_at = names.index(output_col), names.index(form_col)
 
     def one(output: bytes | None, form: str | None) -> bytes | None:
