@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
 
 #: Rows of a candidate block; queries that one dense score array holds; queries of one broadcast, and their weights.
 BLOCK, TILE, QUERY_BATCH, QUERY_WEIGHTS = 8192, 128, 100_000, 6_400_000
+#: Squared length beyond which products might not fit 64 bits.
+LONGEST = float(1 << 62)
 
 
-def quantize(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """(id, weights): floor(scale * x) of each component as a long, x as a double.
+def quantize(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, **also: Column) -> DataFrame:
+    """(id, weights): floor(scale * x) of each component as a long, x as a double; ``also`` names further columns.
 
-    Rows whose id or vector is null, or whose vector holds a null, infinite or NaN component, are
-    left out.
+    Left out are rows whose id or vector is null, whose vector holds a null, infinite or NaN
+    component, or whose weights' squares sum to more than 2^62: inner products of such wouldn't fit
+    64 bits, while those of all others do.
     """
     x = F.col(vec_col).cast("array<double>")
     good = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
-    return vectors.where(good).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale)).alias("weights"))
+    rows = vectors.where(good).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale)).alias("weights"), *[c.alias(n) for n, c in also.items()])
+    return rows.where(F.aggregate("weights", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")) <= LONGEST)
 
 
 def _csr(ids, lists):
