@@ -190,7 +190,16 @@ def _counts(n_parts: int):
         count = np.diff(np.append(first, len(refs))).astype(np.int32)
         owner = mix(refs[first]) % np.uint64(n_parts)
         owners = np.repeat(owner, count)
-        yield batch([(int(p), False, refs[first[owner == p]].tobytes(), count[owner == p].tobytes(), ranks[owners == p].tobytes()) for p in np.unique(owner)])
+        order, entries = np.argsort(owner, kind="stable"), np.argsort(owners, kind="stable")
+        texts, count, ranks = refs[first][order], count[order], ranks[entries]
+        yield from by_owner(False, owner[order], (texts, count), owners[entries], ranks)
+
+    def by_owner(directory, owner, columns, owners, ranks):
+        """Rows of arrays that are sorted by owner, cut where it changes."""
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))), len(owner))
+        ends = np.append(np.searchsorted(owners, owner[cuts[:-1]]), len(owners))
+        for at in range(0, len(cuts) - 1, 4096):
+            yield batch([(int(owner[a]), directory, *(c[a:b].tobytes() for c in columns), ranks[x:y].tobytes()) for a, b, x, y in zip(cuts[at : at + 4096], cuts[at + 1 : at + 4097], ends[at : at + 4096], ends[at + 1 : at + 4097])])
 
     def run(batches):
         by_range: dict[int, list] = {}
@@ -205,7 +214,8 @@ def _counts(n_parts: int):
                     cls, size = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["docs"], np.int32)
                     refs = _refs(r["flush"], np.arange(len(cls)))
                     owner = mix(refs) % np.uint64(n_parts)
-                    yield batch([(int(p), True, refs[owner == p].tobytes(), size[owner == p].tobytes(), cls[owner == p].tobytes()) for p in np.unique(owner)])
+                    order = np.argsort(owner, kind="stable")
+                    yield from by_owner(True, owner[order], (refs[order], size[order]), owner[order], cls[order])
         for part in list(by_range):
             rows = by_range.pop(part)
             hot = np.unique(np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows]))
@@ -450,6 +460,11 @@ def class_links(docs: DataFrame, sets: DataFrame, width: int = WIDTH, percent: i
     packed = packed.mapInArrow(run, schema).repartition(n_parts, "part")
     run, schema = _postings(percent)
     near = packed.mapInArrow(run, schema).repartition(n_parts, "key").mapInArrow(_meet, "a long, b long")
+    return linked_classes(docs, sets, near, width, percent, tile_shingles, tile_texts)
+
+
+def linked_classes(docs: DataFrame, sets: DataFrame, near: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile_shingles: int = TILE_SHINGLES, tile_texts: int = TILE_TEXTS) -> DataFrame:
+    """Links (a, b) between classes that connect all that link within the clusters that candidates ``near`` (a, b) form."""
     clusters = components(near).withColumnRenamed("v", "cls").withColumnRenamed("label", "cluster")
 
     reps = sets.where("n_shingles > 0").groupBy(F.col("h1").alias("cls")).agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
@@ -509,8 +524,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     sets = materialize(shingle_table(docs, width=width), "sets")
+    return document_components(sets, class_links(docs.where("doc_id is not null"), sets.where("doc_id is not null"), width, percent, **sizes))
+
+
+def document_components(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of a table of sets, from the links between its classes."""
     known = sets.where("doc_id is not null")
-    links = class_links(docs.where("doc_id is not null"), known, width, percent, **sizes)
     joined = components(links)
     classes = known.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(joined, F.col("h1") == F.col("v"), "left").withColumn("label", F.coalesce("label", "h1"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fill_middle, hard_negatives, html_extract, jaccard_join, language_id, line_dedup, pack_tokens, topk_search, toxicity, url_filter
+from . import byte_bpe, decontaminate, fill_middle, hard_negatives, html_extract, jaccard_join, language_id, line_dedup, lsh_forest, pack_tokens, topk_search, toxicity, url_filter
 from .shared import table
 
 #: The rules that the URL query applies: verdict, host, path.
@@ -86,7 +86,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, rows.where("id % 100 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ngram_jaccard, op3_toxicity, op4_language_id, op5_line_dedup, op6_html_text, op7_decontamination, op8_token_packing, op9_url_filter, op10_byte_bpe, op11_fill_middle, op12_hard_negatives)}
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ngram_jaccard, op3_toxicity, op4_language_id, op5_line_dedup, op6_html_text, op7_decontamination, op8_token_packing, op9_url_filter, op10_byte_bpe, op11_fill_middle, op12_hard_negatives, op13_minhash_dedup)}
 
 SQL = {
     "op1_exact_topk": """
@@ -190,4 +194,17 @@ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positi
 FROM p JOIN s USING (anchor_id)
 WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 QUALIFY rank <= 5""",
+    "op13_minhash_dedup": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS sh
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)""",
 }
