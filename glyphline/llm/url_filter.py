@@ -10,15 +10,25 @@ from .shared import HOT_KEYS, fresh, materialize, small_side
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _behind(url: Column) -> Column:
+    """What stands behind the first '://'; '' where there is none."""
+    at = F.instr(url, F.lit("://"))
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+
+
 def url_host(url: Column) -> Column:
-    """From behind the first '://' up to '/', '?', '#' or the end, A-Z lower-cased; '' for no host."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://([^/?#]*)", 1)
+    """From behind the first '://' up to '/', '?', '#' or the end, A-Z lower-cased; '' for no host.
+
+    By searches and replacements of single characters alone, so that no url is too long for it.
+    """
+    host = F.substring_index(F.translate(_behind(F.coalesce(url, F.lit(""))), "?#", "//"), "/", 1)
     return F.translate(host, UPPER, LOWER)
 
 
 def url_path(url: Column) -> Column:
     """From behind the host up to '?', '#' or the end; '' where there is no '://'."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1)
+    rest = _behind(F.coalesce(url, F.lit("")))
+    return F.substring_index(F.translate(F.substring(rest, F.length(url_host(url)) + 1, F.length(rest)), "#", "?"), "?", 1)
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:

@@ -170,3 +170,15 @@ def test_sql(spark, name):
 
     got, want = compare_with_duckdb(spark, name)
     assert got == want
+
+
+def test_hosts_and_paths_of_any_length(spark):
+    """Code points of one and of two UTF-16 units in turn, before, in and behind the host."""
+    odd = "a\U0001f600" * 50_000
+    rows = [(odd, "", ""), (f"{odd}://H{odd}/p", f"h{odd}", "/p"), (f"s://Host/{odd}?q", "host", f"/{odd}"), (f"s://h?{odd}/x", "h", ""), (f"s://h#/{odd}", "h", "")]
+    rows += [("a://b://c/d", "b:", "//c/d"), ("://", "", ""), ("x://É.COM?q#/", "É.com", ""), (None, "", ""), ("http:/no", "", ""), ("s://h/a#b?c", "h", "/a"), ("s://h/a?b#c", "h", "/a"), ("s:///only/path", "", "/only/path")]
+    table = spark.createDataFrame(rows, "url string, host string, path string")
+    bad = table.where((url_filter.url_host(F.col("url")) != F.col("host")) | (url_filter.url_path(F.col("url")) != F.col("path")))
+    assert bad.count() == 0
+    judged = url_filter.filter_urls(table.select("url"), url_filter.rule_table(spark, [("block", "host", "/a")]))
+    assert judged.where("verdict = 'block'").count() == 1
