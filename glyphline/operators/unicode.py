@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..kernels import columns, text
+from ..kernels import columns, text, unicode_tables
 from ..plans.kernel import flat_kernel, folded_kernel, lists, with_kernel
 
 RANGES = "array<struct<start:bigint,length:bigint>>"
@@ -17,28 +17,31 @@ UNITS = "array<struct<start:bigint,length:bigint,spans:array<struct<start:bigint
 
 
 class _clusters:  # noqa: N801  a kernel over whole batches
-    def __init__(self, counted: bool):
-        self.counted = counted
+    def __init__(self, counted: bool, tables=None):
+        self.counted, self.tables = counted, tables
 
     def arrow(self, sources):
         import pyarrow as pa
 
         missing = np.array([d is None for d in sources], bool)
         b = columns.Batch([d or b"" for d in sources])
-        first = columns.clusters(b)
+        first = columns.clusters(b) if self.tables is None else unicode_tables.cluster_starts(self.tables, b)
         if self.counted:
             return [pa.array(b.per_source(first), mask=missing)]
         length = np.diff(np.append(b.starts[first], b.bounds[-1]))
         return [lists(b.per_source(first), {"start": b.local(first), "length": length}, missing)]
 
 
-def graphemes(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with graphemes: (start, length) in bytes of extended grapheme clusters."""
-    return with_kernel(df, column, f"graphemes {RANGES}", _clusters, False)
+def graphemes(df: DataFrame, column: str = "text", tables=None) -> DataFrame:
+    """df with graphemes: (start, length) in bytes of extended grapheme clusters.
+
+    tables: ``ClusterTables`` of a container's section; without them those of the installed package decide.
+    """
+    return with_kernel(df, column, f"graphemes {RANGES}", _clusters, False, tables)
 
 
-def grapheme_counts(df: DataFrame, column: str = "text") -> DataFrame:
-    return with_kernel(df, column, "n_graphemes bigint", _clusters, True)
+def grapheme_counts(df: DataFrame, column: str = "text", tables=None) -> DataFrame:
+    return with_kernel(df, column, "n_graphemes bigint", _clusters, True, tables)
 
 
 def script_table(spark: SparkSession) -> DataFrame:
@@ -90,6 +93,29 @@ def _visited(most: int, scripts: np.ndarray, flags: np.ndarray):
     return fn
 
 
+class _table_findings:  # noqa: N801  a kernel over whole batches
+    def __init__(self, tables):
+        self.tables = tables
+
+    def arrow(self, sources):
+        missing = np.array([d is None for d in sources], bool)
+        found, per = unicode_tables.findings(self.tables, columns.Batch([d or b"" for d in sources]))
+        return [lists(per, dict(zip(("kind", "script_id", "start", "length"), found, strict=True)), missing)]
+
+
+def table_findings(df: DataFrame, tables, column: str = "text") -> DataFrame:
+    """df with findings: (kind, script_id, start, length), by ``SecurityTables`` of a container's section.
+
+    Script ids are those of the section, from 1 on; a null source has null findings.
+    """
+    return with_kernel(df, column, f"findings {FINDINGS}", _table_findings, tables)
+
+
+def table_scripts(spark: SparkSession, tables) -> DataFrame:
+    """(script_id, script) of a section's scripts."""
+    return spark.createDataFrame([(k + 1, n) for k, n in enumerate(tables.names)], "script_id int, script string")
+
+
 def security_visit(df: DataFrame, most: int, column: str = "text") -> DataFrame:
     """df with the first findings of each source, at most so many: findings, n_visited and stopped."""
     return with_kernel(df, column, f"findings {FINDINGS}, n_visited bigint, stopped boolean", _visited, most, text.script_table(), text.flag_table())
@@ -112,30 +138,61 @@ def _view(mode: str):
     return lambda data: text.normalize_view(data, mode)
 
 
-def normalized_view(df: DataFrame, mode: str, column: str = "text") -> DataFrame:
-    """df with normalized (bytes) and units: each output unit's place and the source spans it is made of."""
+class _by_tables:  # noqa: N801  a kernel over whole batches
+    def __init__(self, mode: str, tables, what: str):
+        self.mode, self.tables, self.what = mode, tables, what
+
+    def arrow(self, sources):
+        import pyarrow as pa
+
+        missing = np.array([d is None for d in sources], bool)
+        b = columns.Batch([d or b"" for d in sources])
+        if self.what != "view":
+            out = unicode_tables.normalized_bytes(self.tables, self.mode, b)
+            if self.what == "digest":
+                return [pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string(), mask=missing)]
+            return [pa.array(out, pa.binary(), mask=missing)]
+        out, per, (at, size), counts, (s, n) = unicode_tables.views(self.tables, self.mode, b)
+        units = lists(per, {"start": at, "length": size, "spans": lists(counts, {"start": s, "length": n})}, missing)
+        return [pa.array(out, pa.binary(), mask=missing), units]
+
+
+def _checked(mode: str) -> str:
     if mode not in text.MODES:
         raise ValueError(f"unknown mode {mode}")
-    return with_kernel(df, column, f"normalized binary, units {UNITS}", _view, mode)
+    return mode
+
+
+def normalized_view(df: DataFrame, mode: str, column: str = "text", tables=None) -> DataFrame:
+    """df with normalized (bytes) and units: each output unit's place and the source spans it is made of.
+
+    tables: ``NormalTables`` of a container's section; without them those of the interpreter decide.
+    """
+    schema = f"normalized binary, units {UNITS}"
+    if tables is not None:
+        return with_kernel(df, column, schema, _by_tables, _checked(mode), tables, "view")
+    return with_kernel(df, column, schema, _view, _checked(mode))
 
 
 def _plain(mode: str):
     return lambda data: (text.normalize(data, mode),)
 
 
-def normalize(df: DataFrame, mode: str, column: str = "text") -> DataFrame:
+def normalize(df: DataFrame, mode: str, column: str = "text", tables=None) -> DataFrame:
     """df with normalized: the bytes alone, without their provenance."""
-    if mode not in text.MODES:
-        raise ValueError(f"unknown mode {mode}")
-    return with_kernel(df, column, "normalized binary", _plain, mode)
+    if tables is not None:
+        return with_kernel(df, column, "normalized binary", _by_tables, _checked(mode), tables, "bytes")
+    return with_kernel(df, column, "normalized binary", _plain, _checked(mode))
 
 
 def _digest(mode: str):
     return lambda data: (hashlib.sha256(text.normalize(data, mode)).hexdigest(),)
 
 
-def normalized_digests(df: DataFrame, mode: str, column: str = "text") -> DataFrame:
-    return with_kernel(df, column, "normalized_sha256 string", _digest, mode)
+def normalized_digests(df: DataFrame, mode: str, column: str = "text", tables=None) -> DataFrame:
+    if tables is not None:
+        return with_kernel(df, column, "normalized_sha256 string", _by_tables, _checked(mode), tables, "digest")
+    return with_kernel(df, column, "normalized_sha256 string", _digest, _checked(mode))
 
 
 def range_lookup(points: DataFrame, ranges: DataFrame, column: str = "cp") -> DataFrame:

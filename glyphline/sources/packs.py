@@ -17,7 +17,7 @@ from ..kernels.vocab import BPE, VITERBI, Detector, Language, LexProfile, PackEr
 MAGIC, HEADER, ENTRY = b"MOSPACK\0", 96, 32
 MANIFEST, LOCK, DFA, VOCABULARY, LANGUAGE, DETECTOR, SECURITY, NORMALIZATION, LEXER = range(1, 10)
 SECTION_MAGIC = {MANIFEST: b"MSMF", LOCK: b"MSLK", DFA: b"MSDF", VOCABULARY: b"MSVC", DETECTOR: b"MSDT", SECURITY: b"MSSC", NORMALIZATION: b"MSNM", LEXER: b"MSLX"}
-MINOR = {VOCABULARY: 2, LANGUAGE: 2, DETECTOR: 3, LEXER: 8}
+MINOR = {VOCABULARY: 2, LANGUAGE: 2, DETECTOR: 3, SECURITY: 2, NORMALIZATION: 2, LEXER: 8}
 TEST_HEADER, TEST_FLAG = 32, 1
 # End of fixed values.
 

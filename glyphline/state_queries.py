@@ -15,8 +15,8 @@ from .kernels import ed25519, records
 from .kernels.vocab import LEX_PROFILES, PackError, base_detector, base_language, base_vocabulary, raw_bpe_vocabulary
 from .operators import archive, document, metrics, registry, tokenize, unicode
 from .plans.kernel import with_kernel
-from .queries import _DOCS, _FLAGS, documents, engine, planted_docs, query, table
-from .sources import packs, readers
+from .queries import _DOCS, _FLAGS, SQL, documents, engine, planted_docs, query, table
+from .sources import packs, readers, unicode_build, unicode_sections
 
 
 def _header():
@@ -236,3 +236,37 @@ def r11_archive_restore(spark, sf_dir):
     written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     sizes = written.select(F.regexp_extract("path", r"(d/[0-9]+)$", 1).alias("path"), F.col("length").alias("n_bytes"))
     return done.join(sizes, "path", "left").select("path", "restored", F.coalesce("n_bytes", F.lit(-1)).alias("n_bytes"))
+
+
+# --- Unicode tables of containers -----------------------------------------------------------------
+
+
+def _sections(spark: SparkSession):
+    """Tables of clusters, security evidence and normalisation, written as containers and read back."""
+    made = unicode_build.cluster_tables(spark), unicode_build.security_tables(spark), unicode_build.normal_tables(spark)
+    write = unicode_sections.write_clusters, unicode_sections.write_security, unicode_sections.write_normal
+    read = unicode_sections.read_clusters, unicode_sections.read_security, unicode_sections.read_normal
+    return [r(w(t)) for r, w, t in zip(read, write, made, strict=True)]
+
+
+@query(SQL["r38_graphemes"])
+def r38_graphemes_tables(spark, sf_dir):
+    """Clusters by the tables of a section, all rules over whole batches."""
+    return unicode.grapheme_counts(planted_docs(spark, sf_dir), tables=_sections(spark)[0]).select("doc_id", "n_graphemes")
+
+
+@query(SQL["r42_security"])
+def r42_security_tables(spark, sf_dir):
+    both = planted_docs(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
+    found = unicode.table_findings(both, _sections(spark)[1]).select(F.explode("findings.kind").alias("kind"))
+    return found.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(SQL["r44_normalize_nfc"])
+def r44_nfc_tables(spark, sf_dir):
+    return unicode.normalized_digests(planted_docs(spark, sf_dir), "NFC", tables=_sections(spark)[2]).select("doc_id", "normalized_sha256")
+
+
+@query(SQL["r44_normalize_casefold"])
+def r44_casefold_tables(spark, sf_dir):
+    return unicode.normalized_digests(planted_docs(spark, sf_dir), "NFKC_CASEFOLD", tables=_sections(spark)[2]).select("doc_id", "normalized_sha256")
