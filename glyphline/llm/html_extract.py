@@ -250,10 +250,10 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 class Division:
     """A place for text: its path of elements, each with its labels and its number among its like."""
 
-    __slots__ = ("key", "parent", "label", "number", "like", "chars", "links", "parts", "out")
+    __slots__ = ("key", "parent", "label", "number", "like", "chars", "links", "parts", "out", "main")
 
-    def __init__(self, parent: Division | None = None, label: int = 0, out: bool = False):
-        self.parent, self.label, self.out = parent, label, out
+    def __init__(self, parent: Division | None = None, label: int = 0, out: bool = False, main: str = ""):
+        self.parent, self.label, self.out, self.main = parent, label, out, main
         self.like: dict[int, int] = {}
         self.number = parent.like.get(label, 0) if parent else 0
         if parent:
@@ -292,7 +292,7 @@ class Open:
                     break
         _, main, out, around = self.top()
         boiler = t.boiler or (t.name == "header" and not (main and self.wanted))
-        own = Division(around, _label(t.role), out or boiler) if t.name in _DIVISIONS else around
+        own = Division(around, _label(t.role), out or boiler, t.main) if t.name in _DIVISIONS else around
         self.stack.append((t.name, main or (bool(t.main) and self.wanted in (t.main, "any")), out or boiler, own))
         self.names[t.name] += 1
         return own if own is not around else None
@@ -332,6 +332,14 @@ def divisions(tokens: list[Token], texts: bool = True) -> list[Division]:
     return out
 
 
+def _above(d: Division) -> list[Division]:
+    """A division and those around it, inmost first."""
+    out = [d]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out
+
+
 class Template:
     """What a host's pages share.
 
@@ -342,12 +350,28 @@ class Template:
     def __init__(self, texts: dict[int, tuple[int, bool, list[tuple[int, int]]]], slots: dict[int, int] | None = None, minor: frozenset[int] = frozenset()):
         self.texts, self.slots, self.minor = texts, slots or {}, minor
 
-    def content(self, tokens: list[Token]) -> Division | None:
-        """The page's division of the best rank; one within menus, notices and the like is passed over."""
+    def content(self, tokens: list[Token]) -> list[Division]:
+        """The divisions that hold the page's article, around the slot of the best rank.
+
+        The article element that the slot is in, whole; without one all slots of the main element
+        that it is in; without one the slots beside it: those of its parent, at the top of a page those
+        that are labelled as it is and aren't minor. What is within menus, notices and the like is passed over.
+        """
         if not self.slots:
-            return None
+            return []
         found = [d for d in divisions(tokens, False) if d.key in self.slots and not d.out]
-        return min(found, key=lambda d: self.slots[d.key], default=None)
+        best = min(found, key=lambda d: self.slots[d.key], default=None)
+        if best is None:
+            return []
+        above = _above(best)
+        for d in above:
+            if d.main == "article":
+                return [d]
+        main = next((d for d in above if d.main), None)
+        if main is not None:
+            return [d for d in found if main in _above(d)]
+        beside = [d for d in found if d.parent is best.parent]
+        return beside if len(above) > 2 else [d for d in beside if d.label == best.label and d.key not in self.minor]
 
     def shared(self, keys: list[int]) -> list[int]:
         """For each token of a page 0, or the votes for its being the template's.
@@ -386,8 +410,9 @@ def _main_part(tokens: list[Token]) -> str:
 def extract(tokens: list[Token], template: Template | None = None) -> str:
     """The article's blocks, in page order, joined by line feeds.
 
-    If the template has a slot on the page, content is what stands in it, nested divisions
-    included, and the headings before it in the divisions around it. Where the page's own text
+    If the template has slots on the page, content is what stands in the divisions around them that
+    hold the article (``Template.content``), nested divisions included, and the headings before
+    these in the divisions around. Where the page's own text
     stands between its divisions, the slot is the whole page but for the minor divisions. A page
     without such a slot (of a host of too few pages, or of another layout) goes by its structure:
     content is its article or main elements, or all of it if it has none. In either case texts
@@ -396,20 +421,16 @@ def extract(tokens: list[Token], template: Template | None = None) -> str:
     are the article's, as are all where there is no other, and templates that fewer than ``FEW``
     pages show don't count there. On a whole page shared texts are left out anywhere.
     """
-    place = template.content(tokens) if template else None
-    wanted = "" if place else _main_part(tokens)  # articles say more than what holds them
-    whole = not wanted and (place is None or place.parent is None)
-    slot = place.key if place else None
-    around: set[int] = set()
-    d = place.parent if place else None
-    while d is not None:
-        around.add(d.key)
-        d = d.parent
+    places = template.content(tokens) if template else []
+    wanted = "" if places else _main_part(tokens)  # articles say more than what holds them
+    held = {d.key for d in places}
+    whole = not wanted and (not places or 0 in held)
+    around = {d.key for d in _above(places[0])[1:]} if places else set()
     now = Open(wanted)
     blocks: list[tuple[str, bool]] = []  # text, whether it holds more than the template's texts
     parts: list[str] = []
     own = False
-    inside = {id(now.root): slot == 0}  # divisions of the slot
+    inside = {id(now.root): 0 in held}  # divisions of the article
 
     def close():
         nonlocal own
@@ -432,15 +453,15 @@ def extract(tokens: list[Token], template: Template | None = None) -> str:
             made = now.start(t)
             if made is not None:
                 kept.append(made)
-                begun = begun or made.key == slot
-                inside[id(made)] = made.key == slot or (inside[id(made.parent)] and not (slot == 0 and made.key in template.minor))
+                begun = begun or made.key in held
+                inside[id(made)] = made.key in held or (inside[id(made.parent)] and not (0 in held and made.key in template.minor))
         elif t.kind == "end":
             if t.name in _BLOCKS:
                 close()
             now.end(t.name)
         elif t.kind == "text":
             name, main, out, d = now.top()
-            if place is not None:
+            if places:
                 main = inside[id(d)] or (not begun and d.key in around and any(now.names[h] > 0 for h in _HEADINGS))
             if main and not out:
                 own = own or not (shared >= FEW or t.text.isspace())
@@ -549,7 +570,8 @@ def slots(rows: DataFrame) -> DataFrame:
     pages of four. Divisions that are alike and stand around in varying numbers, so that a quarter of
     their text is in those that not even three pages of four have, are no tokens of their own: their
     text belongs to the division around them. Slots are ranked by their class's
-    text, then by their own, without links; those of a ``RARE``-th of the host's best are kept.
+    text, then by their own, without links; those of a ``RARE``-th of the host's best are kept (the text
+    of others is the article's where an article element or a kept slot holds it).
     Divisions of three pages of four that hold less than a fifth of it are minor, on hosts of ``FEW`` pages and more.
 
     One row of 68 bytes for each division and page is shuffled, all else is counted before it is;
