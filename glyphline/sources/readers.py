@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..kernels.vocab import BPE, PackError, Vocabulary
 from . import packs
+from .formats import PackSource  # noqa: F401  readable from here as before
+
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -78,31 +77,6 @@ def unpack_ids(df: DataFrame, column: str = "packed_ids") -> DataFrame:
     return df.withColumn("ids", F.when(n % 4 != 0, F.lit(None)).when(n == 0, F.array().cast("array<bigint>")).otherwise(ids))
 
 
-class PackSource(DataSource):
-    """``spark.read.format("glyphline_pack").load(file)``: one row for each section of a container."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "glyphline_pack"
-
-    def schema(self) -> str:
-        return "path string, section int, kind int, magic string, length bigint, body binary"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PackReader(self.options["path"])
-
-
-class _PackReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def read(self, partition) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
-            data = f.read()
-        for k, (kind, body) in enumerate(packs.scan(data)):
-            yield self.path, k, kind, body[:4].decode("ascii", "replace"), len(body), body
-
-
 def inspect_packs(files: DataFrame, column: str = "source") -> DataFrame:
     """files with pack_status, sections and vocabulary size of containers in any store Spark reads."""
     from ..plans.kernel import with_kernel
