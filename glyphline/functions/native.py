@@ -21,8 +21,25 @@ def byte_at(data: Column, place: Column) -> Column:
 
 
 def byte_ids(data: Column) -> Column:
-    """Each byte as a token id."""
-    return F.when(F.octet_length(data) > 0, F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: byte_at(data, i))).otherwise(F.when(data.isNotNull(), F.array().cast("array<int>")))
+    """Each byte as a token id; data is computed once, so that the work grows with its bytes."""
+
+    def ids(d: Column) -> Column:
+        n = F.octet_length(d)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: byte_at(d, i))).otherwise(F.when(d.isNotNull(), F.array().cast("array<int>")))
+
+    return let(data, ids)
+
+
+def pairs_without(data: Column, marks: bytes) -> Column:
+    """How many neighbouring bytes of data have no mark; marks has a byte for each pair, 0 for none."""
+    known = F.lit(marks)
+
+    def count(d: Column) -> Column:
+        pair = lambda i: F.conv(F.hex(F.substring(d, i, F.lit(2))), 16, 10).cast("int")
+        n = F.octet_length(d)
+        return F.when(n > 1, F.size(F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.substring(known, pair(i) + 1, F.lit(1)) == F.lit(b"\0")))).otherwise(0)
+
+    return let(data, count)
 
 
 def leaves(data: Column) -> Column:

@@ -251,11 +251,12 @@ def segments(df: DataFrame, engine: Engine, column: str = "text") -> DataFrame:
 
 def segments_sql(df: DataFrame, engine: Engine, column: str = "text") -> DataFrame:
     """The relational form of ``segments``: pairs of bytes that no surface has, counted natively."""
-    pairs = sorted({s[k : k + 2].hex().upper() for _, _, s in engine.vocabulary.rows for k in range(len(s) - 1)})
-    h = F.hex(F.encode(F.col(column), "UTF-8"))
+    marks = bytearray(1 << 16)
+    for _, _, surface in engine.vocabulary.rows:
+        for k in range(len(surface) - 1):
+            marks[surface[k] << 8 | surface[k + 1]] = 1
     n = F.octet_length(column)
-    known = F.array(*[F.lit(p) for p in pairs])
-    cuts = F.when(n > 1, F.size(F.filter(F.sequence(F.lit(1), n - 1), lambda i: ~F.array_contains(known, F.substring(h, 2 * i - 1, F.lit(4)))))).otherwise(0)
+    cuts = native.pairs_without(F.encode(F.col(column), "UTF-8"), bytes(marks))
     return df.withColumn("n_segments", F.when(n > 0, cuts + 1).otherwise(0).cast("bigint"))
 
 

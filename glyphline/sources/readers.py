@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import native
 from ..kernels.vocab import BPE, PackError, Vocabulary
 from . import packs
 from .formats import PackSource  # noqa: F401  readable from here as before
@@ -71,9 +72,14 @@ def pack_ids(df: DataFrame, column: str = "ids") -> DataFrame:
 
 def unpack_ids(df: DataFrame, column: str = "packed_ids") -> DataFrame:
     """df with ids of packed little-endian 32-bit integers; null if the size isn't a multiple of four."""
-    n, h = F.octet_length(column), F.hex(column)
-    at = F.sequence(F.lit(0), (n / 4).cast("int") - 1)
-    ids = F.transform(at, lambda i: F.conv(F.concat(*[F.substring(h, 8 * i + k, F.lit(2)) for k in (7, 5, 3, 1)]), 16, 10).cast("bigint"))
+    n = F.octet_length(column)
+
+    def unpacked(d):
+        at = F.sequence(F.lit(0), (F.octet_length(d) / 4).cast("int") - 1)
+        one = lambda i: F.concat(*[F.substring(d, 4 * i + k, F.lit(1)) for k in (4, 3, 2, 1)])
+        return F.transform(at, lambda i: F.conv(F.hex(one(i)), 16, 10).cast("bigint"))
+
+    ids = native.let(F.col(column), unpacked)
     return df.withColumn("ids", F.when(n % 4 != 0, F.lit(None)).when(n == 0, F.array().cast("array<bigint>")).otherwise(ids))
 
 

@@ -168,3 +168,26 @@ def test_archive_streams():
     for cut in (0, 39, 40, len(data) - 1):
         with pytest.raises(PackError):
             formats.read_archive(data[:cut])
+
+
+def test_native_bytes_grow_with_the_bytes(spark):
+    """A text of 1 MB in seconds: nothing in a lambda is made anew for each byte."""
+    import time
+
+    from glyphline.functions import native
+    from glyphline.operators import tokenize
+    from glyphline.queries import engine
+    from glyphline.sources import readers
+
+    text = "the token é " * 80_000
+    df = spark.createDataFrame([(text,), ("",), (None,), ("x",)], "text string")
+    begin = time.time()
+    native_n = [r.n_segments for r in tokenize.segments_sql(df, engine()).collect()]
+    kernel_n = [r.n_segments for r in tokenize.segments(df, engine()).collect()]
+    assert native_n[:2] == kernel_n[:2] and native_n[3] == kernel_n[3] == 1
+    ids = df.select(native.byte_ids(F.encode("text", "UTF-8")).alias("ids")).collect()
+    assert [r.ids for r in ids] == [list(text.encode()), [], None, [120]]
+    packed = spark.createDataFrame([(bytearray(b"\x01\x02\x03\xff" * 250_000),), (bytearray(),), (bytearray(b"abc"),)], "packed_ids binary")
+    got = [r.ids for r in readers.unpack_ids(packed).collect()]
+    assert len(got[0]) == 250_000 and set(got[0]) == {0xFF030201} and got[1:] == [[], None]
+    assert time.time() - begin < 60
