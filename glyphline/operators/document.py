@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from ..kernels import columns, lexer, records, text
 from ..kernels.records import GRAPHEMES, LEXICAL, MODEL, NORMALIZATION, SECURITY, SEMANTIC, BlockPolicy
 from ..kernels.vocab import PackError
 from ..plans.kernel import flat_kernel, lists, with_kernel
+from .store import CacheTable, read_cache_records  # noqa: F401  a cache's operators are of documents too
 from .tokenize import _detected, _Router
 
 #: Column of each projection, in the order of the flags.
@@ -257,81 +257,3 @@ def _cache_written(key_prefix: bytes):
 def cache_records(df: DataFrame, column: str = "text", domain: bytes = b"") -> DataFrame:
     """df with cache_key (SHA-256 of domain and bytes) and cache_record, the authenticated entry."""
     return with_kernel(df, column, "cache_key binary, cache_record binary", _cache_written, domain)
-
-
-def _cache_read():
-    def fn(data):
-        try:
-            return OK, records.read_cache_record(data)
-        except records.RecordError as e:
-            return e.status, None
-
-    return fn
-
-
-def read_cache_records(df: DataFrame, column: str = "cache_record") -> DataFrame:
-    """df with cache_status and cache_value; a record that doesn't agree has status 12."""
-    return with_kernel(df, column, "cache_status int, cache_value binary", _cache_read)
-
-
-class CacheTable:
-    """A cache that is a table of (cache_key, cache_record) files, verified before a value is returned.
-
-    Every change writes new files beside those that are there and then replaces the file CURRENT,
-    which names what counts, by a rename: whoever reads, and whatever is lost in between, sees the
-    table as it was before or as it is after. One writer at a time.
-    """
-
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        self._place = lambda name: hadoop.Path(f"{self.path}/{name}")
-        self._files = hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._context = hadoop.FileContext.getFileContext(hadoop.Path(self.path).toUri() if "://" in self.path else self._files.getUri(), spark._jsc.hadoopConfiguration())
-        self._overwrite = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        self._overwrite[0] = hadoop.Options.Rename.OVERWRITE
-
-    def put(self, rows: DataFrame) -> None:
-        """Add the entries whose keys aren't there yet."""
-        rows = rows.select("cache_key", "cache_record").dropDuplicates(["cache_key"])
-        old = self._read()
-        rows = rows if old is None else rows.join(old.select("cache_key"), "cache_key", "left_anti")
-        self._switch([*self._names(), self._write(rows)])
-
-    def get(self, keys: DataFrame) -> DataFrame:
-        """keys with cache_status (11: not there) and cache_value."""
-        old = self._read()
-        if old is None:
-            return keys.select("cache_key", F.lit(11).alias("cache_status"), F.lit(None).cast("binary").alias("cache_value"))
-        found = read_cache_records(keys.select("cache_key").distinct().join(old, "cache_key", "left"))
-        return found.select("cache_key", F.coalesce("cache_status", F.lit(11)).alias("cache_status"), "cache_value")
-
-    def remove(self, keys: DataFrame) -> None:
-        """Write the table without some keys, then let it count; the old files are deleted last."""
-        old = self._read()
-        if old is not None:
-            names = self._names()
-            self._switch([self._write(old.join(keys.select("cache_key").distinct(), "cache_key", "left_anti"))])
-            for name in names:
-                self._files.delete(self._place(name), True)
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"part-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
-        return name
-
-    def _switch(self, names: list[str]) -> None:
-        new = self._place(f"CURRENT.{uuid.uuid4().hex}")
-        out = self._files.create(new)
-        out.write(bytearray("\n".join(names).encode()))
-        out.close()
-        self._context.rename(new, self._place("CURRENT"), self._overwrite)
-
-    def _names(self) -> list[str]:
-        if not self._files.exists(self._place("CURRENT")):
-            return []
-        return [r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect() if r.value]
-
-    def _read(self):
-        names = self._names()
-        return self.spark.read.schema("cache_key binary, cache_record binary").parquet(*[f"{self.path}/{n}" for n in names]) if names else None

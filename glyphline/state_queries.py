@@ -14,6 +14,7 @@ from .config import Engine, Limits
 from .kernels import ed25519, records
 from .kernels.vocab import LEX_PROFILES, PackError, base_detector, base_language, base_vocabulary, raw_bpe_vocabulary
 from .operators import archive, document, metrics, registry, tokenize, unicode
+from .operators import store as store_module
 from .plans.kernel import with_kernel
 from .queries import _DOCS, _FLAGS, SQL, documents, engine, planted_docs, query, table
 from .sources import packs, readers, unicode_build, unicode_sections
@@ -238,6 +239,18 @@ def r11_archive_restore(spark, sf_dir):
     return done.join(sizes, "path", "left").select("path", "restored", F.coalesce("n_bytes", F.lit(-1)).alias("n_bytes"))
 
 
+@query(f"""SELECT doc_id, octet_length(encode(text)) AS n_bytes, true AS exact, 0::BIGINT AS encoded_again FROM ({_DOCS})""")
+def r64_cached_encoding(spark, sf_dir):
+    """Texts encoded through a cache, twice: the second run encodes nothing, and its ids decode to the texts."""
+    store, rows, own = document.CacheTable(spark, _folder(spark, "pieces")), planted_docs(spark, sf_dir), engine("en")
+    store_module.encode_cached(rows.select("doc_id", "text"), own, store, ["doc_id"])
+    out, counts = store_module.encode_cached(rows.select("doc_id", "text"), own, store, ["doc_id"])
+    got = tokenize.decode(readers.unpack_ids(out), own).select(F.col("doc_id").alias("__d"), "decoded")
+    both = rows.join(got, F.col("doc_id") == F.col("__d"))
+    exact = F.col("decoded") == F.encode("text", "UTF-8")
+    return both.select("doc_id", F.octet_length("text").alias("n_bytes"), exact.alias("exact"), F.lit(counts["encoded"]).cast("bigint").alias("encoded_again"))
+
+
 # --- Unicode tables of containers -----------------------------------------------------------------
 
 
