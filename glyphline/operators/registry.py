@@ -87,15 +87,27 @@ def _canonical(value) -> bytes:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
 
 
-def catalog_hash(registry: DataFrame) -> str:
-    """SHA-256 of the sorted catalog in canonical JSON; rows are hashed where they are.
+def catalog_tree(registry: DataFrame, digits: int = 3) -> DataFrame:
+    """(bucket, n, digest): rows by the first hexadecimal digits of their own digest.
 
-    The driver sees one 32-byte digest for each pack name's rows.
+    A row's digest is SHA-256 of its columns as JSON in the order of their names; a bucket's is that
+    of its rows' digests in order. More digits for more than some hundred million rows.
     """
-    row = F.to_json(F.struct(*sorted(registry.columns)))
-    groups = registry.groupBy("publisher", "name").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(version(F.col("version")).alias("v"), row.alias("r")))), lambda x: x["r"]), "\n"), 256).alias("h"))
-    found = groups.orderBy("publisher", "name").select("publisher", "name", "h").collect()
-    return hashlib.sha256(_canonical({"schema": 1, "packs": [list(r) for r in found]})).hexdigest()
+    row = F.sha2(F.to_json(F.struct(*sorted(registry.columns)), {"ignoreNullFields": "false"}), 256)
+    rows = registry.select(row.alias("h")).groupBy(F.substring("h", 1, digits).alias("bucket"))
+    return rows.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+
+
+def catalog_root(registry: DataFrame, digits: int = 3) -> DataFrame:
+    """(n, catalog_sha256) of a catalog: one row, the same for any order and partitioning of its rows."""
+    tree = catalog_tree(registry, digits)
+    line = F.concat_ws(":", "bucket", "digest")
+    return tree.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("catalog_sha256"))
+
+
+def catalog_hash(registry: DataFrame) -> str:
+    """The hash alone; the driver sees nothing but it."""
+    return catalog_root(registry).first().catalog_sha256
 
 
 def lock(registry: DataFrame, requirements: DataFrame) -> dict:

@@ -258,6 +258,36 @@ class _IdWriter(StagedWriter):
                 yield name, values.astype("<u4").tobytes(), 1
 
 
+def _whole_rows(path: str, data: bytes) -> Iterator[tuple]:
+    yield path, data
+
+
+class FileSource(_Source):
+    """``glyphline_files``: (path string, content binary), a file for each row, as containers are."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "glyphline_files"
+
+    def schema(self) -> str:
+        return "path string, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FileReader(self, _whole_rows)
+
+    def writer(self, schema, overwrite: bool) -> StagedWriter:
+        return _FileWriter(self.options["path"], overwrite)
+
+
+class _FileWriter(StagedWriter):
+    def parts(self, batches, task):
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if not name or content is None:
+                    raise ValueError("a name or content is missing")
+                yield name, content, 1
+
+
 _FRAME = struct.Struct("<II")
 
 
@@ -431,5 +461,5 @@ class _ArchiveWriter(StagedWriter):
 def register(spark: SparkSession) -> None:
     """Make the formats known to a session, and let filters be pushed to them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (PackSource, RankSource, IdSource, RecordSource, ArchiveSource):
+    for source in (PackSource, RankSource, IdSource, FileSource, RecordSource, ArchiveSource):
         spark.dataSource.register(source)

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from . import oracles
 from .config import Engine, Limits
 from .kernels import ed25519, records
-from .kernels.vocab import LEX_PROFILES, PackError, base_detector, base_language, base_vocabulary, raw_bpe_vocabulary
+from .kernels.vocab import LEX_PROFILES, Language, PackError, base_detector, base_language, base_vocabulary, raw_bpe_vocabulary
 from .operators import archive, document, metrics, registry, tokenize, unicode
 from .operators import store as store_module
 from .plans.kernel import with_kernel
 from .queries import _DOCS, _FLAGS, SQL, documents, engine, planted_docs, query, table
-from .sources import packs, readers, unicode_build, unicode_sections
+from .sources import formats, packs, readers, unicode_build, unicode_sections
 
 
 def _header():
@@ -181,6 +181,51 @@ def r84_catalog_list(spark, sf_dir):
     return rows.groupBy(F.col("publisher").alias("name")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("name")), "\n"), 256).alias("names_sha256"))
 
 
+@query("""WITH r AS (SELECT sha256(concat('{"name":"', c_name, '","publisher":"', c_mktsegment, '","version":"1.0.', c_custkey, '"}')) AS h FROM customer),
+b AS (SELECT h[1:3] AS bucket, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM r GROUP BY ALL)
+SELECT sum(n)::BIGINT AS n, sha256(string_agg(concat(bucket, ':', digest), chr(10) ORDER BY concat(bucket, ':', digest))) AS catalog_sha256 FROM b""")
+def r84_catalog_hash(spark, sf_dir):
+    """The hash of a catalog of one pack for each customer, by a tree of digests."""
+    version = F.concat(F.lit("1.0."), F.col("c_custkey").cast("string"))
+    return registry.catalog_root(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("publisher"), version.alias("version")))
+
+
+def _language_file():
+    def fn(words):
+        deltas = {}
+        for line in words.decode().split("\n"):
+            word, n = line.split("\t")
+            deltas[word.encode()] = -int(n)
+        return (packs.write_language(Language("brand", tuple(deltas.items()))),)
+
+    return fn
+
+
+def _language_sums():
+    def fn(body):
+        x = packs.read_language(packs.wrap(packs.LANGUAGE, body))
+        return len(x.deltas), sum(d for _, d in x.deltas), max(len(s) for s, _ in x.deltas)
+
+    return fn
+
+
+@query("""WITH w AS (SELECT p_brand AS brand, unnest(string_split(p_name, ' ')) AS word FROM part)
+SELECT brand, count(DISTINCT word) AS n_surfaces, -count(*) AS total, max(octet_length(encode(word))) AS longest FROM w WHERE word <> '' GROUP BY brand""")
+def r02_pack_sections(spark, sf_dir):
+    """A language container for each brand of parts, written in tasks under a commit; its sections read with a pushed kind."""
+    formats.register(spark)
+    words = table(spark, sf_dir, "part").select("p_brand", F.explode(F.split("p_name", " ")).alias("word")).where("word <> ''")
+    counted = words.groupBy("p_brand", "word").agg(F.count("*").alias("n"))
+    # a brand's row grows with its different words alone
+    lists = counted.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\t", "word", F.col("n").cast("string")))), "\n").alias("words"))
+    made = with_kernel(lists, "words", "content binary", _language_file)
+    folder = _folder(spark, "packs")
+    made.select(F.concat(F.regexp_replace("p_brand", "#", "-"), F.lit(".pack")).alias("path"), "content").write.format("glyphline_files").mode("append").save(folder)
+    sections = spark.read.format("glyphline_pack").load(folder).where(F.col("kind") == packs.LANGUAGE)
+    got = with_kernel(sections, "body", "n_surfaces bigint, total bigint, longest bigint", _language_sums)
+    return got.select(F.regexp_replace(F.regexp_extract("path", "([^/]+)[.]pack$", 1), "-", "#").alias("brand"), "n_surfaces", "total", "longest")
+
+
 _TRUST = [("good", 0), ("unsigned", 10), ("other pack", 12), ("unknown key", 14), ("changed", 14), ("revoked", 15)]
 
 
