@@ -10,7 +10,7 @@ from ..config import LIMIT, OK, STATE, UNKNOWN_ID, Engine
 from ..functions import native
 from ..kernels import columns
 from ..kernels import text as units
-from ..kernels.encode import run_dfa
+from ..kernels.automaton import Automaton
 from ..kernels.vocab import PackError, count_overlapping
 from ..plans.kernel import flat_kernel, folded_kernel, lists, with_kernel
 
@@ -260,12 +260,16 @@ def segments_sql(df: DataFrame, engine: Engine, column: str = "text") -> DataFra
     return df.withColumn("n_segments", F.when(n > 0, cuts + 1).otherwise(0).cast("bigint"))
 
 
-def _dfa(transitions, accepts, start):
-    def fn(data):
-        found = run_dfa(transitions, accepts, start, data)
-        return (None, None) if found is None else found
+class _dfa:  # noqa: N801  a kernel over whole batches
+    def __init__(self, transitions, accepts, start):
+        self.automaton = Automaton(transitions, accepts, start)
 
-    return fn
+    def arrow(self, sources):
+        import pyarrow as pa
+
+        good, token, cost = self.automaton.run([s or b"" for s in sources])
+        missing = ~good | np.array([s is None for s in sources], bool)
+        return [pa.array(token, mask=missing), pa.array(cost, mask=missing)]
 
 
 def run_automaton(df: DataFrame, transitions: dict, accepts: dict, start: int = 0, column: str = "text") -> DataFrame:
