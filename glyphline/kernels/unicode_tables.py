@@ -1,6 +1,6 @@
 """Clusters, scripts, findings and normalised views of many sources at once, from Unicode tables.
 
-All sources of a batch are one array of code points; tables are looked up by binary search. What a
+All sources of a batch are one array of code points; tables are looked up whole. What a
 rule needs of what stands further away (the last consonant, how many regional indicators) is carried
 along by running maxima and sums.
 """
@@ -46,10 +46,16 @@ def cluster_starts(t, b: Batch) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     bad, edge = text.is_invalid(b.cps), _edges(b)
-    cps, inverse = np.unique(b.cps, return_inverse=True)  # each code point is looked up once
-    look = lambda r: np.where(bad, 0, r.look(cps)[inverse])
+    look = lambda r: np.where(bad, 0, r.look(b.cps))
     g, c, picture = look(t.gcb), look(t.incb), look(t.pictographic) > 0
-    of = lambda values, *names: np.isin(values, [GCB[x] for x in names])
+    sets = {}
+
+    def of(values, *names):
+        if names not in sets:
+            sets[names] = np.zeros(len(GCB) + 1, bool)
+            sets[names][[GCB[x] for x in names]] = True
+        return sets[names][values]
+
     a = _before(g, 0)
     first = np.flatnonzero(edge)[np.cumsum(edge) - 1]  # of the unit's source
 
@@ -127,8 +133,10 @@ def _pairs(t, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _seconds(t) -> np.ndarray:
+    """Whether each code point can be the second of a pair."""
     if "seconds" not in t.cached:
-        t.cached["seconds"] = np.unique(np.concatenate((t.pairs & 0xFFFFFFFF, np.arange(_V, _V + _VS), np.arange(_T + 1, _T + _TS))))
+        t.cached["seconds"] = np.zeros(0x110000, bool)
+        t.cached["seconds"][np.concatenate((t.pairs & 0xFFFFFFFF, np.arange(_V, _V + _VS), np.arange(_T + 1, _T + _TS)))] = True
     return t.cached["seconds"]
 
 
@@ -141,7 +149,7 @@ def _compose(t, cps: np.ndarray, ccc: np.ndarray, owner: np.ndarray) -> tuple[np
     n = len(cps)
     cps, into = cps.copy(), np.arange(n)
     passed = np.full(n, -1)  # of a starter, the last unit that it took
-    work = np.isin(cps, _seconds(t))
+    work = _seconds(t)[cps]
     if not work.any():
         return cps, into
     alive = np.arange(n)
@@ -175,8 +183,8 @@ def _compose(t, cps: np.ndarray, ccc: np.ndarray, owner: np.ndarray) -> tuple[np
     return cps, into
 
 
-def normalized(t, mode: str, b: Batch):
-    """Code points, owner and provenance of the normalised units of all sources.
+def normalized(t, mode: str, b: Batch, traced: bool = True):
+    """Code points, owner and, if ``traced``, provenance of the normalised units of all sources.
 
     Returns (cps, units of each source, unit of each span, spans' source units): a span is one source
     unit; spans of a unit are in order, without repeats.
@@ -194,19 +202,23 @@ def normalized(t, mode: str, b: Batch):
     ccc = np.where(text.is_invalid(cps), 0, t.ccc.look(cps))
     new = np.ones(len(cps), bool)
     new[1:] = (ccc[1:] == 0) | (owner[1:] != owner[:-1])
-    order = np.lexsort((ccc, np.cumsum(new))) if (ccc > 0).any() else np.arange(len(cps))
-    cps, source, ccc = cps[order], source[order], ccc[order]
+    if (~new[1:] & (ccc[1:] < ccc[:-1])).any():  # marks that stand in another order
+        order = np.lexsort((ccc, np.cumsum(new)))
+        cps, source, ccc = cps[order], source[order], ccc[order]
     into = np.arange(len(cps))
     if mode in ("NFC", "NFKC", "NFKC_CASEFOLD"):
         cps, into = _compose(t, cps, ccc, owner)
     left = into == np.arange(len(cps))
+    per = np.bincount(owner[left], minlength=len(b.sources))
+    if not traced:
+        return cps[left], per, None, None
     number = np.cumsum(left) - 1
     unit = number[into]
     order = np.lexsort((source, unit))
     unit, source = unit[order], source[order]
     keep = np.ones(len(unit), bool)
     keep[1:] = (unit[1:] != unit[:-1]) | (source[1:] != source[:-1])
-    return cps[left], np.bincount(owner[left], minlength=len(b.sources)), unit[keep], source[keep]
+    return cps[left], per, unit[keep], source[keep]
 
 
 def _encoded(cps: np.ndarray, per: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -219,7 +231,7 @@ def _encoded(cps: np.ndarray, per: np.ndarray) -> tuple[list[bytes], np.ndarray]
 
 
 def normalized_bytes(t, mode: str, b: Batch) -> list[bytes]:
-    cps, per, _, _ = normalized(t, mode, b)
+    cps, per, _, _ = normalized(t, mode, b, traced=False)
     return _encoded(cps, per)[0]
 
 

@@ -15,6 +15,8 @@ from ..kernels.vocab import PackError
 from . import packs
 
 LIMIT_CP = 0x110000
+#: Code points beyond which a look-up makes a table of all of them.
+MANY = 1 << 14
 # Layout of the sections, and the values that the properties have.
 CLUSTER_KIND, SECURITY_KIND, NORMAL_KIND = 5, 7, 8
 CLUSTER_MAGIC, SECURITY_MAGIC, NORMAL_MAGIC = b"MSUC", b"MSSC", b"MSNM"
@@ -36,6 +38,7 @@ class Ranges:
     start: np.ndarray
     end: np.ndarray
     value: np.ndarray
+    dense: list = field(default_factory=list, repr=False)
 
     @staticmethod
     def of(per_cp: np.ndarray) -> Ranges:
@@ -49,9 +52,16 @@ class Ranges:
         return len(self.start)
 
     def look(self, cps: np.ndarray) -> np.ndarray:
-        """The value of each code point, by binary search."""
+        """The value of each code point: of few by binary search, of many from a table made once."""
         if not len(self.start):
             return np.zeros(len(cps), np.int64)
+        if len(cps) > MANY or self.dense:
+            if not self.dense:
+                table = np.zeros(LIMIT_CP, np.int16)
+                for a, z, v in zip(self.start.tolist(), self.end.tolist(), self.value.tolist(), strict=True):
+                    table[a:z] = v
+                self.dense.append(table)
+            return self.dense[0][cps]
         at = np.searchsorted(self.start, cps, "right") - 1
         inside = (at >= 0) & (cps < self.end[np.maximum(at, 0)])
         return np.where(inside, self.value[np.maximum(at, 0)], 0)
@@ -84,7 +94,8 @@ class Mappings:
         """Code points with the mapped ones replaced by their sequences, and the source of each."""
         if not len(self.cps) or not len(cps):
             return cps, source
-        at = np.minimum(np.searchsorted(self.cps, cps), len(self.cps) - 1)
+        at, high = np.zeros(len(cps), np.int64), np.flatnonzero(cps >= self.cps[0])
+        at[high] = np.minimum(np.searchsorted(self.cps, cps[high]), len(self.cps) - 1)
         hit = self.cps[at] == cps
         if not hit.any():
             return cps, source

@@ -299,32 +299,34 @@ def r64_cached_encoding(spark, sf_dir):
 # --- Unicode tables of containers -----------------------------------------------------------------
 
 
-def _sections(spark: SparkSession):
-    """Tables of clusters, security evidence and normalisation, written as containers and read back."""
-    made = unicode_build.cluster_tables(spark), unicode_build.security_tables(spark), unicode_build.normal_tables(spark)
-    write = unicode_sections.write_clusters, unicode_sections.write_security, unicode_sections.write_normal
-    read = unicode_sections.read_clusters, unicode_sections.read_security, unicode_sections.read_normal
-    return [r(w(t)) for r, w, t in zip(read, write, made, strict=True)]
+def _clusters(spark):
+    """Tables of clusters, written as a container and read back."""
+    return unicode_sections.read_clusters(unicode_sections.write_clusters(unicode_build.cluster_tables(spark)))
+
+
+def _normal(spark):
+    return unicode_sections.read_normal(unicode_sections.write_normal(unicode_build.normal_tables(spark)))
 
 
 @query(SQL["r38_graphemes"])
 def r38_graphemes_tables(spark, sf_dir):
     """Clusters by the tables of a section, all rules over whole batches."""
-    return unicode.grapheme_counts(planted_docs(spark, sf_dir), tables=_sections(spark)[0]).select("doc_id", "n_graphemes")
+    return unicode.grapheme_counts(planted_docs(spark, sf_dir), tables=_clusters(spark)).select("doc_id", "n_graphemes")
 
 
 @query(SQL["r42_security"])
 def r42_security_tables(spark, sf_dir):
     both = planted_docs(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
-    found = unicode.table_findings(both, _sections(spark)[1]).select(F.explode("findings.kind").alias("kind"))
+    tables = unicode_sections.read_security(unicode_sections.write_security(unicode_build.security_tables(spark)))
+    found = unicode.table_findings(both, tables).select(F.explode("findings.kind").alias("kind"))
     return found.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(SQL["r44_normalize_nfc"])
 def r44_nfc_tables(spark, sf_dir):
-    return unicode.normalized_digests(planted_docs(spark, sf_dir), "NFC", tables=_sections(spark)[2]).select("doc_id", "normalized_sha256")
+    return unicode.normalized_digests(planted_docs(spark, sf_dir), "NFC", tables=_normal(spark)).select("doc_id", "normalized_sha256")
 
 
 @query(SQL["r44_normalize_casefold"])
 def r44_casefold_tables(spark, sf_dir):
-    return unicode.normalized_digests(planted_docs(spark, sf_dir), "NFKC_CASEFOLD", tables=_sections(spark)[2]).select("doc_id", "normalized_sha256")
+    return unicode.normalized_digests(planted_docs(spark, sf_dir), "NFKC_CASEFOLD", tables=_normal(spark)).select("doc_id", "normalized_sha256")
