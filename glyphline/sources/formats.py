@@ -85,8 +85,8 @@ class _FileReader(DataSourceReader):
 class PackSource(_Source):
     """``glyphline_pack``: one row for each section of the containers of a file or a folder.
 
-    A filter on ``kind`` (= or in) is pushed: only directories and the bodies of those kinds are
-    read. Option verify: the whole file is read and its hash compared (default false: the header and the
+    A filter on ``kind`` (= or in) is pushed if the format was made known by ``register``: then only
+    directories and the bodies of those kinds are read. Option verify: the whole file is read and its hash compared (default false: the header and the
     layout of the directory alone). Option status: a bad container is one row with section -1 and its
     status, instead of an error.
     """
@@ -131,18 +131,6 @@ class _PackReader(DataSourceReader):
         self.verify, self.status = (source.options.get(o, "false").lower() == "true" for o in ("verify", "status"))
         self.kinds: frozenset[int] | None = None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            wanted = None
-            if isinstance(f, EqualTo) and f.attribute == ("kind",):
-                wanted = frozenset([f.value])
-            elif isinstance(f, In) and f.attribute == ("kind",):
-                wanted = frozenset(f.value)
-            if wanted is None:
-                yield f
-            else:
-                self.kinds = wanted if self.kinds is None else self.kinds & wanted
-
     def partitions(self) -> list[Ranges]:
         """Small containers together, those beyond a task's bytes by ranges of wanted sections."""
         store, _ = store_of(self.path)
@@ -183,6 +171,27 @@ class _PackReader(DataSourceReader):
                     yield path, e.status, -1, None, None, None, None
 
 
+class _PushedPackReader(_PackReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            wanted = None
+            if isinstance(f, EqualTo) and f.attribute == ("kind",):
+                wanted = frozenset([f.value])
+            elif isinstance(f, In) and f.attribute == ("kind",):
+                wanted = frozenset(f.value)
+            if wanted is None:
+                yield f
+            else:
+                self.kinds = wanted if self.kinds is None else self.kinds & wanted
+
+
+class PushedPackSource(PackSource):
+    """``PackSource`` for sessions that push filters to sources in Python, as ``register`` sets them up."""
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PushedPackReader(self)
+
+
 # --- rank files, id files, records ----------------------------------------------------------------
 
 
@@ -461,5 +470,5 @@ class _ArchiveWriter(StagedWriter):
 def register(spark: SparkSession) -> None:
     """Make the formats known to a session, and let filters be pushed to them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (PackSource, RankSource, IdSource, FileSource, RecordSource, ArchiveSource):
+    for source in (PushedPackSource, RankSource, IdSource, FileSource, RecordSource, ArchiveSource):
         spark.dataSource.register(source)

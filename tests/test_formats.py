@@ -44,7 +44,7 @@ def test_only_wanted_bodies_are_read(tmp_path, monkeypatch):
     data = packs.write_vocabulary(base_vocabulary())
     (tmp_path / "one.pack").write_bytes(data)
     monkeypatch.setattr(formats, "TASK_BYTES", 100)
-    source = formats.PackSource({"path": str(tmp_path), "tasks": "4"})
+    source = formats.PushedPackSource({"path": str(tmp_path), "tasks": "4"})
     reader = source.reader(None)
     assert [p.files[0][1:] for p in reader.partitions()] == [(0, 1), (1, 2), (2, 3)]
     rest = list(reader.pushFilters([EqualTo(("kind",), 4), In(("kind",), (4, 5)), IsNotNull(("kind",))]))
