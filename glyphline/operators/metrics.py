@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import STATUS, Engine
@@ -60,13 +60,18 @@ class Totals:
         return json.dumps(self.counters, sort_keys=True, separators=(",", ":"))
 
 
+def status_texts(status: Column) -> Column:
+    """The text of a status, natively."""
+    known = F.get(F.array(*[F.lit(s) for s in STATUS]), status)
+    return F.when(status.isNotNull(), F.coalesce(F.when(status >= 0, known), F.lit("unknown status")))
+
+
 def events(encoded: DataFrame, key: str, column: str = "text", status: str = "status", mask: tuple[int, ...] | None = None) -> DataFrame:
     """(key, operation, status, status_text, input_bytes): one row for each operation, or of some statuses."""
-    names = F.array(*[F.lit(s) for s in STATUS])
     rows = encoded.where(F.col(status).isNotNull())
     if mask is not None:
         rows = rows.where(F.col(status).isin(*mask))
-    return rows.select(key, F.lit("encode").alias("operation"), F.col(status).alias("status"), F.element_at(names, F.col(status) + 1).alias("status_text"), F.octet_length(F.col(column)).cast("bigint").alias("input_bytes"))
+    return rows.select(key, F.lit("encode").alias("operation"), F.col(status).alias("status"), status_texts(F.col(status)).alias("status_text"), F.octet_length(F.col(column)).cast("bigint").alias("input_bytes"))
 
 
 def prometheus(counters: dict[str, int], prefix: str = "glyphline") -> str:

@@ -6,7 +6,7 @@ import hashlib
 import json
 import struct
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFLICT, INTEGRITY, INVALID, NOT_FOUND, OK, REVOKED, UNSUPPORTED, UNTRUSTED
@@ -69,16 +69,16 @@ def resolve(registry: DataFrame, requirements: DataFrame) -> DataFrame:
     """(role, pack columns) of the highest version, then hash, that meets each requirement.
 
     requirements: (role, publisher, name, constraint). A role twice, a constraint without a bound
-    (status 1) or one that no pack meets (status 11) fails the whole. The requirements are a
-    handful of rows: they are counted on the driver.
+    (status 1) or one that no pack meets (status 11) fails the whole. Versions of a pack are compared
+    before they are shuffled, so that a pack of many versions is no hot group.
     """
-    asked = requirements.select("role", satisfies(version(F.lit("1.0.0")), F.col("constraint")).isNull().alias("open")).collect()
-    if len({r.role for r in asked}) != len(asked) or any(r.open for r in asked):
+    bound = satisfies(version(F.lit("1.0.0")), F.col("constraint")).isNotNull()
+    if not requirements.groupBy("role").agg(F.count("*").alias("n"), F.min(bound).alias("bound")).where("n > 1 or not bound").isEmpty():
         raise PackError("a role is there twice or a constraint has no bound", INVALID)
     fits = requirements.join(registry, ["publisher", "name"]).where(satisfies(version(F.col("version")), F.col("constraint")))
-    order = Window.partitionBy("role").orderBy(version(F.col("version")).desc(), F.col("sha256").desc())
-    best = fits.withColumn("n", F.row_number().over(order)).where("n = 1").select("role", *registry.columns)
-    if best.count() < len(asked):
+    order = F.struct(version(F.col("version")), "sha256")
+    best = fits.groupBy("role").agg(F.max_by(F.struct(*registry.columns), order).alias("pack")).select("role", "pack.*")
+    if not requirements.join(best.select("role"), "role", "left_anti").isEmpty():
         raise PackError("a requirement can't be met", NOT_FOUND)
     return best
 

@@ -292,10 +292,26 @@ def language_table(spark: SparkSession, engine: Engine) -> DataFrame:
     return spark.createDataFrame(rows, "tag string, surface binary, delta int")
 
 
+def attach_deltas(vocabulary: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(token_id, cost, delta) of a vocabulary (token_id, cost, surface): the sum of all languages' (tag, surface, delta) by surface, 0 without any."""
+    by_surface = deltas.groupBy("surface").agg(F.sum("delta").alias("d"))
+    return vocabulary.join(by_surface, "surface", "left").select("token_id", "cost", F.coalesce("d", F.lit(0)).cast("bigint").alias("delta"))
+
+
 def adjustments(spark: SparkSession, engine: Engine) -> DataFrame:
     """(token_id, cost, delta): sum of the attached languages' deltas by surface, 0 without any."""
-    deltas = language_table(spark, engine).groupBy("surface").agg(F.sum("delta").alias("d"))
-    return vocabulary_table(spark, engine).join(F.broadcast(deltas), "surface", "left").select("token_id", "cost", F.coalesce("d", F.lit(0)).cast("bigint").alias("delta"))
+    return attach_deltas(vocabulary_table(spark, engine), language_table(spark, engine))
+
+
+def language_sizes(deltas: DataFrame) -> DataFrame:
+    """(tag, status, n_deltas, total) of languages as rows (tag, surface, delta).
+
+    Status 1 for a tag that isn't 1 to 63 ASCII letters, digits and hyphens, 3 for a surface that is there twice, else 0.
+    """
+    by_surface = deltas.groupBy("tag", "surface").agg(F.count("*").alias("n"), F.sum("delta").alias("d"))
+    sizes = by_surface.groupBy("tag").agg(F.max("n").alias("most"), F.count("*").alias("n_deltas"), F.sum("d").alias("total"))
+    good = F.coalesce(F.col("tag").rlike("^[0-9A-Za-z-]{1,63}$") & ~F.contains("tag", F.lit("\n")), F.lit(False))
+    return sizes.select("tag", F.when(~good, 1).when(F.col("most") > 1, 3).otherwise(0).alias("status"), "n_deltas", "total")
 
 
 def detect(df: DataFrame, engine: Engine, column: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from .kernels.records import GRAPHEMES, LEXICAL, MODEL, NORMALIZATION, SECURITY,
 from .kernels.vocab import LEX_PROFILES, base_detector, base_language, base_vocabulary, raw_bpe_vocabulary
 from .operators import archive, document, lex, metrics, registry, tokenize, training, unicode
 from .plans.kernel import folded_kernel, spread
-from .sources import packs, readers
+from .sources import readers
 from .streaming import replay
 
 ALL = MODEL | GRAPHEMES | SECURITY | NORMALIZATION | LEXICAL | SEMANTIC
@@ -189,13 +189,6 @@ PATHS = [
 ]
 
 
-@query("SELECT * FROM (VALUES ('lower-cost-wins', 'left'), ('fewer-tokens-win-after-cost-tie', 'left'), ('longer-first-span-wins', 'right'), ('smaller-token-id-wins', 'right')) AS t(name, winner)")
-def r21_path_order(spark, sf_dir):
-    edge = "array<struct<start:int,end:int,namespace:int,kind:int,id:bigint,cost:bigint>>"
-    rows = spark.createDataFrame(PATHS, f"name string, left {edge}, right {edge}")
-    return rows.select("name", F.when(native.path_less(F.col("left"), F.col("right")), "left").otherwise("right").alias("winner"))
-
-
 @query(f"WITH RECURSIVE {oracles.segments_sql(_DOCS, 'doc_id', oracles.BPE_PIECES)}, {oracles.bpe_sql()} {_COUNTED}")
 def r22_bpe_counts(spark, sf_dir):
     return tokenize.token_counts(planted_docs(spark, sf_dir), Engine(raw_bpe_vocabulary()).seal())
@@ -255,19 +248,6 @@ def r28_batch(spark, sf_dir):
 # --- languages and routes -----------------------------------------------------------------------
 
 
-@query("""
-SELECT token_id, cost, CASE token_id WHEN 271 THEN -40 WHEN 258 THEN -10 WHEN 273 THEN -60 WHEN 274 THEN -60 ELSE 0 END AS delta
-FROM (SELECT range AS token_id, 100 AS cost FROM range(256) UNION ALL
-  SELECT * FROM (VALUES """ + ", ".join(f"({i}, {c})" for i, c, s in base_vocabulary().rows if i > 255) + ") AS v(token_id, cost))")
-def r29_adjustments(spark, sf_dir):
-    return tokenize.adjustments(spark, engine("en", "hi", "ja"))
-
-
-@query("SELECT * FROM (VALUES ('en', 2), ('hi', 1), ('ja', 1)) AS t(tag, n_deltas)")
-def r30_languages(spark, sf_dir):
-    return tokenize.language_table(spark, engine("en", "hi", "ja")).groupBy("tag").agg(F.count("*").alias("n_deltas"))
-
-
 @query(f"""SELECT doc_id, language, score FROM (SELECT doc_id, {oracles.score_sql()} FROM ({_DOCS})),
   LATERAL (SELECT unnest(['en', 'hi', 'ja']) AS language, unnest([en, hi, ja]) AS score)""")
 def r31_detector_scores(spark, sf_dir):
@@ -543,14 +523,6 @@ def r09_document_records(spark, sf_dir):
     return got.select("doc_id", "status", "read_status", (F.col("source") == F.encode("text", "UTF-8")).alias("exact"), "flags")
 
 
-@query("SELECT 'en,hi' AS order1, true AS same_for_any_order, true AS changes_with_languages, true AS changes_with_limits")
-def r65_fingerprint(spark, sf_dir):
-    a, b, c = engine("en", "hi"), engine("hi", "en"), engine("en")
-    limited = engine("en", limits=Limits(4096))
-    row = ("en,hi", a.fingerprint() == b.fingerprint(), a.fingerprint() != c.fingerprint(), c.runtime_identity() != limited.runtime_identity())
-    return spark.createDataFrame([row], "order1 string, same_for_any_order boolean, changes_with_languages boolean, changes_with_limits boolean")
-
-
 @query("SELECT sha256(text) AS content, count(*) AS n_docs FROM documents GROUP BY ALL HAVING count(*) > 1")
 def r68_duplicates_by_hash(spark, sf_dir):
     return documents(spark, sf_dir).groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("content")).agg(F.count("*").alias("n_docs")).where("n_docs > 1")
@@ -626,11 +598,6 @@ def r79_events(spark, sf_dir):
     return metrics.events(got, "doc_id", mask=(config.LIMIT,))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(config.STATUS)) + ") AS t(status, status_text)")
-def r93_status_texts(spark, sf_dir):
-    return spark.range(len(config.STATUS)).select(F.col("id").cast("int").alias("status"), F.element_at(F.array(*[F.lit(s) for s in config.STATUS]), F.col("id").cast("int") + 1).alias("status_text"))
-
-
 @query("""
 WITH l AS (SELECT unnest(regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+')) AS line FROM documents),
 s AS (SELECT regexp_extract_all(line, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\v\\x1c-\\x1f\\x{85}\\p{Z}]+|[\\s\\v\\x1c-\\x1f\\x{85}\\p{Z}]+') AS s FROM l),
@@ -648,9 +615,8 @@ def r81_training(spark, sf_dir):
     return training.train(documents(spark, sf_dir), vocab_size=1000)
 
 
-#: A small registry and requirements on it.
+#: A small registry.
 _VERSIONS = ["0.0.3", "0.0.4", "0.2.3", "0.2.9", "0.3.0", "1.2.3", "1.9.0", "2.0.0", "10.0.0"]
-_REQUIREMENTS = [("a", "acme", "model", "^1.2.3"), ("b", "acme", "model", "^0.2.3"), ("c", "acme", "model", "^0.0.3"), ("d", "acme", "model", ">=1.0.0, <10.0.0"), ("e", "acme", "model", ">2.0.0"), ("f", "acme", "model", "==0.3.0"), ("g", "acme", "lexer", "1.2.3")]
 
 
 def registry_table(spark) -> DataFrame:
@@ -664,12 +630,6 @@ def hashlib_hex(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@query("SELECT * FROM (VALUES ('a', 'model', '1.9.0'), ('b', 'model', '0.2.9'), ('c', 'model', '0.0.3'), ('d', 'model', '2.0.0'), ('e', 'model', '10.0.0'), ('f', 'model', '0.3.0'), ('g', 'lexer', '1.2.3')) AS t(role, name, version)")
-def r83_resolve(spark, sf_dir):
-    asked = spark.createDataFrame(_REQUIREMENTS, "role string, publisher string, name string, constraint string")
-    return registry.resolve(registry_table(spark), asked).select("role", "name", "version")
-
-
 @query("SELECT DISTINCT c_mktsegment AS name, 3 AS n_versions FROM customer")
 def r82_install(spark, sf_dir):
     """One pack for each market segment, installed twice, then a new version."""
@@ -697,15 +657,6 @@ def r08_packed_ids(spark, sf_dir):
     return readers.unpack_ids(readers.pack_ids(docs).drop("ids")).select("doc_id", "ids")
 
 
-@query("SELECT 'good' AS file, '' AS problem WHERE false UNION ALL SELECT * FROM (VALUES ('bad', 'bad line'), ('bad', 'duplicate rank'), ('bad', 'missing byte')) AS t(file, problem)")
-def r05_tiktoken(spark, sf_dir):
-    """Checks of a good and of a bad rank table."""
-    good = packs.format_tiktoken(raw_bpe_vocabulary()).splitlines()
-    rows = lambda lines: spark.createDataFrame([(x,) for x in lines], "value string")
-    checks = [readers.check_tiktoken(readers.tiktoken_rows(rows(x))).select(F.lit(n).alias("file"), "problem") for n, x in (("good", good), ("bad", [*good[3:], "YWI= 7", "YWIxMg== x"][:-2] + ["eHl6 100", "eHh4 x"]))]
-    return checks[0].unionByName(checks[1])
-
-
 @query("SELECT CASE WHEN doc_id % 5 = 0 THEN '../' ELSE '' END || 'a/' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'unsafe path' ELSE 'corrupt' END AS problem FROM documents WHERE doc_id % 5 IN (0, 1)")
 def r12_archive_test(spark, sf_dir):
     """Documents as archive entries, some with unsafe paths, some changed."""
@@ -721,12 +672,4 @@ def r13_codec_sizes(spark, sf_dir):
     return got.select("codec", "n_bytes", (F.col("packed_bytes") < F.col("n_bytes")).alias("smaller"))
 
 
-@query("SELECT * FROM (VALUES ('bpe', 0, 3, 261, 1), ('viterbi', 0, 3, 275, 0), ('zero', 3, -1, -1, -1)) AS t(path, pack_status, n_sections, n_entries, algorithm)")
-def r07_inspect_packs(spark, sf_dir):
-    files = [("viterbi", bytearray(packs.write_vocabulary(base_vocabulary()))), ("bpe", bytearray(packs.write_vocabulary(raw_bpe_vocabulary()))), ("zero", bytearray(200))]
-    got = readers.inspect_packs(spark.createDataFrame(files, "path string, source binary"))
-    n = F.when(F.col("sections").isNotNull(), F.size("sections")).otherwise(-1)
-    return got.select("path", "pack_status", n.alias("n_sections"), F.coalesce("n_entries", F.lit(-1)).alias("n_entries"), F.coalesce("algorithm", F.lit(-1)).alias("algorithm"))
-
-
-from . import state_queries  # noqa: E402, F401  registers its queries
+from . import state_queries, table_queries  # noqa: E402, F401  register their queries

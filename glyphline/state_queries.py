@@ -9,10 +9,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import oracles
 from .config import Engine, Limits
-from .kernels import ed25519, records
-from .kernels.vocab import LEX_PROFILES, Language, PackError, base_detector, base_language, base_vocabulary, raw_bpe_vocabulary
+from .kernels import records
+from .kernels.vocab import Language, PackError, base_vocabulary
 from .operators import archive, document, metrics, registry, tokenize, unicode
 from .operators import store as store_module
 from .plans.kernel import with_kernel
@@ -50,30 +49,6 @@ LANGUAGE_FILES = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {n}, '{h}', true)" for t, (n, h) in LANGUAGE_FILES.items()) + ") AS t(tag, n_bytes, sha256, read_back)")
-def r04_language_files(spark, sf_dir):
-    rows = []
-    for tag in LANGUAGE_FILES:
-        x = base_language(tag)
-        data = packs.write_language(x)
-        rows.append((tag, len(data), hashlib.sha256(data).hexdigest(), dict(packs.read_language(data).deltas) == dict(x.deltas)))
-    return spark.createDataFrame(rows, "tag string, n_bytes int, sha256 string, read_back boolean")
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {len(p.line_comments)}, {len(p.block_comments)}, {len(p.strings)}, {len(p.keywords)})" for n, p in LEX_PROFILES.items()) + ") AS t(name, n_line, n_block, n_string, n_keyword)")
-def r95_lexer_files(spark, sf_dir):
-    """Lexer containers, read as standalone files."""
-    got = [packs.read_lexer(packs.write_lexer(p)) for p in LEX_PROFILES.values()]
-    return spark.createDataFrame([(p.name, len(p.line_comments), len(p.block_comments), len(p.strings), len(p.keywords)) for p in got], "name string, n_line int, n_block int, n_string int, n_keyword int")
-
-
-@query("SELECT range AS token_id, lpad(hex(range), 2, '0') AS surface FROM range(256) UNION ALL SELECT i, s FROM (VALUES " + ", ".join(f"({i}, '{s.hex().upper()}')" for i, _, s in oracles.BPE_PIECES) + ") AS v(i, s)")
-def r06_rank_lines(spark, sf_dir):
-    """The lines that a rank file is exported as, read again natively."""
-    lines = spark.createDataFrame([(x,) for x in packs.format_tiktoken(raw_bpe_vocabulary()).splitlines()], "value string")
-    return readers.tiktoken_rows(lines).select(F.col("rank").alias("token_id"), F.hex("surface").alias("surface"))
-
-
 @query(f"""WITH h AS (SELECT doc_id, unhex(sha256(text)) AS h FROM ({_DOCS})), b AS (SELECT doc_id, unnest(regexp_extract_all(hex(h), '..')) AS b FROM h)
 SELECT doc_id, count(*) AS n_tokens, sum((b = '20')::INT)::BIGINT AS n_spaces, max(instr('0123456789ABCDEF', b[1]) * 16 + instr('0123456789ABCDEF', b[2]) - 17)::BIGINT AS largest_byte FROM b GROUP BY doc_id""")
 def r24_byte_fallback(spark, sf_dir):
@@ -132,34 +107,6 @@ def r64_cache_table(spark, sf_dir):
     return found.groupBy(part.cast("int").alias("part")).agg(F.count("*").alias("n_found"))
 
 
-@query("SELECT 'sealed' AS name, 13 AS status UNION ALL SELECT 'language twice', 8 UNION ALL SELECT 'detector twice', 8 UNION ALL SELECT 'unsealed batch', 13 UNION ALL SELECT 'zero limit', 1")
-def r76_engine_states(spark, sf_dir):
-    """What changing an engine in a wrong state says."""
-    def status(call) -> int:
-        try:
-            call()
-        except PackError as e:
-            return e.status
-        return 0
-
-    plain = Engine(base_vocabulary())
-    rows = [
-        ("sealed", status(lambda: plain.seal().with_limits(Limits()))),
-        ("language twice", status(lambda: plain.with_language(base_language("en")).with_language(base_language("en")))),
-        ("detector twice", status(lambda: plain.with_detector(base_detector()).with_detector(base_detector()))),
-        ("unsealed batch", status(lambda: tokenize.encode_batch(documents(spark, sf_dir), plain))),
-        ("zero limit", status(lambda: Limits(0))),
-    ]
-    return spark.createDataFrame(rows, "name string, status int")
-
-
-@query("SELECT * FROM (VALUES ('plain', false, false, true), ('full', true, true, true), ('bpe', false, false, false)) AS t(name, detector, lexer, online_streaming)")
-def r77_capabilities(spark, sf_dir):
-    made = {"plain": Engine(base_vocabulary()), "full": engine("en"), "bpe": Engine(raw_bpe_vocabulary())}
-    rows = [(n, *(e.capabilities()[c] for c in ("detector", "lexer", "online_streaming"))) for n, e in made.items()]
-    return spark.createDataFrame(rows, "name string, detector boolean, lexer boolean, online_streaming boolean")
-
-
 @query("SELECT name, value FROM (SELECT unnest(['decode_failures', 'decode_operations', 'failures', 'input_bytes', 'limit_rejections', 'operations', 'output_bytes']) AS name, unnest([0, count(*), count(*) FILTER (n > 4096), sum(n), count(*) FILTER (n > 4096), count(*), sum(n) FILTER (n <= 4096)])::BIGINT AS value FROM (SELECT coalesce(octet_length(encode(text)), 0) AS n FROM documents))")
 def r78_counters(spark, sf_dir):
     """Counters of encoding all documents under a ceiling and of decoding what was encoded."""
@@ -226,20 +173,6 @@ def r02_pack_sections(spark, sf_dir):
     return got.select(F.regexp_replace(F.regexp_extract("path", "([^/]+)[.]pack$", 1), "-", "#").alias("brand"), "n_surfaces", "total", "longest")
 
 
-_TRUST = [("good", 0), ("unsigned", 10), ("other pack", 12), ("unknown key", 14), ("changed", 14), ("revoked", 15)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {c})" for n, c in _TRUST) + ") AS t(name, trust_code)")
-def r87_trust(spark, sf_dir):
-    """Signatures of one pack, verified."""
-    seeds = [hashlib.sha256(bytes([k])).digest() for k in range(3)]
-    sha = hashlib.sha256(b"pack").digest()
-    good = registry.signature_record(seeds[0], sha)
-    changed = good[:90] + bytes([good[90] ^ 1]) + good[91:]
-    found = {"good": good, "unsigned": None, "other pack": registry.signature_record(seeds[0], bytes(32)), "unknown key": registry.signature_record(seeds[2], sha), "changed": changed, "revoked": registry.signature_record(seeds[1], sha)}
-    rows = spark.createDataFrame([(n, sha.hex(), None if s is None else bytearray(s)) for n, s in found.items()], "name string, sha256 string, signature binary")
-    keys = [(registry.key_id(ed25519.public_key(s)).hex(), bytearray(ed25519.public_key(s)), k == 1) for k, s in enumerate(seeds[:2])]
-    return registry.trust(rows, spark.createDataFrame(keys, "key_id string, public_key binary, revoked boolean")).select("name", "trust_code")
 
 
 def _fought(places: int):
