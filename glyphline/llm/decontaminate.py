@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, let, materialize, small_side, words
+from .shared import fresh, let, materialize, salted_join, small_side, words
 
 WIDTH, PERCENT = 5, 80
 
@@ -56,9 +56,10 @@ def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
     Columns: doc_id, item_id, n_item (the item's distinct shingles), n_shared, containment.
 
     Every shingle of every document is looked up among the items' sketches (broadcast if their
-    counted size allows, else a join on the hash); a document that holds as many of a sketch's
-    hashes as its partition and size ask for is a candidate. Candidates are then verified by the
-    exact intersection of the shingles' texts, documents being read again for candidates only.
+    counted size allows, else a join on the hash, in which hashes of many places are salted); a
+    document that holds as many of a sketch's hashes as its partition and size ask for is a
+    candidate. Candidates are then verified by the exact intersection of the shingles' texts,
+    documents being read again for candidates only; items of many candidates are salted likewise.
 
     Words are lower-cased runs between ASCII white space. A text of fewer words than ``width`` is a
     single shingle, so that such an item is found only in a text of the same words. Null and empty
@@ -72,7 +73,7 @@ def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
     keys = materialize(sketches(items, "__item", "__itext", width, percent), "sketches")
 
     hashes = docs.select("__doc", F.explode(shingle_hashes(F.col("__text"), width)).alias("__hash"))
-    hits = hashes.join(small_side(keys, 32), "__hash")
+    hits = salted_join(hashes, keys, "__hash", "__doc", 32)
     pairs = hits.groupBy("__doc", "__item", "__hash").agg(F.min("__need").alias("__need"))
     pairs = pairs.groupBy("__doc", "__item").agg(F.count("*").alias("__hits"), F.min("__need").alias("__need"))
     pairs = materialize(pairs.where("__hits >= __need").select("__doc", "__item"), "candidates")
@@ -81,7 +82,7 @@ def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
     bytes_ = F.aggregate("__iset", F.lit(64).cast("long"), lambda a, x: a + 16 + F.octet_length(x))
     found = docs.join(small_side(pairs.select("__doc").distinct(), 16), "__doc", "left_semi")
     found = found.select("__doc", F.array_distinct(shingles(F.col("__text"), width)).alias("__dset"))
-    both = pairs.join(small_side(per_item, bytes_), "__item").join(found, "__doc")
+    both = salted_join(pairs, per_item, "__item", "__doc", bytes_).join(found, "__doc")
     both = both.select("__doc", "__item", F.size("__iset").alias("__n"), F.size(F.array_intersect("__iset", "__dset")).alias("__s"))
     both = both.where(F.col("__s") * 100 >= F.col("__n") * percent)
     both = both.groupBy("__doc", "__item").agg(F.max(F.struct(F.col("__s") / F.col("__n"), "__s", "__n")).alias("__m"))

@@ -20,6 +20,8 @@ from glyphline.plans.kernel import spread
 BROADCAST_BYTES = 8 << 20
 #: Keys of a join that count as hot at most: those of more than one of so many rows.
 HOT_KEYS = 20_000
+#: Rows of a key below which it is never hot in a salted join, and parts that a hot key's rows are dealt into.
+HOT_ROWS, SALTS = 20_000, 64
 #: Bytes of an Arrow batch at most.
 BATCH_BYTES = 8 << 20
 #: ASCII white space, the word separators of every shingle operator here.
@@ -97,6 +99,30 @@ def unique_join(left: DataFrame, right: DataFrame, keys: list[str], row_bytes: i
     return left.join(hot, keys, "left_semi").join(F.broadcast(often), keys, how).unionByName(left.join(hot, keys, "left_anti").join(seldom, keys, how))
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, row_bytes: int | Column) -> DataFrame:
+    """left inner joined with right on a key that both may have in any number of rows, without a hot key in one task.
+
+    A right side of few bytes is broadcast. Otherwise the keys of more than ``HOT_ROWS`` rows of
+    left, and of more than one in ``HOT_KEYS``, are hot (at most ``HOT_KEYS``, a broadcast of two
+    columns): their rows of left are dealt into ``SALTS`` parts by a hash of ``spread_by``, and
+    right's rows of these keys go to each part. right should be materialized; left is read twice more.
+    """
+    right_small = small_side(right, row_bytes)
+    if right_small is not right:
+        return left.join(right_small, key)
+    edge = max(HOT_ROWS, left.count() / HOT_KEYS)
+    parts, hot_key, salt = "__parts", "__hot_key", "__salt"
+    counts = left.groupBy(F.col(key).alias(hot_key)).agg(F.count("*").alias("__n"))
+    hot = F.broadcast(materialize(counts.where(F.col("__n") > edge).select(hot_key, F.lit(SALTS).alias(parts)), "hot"))
+
+    def with_parts(df: DataFrame) -> DataFrame:
+        return df.join(hot, F.col(key) == F.col(hot_key), "left").drop(hot_key).withColumn(parts, F.coalesce(parts, F.lit(1)))
+
+    dealt = with_parts(left).withColumn(salt, F.pmod(F.xxhash64(spread_by), F.col(parts)).cast("int")).drop(parts)
+    copies = with_parts(right).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
+    return dealt.join(copies, [key, salt]).drop(salt)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """name, with underscores before it until no column has it (in any case of letters)."""
     taken = {c.lower() for c in columns}

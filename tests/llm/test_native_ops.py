@@ -164,6 +164,30 @@ def test_decontamination_of_long_texts(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shared) for r in out.collect()) == [(1, 36), (2, 35)]
 
 
+def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
+    """An item and a shingle that a third of the documents hold: salted joins give what the broadcasts do."""
+    common = " ".join(f"c{k}" for k in range(20))
+    items = [(k, f"{common} " + " ".join(f"i{k}w{j}" for j in range(2 * (k % 2)))) for k in range(6)] + [(6, "a b c d e f"), (6, "a b c d e"), (7, None), (None, common)]
+    docs = [(k, f"start{k} {common} end{k}" if k % 3 == 0 else f"word{k} other a b c d e f{k % 2} more words here {k}") for k in range(90)] + [(3, "again " + common), (None, common), (95, None)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.find_contained(d, i).collect()))
+    assert len({r[0] for r in want}) >= 30 and len({r[1] for r in want}) == 7
+    for name, value in (("BROADCAST_BYTES", -1), ("HOT_ROWS", 5), ("HOT_KEYS", 60), ("SALTS", 7)):
+        monkeypatch.setattr(shared, name, value)
+    assert sorted(map(tuple, decontaminate.find_contained(d, i).collect())) == want
+    assert decontaminate.find_contained(d.limit(0), i).count() == 0 and decontaminate.find_contained(d, i.limit(0)).count() == 0
+
+
+def test_salted_join(spark, monkeypatch):
+    left = spark.createDataFrame([(k % 4 if k < 80 else 1, k) for k in range(200)] + [(None, 1), (9, 9)], "key long, a long")
+    right = spark.createDataFrame([(k % 5, k) for k in range(15)] + [(1, 3), (1, 3), (None, 2)], "key long, b long")
+    want = sorted(map(tuple, left.join(right, "key").collect()))
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    for most in (0, 30, 10**9):
+        monkeypatch.setattr(shared, "HOT_ROWS", most)
+        assert sorted(map(tuple, shared.salted_join(left, right, "key", "a", 8).collect())) == want
+
+
 @pytest.mark.parametrize("name", ["op1_exact_topk", "op2_ngram_jaccard", "op5_line_dedup", "op7_decontamination", "op9_url_filter"])
 def test_sql(spark, name):
     from tests.conftest import compare_with_duckdb
