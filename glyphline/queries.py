@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,14 @@ def engine(*tags: str, **more) -> Engine:
     return out.with_limits(more.get("limits", Limits())).seal()
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder in the one that the cluster shares; in local mode a temporary one where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    return f"{(shared or tempfile.mkdtemp(prefix='glyphline-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -672,4 +683,5 @@ def r13_codec_sizes(spark, sf_dir):
     return got.select("codec", "n_bytes", (F.col("packed_bytes") < F.col("n_bytes")).alias("smaller"))
 
 
-from . import state_queries, table_queries  # noqa: E402, F401  register their queries
+# register their queries; they import from here alone, so that a worker may begin with any of the three
+from . import state_queries, table_queries  # noqa: E402, F401

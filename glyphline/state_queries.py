@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from .kernels.vocab import Language, PackError, base_vocabulary
 from .operators import archive, document, metrics, registry, tokenize, unicode
 from .operators import store as store_module
 from .plans.kernel import with_kernel
-from .queries import _DOCS, _FLAGS, SQL, documents, engine, planted_docs, query, table
+from .queries import _DOCS, _FLAGS, SQL, _folder, documents, engine, planted_docs, query, table
 from .sources import formats, packs, readers, unicode_build, unicode_sections
 
 
@@ -195,14 +193,6 @@ def r62_lru_cache(spark, sf_dir):
     return with_kernel(rows, "source", "found boolean, value string", _fought, 2).select("doc_id", "found", "value")
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder in the one that the cluster shares; in local mode a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-    return f"{(shared or tempfile.mkdtemp(prefix='glyphline-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT concat('d/', doc_id) AS path, true AS restored, octet_length(encode(text)) AS n_bytes FROM documents WHERE text IS NOT NULL AND doc_id % 4 <> 3 UNION ALL SELECT concat('d/', doc_id), false, -1 FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 3")
 def r11_archive_restore(spark, sf_dir):
     """Documents as archive entries written to files, but for those that don't agree with their CRC."""

@@ -14,9 +14,8 @@ from .kernels import ed25519
 from .kernels.vocab import LEX_PROFILES, Language, PackError, base_detector, base_language, base_vocabulary, raw_bpe_vocabulary
 from .operators import metrics, observer, registry, tokenize
 from .plans.kernel import with_kernel
-from .queries import documents, engine, query, table
+from .queries import _folder, documents, engine, query, table
 from .sources import formats, packs, readers
-from .state_queries import _folder
 
 #: Rows of a table that one container is made of.
 GROUP = 32

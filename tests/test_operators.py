@@ -1,7 +1,10 @@
 """Operators on small tables with odd rows: nulls, empty and invalid bytes, limits, repeats, clashes."""
 
 import hashlib
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -350,3 +353,13 @@ def test_empty_tables(spark):
     for df in (tokenize.token_counts(none, e), tokenize.detect(none, e), tokenize.route_totals(none, e), unicode.script_totals(none), lex.lex_totals(none, LEX_PROFILES["c"]), document.token_documents(none, e, MODEL), replay.online(none, e, "doc_id", "doc_id"), document.pack(none, e)):
         assert df.count() == 0
     assert kernel.tables_version()
+
+
+@pytest.mark.parametrize("module", ["queries", "state_queries", "table_queries"])
+def test_a_worker_may_import_any_query_module_first(module):
+    """Functions of kernels are unpickled by the name of their module, in a process that has imported nothing."""
+    root = Path(__file__).parent.parent
+    code = f"import glyphline.{module}; from glyphline import queries; print(len(queries.QUERIES))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) > 80
