@@ -134,8 +134,17 @@ def unit_counts(df: DataFrame, column: str = "text") -> DataFrame:
     return with_kernel(df, column, "n_units bigint, n_invalid bigint", _unit_count)
 
 
-def _view(mode: str):
-    return lambda data: text.normalize_view(data, mode)
+class _views:  # noqa: N801  a kernel over whole batches
+    def __init__(self, mode: str):
+        self.mode = mode
+
+    def arrow(self, sources):
+        import pyarrow as pa
+
+        missing = np.array([d is None for d in sources], bool)
+        out, per, (at, size), counts, (s, n) = columns.views(columns.Batch([d or b"" for d in sources]), self.mode)
+        units = lists(per, {"start": at, "length": size, "spans": lists(counts, {"start": s, "length": n})}, missing)
+        return [pa.array(out, pa.binary(), mask=missing), units]
 
 
 class _by_tables:  # noqa: N801  a kernel over whole batches
@@ -171,7 +180,7 @@ def normalized_view(df: DataFrame, mode: str, column: str = "text", tables=None)
     schema = f"normalized binary, units {UNITS}"
     if tables is not None:
         return with_kernel(df, column, schema, _by_tables, _checked(mode), tables, "view")
-    return with_kernel(df, column, schema, _view, _checked(mode))
+    return with_kernel(df, column, schema, _views, _checked(mode))
 
 
 def _plain(mode: str):
