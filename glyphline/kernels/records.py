@@ -185,14 +185,17 @@ _FORMS = {
 }
 
 
-def _table(form: str, rows, *columns: str) -> bytes:
+def table_of(form: str, size: int, **columns) -> np.ndarray:
     """Rows of numbers as records; fields that no column names are zero."""
+    out = np.zeros(size, _FORMS[form])
+    for name, values in columns.items():
+        out[name] = values
+    return out
+
+
+def _table(form: str, rows, *columns: str) -> bytes:
     rows = list(rows)
-    out = np.zeros(len(rows), _FORMS[form])
-    if rows:
-        for name, values in zip(columns, zip(*rows, strict=True), strict=True):
-            out[name] = values
-    return out.tobytes()
+    return table_of(form, len(rows), **dict(zip(columns, zip(*rows, strict=True), strict=True) if rows else ())).tobytes()
 
 
 def write_document(doc: dict) -> bytes:
@@ -202,12 +205,11 @@ def write_document(doc: dict) -> bytes:
     start, length), normalized bytes with units (start, length, spans), lexical (kind, start,
     length) and semantic (kind, index, start, length).
     """
-    source = doc["source"]
     units = doc.get("units") or []
     spans = [s for u in units for s in u[2]]
     firsts = np.cumsum([0, *(len(u[2]) for u in units)])
     bodies = [
-        source,
+        doc["source"],
         _table("token", doc.get("tokens") or [], "id", "start", "length"),
         _table("span", doc.get("graphemes") or [], "start", "length"),
         _table("finding", doc.get("findings") or [], "kind", "script", "start", "length"),
@@ -217,20 +219,27 @@ def write_document(doc: dict) -> bytes:
         _table("token", doc.get("lexical") or [], "id", "start", "length"),
         _table("component", doc.get("semantic") or [], "kind", "index", "start", "length"),
     ]
+    return document_record(bodies, doc["flags"], doc["fingerprint"], doc.get("mode", 0), doc.get("detection"))
+
+
+def document_record(bodies: list[bytes], flags: int, fingerprint: bytes, mode: int, detection: tuple | None = None) -> bytes:
+    """The record of the nine sections' bytes, the first of which is the source."""
+    source = bodies[0]
     at, table, out = DOCUMENT_HEADER + SECTIONS * SECTION_ENTRY, [], bytearray()
     for number, (body, width) in enumerate(zip(bodies, SECTION_WIDTH, strict=True), 1):
         offset = -(-(at + len(out)) // 8) * 8 if body else 0
         if body:
-            out += bytes(offset - at - len(out)) + body
+            out += bytes(offset - at - len(out))
+            out += body
         table.append(struct.pack("<IIQQQ", number, 0, offset, len(body), len(body) // width))
-    matched, available, score, margin, language = doc.get("detection") or (0, 0, 0, 0, "")
-    head = struct.pack("<8sIIIIQQII32s32s32s", DOCUMENT_MAGIC, 1, DOCUMENT_HEADER, doc["flags"], doc.get("mode", 0), at + len(out), len(source), SEMANTICS, SECTIONS, sha256(source), doc["fingerprint"], bytes(32))
+    matched, available, score, margin, language = detection or (0, 0, 0, 0, "")
+    head = struct.pack("<8sIIIIQQII32s32s32s", DOCUMENT_MAGIC, 1, DOCUMENT_HEADER, flags, mode, at + len(out), len(source), SEMANTICS, SECTIONS, sha256(source), fingerprint, bytes(32))
     head += struct.pack("<IIqq64s", matched, available, score, margin, (language or "").encode())
     return _sealed(bytearray(head.ljust(DOCUMENT_HEADER, b"\0") + b"".join(table) + out), 112)
 
 
-def read_document(record: bytes, ceiling: int = 1 << 30) -> dict:
-    """The dict that write_document takes; a record that isn't whole raises RecordError."""
+def document_tables(record: bytes, ceiling: int = 1 << 30) -> tuple[dict, list]:
+    """Header fields, and the nine sections: bytes, or arrays of records; a record that isn't whole raises RecordError."""
     data_start = DOCUMENT_HEADER + SECTIONS * SECTION_ENTRY
     if len(record) > ceiling:
         raise RecordError("over the ceiling", 9)
@@ -245,36 +254,65 @@ def read_document(record: bytes, ceiling: int = 1 << 30) -> dict:
         expected = -(-at // 8) * 8 if length else 0
         if kind != k + 1 or zero or length != count * width or offset != expected or offset + length > len(record) or (length and any(record[at:offset])):
             raise RecordError("a section is out of place")
-        bodies.append(record[offset : offset + length])
+        form = _SECTION_FORMS[k]
+        bodies.append(record[offset : offset + length] if form is None else np.frombuffer(record, _FORMS[form], count, offset))
         at = offset + length if length else at
     if at != len(record):
         raise RecordError("bytes behind the sections")
-    rows = lambda k, form: list(struct.iter_unpack(form, bodies[k]))
     matched, available, score, margin, language = struct.unpack_from("<IIqq64s", record, 144)
-    spans = rows(6, "<QQ")
-    doc = {
-        "source": bodies[0],
-        "flags": flags,
-        "mode": mode,
-        "fingerprint": fingerprint,
-        "detection": (matched, available, score, margin, language.rstrip(b"\0").decode()),
-        "tokens": [(i, s, m) for i, _, s, m in rows(1, "<IIQQ")],
-        "graphemes": rows(2, "<QQ"),
-        "findings": [(k, c, s, m) for k, c, _, s, m in rows(3, "<IHHQQ")],
-        "normalized": bodies[4],
-        "units": [(s, m, spans[f : f + c]) for s, m, f, c in rows(5, "<QQII")],
-        "lexical": [(k, s, m) for k, _, s, m in rows(7, "<IIQQ")],
-        "semantic": [(k, i, s, m) for k, _, i, s, m in rows(8, "<IIQQQ")],
-    }
+    detection = (matched, available, score, margin, language.rstrip(b"\0").decode())
     if n != len(bodies[0]) or sha256(bodies[0]) != source_hash:
         raise RecordError("the source doesn't agree")
-    for flag, key in ((MODEL, "tokens"), (GRAPHEMES, "graphemes"), (LEXICAL | SEMANTIC, "lexical")):
-        if flags & flag and not partitions([t[-2:] for t in doc[key]], n):
+    tokens, graphemes, lexical, semantic = (bodies[k] for k in (1, 2, 7, 8))
+    for flag, key, rows in ((MODEL, "tokens", tokens), (GRAPHEMES, "graphemes", graphemes), (LEXICAL | SEMANTIC, "lexical", lexical)):
+        if flags & flag and not _follow(rows, n):
             raise RecordError(f"{key} don't partition the source")
-    for _, index, start, length in doc["semantic"]:
-        if index >= len(doc["lexical"]) or not doc["lexical"][index][1] <= start <= start + length <= sum(doc["lexical"][index][1:]):
-            raise RecordError("a component is outside its token")
-    return doc
+    if len(semantic) and not _inside(semantic, lexical):
+        raise RecordError("a component is outside its token")
+    return {"flags": flags, "mode": mode, "fingerprint": fingerprint, "detection": detection}, bodies
+
+
+_SECTION_FORMS = (None, "token", "span", "finding", None, "unit", "span", "token", "component")
+
+
+def _follow(rows: np.ndarray, n: int) -> bool:
+    """``partitions`` of records."""
+    start, length = rows["start"], rows["length"]
+    if not len(rows):
+        return n == 0
+    if (start > n).any() or (length > n).any() or not length.all():
+        return False
+    ends = start + length
+    return bool(start[0] == 0 and (start[1:] == ends[:-1]).all() and ends[-1] == n)
+
+
+def _inside(components: np.ndarray, lexical: np.ndarray) -> bool:
+    """Whether each component lies within the lexical token of its index."""
+    if (components["index"] >= len(lexical)).any():
+        return False
+    own = lexical[components["index"].astype(np.int64)]
+    values = [own["start"], own["length"], components["start"], components["length"]]
+    if any((v >> np.uint64(62)).any() for v in values):  # sums beyond 64 bits
+        values = [v.astype(object) for v in values]
+    a, m, s, k = values
+    return bool(((a <= s) & (s + k <= a + m)).all())
+
+
+def read_document(record: bytes, ceiling: int = 1 << 30) -> dict:
+    """The dict that write_document takes; a record that isn't whole raises RecordError."""
+    doc, (source, tokens, graphemes, findings, normalized, units, spans, lexical, semantic) = document_tables(record, ceiling)
+    rows = lambda table, *names: list(zip(*(table[x].tolist() for x in names), strict=True))
+    spans = rows(spans, "start", "length")
+    return doc | {
+        "source": source,
+        "tokens": rows(tokens, "id", "start", "length"),
+        "graphemes": rows(graphemes, "start", "length"),
+        "findings": rows(findings, "kind", "script", "start", "length"),
+        "normalized": normalized,
+        "units": [(s, m, spans[f : f + c]) for s, m, f, c in rows(units, "start", "length", "first", "count")],
+        "lexical": rows(lexical, "id", "start", "length"),
+        "semantic": rows(semantic, "kind", "index", "start", "length"),
+    }
 
 
 def partitions(spans, n: int) -> bool:

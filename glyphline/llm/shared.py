@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphline.plans.kernel import spread
+from glyphline.plans.kernel import bounded_batches, spread  # noqa: F401  operators take both from here
 
 #: A side of a join is broadcast only if its rows, counted first, take no more bytes than this.
 BROADCAST_BYTES = 8 << 20
@@ -22,8 +22,6 @@ BROADCAST_BYTES = 8 << 20
 HOT_KEYS = 20_000
 #: Rows of a key below which it is never hot in a salted join, and parts that a hot key's rows are dealt into.
 HOT_ROWS, SALTS = 20_000, 64
-#: Bytes of an Arrow batch at most.
-BATCH_BYTES = 8 << 20
 #: ASCII white space, the word separators of every shingle operator here.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -36,18 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's bytes for each Arrow batch to 8 MB, if they are more.
-
-    A batch counts rows first, and thousands of long texts take more memory than a task should;
-    results don't depend on it.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, None)
-    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; in local mode, as in tests, one of our own where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -8,13 +8,15 @@ import pickle
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of source that are turned into results before they are handed back.
 SLICE = 4 << 20
+#: Bytes of an Arrow batch at most.
+BATCH_BYTES = 8 << 20
 #: Bytes of files that a table has at most for its rows to be dealt out.
 SMALL = 128 << 20
 
@@ -50,6 +52,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes for each Arrow batch to 8 MB, if they are more.
+
+    A batch counts rows first, and thousands of long texts take more memory than a task should;
+    results don't depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def lists(counts: np.ndarray, columns: dict, missing: np.ndarray | None = None):
     """A list array of structs: how many each row has, and the fields of all of them."""
     import pyarrow as pa
@@ -105,7 +119,8 @@ def with_kernel(df: DataFrame, column: str, schema: str, make: Callable, *args)
     schema: DDL of the new columns; the function takes the bytes of ``column`` and returns a tuple
     of their values, structs in arrays being tuples; an object with ``many`` takes a list of sources
     and returns as many tuples, one with ``arrow`` (where it isn't None) a list with null sources in
-    it and returns whole columns. A null source gives nulls. New columns replace input columns of their names.
+    it and returns whole columns; ``most`` of such an object, if it has one, bounds the bytes of the
+    sources that it is given at once (or one source). A null source gives nulls. New columns replace input columns of their names.
     """
     fields = T.StructType.fromDDL(schema).fields
     new = [f.name for f in fields]
@@ -116,13 +131,14 @@ def with_kernel(df: DataFrame, column: str, schema: str, make: Callable, *args)
     rows = df.select(*[F.col(f"`{c}`") for c in names], to_bytes(df, column).alias(source))
     out = T.StructType([*[df.schema[c] for c in names], *[T.StructField(f.name, f.dataType, True) for f in fields]])
     kinds = [to_arrow_type(f.dataType) for f in fields]
-    most = SLICE // 16 if any(isinstance(f.dataType, T.ArrayType) for f in fields) else SLICE
+    usual = SLICE // 16 if any(isinstance(f.dataType, T.ArrayType) for f in fields) else SLICE
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterable):
         import pyarrow as pa
 
         fn, at = build_once(make, args), len(names)
-        empty = (None,) * len(fields)
+        most, empty = getattr(fn, "most", usual), (None,) * len(fields)
         for whole in batches:
             for part in slices(whole, at, most):
                 sources = part.column(at).to_pylist()
@@ -147,6 +163,7 @@ def flat_kernel(df: DataFrame, keys: list[str], column: str, schema: str, make:
     rows = df.select(*keys, to_bytes(df, column).alias("__source"))
     out = T.StructType([*[df.schema[c] for c in keys], *[T.StructField(f.name, f.dataType, True) for f in fields]])
     kinds = [to_arrow_type(f.dataType) for f in fields]
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterable):
         import pyarrow as pa

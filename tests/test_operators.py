@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphline.config import Engine, Limits
 from glyphline.functions import native
-from glyphline.kernels import ed25519
+from glyphline.kernels import columns, ed25519, lexer, records
 from glyphline.kernels import text as kernel
 from glyphline.kernels.records import GRAPHEMES, LEXICAL, MODEL, NORMALIZATION, SECURITY, SEMANTIC, BlockPolicy
 from glyphline.kernels.vocab import LEX_PROFILES, PackError, base_detector, base_language, base_vocabulary, raw_bpe_vocabulary
@@ -363,3 +363,30 @@ def test_a_worker_may_import_any_query_module_first(module):
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
     assert int(done.stdout) > 80
+
+
+def test_records_of_a_batch_are_those_of_each_source(spark):
+    """They are made from whole columns in small batches; lists of Python tuples for each character took an executor's memory."""
+    e, every = engine("en", "hi"), MODEL | GRAPHEMES | SECURITY | NORMALIZATION | LEXICAL | SEMANTIC
+    sources = [b"let x_1 = 0x1F.5e+3; // caf\xc3\xa9", b"", b"\xff\xfe a\xe2\x80", "éq̣̇ ‮한글 हिन्दी x".encode(), b"'open", b"y" * 3000]
+    for flags, auto in ((every, True), (every, False), (SEMANTIC, False), (MODEL | NORMALIZATION, False)):
+        build = document._Builder(e, flags, "NFC", auto)
+        want = [records.write_document(build(d)) for d in sources]
+        made = document._written(e, flags, "NFC", auto)
+        assert [r for _, r in made.many(sources)] == want
+        assert [document._read(1 << 30)(r)[1] for r in want] == sources
+        assert made.most * 150 <= 16 << 20
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20))
+    document.read_documents(document.write_documents(spark.createDataFrame([("a",)], "text string"), e, every))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
+def test_words_seen_in_other_batches_cost_nothing():
+    """Parts of words are turned into arrays once, not once for each batch."""
+    p = LEX_PROFILES["python"]
+    columns.lexed(p, [b" ".join(b"w%d_x" % i for i in range(3000))], True)
+    columns.lexed(p, [b"some new_word"], True)
+    assert not columns._words(p).parts
+    found, counts, parts, n_parts = columns.lexed(p, [b"w7_x 3.5", b"", b"aB 'c'"], True)
+    want = [lexer.components(p, d, lexer.lex(p, d)) for d in (b"w7_x 3.5", b"", b"aB 'c'")]
+    assert list(zip(*(c.tolist() for c in parts), strict=True)) == [x for w in want for x in w] and n_parts.tolist() == [len(w) for w in want]
