@@ -12,7 +12,7 @@ from ..kernels import columns
 from ..kernels import text as units
 from ..kernels.automaton import Automaton
 from ..kernels.vocab import PackError, count_overlapping
-from ..plans.kernel import flat_kernel, folded_kernel, lists, with_kernel
+from ..plans.kernel import SLICE, flat_kernel, folded_kernel, lists, with_kernel
 
 TOKENS = "array<struct<id:bigint,start:bigint,length:bigint,cost:int>>"
 
@@ -271,6 +271,9 @@ class _dfa:  # noqa: N801  a kernel over whole batches
         missing = ~good | np.array([s is None for s in sources], bool)
         return [pa.array(token, mask=missing), pa.array(cost, mask=missing)]
 
+    #: Each byte takes some dozen bytes for each state meanwhile.
+    most = SLICE // 8
+
 
 def run_automaton(df: DataFrame, transitions: dict, accepts: dict, start: int = 0, column: str = "text") -> DataFrame:
     """df with dfa_token and dfa_cost, null where the automaton rejects the source."""
