@@ -89,8 +89,11 @@ def token_counts(df: DataFrame, engine: Engine, column: str = "text", tags: list
     return part.groupBy("token_id").agg(F.sum("n").alias("n_tokens"))
 
 
-def _beam(engine: Engine, width: int):
-    encoder = engine.encoder()
+class _beam:  # noqa: N801  a kernel over whole batches
+    def __init__(self, engine: Engine, width: int):
+        self.encoder, self.width = engine.encoder(), width
+        table = sorted(self.encoder.base_cost.items())
+        self.known, self.costs = (np.array(x, np.int64) for x in zip(*table, strict=True))
 
     def fn(data):
         best, found = encoder.encode(data)[0], encoder.beam_segments(data, width)
