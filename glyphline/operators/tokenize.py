@@ -356,7 +356,43 @@ def _routes(engine: Engine):
     def fn(data):
         return [(kind, start, n, *(detect_one(data[start : start + n]) if kind else (False, False, 0, 0, None))) for kind, start, n in units.routes(data)]
 
-    return fn
+def remembered(fn):
+    """fn of bytes, its results for short ones kept; whoever takes a result doesn't change it."""
+    held = {}
+
+    def known(data: bytes):
+        found = held.get(data)
+        if found is None:
+            found = fn(data)
+            if len(data) <= MEMORY_BYTES:
+                if len(held) >= MEMORY:
+                    held.clear()
+                held[data] = found
+        return found
+
+    return known
+
+
+class _routes:  # noqa: N801  a kernel over whole batches
+    def __init__(self, engine: Engine):
+        self.detect = remembered(_detected(engine))
+
+    def columns(self, sources: list[bytes]):
+        """Route spans of all sources, and how many each has."""
+        kinds, starts, lengths, counts, b = spans_of(sources)
+        data = b"".join(sources)
+        whole = starts + np.repeat(b.bounds[:-1], counts)
+        none, detect = (False, False, 0, 0, None), self.detect
+        found = [detect(data[a : a + n]) if kind else none for kind, a, n in zip(kinds.tolist(), whole.tolist(), lengths.tolist(), strict=True)]
+        return [kinds, starts, lengths, *zip(*found, strict=True)] if found else [], counts
+
+
+def spans_of(sources: list[bytes]):
+    """Class, start and length of the route spans of all sources, spans of each source, and the batch."""
+    b = columns.Batch(sources)
+    kinds = units.route_classes(b.cps)
+    first, size, counts = b.runs(kinds)
+    return kinds[first], b.local(first), size, counts, b
 
 
 def span_routes(df: DataFrame, engine: Engine, keys: list[str], column: str = "text") -> DataFrame:

@@ -158,7 +158,10 @@ def with_kernel(df: DataFrame, column: str, schema: str, make: Callable, *args)
 
 
 def flat_kernel(df: DataFrame, keys: list[str], column: str, schema: str, make: Callable, *args) -> DataFrame:
-    """Rows of a kernel: keys, then the columns of each tuple that the function yields for a source."""
+    """Rows of a kernel: keys, then the columns of each tuple that the function yields for a source.
+
+    An object with ``columns`` takes a list of sources instead, and returns whole columns and how many rows each source has.
+    """
     fields = T.StructType.fromDDL(schema).fields
     rows = df.select(*keys, to_bytes(df, column).alias("__source"))
     out = T.StructType([*[df.schema[c] for c in keys], *[T.StructField(f.name, f.dataType, True) for f in fields]])
@@ -171,6 +174,14 @@ def flat_kernel(df: DataFrame, keys: list[str], column: str, schema: str, make:
         fn, at = build_once(make, args), len(keys)
         for whole in batches:
             for part in slices(whole, at, SLICE // 4):
+                if hasattr(fn, "columns"):
+                    sources = part.column(at).to_pylist()
+                    some = np.flatnonzero([b is not None for b in sources])
+                    values, counts = fn.columns([sources[k] for k in some.tolist()])
+                    if len(values):
+                        owner = pa.array(np.repeat(some, counts))
+                        yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in part.columns[:at]], *[pa.array(v, k) for v, k in zip(values, kinds, strict=True)]], out.names)
+                    continue
                 values, counts = [], []
                 for b in part.column(at).to_pylist():
                     got = [] if b is None else fn(b)
