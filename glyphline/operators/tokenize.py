@@ -95,11 +95,18 @@ class _beam:  # noqa: N801  a kernel over whole batches
         table = sorted(self.encoder.base_cost.items())
         self.known, self.costs = (np.array(x, np.int64) for x in zip(*table, strict=True))
 
-    def fn(data):
-        best, found = encoder.encode(data)[0], encoder.beam_segments(data, width)
-        return found, encoder.cost(found), encoder.cost(best)
+    def arrow(self, sources):
+        import pyarrow as pa
 
-    return fn
+        none = np.array([d is None for d in sources], bool)
+        good = [d or b"" for d in sources]
+        totals, found = [], None
+        for beams in (False, True):
+            ids, _, at = self.encoder.encode_many(good, self.width if beams else None)
+            paid = np.concatenate(([0], np.cumsum(self.costs[np.searchsorted(self.known, ids)])))[at]
+            totals.append(pa.array(np.diff(paid), mask=none))
+            found = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=pa.array(none))
+        return [found, totals[1], totals[0]]
 
 
 def encode_beam(df: DataFrame, engine: Engine, column: str = "text", width: int = 16) -> DataFrame:
@@ -264,6 +271,9 @@ def segments_sql(df: DataFrame, engine: Engine, column: str = "text") -> DataFra
 
 
 class _dfa:  # noqa: N801  a kernel over whole batches
+    #: Each byte takes some dozen bytes for each state meanwhile.
+    most = SLICE // 8
+
     def __init__(self, transitions, accepts, start):
         self.automaton = Automaton(transitions, accepts, start)
 
@@ -274,9 +284,6 @@ class _dfa:  # noqa: N801  a kernel over whole batches
         missing = ~good | np.array([s is None for s in sources], bool)
         return [pa.array(token, mask=missing), pa.array(cost, mask=missing)]
 
-    #: Each byte takes some dozen bytes for each state meanwhile.
-    most = SLICE // 8
-
 
 def run_automaton(df: DataFrame, transitions: dict, accepts: dict, start: int = 0, column: str = "text") -> DataFrame:
     """df with dfa_token and dfa_cost, null where the automaton rejects the source."""
@@ -350,11 +357,9 @@ def detect_bytes(df: DataFrame, engine: Engine, column: str) -> DataFrame:
     return with_kernel(df, column, DETECTION, _detected, engine)
 
 
-def _routes(engine: Engine):
-    detect_one = _detected(engine)
+#: Short sources whose results a worker remembers, and their bytes at most.
+MEMORY, MEMORY_BYTES = 100_000, 64
 
-    def fn(data):
-        return [(kind, start, n, *(detect_one(data[start : start + n]) if kind else (False, False, 0, 0, None))) for kind, start, n in units.routes(data)]
 
 def remembered(fn):
     """fn of bytes, its results for short ones kept; whoever takes a result doesn't change it."""
@@ -430,24 +435,40 @@ class _Router:
             self.made[tag] = self.engine.encoder([tag] if tag else [])
         return self.made[tag].encode(data)
 
+    def plain(self, data: bytes):
+        """Without a detected language."""
+        return self(data, False)
 
-def _auto(engine: Engine, spans: bool, full: bool):
-    router, detect_one = _Router(engine), _detected(engine)
 
-    def fn(data):
-        if len(data) > engine.limits.max_input_bytes:
-            return (LIMIT, None, None)
-        ids, lengths = [], []
-        for kind, start, n in units.routes(data) if spans else [(1, 0, len(data))]:
-            a, b = router(data[start : start + n], kind > 0)
-            ids += a
-            lengths += b
-        cost = {i: c for i, c, _ in engine.vocabulary.rows} if full else {}
-        found = [(i, s, m, cost[i]) for i, s, m in zip(ids, _starts(lengths), lengths, strict=True)] if full else ids
-        m, available, score, margin, tag = detect_one(data)
-        return OK, found, {"matched": m, "available": available, "score": score, "margin": margin, "language": tag}
+class _auto:  # noqa: N801  a kernel over many sources at once
+    def __init__(self, engine: Engine, spans: bool, full: bool):
+        router = _Router(engine)
+        self.parts, self.detect, self.spans = (remembered(router.plain), remembered(router)), _detected(engine), spans
+        self.most_bytes = engine.limits.max_input_bytes
+        self.cost = {i: c for i, c, _ in engine.vocabulary.rows} if full else None
 
-    return fn
+    def many(self, sources):
+        good = [d for d in sources if len(d) <= self.most_bytes]
+        if self.spans:
+            kinds, starts, lengths, counts, _ = spans_of(good)
+            spans = list(zip(kinds.tolist(), starts.tolist(), lengths.tolist(), strict=True))
+            ends = np.concatenate(([0], np.cumsum(counts))).tolist()
+            cut = iter([spans[a:z] for a, z in zip(ends, ends[1:], strict=False)])
+        else:
+            cut = iter([[(1, 0, len(d))] for d in good])
+        for data in sources:
+            if len(data) > self.most_bytes:
+                yield LIMIT, None, None
+                continue
+            ids, lengths = [], []
+            for kind, start, n in next(cut):
+                a, b = self.parts[kind > 0](data[start : start + n])
+                ids += a
+                lengths += b
+            if self.cost is not None:
+                ids = [(i, s, m, self.cost[i]) for i, s, m in zip(ids, _starts(lengths), lengths, strict=True)]
+            m, available, score, margin, tag = self.detect(data)
+            yield OK, ids, {"matched": m, "available": available, "score": score, "margin": margin, "language": tag}
 
 
 _ROUTED = "detection struct<matched:boolean,available:boolean,score:bigint,margin:bigint,language:string>"
