@@ -95,11 +95,11 @@ def cache_key(identity: bytes, namespace: int, version: int) -> bytes:
 
 def uleb(values) -> bytes:
     """Unsigned LEB128 of each value."""
-    values = list(values)
-    if not values or max(values) < 0x80:
-        return bytes(values)
+    values = np.asarray(values, np.uint64)
+    if not len(values) or values.max() < 0x80:
+        return values.astype(np.uint8).tobytes()
     out = bytearray()
-    for v in values:
+    for v in values.tolist():
         while v >= 0x80:
             out.append(v & 0x7F | 0x80)
             v >>= 7
@@ -142,18 +142,25 @@ def _whole(record: bytes, at: int) -> bool:
     return sha256(record[:at], bytes(32), record[at + 32 :]) == record[at : at + 32]
 
 
-def pack_tokens(ids: list[int], lengths: list[int], source_hash: bytes, fingerprint: bytes) -> bytes:
+def pack_tokens(ids, lengths, source_hash: bytes, fingerprint: bytes) -> bytes:
     """Lengths as LEB128, then ids of just enough bits, the lowest bit first."""
-    bits = max(1, max(ids).bit_length()) if ids else 0
+    ids = np.asarray(ids, np.uint64)
+    bits = max(1, int(ids.max()).bit_length()) if len(ids) else 0
     sizes = uleb(lengths)
-    flags = (np.asarray(ids, np.uint64)[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1) if ids else np.zeros((0, 0))
-    packed = np.packbits(flags.astype(np.uint8).ravel(), bitorder="little").tobytes()
-    head = struct.pack("<8sHHIQQIIQQ32s32s", PACKED_MAGIC, 1, PACKED_HEADER, 0, len(ids), sum(lengths), bits, 0, len(sizes), len(packed), source_hash, fingerprint)
+    flags = np.unpackbits(ids.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=bits) if bits else np.zeros(0, np.uint8)
+    packed = np.packbits(flags.ravel(), bitorder="little").tobytes()
+    head = struct.pack("<8sHHIQQIIQQ32s32s", PACKED_MAGIC, 1, PACKED_HEADER, 0, len(ids), int(np.sum(lengths)), bits, 0, len(sizes), len(packed), source_hash, fingerprint)
     return _sealed(bytearray(head.ljust(PACKED_HEADER, b"\0") + sizes + packed), 120)
 
 
 def unpack_tokens(record: bytes) -> tuple[list[int], list[int], dict]:
     """(ids, lengths, header) of a packed record; anything out of place raises RecordError."""
+    ids, lengths, head = unpacked_arrays(record)
+    return ids.tolist(), lengths.tolist(), head
+
+
+def unpacked_arrays(record: bytes) -> tuple[np.ndarray, np.ndarray, dict]:
+    """``unpack_tokens`` with arrays."""
     if len(record) < PACKED_HEADER:
         raise RecordError("too short", 3)
     magic, version, header, r1, count, source, bits, r2, n_sizes, n_ids, source_hash, fingerprint = struct.unpack_from("<8sHHIQQIIQQ32s32s", record)
@@ -163,14 +170,22 @@ def unpack_tokens(record: bytes) -> tuple[list[int], list[int], dict]:
         raise RecordError("sizes don't agree", 3)
     if not _whole(record, 120):
         raise RecordError("the hash doesn't agree")
-    lengths = read_uleb(record[PACKED_HEADER : PACKED_HEADER + n_sizes], count)
-    if 0 in lengths or sum(lengths) != source:
+    sizes = record[PACKED_HEADER : PACKED_HEADER + n_sizes]
+    if n_sizes == count and sizes.isascii():
+        lengths = np.frombuffer(sizes, np.uint8).astype(np.int64)
+        total = int(lengths.sum())
+    else:
+        lengths = read_uleb(sizes, count)
+        total = sum(lengths)
+    if 0 in lengths or total != source:
         raise RecordError("lengths don't agree")
     flags = np.unpackbits(np.frombuffer(record, np.uint8, n_ids, PACKED_HEADER + n_sizes), bitorder="little")
     if flags[count * bits :].any():
         raise RecordError("bits behind the ids")
-    ids = flags[: count * bits].reshape(count, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) if count else []
-    return list(map(int, ids)), lengths, {"count": count, "id_bits": bits, "source_length": source, "source_sha256": source_hash, "fingerprint": fingerprint}
+    ids = np.zeros(count, np.int64)
+    for k in range(bits):
+        ids |= flags[k : count * bits : bits].astype(np.int64) << k
+    return ids, np.asarray(lengths, np.int64 if source < 1 << 63 else object), {"count": count, "id_bits": bits, "source_length": source, "source_sha256": source_hash, "fingerprint": fingerprint}
 
 
 MODEL, GRAPHEMES, SECURITY, NORMALIZATION, LEXICAL, SEMANTIC = (1 << k for k in range(6))

@@ -268,14 +268,14 @@ def distinct_blocks(df: DataFrame) -> DataFrame:
     return df.groupBy("cache_key").agg(F.count("*").alias("n_blocks"), F.min("length").alias("length"))
 
 
-def _packed(engine: Engine):
-    encoder, own = engine.encoder(), engine.fingerprint()
-
-    def fn(data):
-        ids, lengths = encoder.encode(data)
-        return (records.pack_tokens(ids, lengths, hashlib.sha256(data).digest(), own),)
+class _packed:  # noqa: N801  a kernel over many sources at once
+    def __init__(self, engine: Engine):
+        self.encoder, self.own = engine.encoder(), engine.fingerprint()
 
-    return fn
+    def many(self, sources):
+        ids, lengths, at = self.encoder.encode_many(sources)
+        for data, a, z in zip(sources, at.tolist(), at[1:].tolist(), strict=False):
+            yield (records.pack_tokens(ids[a:z], lengths[a:z], hashlib.sha256(data).digest(), self.own),)
 
 
 def pack(df: DataFrame, engine: Engine, column: str = "text") -> DataFrame:
@@ -286,7 +286,7 @@ def pack(df: DataFrame, engine: Engine, column: str = "text") -> DataFrame:
 def _unpacked():
     def fn(data):
         try:
-            ids, lengths, head = records.unpack_tokens(data)
+            ids, lengths, head = records.unpacked_arrays(data)
         except records.RecordError as e:
             return e.status, None, None, None, None
         return OK, ids, lengths, head["id_bits"], head["source_length"]
