@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,21 +58,20 @@ def block_plan(lengths: list[int], policy: BlockPolicy) -> tuple[list[tuple[int,
     From a token on, a block ends where its length is nearest to the preferred one among lengths
     from minimum to maximum (the larger of two that are as near); where none is, it is one token.
     """
-    blocks, t, start, n = [], 0, 0, len(lengths)
+    # where each token ends; they grow, so that of the blocks from a token on the nearest two are found by bisection
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    blocks, t, start, n = [], 0, 0, len(ends)
     while t < n:
-        best, size, count = None, 0, 0
-        while t + count < n and size + lengths[t + count] <= policy.maximum:
-            size += lengths[t + count]
-            count += 1
-            if size >= policy.minimum:
-                off = abs(size - policy.preferred)
-                if best is None or off <= best[0]:
-                    best = (off, count, size)
-                elif size > policy.preferred:
-                    break
-        _, count, size = best or (0, 1, lengths[t])
-        blocks.append((t, count, start, size, size > policy.maximum))
-        t, start = t + count, start + size
+        above = bisect_left(ends, start + policy.preferred, t)
+        best = (t, False)
+        if above < n and ends[above] - start <= policy.maximum:
+            best = (above, True)
+        if above > t and ends[above - 1] - start >= policy.minimum and not (best[1] and ends[above] - start - policy.preferred <= policy.preferred - ends[above - 1] + start):
+            best = (above - 1, True)
+        last = best[0]
+        size = ends[last] - start
+        blocks.append((t, last + 1 - t, start, size, size > policy.maximum))
+        t, start = last + 1, ends[last]
     macros, first, total = [], 0, 0
     for i, b in enumerate(blocks):
         total += b[3]

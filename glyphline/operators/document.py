@@ -232,11 +232,22 @@ def read_documents(df: DataFrame, column: str = "record", ceiling: int = 1 << 30
     return with_kernel(df, column, "read_status int, source binary, flags int, n_tokens bigint", _read, ceiling)
 
 
-def _blocks(engine: Engine, policy: BlockPolicy):
-    encoder, own = engine.encoder(), engine.fingerprint()
+class _blocks:  # noqa: N801  a kernel over whole batches
+    def __init__(self, engine: Engine, policy: BlockPolicy):
+        self.encoder, self.own, self.policy = engine.encoder(), engine.fingerprint(), policy
 
-    def fn(data):
-        blocks, macros = records.block_plan(encoder.encode(data)[1], policy)
+    def columns(self, sources):
+        _, lengths, at = self.encoder.encode_many(sources)
+        rows, counts = [], []
+        for data, a, z in zip(sources, at.tolist(), at[1:].tolist(), strict=False):
+            found = self.rows(data, lengths[a:z])
+            rows += found
+            counts.append(len(found))
+        return list(zip(*rows, strict=True)), counts
+
+    def rows(self, data, lengths):
+        policy, own = self.policy, self.own
+        blocks, macros = records.block_plan(lengths, policy)
         if 0 < policy.max_blocks < len(blocks) or 0 < policy.max_macroblocks < len(macros):
             return [(None,) * 9 + (LIMIT,)]
         names = [records.block_identity(own, data[s : s + n]) for _, _, s, n, _ in blocks]
@@ -244,8 +255,6 @@ def _blocks(engine: Engine, policy: BlockPolicy):
         whole = [records.macroblock_identity(own, names[first : first + count]) for first, count, _ in macros]
         return [(k, *b[:4], b[4], macro[k], name, whole[macro[k]], OK) for k, (b, name) in enumerate(zip(blocks, names, strict=True))]
 
-    return fn
-
 
 def blocks(df: DataFrame, engine: Engine, policy: BlockPolicy, keys: list[str], column: str = "text") -> DataFrame:
     """keys and a row for each block: its tokens, bytes, macroblock and identities, and status 0.

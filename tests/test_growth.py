@@ -1,7 +1,17 @@
 """What a query costs doesn't grow faster than its input: batches bounded, equal pieces worked on once."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from glyphline.kernels import records
 from glyphline.kernels import text as kernel
-from glyphline.operators import unicode
+from glyphline.kernels.encode import Encoder
+from glyphline.kernels.vocab import Detector
+from glyphline.operators import document, tokenize, unicode
+from glyphline.plans.kernel import with_kernel
+from glyphline.queries import engine
 
 
 def test_views_look_at_odd_pieces_alone(monkeypatch):
@@ -15,3 +25,89 @@ def test_views_look_at_odd_pieces_alone(monkeypatch):
     assert views.to_pylist() == [*(w[0] for w in want), None] and units[-1].as_py() is None
     assert [[(u["start"], u["length"], [(s["start"], s["length"]) for s in u["spans"]]) for u in x] for x in units.to_pylist()[:-1]] == [w[1] for w in want]
     assert sum(seen) < 10
+
+
+def test_route_spans_are_detected_and_encoded_once(monkeypatch):
+    """Spans repeat; equal ones are worked on once for each worker."""
+    e, seen = engine("en", "hi", "ja"), []
+    real = Detector.detect
+    text = "the देखो token こんにちは the é " * 3
+    source = text.encode()
+    parts = [(kind, source[s : s + n]) for kind, s, n in kernel.routes(source)]
+    router = tokenize._Router(e)
+    want = [i for kind, x in parts for i in router(x, kind > 0)[0]]
+    rows = [(kind, s, n, *(tokenize._detected(e)(source[s : s + n]) if kind else (False, False, 0, 0, None))) for kind, s, n in kernel.routes(source)]
+    monkeypatch.setattr(Detector, "detect", lambda self, data: seen.append(data) or real(self, data))
+    found = list(tokenize._auto(e, True, False).many([source, b""] * 50))
+    assert [f[1] for f in found] == [want, []] * 50
+    assert len(seen) <= 100 + len({x for kind, x in parts if kind}) + 1  # each whole source once, each different span once
+    seen.clear()
+    columns, counts = tokenize._routes(e).columns([source, b""] * 50)
+    assert list(zip(*columns, strict=True)) == rows * 50 and list(counts) == [len(rows), 0] * 50
+    assert len(seen) <= len({x for kind, x in parts if kind})
+
+
+def test_beams_of_a_batch(monkeypatch):
+    """Segments of all sources of a batch together; each different one is searched once."""
+    e = engine("en")
+    encoder, calls = e.encoder(), []
+    sources = [b"hello tokenizer ", None, b"", "日本語 hello::::x".encode(), b"\xff\xfe"] * 20
+    want = [None if d is None else (encoder.beam(d)[0], encoder.cost(encoder.beam(d)[0]), encoder.cost(encoder.encode(d)[0])) for d in sources]
+    real = Encoder.beam
+    monkeypatch.setattr(Encoder, "beam", lambda self, data, width=16: calls.append(data) or real(self, data, width))
+    ids, beam, least = (c.to_pylist() for c in tokenize._beam(e, 16).arrow(sources))
+    assert [None if i is None else (i, b, c) for i, b, c in zip(ids, beam, least, strict=True)] == want
+    assert len(calls) == len(set(calls))
+
+
+def _scanned_plan(lengths, policy):
+    """The definition: all lengths from the minimum to the maximum are looked at."""
+    out, t, start = [], 0, 0
+    while t < len(lengths):
+        best = (None, 1, lengths[t])
+        for count in range(1, len(lengths) - t + 1):
+            size = sum(lengths[t : t + count])
+            if policy.minimum <= size <= policy.maximum and (best[0] is None or abs(size - policy.preferred) <= best[0]):
+                best = (abs(size - policy.preferred), count, size)
+        out.append((t, best[1], start, best[2], best[2] > policy.maximum))
+        t, start = t + best[1], start + best[2]
+    return out
+
+
+def test_block_plans_by_bisection():
+    rng = random.Random(5)
+    for _ in range(300):
+        lengths = [rng.choice((1, 2, 3, 7, 40)) for _ in range(rng.randrange(60))]
+        policy = records.BlockPolicy(*sorted(rng.randrange(1, 60) for _ in range(4)))
+        assert records.block_plan(lengths, policy)[0] == _scanned_plan(lengths, policy)
+    e, policy = engine(), records.BlockPolicy(4, 8, 16, 32)
+    made = document._blocks(e, policy)
+    sources = [b"hello tokenizer hello world", b"", b"x" * 100]
+    rows, counts = made.columns(sources)
+    assert list(zip(*rows, strict=True)) == [r for d in sources for r in made.rows(d, e.encoder().encode(d)[1])] and counts[1] == 0
+
+
+def test_packed_arrays():
+    """Packing and unpacking work on arrays, for lengths beyond 127 and ids of 32 bits too."""
+    for ids, lengths in (([], []), ([5], [300]), ([2**32 - 1, 0, 7], [1, 128, 70_000]), (list(range(1000)), [1 + k % 200 for k in range(1000)])):
+        for kind in (list, np.array):
+            packed = records.pack_tokens(kind(ids), kind(lengths), bytes(32), bytes(32))
+            got, sizes, head = records.unpacked_arrays(packed)
+            assert isinstance(got, np.ndarray) and (got.tolist(), sizes.tolist(), head["count"]) == (ids, lengths, len(ids))
+
+
+class _Seen:
+    most = 1 << 16
+
+    def arrow(self, sources):
+        return [pa.array([sum(map(len, sources))] * len(sources))]
+
+
+def test_kernels_bound_what_they_are_given(spark):
+    """Tables look up some hundred bytes for each code point: a batch's sources are a quarter of a megabyte."""
+    rows = spark.range(60).selectExpr("id", "repeat('x', 10000) as text").coalesce(1)
+    got = with_kernel(rows, "text", "n bigint", _Seen).agg({"n": "max"}).first()[0]
+    assert got <= _Seen.most + 10000
+    for made in (unicode._clusters, unicode._table_findings, unicode._by_tables):
+        assert made.most <= 1 << 18
+    assert tokenize._dfa.most <= 1 << 19
