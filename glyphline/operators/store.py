@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -92,6 +93,13 @@ class CacheTable:
 
     # --- rows
 
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """rows, made once: written beside the parts, of which they are none, until the application ends."""
+        name = f"staged-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        self._files.deleteOnExit(self._place(name))
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
+
     def _prefix(self):
         return F.lower(F.substring(F.hex("cache_key"), 1, self.digits))
 
@@ -143,6 +151,7 @@ class CacheTable:
         rows = rows.select("cache_key", "cache_record").dropDuplicates(["cache_key"])
         version, names = self._state()
         if names:
+            rows = self.stage(rows)  # they are looked up before they are written
             rows = rows.join(self.lookup(rows).select("cache_key"), "cache_key", "left_anti")
         part = self._write(rows)
         while not self._switch(version, [*names, part]):
@@ -195,16 +204,17 @@ def _pieces(engine: Engine):
     encoder = engine.encoder()
 
     def fn(data):
-        cuts = np.array(encoder.boundaries(data)[1:-1], np.int64)
         if len(data) <= PIECE:
             return [(0, data)] if data else []
         b = np.frombuffer(data, np.uint8).astype(np.uint32)
+        cuts = np.flatnonzero(~encoder.cross[b[:-1] << 8 | b[1:]]) + 1
         ok = cuts[cuts >= 4]
         mark = (b[ok - 4] * 2654435761 + b[ok - 3] * 40503 + b[ok - 2] * 2246822519 + b[ok - 1] * 3266489917) & 0xFFFFFFFF
         ends = ok[(mark >> 13) % ONE_IN == 0].tolist()
         out, begin = [], 0
         while begin < len(data):
-            at = next((e for e in ends[np.searchsorted(ends, begin + PIECE) :] if e >= begin + PIECE), len(data)) if ends else len(data)
+            k = bisect_left(ends, begin + PIECE)
+            at = ends[k] if k < len(ends) else len(data)
             if at > begin + LONGEST:  # the first boundary at or behind the longest
                 k = int(np.searchsorted(cuts, begin + LONGEST))
                 at = min(at, int(cuts[k])) if k < len(cuts) else at
@@ -235,8 +245,9 @@ def _encoded(engine: Engine):
         encoder = build_once(_encoder, (engine,))
         for whole in batches:
             for part in slices(whole, 1):
-                keys = part.column(0).to_pylist()
-                made = [records.write_cache_record(k, np.array(encoder.encode(d)[0], "<u4").tobytes()) for k, d in zip(keys, part.column(1).to_pylist(), strict=True)]
+                ids, _, at = encoder.encode_many(part.column(1).to_pylist())
+                ids, at = ids.astype("<u4"), at.tolist()
+                made = [records.write_cache_record(k, ids[a:z].tobytes()) for k, a, z in zip(part.column(0).to_pylist(), at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["cache_key", "cache_record"])
 
     return run
@@ -249,7 +260,7 @@ def _encoder(engine: Engine):
 def encode_cached(df: DataFrame, engine: Engine, store: CacheTable, keys: list[str], column: str = "text") -> tuple[DataFrame, dict[str, int]]:
     """(keys, packed_ids, n_pieces) of each source, and how many pieces there are, differ, were stored, were encoded.
 
-    Each different piece is looked up; those that aren't in the store, or whose entry is damaged, are
+    Pieces and their counts are made once and staged beside the store. Each different piece is looked up; those that aren't in the store, or whose entry is damaged, are
     encoded once and stored, and all ids come from the store. So a second run encodes nothing, and
     a changed text its changed pieces. ``keys`` have to tell rows apart. A null source has null
     packed_ids, an empty one empty ones.
@@ -257,27 +268,33 @@ def encode_cached(df: DataFrame, engine: Engine, store: CacheTable, keys: list[s
     Pieces that many sources share meet their ids by a broadcast of the few keys that more than one in
     ``HOT_KEYS`` rows have.
     """
-    rows = pieces(df, engine, keys, column)
-    distinct = rows.groupBy("cache_key").agg(F.first("content").alias("content"), F.count("*").alias("n"))
-    known = store.get(distinct.select("cache_key"))
+    rows = store.stage(pieces(df, engine, keys, column))
+    distinct = store.stage(rows.groupBy("cache_key").agg(F.count("*").alias("n")))
+    counts = distinct.agg(F.sum("n").alias("a"), F.count("*").alias("b")).first()
+    known = store.stage(store.get(distinct).select("cache_key", "cache_status"))
     damaged = known.where(F.col("cache_status") == INTEGRITY).select("cache_key")
     if not damaged.isEmpty():
         store.remove(damaged)
     before = store._state()
-    missing = distinct.join(known.where(F.col("cache_status") == OK), "cache_key", "left_anti").select("cache_key", "content")
-    store.put(missing.mapInArrow(_encoded(engine), "cache_key binary, cache_record binary"))
-    counts = distinct.agg(F.sum("n").alias("a"), F.count("*").alias("b")).first()
+    missing = known.where(F.col("cache_status") != OK).select("cache_key")
+    if not missing.isEmpty():
+        contents = rows.select("cache_key", "content").join(missing, "cache_key", "left_semi").dropDuplicates(["cache_key"])
+        store.put(contents.mapInArrow(_encoded(engine), "cache_key binary, cache_record binary"))
     added = [n for n in store._state()[1] if n not in before[1]]
     encoded = store._parts(added).count() if added else 0
     out = {"pieces": counts.a or 0, "distinct": counts.b, "stored": counts.b - encoded, "encoded": encoded}
 
-    values = store.get(distinct.select("cache_key")).select("cache_key", "cache_value")
+    values = store.get(distinct).select("cache_key", "cache_value")
     edge = (counts.a or 0) / HOT_KEYS
     hot = F.broadcast(distinct.where((F.col("n") > 1) & (F.col("n") > edge)).select("cache_key"))  # at most HOT_KEYS
     rows = rows.drop("content")
-    often = rows.join(hot, "cache_key", "left_semi").join(F.broadcast(values.join(hot, "cache_key", "left_semi")), "cache_key")
-    seldom = rows.join(hot, "cache_key", "left_anti").join(values.join(hot, "cache_key", "left_anti"), "cache_key")
-    found = often.unionByName(seldom).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece", "cache_value"))).alias("__p"))
+    if hot.isEmpty():
+        both = rows.join(values, "cache_key")
+    else:
+        often = rows.join(hot, "cache_key", "left_semi").join(F.broadcast(values.join(hot, "cache_key", "left_semi")), "cache_key")
+        seldom = rows.join(hot, "cache_key", "left_anti").join(values.join(hot, "cache_key", "left_anti"), "cache_key")
+        both = often.unionByName(seldom)
+    found = both.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece", "cache_value"))).alias("__p"))
     packed = F.unhex(F.array_join(F.transform("__p", lambda p: F.hex(p["cache_value"])), ""))
     found = found.select(*[F.col(k).alias(f"__{k}") for k in keys], packed.alias("packed_ids"), F.size("__p").alias("n_pieces"))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]

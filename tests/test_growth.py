@@ -4,12 +4,13 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from glyphline.kernels import records
 from glyphline.kernels import text as kernel
 from glyphline.kernels.encode import Encoder
 from glyphline.kernels.vocab import Detector
-from glyphline.operators import document, tokenize, unicode
+from glyphline.operators import document, store, tokenize, unicode
 from glyphline.plans.kernel import with_kernel
 from glyphline.queries import engine
 
@@ -111,3 +112,21 @@ def test_kernels_bound_what_they_are_given(spark):
     for made in (unicode._clusters, unicode._table_findings, unicode._by_tables):
         assert made.most <= 1 << 18
     assert tokenize._dfa.most <= 1 << 19
+
+
+def test_cached_encoding_reads_its_texts_once(spark, tmp_path):
+    """Pieces are staged: texts are cut once, and read once more to tell null from empty ones."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    table = store.CacheTable(spark, str(tmp_path / "c"), 1)
+    df = spark.range(20).select("id", told(F.concat(F.lit("hello tokenizer "), F.col("id").cast("string"))).alias("text"))
+    for encoded in (20, 0):
+        read.value = 0
+        out, counts = store.encode_cached(df, engine("en"), table, ["id"])
+        assert counts["encoded"] == encoded and out.where("packed_ids is not null").count() == 20
+        assert read.value <= 2 * 20
