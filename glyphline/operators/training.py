@@ -52,7 +52,8 @@ def candidates(df: DataFrame, column: str = "text", max_bytes: int = 32) -> Data
 def _pieces(line: str, max_bytes: int) -> Column:
     def of(s: Column) -> Column:
         long = F.filter(s, lambda x: F.octet_length(x) > max_bytes)
-        return F.concat(s, _joined(s, 2), _joined(s, 3), F.flatten(F.transform(long, lambda x: _affixes(x, max_bytes))))
+        every = F.concat(s, _joined(s, 2), _joined(s, 3), F.flatten(F.transform(long, lambda x: _affixes(x, max_bytes))))
+        return F.filter(every, lambda x: F.octet_length(x).between(2, max_bytes))  # before they become rows
 
     return let(F.regexp_extract_all(line, F.lit(SEGMENTS), 0), of)
 
