@@ -27,6 +27,10 @@ PROJECTIONS = {
 }
 
 
+#: Column whose rows are counted as each projection's size.
+SIZED = {MODEL: "tokens", GRAPHEMES: "graphemes", SECURITY: "findings", NORMALIZATION: "units", LEXICAL: "lexical", SEMANTIC: "semantic"}
+
+
 def check_flags(engine: Engine, flags: int) -> None:
     """An engine without what a flag needs: status 10; no or unknown flags: status 1."""
     if not flags or flags >> 6:
@@ -107,6 +111,26 @@ class _columns:  # noqa: N801  a kernel over whole batches
         return out
 
 
+class _sizes(_columns):
+    """Sizes of the same projections; the rows themselves stay in the task."""
+
+    most = SLICE // 16
+
+    def arrow(self, sources):
+        import pyarrow as pa
+
+        f = self.build.flags
+        good = np.array([d is not None and len(d) <= self.most_bytes for d in sources], bool)
+        found = _projections(self.build, columns.Batch([d for d, g in zip(sources, good, strict=True) if g]))
+        out = [pa.array(np.where(good, OK, LIMIT), mask=np.array([d is None for d in sources], bool))]
+        for flag, name in SIZED.items():
+            if f & flag:
+                counts = np.zeros(len(sources), np.int64)
+                counts[good] = found[name][0]
+                out.append(pa.array(counts, mask=~good))
+        return out
+
+
 def _projections(build: _Builder, b: columns.Batch) -> dict:
     """What the flags ask for, of all sources: by name how many rows each source has, and their columns."""
     f, out = build.flags, {}
@@ -147,12 +171,21 @@ def token_documents(df: DataFrame, engine: Engine, flags: int, column: str = "te
     return with_kernel(df, column, schema, _columns, engine, flags, mode, auto)
 
 
+def document_sizes(df: DataFrame, engine: Engine, flags: int, column: str = "text", mode: str = "NFC", auto: bool = False) -> DataFrame:
+    """df with status and what ``document_info`` adds to ``token_documents``, whose rows don't leave the task that makes them."""
+    check_flags(engine, flags)
+    schema = ", ".join(["status int", *[f"n_{name} int" for f, name in SIZED.items() if flags & f]])
+    return _digested(with_kernel(df, column, schema, _sizes, engine, flags, mode, auto), column)
+
+
+def _digested(documents: DataFrame, column: str, *more) -> DataFrame:
+    data = F.encode(F.col(column), "UTF-8") if documents.schema[column].dataType.simpleString() == "string" else F.col(column)
+    return documents.select("*", F.octet_length(data).alias("n_bytes"), F.sha2(data, 256).alias("source_sha256"), *more)
+
+
 def document_info(documents: DataFrame, flags: int, column: str = "text") -> DataFrame:
     """documents with the source's size and SHA-256 and the size of each projection, natively."""
-    data = F.encode(F.col(column), "UTF-8") if documents.schema[column].dataType.simpleString() == "string" else F.col(column)
-    names = {MODEL: "tokens", GRAPHEMES: "graphemes", SECURITY: "findings", NORMALIZATION: "units", LEXICAL: "lexical", SEMANTIC: "semantic"}
-    sizes = [F.size(c).alias(f"n_{c}") for f, c in names.items() if flags & f]
-    return documents.select("*", F.octet_length(data).alias("n_bytes"), F.sha2(data, 256).alias("source_sha256"), *sizes)
+    return _digested(documents, column, *[F.size(c).alias(f"n_{c}") for f, c in SIZED.items() if flags & f])
 
 
 #: Form and names of the fields of each section of a record that has rows.

@@ -478,8 +478,7 @@ SELECT doc_id, 0 AS status, octet_length(encode(text)) AS n_bytes, sha256(text)
 FROM src LEFT JOIN m USING (doc_id) LEFT JOIN lexed USING (doc_id) JOIN seen USING (doc_id)""", "en"))
 def r56_token_documents(spark, sf_dir):
     """Sizes of all projections of each document."""
-    made = document.token_documents(planted_docs(spark, sf_dir), engine("en", lexer="python"), ALL)
-    return document.document_info(made, ALL).select("doc_id", "status", "n_bytes", "source_sha256", "n_tokens", "n_graphemes", "n_findings", "n_units", "n_lexical", "n_semantic")
+    return document.document_sizes(planted_docs(spark, sf_dir), engine("en", lexer="python"), ALL).select("doc_id", "status", "n_bytes", "source_sha256", "n_tokens", "n_graphemes", "n_findings", "n_units", "n_lexical", "n_semantic")
 
 
 @query(f"""SELECT doc_id, count(*) AS n, sum(octet_length(encode(g)))::BIGINT AS n_bytes

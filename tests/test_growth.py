@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from glyphline.config import Limits
 from glyphline.kernels import records
 from glyphline.kernels import text as kernel
 from glyphline.kernels.encode import Encoder
@@ -130,3 +131,14 @@ def test_cached_encoding_reads_its_texts_once(spark, tmp_path):
         out, counts = store.encode_cached(df, engine("en"), table, ["id"])
         assert counts["encoded"] == encoded and out.where("packed_ids is not null").count() == 20
         assert read.value <= 2 * 20
+
+
+def test_sizes_are_those_of_the_projections(spark):
+    """What is only counted doesn't leave the task; nulls and sources over the limits have no sizes."""
+    every = 63
+    rows = spark.createDataFrame([(1, "let x_1 = 0x1F.5; é café"), (2, None), (3, ""), (4, "y" * 500)], "id long, text string")
+    e = engine("en", lexer="python", limits=Limits(400))
+    names = ["id", "status", "n_bytes", "source_sha256", "n_tokens", "n_graphemes", "n_findings", "n_units", "n_lexical", "n_semantic"]
+    want = document.document_info(document.token_documents(rows, e, every), every).select(names)
+    got = document.document_sizes(rows, e, every).select(names)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
