@@ -265,6 +265,29 @@ def read_documents(df: DataFrame, column: str = "record", ceiling: int = 1 << 30
     return with_kernel(df, column, "read_status int, source binary, flags int, n_tokens bigint", _read, ceiling)
 
 
+class _returned(_written):
+    """Records are written and read where they are made: a hundred times their sources, they don't leave the task."""
+
+    def __init__(self, engine: Engine, flags: int, mode: str, auto: bool, ceiling: int):
+        super().__init__(engine, flags, mode, auto)
+        self.read = _read(ceiling)
+
+    def many(self, sources):
+        for data, (status, record) in zip(sources, super().many(sources), strict=True):
+            if record is None:
+                yield status, None, None, None
+                continue
+            read_status, source, flags, _ = self.read(record)
+            yield status, read_status, None if source is None else source == data, flags
+
+
+def return_documents(df: DataFrame, engine: Engine, flags: int, column: str = "text", mode: str = "NFC", auto: bool = False, ceiling: int = 1 << 30) -> DataFrame:
+    """df with status, read_status, exact and flags: what ``read_documents`` finds in the records of
+    ``write_documents``, and whether the source that it reads is the one that was written."""
+    check_flags(engine, flags)
+    return with_kernel(df, column, "status int, read_status int, exact boolean, flags int", _returned, engine, flags, mode, auto, ceiling)
+
+
 class _blocks:  # noqa: N801  a kernel over whole batches
     def __init__(self, engine: Engine, policy: BlockPolicy):
         self.encoder, self.own, self.policy = engine.encoder(), engine.fingerprint(), policy

@@ -528,9 +528,7 @@ def r63_cache_records(spark, sf_dir):
 @query("SELECT doc_id, 0 AS status, 0 AS read_status, true AS exact, 63 AS flags FROM documents")
 def r09_document_records(spark, sf_dir):
     """Whole documents written as records and read back."""
-    made = document.write_documents(documents(spark, sf_dir), engine("en"), ALL)
-    got = document.read_documents(made)
-    return got.select("doc_id", "status", "read_status", (F.col("source") == F.encode("text", "UTF-8")).alias("exact"), "flags")
+    return document.return_documents(documents(spark, sf_dir).select("doc_id", "text"), engine("en"), ALL).select("doc_id", "status", "read_status", "exact", "flags")
 
 
 @query("SELECT sha256(text) AS content, count(*) AS n_docs FROM documents GROUP BY ALL HAVING count(*) > 1")

@@ -7,13 +7,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glyphline.config import Limits
-from glyphline.kernels import records
+from glyphline.kernels import columns, lexer, records
 from glyphline.kernels import text as kernel
 from glyphline.kernels.encode import Encoder
-from glyphline.kernels.vocab import Detector
+from glyphline.kernels.vocab import LEX_PROFILES, Detector, LexProfile
 from glyphline.operators import document, store, tokenize, unicode
 from glyphline.plans.kernel import with_kernel
-from glyphline.queries import engine
+from glyphline.queries import QUERIES, engine
 
 
 def test_views_look_at_odd_pieces_alone(monkeypatch):
@@ -142,3 +142,38 @@ def test_sizes_are_those_of_the_projections(spark):
     want = document.document_info(document.token_documents(rows, e, every), every).select(names)
     got = document.document_sizes(rows, e, every).select(names)
     assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
+
+
+def test_words_are_lexed_in_whole_arrays(monkeypatch):
+    """The scanner looks only where a comment, a string or a number may begin; tokens and parts are those of ``lex``."""
+    rng, profiles = random.Random(1), dict(LEX_PROFILES)
+    profiles["odd"] = LexProfile("odd", ("#", "--"), (("(*", "*)", True), ("/*", "end", False)), (('"', None), ("'", "\\")), frozenset(["if", "extraordinary"]), True)
+    profiles["words"] = LexProfile("words", ("REM",), (), (('"', "\\"),), frozenset(["if"]))
+    bits = [b"a", b"B", b"1", b"9", b"_", b"$", b" ", b"\t", b"\n", b"\r", b"\r\n", b"'", b'"', b'"""', b"#", b"/", b"//", b"/*", b"*/", b"(*", b"*)", b"end", b"--", b"\\", b".", b"e+", b"0x1F"]
+    bits += [b"\xc3\xa9", b"\xff", b"\0", b"if", b"while", b"HTTPServer2x", b"continue", b"extraordinary", b"REM", b"_Static_assert"]
+    for _ in range(300):
+        sources = [b"".join(rng.choice(bits) for _ in range(rng.randrange(rng.choice((3, 12, 40))))) for _ in range(rng.randrange(6))]
+        for p in profiles.values():
+            tokens, n, parts, m = columns.lexed(p, sources, True)
+            want = [lexer.lex(p, d) for d in sources]
+            each = [lexer.components(p, d, t) for d, t in zip(sources, want, strict=True)]
+            assert list(zip(*(c.tolist() for c in tokens), strict=True)) == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+            assert list(zip(*(c.tolist() for c in parts), strict=True)) == [x for w in each for x in w] and m.tolist() == [len(w) for w in each]
+    seen = []
+    real = lexer.identifier_parts
+    monkeypatch.setattr(lexer, "identifier_parts", lambda word: seen.append(word) or real(word))
+    columns.lexed(profiles["python"], [b" ".join(b"word%d_neverSeen" % k for k in range(2000))], True)
+    assert not seen
+
+
+def test_records_that_are_read_again_stay_in_their_task(spark):
+    """Records have a hundred bytes for each of their sources: one kernel writes and reads them."""
+    every, e = 63, engine("en", limits=Limits(400))
+    rows = spark.createDataFrame([(1, "let x_1 = 0x1F.5; é café"), (2, None), (3, ""), (4, "y" * 500)], "id long, text string")
+    both = document.read_documents(document.write_documents(rows, e, every))
+    want = both.select("id", "status", "read_status", (F.col("source") == F.encode("text", "UTF-8")).alias("exact"), "flags")
+    got = document.return_documents(rows, e, every).select(want.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
+    assert document.return_documents(rows, e, every, ceiling=10).first().read_status == 9
+    plan = QUERIES["r09_document_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "record" not in plan
