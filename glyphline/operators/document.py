@@ -14,7 +14,7 @@ from ..kernels.records import GRAPHEMES, LEXICAL, MODEL, NORMALIZATION, SECURITY
 from ..kernels.vocab import PackError
 from ..plans.kernel import SLICE, flat_kernel, lists, with_kernel
 from .store import CacheTable, read_cache_records  # noqa: F401  a cache's operators are of documents too
-from .tokenize import _detected, _Router
+from .tokenize import _detected, _ids, _Router
 
 #: Column of each projection, in the order of the flags.
 PROJECTIONS = {
@@ -364,6 +364,27 @@ def unpack(df: DataFrame, column: str = "packed") -> DataFrame:
     return with_kernel(df, column, "unpack_status int, ids array<bigint>, lengths array<bigint>, id_bits int, source_length bigint", _unpacked)
 
 
+class _repacked(_packed):
+    """Records are packed, unpacked and compared where they are made; ids of eight bytes for each token don't leave the task."""
+
+    most = SLICE // 16
+
+    def __init__(self, engine: Engine):
+        super().__init__(engine)
+        self.fresh, self.unpack = _ids(engine, None), _unpacked()
+
+    def many(self, sources):
+        for (_, fresh), (record,) in zip(self.fresh.many(sources), super().many(sources), strict=True):
+            status, ids, _, _, length = self.unpack(record)
+            yield status, length, None if ids is None or fresh is None else np.array_equal(ids, fresh)
+
+
+def return_packed(df: DataFrame, engine: Engine, column: str = "text") -> DataFrame:
+    """df with unpack_status, source_length and exact: what ``unpack`` finds in the records of ``pack``,
+    and whether its ids are those of ``encode_ids``, an encoding of its own."""
+    return with_kernel(df, column, "unpack_status int, source_length bigint, exact boolean", _repacked, engine)
+
+
 def _cache_written(key_prefix: bytes):
     def fn(data):
         key = records.sha256(key_prefix, data)

@@ -506,9 +506,7 @@ def r59_block_plan(spark, sf_dir):
 @query("SELECT doc_id, 0 AS unpack_status, octet_length(encode(text)) AS source_length, true AS exact FROM documents")
 def r60_packed(spark, sf_dir):
     """Packed records, unpacked and compared with a fresh encoding."""
-    made = document.pack(tokenize.encode_ids(documents(spark, sf_dir), engine()).withColumnRenamed("ids", "fresh"), engine())
-    got = document.unpack(made)
-    return got.select("doc_id", "unpack_status", "source_length", (F.col("ids") == F.col("fresh")).alias("exact"))
+    return document.return_packed(documents(spark, sf_dir).select("doc_id", "text"), engine()).select("doc_id", "unpack_status", "source_length", "exact")
 
 
 @query(oracles.blocks_sql(_DOCS, "doc_id", POLICY, """, b AS (SELECT n, count(*) AS n_blocks FROM plan JOIN hexed USING (doc_id) GROUP BY n, array_to_string(h[begin + 1:begin + n], ''))

@@ -177,3 +177,19 @@ def test_records_that_are_read_again_stay_in_their_task(spark):
     assert document.return_documents(rows, e, every, ceiling=10).first().read_status == 9
     plan = QUERIES["r09_document_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "record" not in plan
+
+
+def test_packed_records_that_are_unpacked_again_stay_in_their_task(spark):
+    """Ids take eight bytes for each token: one kernel packs, unpacks and compares them with a fresh encoding."""
+    rows = spark.createDataFrame([(1, "hello tokenizer é"), (2, None), (3, ""), (4, "y" * 500)], "id long, text string")
+    for e in (engine("en"), engine(limits=Limits(400))):
+        both = document.unpack(document.pack(tokenize.encode_ids(rows, e).withColumnRenamed("ids", "fresh"), e))
+        want = both.select("id", "unpack_status", "source_length", (F.col("ids") == F.col("fresh")).alias("exact"))
+        got = document.return_packed(rows, e).select(want.columns)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
+    made = document._repacked(engine())
+    made.fresh = document._ids(engine("hi"), [])
+    made.fresh.encoder.single = [i + 1 for i in made.fresh.encoder.single]
+    assert [r[2] for r in made.many([b"\xff\xfe", b""])] == [False, True]
+    plan = QUERIES["r60_packed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "packed" not in plan
