@@ -53,9 +53,8 @@ def restore(archive: DataFrame, root: str) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        store, base = _place(root)
         for batch in batches:
             for r in batch.to_pylist():
                 if r["problem"] is None:
@@ -73,6 +72,35 @@ def restore(archive: DataFrame, root: str) -> DataFrame:
     return rows.mapInArrow(run, "path string, restored boolean, problem string")
 
 
+def _place(root: str):
+    """File system and folder of a root."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
+def file_sizes(paths: DataFrame, root: str, name: str = "n_bytes") -> DataFrame:
+    """paths, which has a column path, with the size of each file below a folder that all executors
+    see; null where there is no such file, or the path is unsafe.
+
+    Tasks ask for the files of their own rows, so that the driver doesn't hold a list of all of them.
+    """
+    rows = paths.drop(name).withColumn("__safe", F.coalesce(safe_path(F.col("path")), F.lit(False)))
+    schema = paths.drop(name).schema.add(name, "long")
+
+    def run(batches):
+        import pyarrow as pa
+
+        store, base = _place(root)
+        for batch in batches:
+            names, safe = batch.column("path").to_pylist(), batch.column("__safe").to_pylist()
+            found = iter(store.get_file_info([f"{base.rstrip('/')}/{p}" for p, ok in zip(names, safe, strict=True) if ok]))
+            sizes = [next(found).size if ok else None for ok in safe]  # of what isn't a file it is None
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def inspect(archive: DataFrame) -> DataFrame:
     """Number of entries, bytes, and the largest entry."""
     return archive.agg(F.count("*").alias("n_entries"), F.sum("size").alias("n_bytes"), F.max("size").alias("largest"))

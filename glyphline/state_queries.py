@@ -201,10 +201,8 @@ def r11_archive_restore(spark, sf_dir):
     wrong = (F.col("doc_id") % 4 == 3).cast("bigint")
     rows = documents(spark, sf_dir).where("text is not null").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length(content).cast("bigint").alias("size"), (F.crc32(content) + wrong).alias("crc32"), content.alias("content"))
     archive.restore(rows, root).write.parquet(report)
-    done = spark.read.parquet(report).select("path", "restored")
-    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    sizes = written.select(F.regexp_extract("path", r"(d/[0-9]+)$", 1).alias("path"), F.col("length").alias("n_bytes"))
-    return done.join(sizes, "path", "left").select("path", "restored", F.coalesce("n_bytes", F.lit(-1)).alias("n_bytes"))
+    done = archive.file_sizes(spark.read.parquet(report).select("path", "restored"), root)
+    return done.select("path", "restored", F.coalesce("n_bytes", F.lit(-1)).alias("n_bytes"))
 
 
 @query(f"""SELECT doc_id, octet_length(encode(text)) AS n_bytes, true AS exact, 0::BIGINT AS encoded_again FROM ({_DOCS})""")

@@ -11,7 +11,7 @@ from glyphline.kernels import columns, lexer, records
 from glyphline.kernels import text as kernel
 from glyphline.kernels.encode import Encoder
 from glyphline.kernels.vocab import LEX_PROFILES, Detector, LexProfile
-from glyphline.operators import document, store, tokenize, unicode
+from glyphline.operators import archive, document, store, tokenize, unicode
 from glyphline.plans.kernel import with_kernel
 from glyphline.queries import QUERIES, engine
 
@@ -193,3 +193,17 @@ def test_packed_records_that_are_unpacked_again_stay_in_their_task(spark):
     assert [r[2] for r in made.many([b"\xff\xfe", b""])] == [False, True]
     plan = QUERIES["r60_packed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "packed" not in plan
+
+
+def test_restored_files_are_looked_up_in_tasks(spark, tmp_path):
+    """A list of all files doesn't fit the driver; each row's file is asked for where the row is."""
+    (tmp_path / "in" / "a b").mkdir(parents=True)
+    (tmp_path / "in" / "a b" / "é%20").write_bytes(b"abc")
+    (tmp_path / "in" / "empty").write_bytes(b"")
+    (tmp_path / "outside").write_bytes(b"x")
+    rows = spark.createDataFrame([("a b/é%20", 1), ("empty", 2), ("a b", 3), ("gone", 4), ("../outside", 5), (None, 6)], "path string, k int")
+    for root in (str(tmp_path / "in"), (tmp_path / "in").as_uri()):
+        got = archive.file_sizes(rows, root)
+        assert {r.k: r.n_bytes for r in got.collect()} == {1: 3, 2: 0, 3: None, 4: None, 5: None, 6: None}
+    made = QUERIES["r11_archive_restore"](spark, "/root/testdata/sf0.001")
+    assert not any("/restored-" in f for f in made.inputFiles())
