@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+import zlib
 from bisect import bisect_left
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import INTEGRITY, NOT_FOUND, OK, Engine
 from ..kernels import records
-from ..plans.kernel import build_once, flat_kernel, slices, with_kernel
+from ..plans.kernel import bounded_batches, build_once, flat_kernel, slices, to_bytes, with_kernel
 
 #: Hexadecimal digits of a key that name its folder: 256 folders; more for tables of many TB.
 DIGITS = 2
@@ -24,6 +27,22 @@ ONE_IN = 16
 #: A key that more than one of so many rows have is joined by broadcast.
 HOT_KEYS = 2_000
 PIECE_DOMAIN = b"glyphline piece v1\0"
+#: Keys that are broadcast at most, so that other entries and pieces are left out where they are read.
+FEW_KEYS = 100_000
+#: In place of a piece's number, of a source without pieces: it is empty, it is null.
+EMPTY, NULL = -1, -2
+
+
+@contextmanager
+def _shuffles_dropped(spark):
+    """What is written here leaves no shuffle files, which else stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 class CacheTable:
@@ -96,7 +115,8 @@ class CacheTable:
     def stage(self, rows: DataFrame) -> DataFrame:
         """rows, made once: written beside the parts, of which they are none, until the application ends."""
         name = f"staged-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
+        with _shuffles_dropped(self.spark):
+            rows.select("*").write.parquet(f"{self.path}/{name}")
         self._files.deleteOnExit(self._place(name))
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
 
@@ -104,10 +124,42 @@ class CacheTable:
         return F.lower(F.substring(F.hex("cache_key"), 1, self.digits))
 
     def _write(self, rows: DataFrame) -> str:
+        return self._save(rows.withColumn("prefix", self._prefix()).repartition(F.col("prefix")).sortWithinPartitions("prefix", "cache_key"))
+
+    def _save(self, rows: DataFrame) -> str:
         name = f"part-{uuid.uuid4().hex}"
-        rows.withColumn("prefix", self._prefix()).repartition(F.col("prefix")).sortWithinPartitions("prefix", "cache_key").write.partitionBy("prefix").parquet(f"{self.path}/{name}")
+        with _shuffles_dropped(self.spark):
+            rows.select("*").write.option("compression", "zstd").partitionBy("prefix").parquet(f"{self.path}/{name}")
         return name
 
+    def encode(self, contents: DataFrame, known: DataFrame, engine: Engine) -> str:
+        """Encode and add the entries of (cache_key, content), each different key once and none that ``known`` has; the name of their part.
+
+        Contents meet in their prefix's task and become records there, so that they are shuffled and not the records, which are larger.
+        """
+        rows = contents.select("cache_key", "content").unionByName(known.select("cache_key", F.lit(None).cast("binary").alias("content")))
+        rows = rows.withColumn("prefix", self._prefix()).repartition(F.col("prefix")).sortWithinPartitions("prefix", "cache_key", F.col("content").isNotNull())
+        part = self._save(rows.mapInArrow(_encoded(engine), "cache_key binary, cache_record binary, prefix string"))
+        version, names = self._state()
+        while not self._switch(version, [*names, part]):
+            version, names = self._state()
+        return part
+
+    def checked(self, wanted: DataFrame, n: int, values: bool) -> DataFrame:
+        """cache_key and cache_status of entries, and their values, compressed, if asked for, checked where they are read.
+
+        Entries that aren't ``wanted`` are left out if it is of few keys, ``n``; else they may be among the rows. A damaged one of equal keys counts.
+        """
+        schema = "cache_key binary, cache_status int, packed binary"
+        found = self._read()
+        if found is None:
+            return self.spark.createDataFrame([], schema)
+        found = found.select("cache_key", "cache_record")
+        if n <= FEW_KEYS:
+            found = found.join(F.broadcast(wanted.select("cache_key")), "cache_key", "left_semi")
+        bounded_batches(self.spark)
+        return found.mapInArrow(_checked(values), schema).groupBy("cache_key").agg(F.max("cache_status").alias("cache_status"), F.first("packed", True).alias("packed"))
+
     def _read(self, prefixes: list[str] | None = None) -> DataFrame | None:
         _, names = self._state()
         return self._parts(names, prefixes)
@@ -236,19 +288,97 @@ def pieces(df: DataFrame, engine: Engine, keys: list[str], column: str = "text")
     return rows.withColumn("cache_key", F.unhex(F.sha2(F.concat(head, F.col("content")), 256)))
 
 
+def _keyed(engine: Engine, content: bool):
+    """Numbers and keys of the pieces of a source, behind a byte that is 0 for null; with their content if asked for."""
+    cut, head = _pieces(engine), PIECE_DOMAIN + engine.fingerprint()
+
+    def fn(data):
+        if len(data) < 2:
+            return [] if content else [(EMPTY if data[0] else NULL, None)]
+        found = [(k, hashlib.sha256(head + d).digest(), d) for k, d in cut(data[1:])]
+        return found if content else [f[:2] for f in found]
+
+    return fn
+
+
+def _keyed_pieces(df: DataFrame, engine: Engine, keys: list[str], column: str, content: bool) -> DataFrame:
+    data = F.concat(F.lit(b"\1"), to_bytes(df, column))
+    rows = df.select(*keys, F.coalesce(data, F.lit(b"\0")).alias("__data"))
+    return flat_kernel(rows, keys, "__data", "piece int, cache_key binary" + ", content binary" * content, _keyed, engine, content)
+
+
 def _encoded(engine: Engine):
-    """For mapInArrow over (cache_key, content): cache_key and cache_record of packed ids."""
+    """For mapInArrow over (cache_key, content, prefix), sorted: cache_key and cache_record of packed ids of each first row that has a content."""
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = build_once(_encoder, (engine,))
+        encoder, last = build_once(_encoder, (engine,)), None
         for whole in batches:
             for part in slices(whole, 1):
-                ids, _, at = encoder.encode_many(part.column(1).to_pylist())
+                rows = []
+                for key, content, prefix in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if key != last and content is not None:
+                        rows.append((key, content, prefix))
+                    last = key
+                if not rows:
+                    continue
+                keys, contents, prefixes = zip(*rows, strict=True)
+                ids, _, at = encoder.encode_many(contents)
                 ids, at = ids.astype("<u4"), at.tolist()
-                made = [records.write_cache_record(k, ids[a:z].tobytes()) for k, a, z in zip(part.column(0).to_pylist(), at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["cache_key", "cache_record"])
+                made = [records.write_cache_record(k, ids[a:z].tobytes()) for k, a, z in zip(keys, at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(made, pa.binary()), pa.array(prefixes, pa.string())], ["cache_key", "cache_record", "prefix"])
+
+    return run
+
+
+def _checked(values: bool):
+    """For mapInArrow over (cache_key, cache_record): cache_key, cache_status and, if asked for, the compressed value."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for part in slices(whole, 1):
+                out = []
+                for key, record in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    try:
+                        value = records.read_cache_record(record, key)
+                        out.append((key, OK, compressed(value) if values else None))
+                    except records.RecordError as e:
+                        out.append((key, e.status, None))
+                if out:
+                    columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["cache_key", "cache_status", "packed"])
+
+    return run
+
+
+def compressed(ids: bytes) -> bytes:
+    """Packed ids: the first bytes of all, then the second ones and so on, compressed; as they are behind a byte 0 if they aren't whole."""
+    if len(ids) % 4:
+        return b"\0" + ids
+    return b"\1" + zlib.compress(np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes(), 6)
+
+
+def uncompressed(data: bytes) -> bytes:
+    if not data[0]:
+        return data[1:]
+    return np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(4, -1).T.tobytes()
+
+
+def _put_together(names: list[str]):
+    """For mapInArrow over keys and a list of compressed ids: keys, the ids of all and how many there were."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for a in range(0, whole.num_rows, 64):
+                part = whole.slice(a, 64)
+                lists = part.columns[-1].to_pylist()
+                packed = pa.array([b"".join(map(uncompressed, x)) for x in lists], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed, pa.array(list(map(len, lists)), pa.int32())], names)
 
     return run
 
@@ -260,44 +390,46 @@ def _encoder(engine: Engine):
 def encode_cached(df: DataFrame, engine: Engine, store: CacheTable, keys: list[str], column: str = "text") -> tuple[DataFrame, dict[str, int]]:
     """(keys, packed_ids, n_pieces) of each source, and how many pieces there are, differ, were stored, were encoded.
 
-    Pieces and their counts are made once and staged beside the store. Each different piece is looked up; those that aren't in the store, or whose entry is damaged, are
+    The numbers and keys of pieces are staged beside the store, without their contents, which are cut once more
+    if some are missing. Each different piece is looked up; those that aren't in the store, or whose entry is damaged, are
     encoded once and stored, and all ids come from the store. So a second run encodes nothing, and
     a changed text its changed pieces. ``keys`` have to tell rows apart. A null source has null
     packed_ids, an empty one empty ones.
 
-    Pieces that many sources share meet their ids by a broadcast of the few keys that more than one in
-    ``HOT_KEYS`` rows have.
+    Entries are checked where they are read, and their ids travel compressed. Pieces that many sources
+    share meet their ids by a broadcast of the few keys that more than one in ``HOT_KEYS`` rows have.
     """
-    rows = store.stage(pieces(df, engine, keys, column))
+    staged = store.stage(_keyed_pieces(df, engine, keys, column, False))
+    rows = staged.where("piece >= 0")
     distinct = store.stage(rows.groupBy("cache_key").agg(F.count("*").alias("n")))
     counts = distinct.agg(F.sum("n").alias("a"), F.count("*").alias("b")).first()
-    known = store.stage(store.get(distinct).select("cache_key", "cache_status"))
-    damaged = known.where(F.col("cache_status") == INTEGRITY).select("cache_key")
+    status = store.checked(distinct, counts.b, False).select("cache_key", "cache_status")
+    status = distinct.select("cache_key").join(status, "cache_key", "left").select("cache_key", F.coalesce("cache_status", F.lit(NOT_FOUND)).alias("cache_status"))
+    missing = store.stage(status.where(F.col("cache_status") != OK))
+    damaged = missing.where(F.col("cache_status") == INTEGRITY).select("cache_key")
     if not damaged.isEmpty():
         store.remove(damaged)
-    before = store._state()
-    missing = known.where(F.col("cache_status") != OK).select("cache_key")
-    if not missing.isEmpty():
-        contents = rows.select("cache_key", "content").join(missing, "cache_key", "left_semi").dropDuplicates(["cache_key"])
-        store.put(contents.mapInArrow(_encoded(engine), "cache_key binary, cache_record binary"))
-    added = [n for n in store._state()[1] if n not in before[1]]
-    encoded = store._parts(added).count() if added else 0
+    encoded, n = 0, missing.count()
+    if n:
+        contents, missing = _keyed_pieces(df, engine, keys, column, True), missing.select("cache_key")
+        there = distinct.select("cache_key").join(missing, "cache_key", "left_anti")
+        if n <= FEW_KEYS:
+            contents, there = contents.join(F.broadcast(missing), "cache_key", "left_semi"), there.limit(0)
+        encoded = store._parts([store.encode(contents, there, engine)]).count()
     out = {"pieces": counts.a or 0, "distinct": counts.b, "stored": counts.b - encoded, "encoded": encoded}
 
-    values = store.get(distinct).select("cache_key", "cache_value")
+    values = store.checked(distinct, counts.b, True).where(F.col("cache_status") == OK).select("cache_key", "packed")
     edge = (counts.a or 0) / HOT_KEYS
     hot = F.broadcast(distinct.where((F.col("n") > 1) & (F.col("n") > edge)).select("cache_key"))  # at most HOT_KEYS
-    rows = rows.drop("content")
     if hot.isEmpty():
         both = rows.join(values, "cache_key")
     else:
         often = rows.join(hot, "cache_key", "left_semi").join(F.broadcast(values.join(hot, "cache_key", "left_semi")), "cache_key")
         seldom = rows.join(hot, "cache_key", "left_anti").join(values.join(hot, "cache_key", "left_anti"), "cache_key")
         both = often.unionByName(seldom)
-    found = both.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece", "cache_value"))).alias("__p"))
-    packed = F.unhex(F.array_join(F.transform("__p", lambda p: F.hex(p["cache_value"])), ""))
-    found = found.select(*[F.col(k).alias(f"__{k}") for k in keys], packed.alias("packed_ids"), F.size("__p").alias("n_pieces"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    whole = df.select(*keys, F.col(column).isNotNull().alias("__some")).join(found, same, "left")
-    ids = F.when(F.col("__some"), F.coalesce("packed_ids", F.lit(b"")))
-    return whole.select(*keys, ids.alias("packed_ids"), F.coalesce("n_pieces", F.lit(0)).alias("n_pieces")), out
+    found = both.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece", "packed"))).alias("__p")).select(*keys, F.col("__p.packed").alias("__p"))
+    schema = staged.select(*keys).schema.add("packed_ids", "binary").add("n_pieces", "integer")
+    bounded_batches(store.spark)
+    found = found.mapInArrow(_put_together(schema.names), schema)
+    none = staged.where("piece < 0").select(*keys, F.when(F.col("piece") == EMPTY, F.lit(b"")).alias("packed_ids"), F.lit(0).alias("n_pieces"))
+    return found.unionByName(none), out

@@ -207,3 +207,26 @@ def test_restored_files_are_looked_up_in_tasks(spark, tmp_path):
         assert {r.k: r.n_bytes for r in got.collect()} == {1: 3, 2: 0, 3: None, 4: None, 5: None, 6: None}
     made = QUERIES["r11_archive_restore"](spark, "/root/testdata/sf0.001")
     assert not any("/restored-" in f for f in made.inputFiles())
+
+
+def test_cached_encoding_stages_no_contents(spark, tmp_path, monkeypatch):
+    """Numbers and keys of pieces are staged alone, and what isn't missing isn't encoded, however many keys there are."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([(k, "".join(rng.choice("abc de\n") for _ in range(9000))) for k in range(20)] + [(20, ""), (21, None)], "id long, text string").repartition(3)
+    table, own, cleanup = store.CacheTable(spark, str(tmp_path / "c"), 1), engine("en"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    want = {r.id: None if r.ids is None else np.array(r.ids, "<u4").tobytes() for r in tokenize.encode_ids(df, own).collect()}
+    for few in (0, 100_000):
+        monkeypatch.setattr(store, "FEW_KEYS", few)
+        for some in (df.where("id < 5 or id > 19"), df, df):
+            out, counts = store.encode_cached(some, own, table, ["id"])
+            got = {r.id: None if r.packed_ids is None else bytes(r.packed_ids) for r in out.collect()}
+            assert got == {k: want[k] for k in got} and len(got) == some.count()
+        assert counts["encoded"] == 0
+        table = store.CacheTable(spark, str(tmp_path / "d"), 1)
+    staged = [d for d in (tmp_path / "c").iterdir() if d.name.startswith("staged-")]
+    assert staged and sum(f.stat().st_size for d in staged for f in d.glob("*.parquet")) < 180_000 / 2
+    assert all("content" not in spark.read.parquet(str(d)).columns for d in staged)
+    assert spark.conf.get(cleanup, None) == before
+    for data in (b"", b"abc", np.arange(5000, dtype="<u4").tobytes()):
+        assert store.uncompressed(store.compressed(data)) == data
